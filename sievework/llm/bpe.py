@@ -359,18 +359,19 @@ class Codec:
             parts = merged
         return parts
 
-    def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
-        """uint32 ids of each text."""
+    def encode_batch(self, texts: list[str], special: bool = True) -> list[np.ndarray]:
+        """uint32 ids of each text. special: strings of special tokens in a text become those tokens."""
         if self.kept > CACHED_CHUNKS or self.used > 16 * CACHED_CHUNKS:
             self._evict()
         rows: list[list[tuple[bool, list[str]]]] = []
         want: dict[tuple[bool, str], None] = {}
         for text in texts:
-            pieces = self.special_split.split(text) if self.special_split and any(s in text for s in self.special) else [text]
-            segments = [(True, [p]) if p in self.special else (False, self.chunks(p)) for p in pieces if p]
+            cut_out = special and self.special_split and any(s in text for s in self.special)
+            pieces = self.special_split.split(text) if cut_out else [text]
+            segments = [(True, [p]) if cut_out and p in self.special else (False, self.chunks(p)) for p in pieces if p]
             rows.append(segments)
-            for special, parts in segments:
-                if not special:
+            for alone, parts in segments:
+                if not alone:
                     if parts[0] not in self.initial:
                         want[(False, parts[0])] = None
                     for p in set(parts[1:]).difference(self.spaced):
@@ -379,8 +380,8 @@ class Codec:
         index: list[int] = []
         cut: list[int] = []
         for segments in rows:
-            for special, parts in segments:
-                if special:
+            for alone, parts in segments:
+                if alone:
                     index.append(-1 - self.special[parts[0]])
                 else:
                     index.append(self.initial[parts[0]])

@@ -24,17 +24,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import free_name
+from .words import WORD_TABLE, words
 
 WINDOW = 10
 MAX_PATTERN_BYTES = 64 << 20
 SLICE = 256
 
-#: Byte table: A-Z lower-cased; 0x00-0x2F, 0x3A-0x60 (after lower-casing) and 0x7B-0x7F become spaces.
-_TABLE = bytes(
-    b + 32 if 0x41 <= b <= 0x5A else 0x20 if b <= 0x2F or 0x3A <= b <= 0x60 or 0x7B <= b <= 0x7F else b
-    for b in range(256)
-)
-
 HITS = T.StructType(
     [
         T.StructField("n_words", T.LongType()),
@@ -45,10 +40,6 @@ HITS = T.StructType(
 )
 
 
-def words(text: str | None) -> list[bytes]:
-    return (text or "").encode("utf-8", "surrogatepass").translate(_TABLE).split()
-
-
 def windows(text: str | None, window: int = WINDOW) -> list[bytes]:
     w = words(text)
     if not w:
@@ -77,7 +68,7 @@ def automaton(key: str, patterns: list[tuple[bytes, list[str]]]):
 def scan(a, text: str | None) -> tuple[int, list, list, list[str]]:
     """(n_words, merged hit word runs, their spans in code points, item ids) of one document."""
     raw = (text or "").encode("utf-8", "surrogatepass")
-    flat = raw.translate(_TABLE)
+    flat = raw.translate(WORD_TABLE)
     w = flat.split()
     if not w:
         return 0, [], [], []
