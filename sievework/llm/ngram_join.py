@@ -134,8 +134,9 @@ def segments(tokens: np.ndarray, band: int, percent: int) -> tuple[np.ndarray, n
 
 
 def _key(sums: np.ndarray, seg: np.ndarray, band: int) -> np.ndarray:
+    # the lowest bit is kept for salted keys
     place = (seg.astype(np.uint64) + np.uint64(1)) * _M2 ^ np.uint64(band * 0x9E3779B97F4A7C15 % 2**64)
-    return mix(sums ^ mix(place))
+    return mix(sums ^ mix(place)) & ~np.uint64(1)
 
 
 def schemes(n: int, percent: int) -> list[int]:
@@ -226,7 +227,8 @@ def key_table(docs: DataFrame, size: int, percent: int, hot: list[int]) -> DataF
 
 
 def salted(keys: np.ndarray, which: np.ndarray, salt: int) -> np.ndarray:
-    return np.where(which, mix(keys + np.uint64(salt + 1) * _M2), keys)
+    """Keys in their salted form where ``which`` says so; only salted keys are odd."""
+    return np.where(which, mix(keys + np.uint64((salt + 1) * 0xC2B2AE3D27D4EB4F % 2**64)) | np.uint64(1), keys)
 
 
 def frequent_keys(docs: DataFrame, size: int, percent: int, rows: int) -> list[int]:
@@ -387,25 +389,22 @@ def join_components(
     hot = frequent_keys(docs, size, percent, sets.count())
     keys = key_table(docs, size, percent, hot)
     w = Window.partitionBy("key")
-    groups = keys.withColumn("rep", F.min("doc").over(w)).withColumn("last", F.max("doc").over(w)).where("rep <> last")
+    groups = keys.withColumn("rep", F.min("doc").over(w)).withColumn("last", F.max("doc").over(w))
+    groups = groups.where("rep <> last or key % 2 <> 0")
     groups = materialize(groups.select("key", "doc", "rep"), "join-groups")
     stars = groups.where("doc <> rep").select(F.col("rep").alias("a"), F.col("doc").alias("b"))
     if hot:  # salted groups of one key meet through their smallest documents
         names = spark.createDataFrame(_salted_names(hot), "base long, key long")
-        salts = keys.join(F.broadcast(names), "key").groupBy("base", "key").agg(F.min("doc").alias("rep"))
-        salts = materialize(salts, "join-salts")
+        groups = groups.join(F.broadcast(names), "key", "left").select(F.coalesce("base", "key").alias("key"), "doc", "rep", "base")
+        salts = groups.where("base is not null").groupBy("base", "rep").count()
         base = salts.groupBy("base").agg(F.min("rep").alias("first"))
         stars = stars.union(salts.join(base, "base").where("rep <> first").select(F.col("first").alias("a"), F.col("rep").alias("b")))
-        groups = groups.join(F.broadcast(names), "key", "left").select(F.coalesce("base", "key").alias("key"), "doc", "rep")
     stars = stars.distinct().join(copied, "b", "left_anti").select("a", "b")
     found = materialize(verify(docs, materialize(stars, "join-stars"), size, percent), "join-links")
     labels = connected_components(None, found)
 
     # groups of several components: pairs across components that the first pass has not compared
-    # (a salted group of one document is no group above, but its document meets the others here)
     members = groups.join(copied, groups.doc == copied.b, "left_anti").select("key", "doc").distinct()
-    if hot:
-        members = members.union(salts.join(copied, salts.rep == copied.b, "left_anti").select(F.col("base").alias("key"), F.col("rep").alias("doc"))).distinct()
     members = members.join(labels, members.doc == labels.id, "left").select(
         "key", "doc", F.coalesce("component", "doc").alias("comp")
     )
