@@ -156,7 +156,7 @@ def _pooled(a, b):
 def _scan_with(df: DataFrame, shared, text: str, out: str) -> DataFrame:
     schema = T.StructType([*df.schema.fields, T.StructField(out, HITS)])
     at = df.columns.index(text)
-    key = f"{shared.id if hasattr(shared, 'id') else ''}-{hashlib.md5(repr(shared.value[:50]).encode()).hexdigest()}-{len(shared.value)}"
+    key = hashlib.sha256(repr(shared.value).encode()).hexdigest()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_type
