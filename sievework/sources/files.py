@@ -33,9 +33,12 @@ DEFAULT_EXCLUDES = [
 
 
 def read_tree(spark: SparkSession, path: str) -> DataFrame:
-    """(file_path, text) of every file under path, read whole; filters on the path come before the text is used."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path)
-    return files.select(F.col("_metadata.file_path").alias("file_path"), F.col("value").alias("text"))
+    """(file_path, text) of every file under path, read whole, final newlines included.
+
+    The content is only read for files that filters on the path let through.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    return files.select(F.col("path").alias("file_path"), F.decode("content", "UTF-8").alias("text"))
 
 
 def language_of(path: Column | str) -> Column:
