@@ -162,15 +162,19 @@ def index_keys(tokens: np.ndarray, percent: int = PERCENT) -> np.ndarray:
 
 
 def vectors(tokens: np.ndarray, percent: int = PERCENT) -> list[bytes]:
-    """32-bit fingerprints of the segments, for the set's own band and for the one below."""
+    """Segment vectors for the set's own band and for the one below.
+
+    A vector holds a 32-bit fingerprint of the index key of each segment, then each segment's size (255 at most).
+    """
     b = band_of(len(tokens), percent)
     out = []
     for band in (b, b - 1):
         if band < 0 or not allocate(band, percent)[0]:
             out.append(b"")
         else:
-            sums = segments(tokens, band, percent)[0]
-            out.append((mix(sums) >> _S).astype(np.uint32).tobytes())
+            sums, sizes, _, _ = segments(tokens, band, percent)
+            marks = (_key(sums, np.arange(len(sums)), band) >> _S).astype(np.uint32)
+            out.append(marks.tobytes() + np.minimum(sizes, 255).astype(np.uint8).tobytes())
     return out
 
 
@@ -301,35 +305,50 @@ def cross_pairs(rows: DataFrame, percent: int) -> DataFrame:
     """
 
     def pairs_of(g: dict) -> tuple[np.ndarray, np.ndarray]:
-        left = np.flatnonzero(g["side"] == 0)
-        right = np.flatnonzero(g["side"] == 1) if g["pi"] != g["pj"] else left
-        a_out, b_out = [], []
-        bands = np.array([band_of(int(n), percent) for n in g["n"]])
-        for i in left:
-            # sizes, components and order first, then the vectors of the band of the smaller one
-            j = right[(g["comp"][right] != g["comp"][i])]
-            j = j[g["doc"][j] > g["doc"][i]] if g["pi"] == g["pj"] else j
-            small, large = np.minimum(g["n"][j], g["n"][i]), np.maximum(g["n"][j], g["n"][i])
-            j = j[100 * small >= percent * large]
-            for band in (bands[i], bands[i] - 1):
-                k = j[np.minimum(bands[j], bands[i]) == band]
-                if not len(k) or band < 0 or not allocate(int(band), percent)[0]:
+        doc, comp, n, side = g["doc"], g["comp"], g["n"], g["side"]
+        here = np.uint32((g["key"] & (2**64 - 1)) >> 32)
+        bands = np.array([band_of(int(x), percent) for x in n])
+        a_out, b_out = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for band in np.unique(bands):
+            if not allocate(int(band), percent)[0]:
+                continue
+            # the scheme of this band holds its own sets and, as larger partners, those of the next
+            rows = np.flatnonzero((bands == band) | (bands == band + 1))
+            raw = b"".join(g["own"][x] if bands[x] == band else g["below"][x] for x in rows)
+            raw = np.frombuffer(raw, np.uint8).reshape(len(rows), -1)
+            m = raw.shape[1] // 5
+            mark, size = np.ascontiguousarray(raw[:, : 4 * m]).view(np.uint32), raw[:, 4 * m :].astype(np.int16)
+            for p in np.flatnonzero(bands[rows] == band):
+                i = rows[p]
+                ok = comp[rows] != comp[i]
+                # a pair of two sets of the band once, and across two blocks only
+                ok &= (doc[rows] > doc[i]) | (bands[rows] != band)
+                if g["pi"] != g["pj"]:
+                    ok &= side[rows] != side[i]
+                ok &= 100 * np.minimum(n[rows], n[i]) >= percent * np.maximum(n[rows], n[i])
+                q = np.flatnonzero(ok)
+                if not len(q):
                     continue
-                mine = g["own"][i] if band == bands[i] else g["below"][i]
-                m = np.frombuffer(b"".join(g["own"][x] if bands[x] == band else g["below"][x] for x in k), np.uint32)
-                diff = (m.reshape(len(k), -1) != np.frombuffer(mine, np.uint32)).sum(1)
-                k = k[diff <= most_different(g["n"][k], g["n"][i], percent)]
-                a_out.append(np.minimum(g["doc"][k], g["doc"][i]))
-                b_out.append(np.maximum(g["doc"][k], g["doc"][i]))
-        none = np.zeros(0, np.int64)
-        return np.concatenate(a_out or [none]), np.concatenate(b_out or [none])
+                same = mark[q] == mark[p]
+                gap = np.abs(size[q] - size[p])
+                # different subsets of equal size differ in two tokens at least, unless sizes were cut at 255
+                least = np.where(same, 0, np.where(gap > 0, gap, np.where(size[p] == 255, 1, 2)))
+                near = least.sum(1) <= most_different(n[rows[q]], n[i], percent)
+                q, same = q[near], same[near] & (size[p] > 0)
+                # the group of the first equal segment that is not empty speaks for the pair
+                first = same.argmax(1)
+                own = np.where(same.any(1), mark[p][first] == here, True)
+                j = rows[q[own]]
+                a_out.append(np.minimum(doc[j], doc[i]))
+                b_out.append(np.maximum(doc[j], doc[i]))
+        return np.concatenate(a_out), np.concatenate(b_out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
 
         def done() -> pa.RecordBatch:
             cols = list(zip(*held))
-            g = {"pi": cols[1][0], "pj": cols[2][0], "own": cols[6], "below": cols[7]}
+            g = {"key": cols[0][0], "pi": cols[1][0], "pj": cols[2][0], "own": cols[6], "below": cols[7]}
             g |= {name: np.array(cols[k], np.int64) for name, k in (("doc", 3), ("comp", 4), ("n", 5), ("side", 8))}
             a, b = pairs_of(g)
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
