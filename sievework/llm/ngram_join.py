@@ -189,62 +189,60 @@ def links(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
 # -- stages ---------------------------------------------------------------------------------------
 
 
-def set_table(docs: DataFrame, size: int) -> DataFrame:
-    """(doc, n, c1, c2): size of the shingle set and its 128-bit hash, for each row with an id."""
+def keyed_sets(docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """(doc, n, c1, c2, keys): size of the shingle set, its 128-bit hash and its index keys, for each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n, c = [], []
+            n, c, out = [], [], []
             for t in b.column(1).to_pylist():
                 s = shingles(t, size)
                 n.append(len(s))
                 c.append(xxhash.xxh3_128_digest(s.tobytes()))
+                out.append(index_keys(s, percent).view(np.int64))
             c = np.frombuffer(b"".join(c), np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(n, pa.int64()), pa.array(c[:, 0].copy()), pa.array(c[:, 1].copy())],
-                names=["doc", "n", "c1", "c2"],
-            )
-
-    return docs.mapInArrow(run, "doc long, n long, c1 long, c2 long")
-
-
-def key_table(docs: DataFrame, size: int, percent: int, hot: list[int]) -> DataFrame:
-    """(key, doc) of every set; frequent keys are replaced by their salted forms."""
-    hot_keys = np.sort(np.array(hot, np.int64).view(np.uint64))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = []
-            for t in b.column(1).to_pylist():
-                s = shingles(t, size)
-                k = index_keys(s, percent)
-                if len(hot_keys) and len(k):
-                    k = salted(k, np.isin(k, hot_keys), xxhash.xxh3_64_intdigest(s.tobytes()) % SALTS)
-                out.append(k.view(np.int64))
-            flat = np.concatenate(out) if out else np.zeros(0, np.int64)
             ends = np.concatenate(([0], np.cumsum([len(x) for x in out])))
+            flat = np.concatenate(out) if out else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))], names=["doc", "keys"]
+                [
+                    b.column(0),
+                    pa.array(n, pa.int64()),
+                    pa.array(c[:, 0].copy()),
+                    pa.array(c[:, 1].copy()),
+                    pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat)),
+                ],
+                names=["doc", "n", "c1", "c2", "keys"],
             )
 
-    return docs.mapInArrow(run, "doc long, keys array<long>").select(F.explode("keys").alias("key"), "doc")
-
+    return docs.mapInArrow(run, "doc long, n long, c1 long, c2 long, keys array<long>")
 
-def salted(keys: np.ndarray, which: np.ndarray, salt: int) -> np.ndarray:
-    """Keys in their salted form where ``which`` says so; only salted keys are odd."""
-    return np.where(which, mix(keys + np.uint64((salt + 1) * 0xC2B2AE3D27D4EB4F % 2**64)) | np.uint64(1), keys)
 
-
-def frequent_keys(docs: DataFrame, size: int, percent: int, rows: int) -> list[int]:
+def frequent_keys(sets: DataFrame) -> list[int]:
     """Keys that SAMPLE_HITS or more of about SAMPLE_ROWS sampled sets have; at most a bounded number."""
+    rows = sets.count()
     if rows < SAMPLE_HITS * 100:
         return []
     share = min(1.0, SAMPLE_ROWS / rows)
-    sample = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1_000_003)) < int(1_000_003 * share))
-    got = key_table(sample, size, percent, []).groupBy("key").count().where(F.col("count") >= SAMPLE_HITS)
+    sample = sets.where(F.pmod(F.xxhash64("doc", F.lit(3)), F.lit(1_000_003)) < int(1_000_003 * share))
+    got = sample.select(F.explode("keys").alias("key")).groupBy("key").count().where(F.col("count") >= SAMPLE_HITS)
     return sorted(r.key for r in got.collect())
 
 
+def key_table(sets: DataFrame, hot: list[int]) -> DataFrame:
+    """(key, doc, base): index keys; a frequent one is salted by its set and names what it was as base.
+
+    Plain keys are even, and only salted ones are odd.
+    """
+    rows = sets.select(F.explode("keys").alias("key"), "doc", "c1")
+    if not hot:
+        return rows.select("key", "doc", F.lit(None).cast("long").alias("base"))
+    names = sets.sparkSession.createDataFrame([(k,) for k in hot], "base long")
+    salted = F.xxhash64("base", F.pmod("c1", F.lit(SALTS))).bitwiseOR(F.lit(1))
+    return rows.join(F.broadcast(names), rows.key == names.base, "left").select(
+        F.when(F.col("base").isNull(), F.col("key")).otherwise(salted).alias("key"), "doc", "base"
+    )
+
+
 def bitmap_of(ids: DataFrame) -> bytes:
     """Fixed-size bitmap over hashes of (doc): what is not in it is not among the ids."""
     bit = F.pmod(F.xxhash64("doc"), F.lit(BITMAP_BITS))
@@ -394,30 +392,26 @@ def join_components(
     percent: int = PERCENT,
     block: int = BLOCK,
 ) -> tuple[DataFrame, DataFrame]:
-    """(sets, components): sets (doc, n, c1, c2) of each row, components (id, component) of linked documents."""
-    spark = docs.sparkSession
+    """(sets, components): sets (doc, n, ..) of each row, components (id, component) of linked documents."""
     docs = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    sets = materialize(set_table(docs, size), "join-sets")
+    sets = materialize(keyed_sets(docs, size, percent), "join-sets")
     # equal sets: linked to the smallest document of their class, which stands for them from here on
-    whole = sets.where("n > 0")
+    whole = sets.where("n > 0").select("doc", "n", "c1", "c2")
     firsts = whole.groupBy("c1", "c2", "n").agg(F.min("doc").alias("rep"))
     copies = whole.join(firsts, ["c1", "c2", "n"]).where("doc <> rep").select(F.col("rep").alias("a"), F.col("doc").alias("b"))
     copies = materialize(copies.distinct(), "join-copies")
     copied = copies.select("b").distinct()
 
-    hot = frequent_keys(docs, size, percent, sets.count())
-    keys = key_table(docs, size, percent, hot)
+    keys = key_table(sets, frequent_keys(sets))
     w = Window.partitionBy("key")
     groups = keys.withColumn("rep", F.min("doc").over(w)).withColumn("last", F.max("doc").over(w))
-    groups = groups.where("rep <> last or key % 2 <> 0")
-    groups = materialize(groups.select("key", "doc", "rep"), "join-groups")
+    groups = groups.where("rep <> last or base is not null")
+    groups = materialize(groups.select(F.coalesce("base", "key").alias("key"), "doc", "rep", "base"), "join-groups")
     stars = groups.where("doc <> rep").select(F.col("rep").alias("a"), F.col("doc").alias("b"))
-    if hot:  # salted groups of one key meet through their smallest documents
-        names = spark.createDataFrame(_salted_names(hot), "base long, key long")
-        groups = groups.join(F.broadcast(names), "key", "left").select(F.coalesce("base", "key").alias("key"), "doc", "rep", "base")
-        salts = groups.where("base is not null").groupBy("base", "rep").count()
-        base = salts.groupBy("base").agg(F.min("rep").alias("first"))
-        stars = stars.union(salts.join(base, "base").where("rep <> first").select(F.col("first").alias("a"), F.col("rep").alias("b")))
+    # salted groups of one key meet through their smallest documents
+    salts = groups.where("base is not null").groupBy("base", "rep").count()
+    base = salts.groupBy("base").agg(F.min("rep").alias("first"))
+    stars = stars.union(salts.join(base, "base").where("rep <> first").select(F.col("first").alias("a"), F.col("rep").alias("b")))
     stars = stars.distinct().join(copied, "b", "left_anti").select("a", "b")
     found = materialize(verify(docs, materialize(stars, "join-stars"), size, percent), "join-links")
     labels = connected_components(None, found)
@@ -454,12 +448,6 @@ def join_components(
     return sets, connected_components(None, found.union(copies))
 
 
-def _salted_names(hot: list[int]) -> list[tuple[int, int]]:
-    k = np.array(hot, np.int64).view(np.uint64)
-    every = np.ones(len(k), bool)
-    return [(b, s) for salt in range(SALTS) for b, s in zip(hot, salted(k, every, salt).view(np.int64).tolist())]
-
-
 def digest(docs: DataFrame) -> DataFrame:
     """Contract rows: doc_id, n_shingles, component_id."""
     sets, components = join_components(docs.select("doc_id", "text"))

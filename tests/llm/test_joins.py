@@ -69,11 +69,11 @@ def test_ngram_join_against_brute_force(spark, size, percent, block):
 
 
 def test_ngram_join_with_salted_keys(spark, monkeypatch):
-    monkeypatch.setattr(ngram_join, "SAMPLE_HITS", 1)
     rows = documents()
     df = spark.createDataFrame(rows, "doc_id long, text string")
     plain = {r.doc_id: r.component_id for r in ngram_join.digest(df).collect()}
-    monkeypatch.setattr(ngram_join, "frequent_keys", lambda docs, size, percent, n: [r.key for r in ngram_join.key_table(docs, size, percent, []).groupBy("key").count().where("count > 3").collect()])
+    few = "select key from (select explode(keys) as key from {s}) group by key having count(*) > 3"
+    monkeypatch.setattr(ngram_join, "frequent_keys", lambda s: [r.key for r in spark.sql(few, s=s).collect()])
     assert {r.doc_id: r.component_id for r in ngram_join.digest(df).collect()} == plain
 
 
