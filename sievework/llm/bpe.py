@@ -85,12 +85,39 @@ class Lookup:
         return out.reshape(shape)
 
 
-class Codec:
-    """Encoder and decoder of one vocabulary file (JSON text with vocab, merges and added tokens)."""
+class Decoder:
+    """Texts of ids of one vocabulary file; no more than the bytes of each token is held."""
+
+    def __init__(self, spec: str):
+        spec = json.loads(spec)
+        names = byte_names()
+        found = {i: bytes(names[c] for c in s) for s, i in spec["model"]["vocab"].items()}
+        found |= {t["id"]: t["content"].encode() for t in spec.get("added_tokens", [])}
+        self.size = 1 + max(found)
+        text = [found.get(i, b"") for i in range(self.size)]
+        self.token_len = np.array([len(b) for b in text], np.int64)
+        self.token_at = np.concatenate(([0], np.cumsum(self.token_len)[:-1]))
+        self.token_bytes = np.frombuffer(b"".join(text), np.uint8)
+
+    def decode_batch(self, ids: list[np.ndarray]) -> list[str]:
+        cut = np.cumsum([len(x) for x in ids])
+        flat = np.concatenate(ids).astype(np.int64) if ids else np.zeros(0, np.int64)
+        known = flat < self.size
+        n = np.where(known, self.token_len[np.where(known, flat, 0)], 0)
+        at = self.token_at[np.where(known, flat, 0)]
+        ends = np.concatenate(([0], np.cumsum(n)))
+        out = self.token_bytes[np.repeat(at - ends[:-1], n) + np.arange(ends[-1])].tobytes()
+        stops = ends[cut].tolist()
+        return [out[a:b].decode("utf-8", "replace") for a, b in zip([0, *stops[:-1]], stops)]
+
+
+class Codec(Decoder):
+    """Encoder of one vocabulary file (JSON text with vocab, merges and added tokens)."""
 
     def __init__(self, spec: str):
         import regex
 
+        super().__init__(spec)
         spec = json.loads(spec)
         names = byte_names()
         model = spec["model"]
@@ -103,8 +130,7 @@ class Codec:
             if self.special
             else None
         )
-        size = 1 + max([*self.ids.values(), *self.special.values()])
-        self.size = size
+        size = self.size
         self.birth = np.full(size, -1, np.int64)
         self.left, self.right = np.zeros(size, np.int64), np.zeros(size, np.int64)
         self.pairs: dict[tuple[int, int], int] = {}
@@ -134,15 +160,6 @@ class Codec:
         self.trie = Lookup(list(nodes), list(nodes.values()))
         self.trie_token = np.full(len(nodes) + 1, -1, np.int64)
         self.trie_token[list(ends)] = list(ends.values())
-        # decoding tables
-        text = [b""] * size
-        for b, i in self.ids.items():
-            text[i] = b
-        for s, i in self.special.items():
-            text[i] = s.encode()
-        self.token_len = np.array([len(b) for b in text], np.int64)
-        self.token_at = np.concatenate(([0], np.cumsum(self.token_len)[:-1]))
-        self.token_bytes = np.frombuffer(b"".join(text), np.uint8)
         self.reset()
 
     def reset(self) -> None:
@@ -398,27 +415,16 @@ class Codec:
         flat[ends[:-1][tokens]] = -1 - index[tokens]
         return np.split(flat, ends[cut][:-1]) if cut else []
 
-    def decode_batch(self, ids: list[np.ndarray]) -> list[str]:
-        cut = np.cumsum([len(x) for x in ids])
-        flat = np.concatenate(ids).astype(np.int64) if ids else np.zeros(0, np.int64)
-        known = flat < self.size
-        n = np.where(known, self.token_len[np.where(known, flat, 0)], 0)
-        at = self.token_at[np.where(known, flat, 0)]
-        ends = np.concatenate(([0], np.cumsum(n)))
-        out = self.token_bytes[np.repeat(at - ends[:-1], n) + np.arange(ends[-1])].tobytes()
-        stops = ends[cut].tolist()
-        return [out[a:b].decode("utf-8", "replace") for a, b in zip([0, *stops[:-1]], stops)]
 
+_CODECS: dict[tuple[type, int], Decoder] = {}
 
-_CODECS: dict[int, Codec] = {}
 
-
-def codec(spec: str) -> Codec:
-    """One codec per Python worker and vocabulary."""
-    key = hash(spec)
+def codec(spec: str, kind: type[Decoder] | None = None) -> Codec | Decoder:
+    """One codec (or decoder) per Python worker and vocabulary."""
+    key = kind or Codec, hash(spec)
     if key not in _CODECS:
         _CODECS.clear()
-        _CODECS[key] = Codec(spec)
+        _CODECS[key] = key[0](spec)
     return _CODECS[key]
 
 
@@ -468,7 +474,7 @@ def decode(
     schema = T.StructType([*df.schema.fields[:-1], T.StructField(out, T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(spec.value)
+        c = codec(spec.value, Decoder)
         for batch in batches:
             for i in range(0, batch.num_rows, SLICE):
                 part = batch.slice(i, SLICE)
