@@ -26,13 +26,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import free_name
+from .words import claim
 
 #: Fixed value: how byte-level vocabularies split text before merging.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: A space at either end or beside other white space: chunks are then put together before splitting.
 _LOOSE_SPACE = re.compile(r" \s|\s |^ | \Z")
 SLICE = 256
-CACHED_CHUNKS = 400_000
+CACHED_CHUNKS = 250_000
 #: Longer chunks are coded each time and not kept.
 CACHED_CHARS = 64
 #: Words of more bytes are merged exactly at once.
@@ -421,6 +422,7 @@ _CODECS: dict[tuple[type, int], Decoder] = {}
 
 def codec(spec: str, kind: type[Decoder] | None = None) -> Codec | Decoder:
     """One codec (or decoder) per Python worker and vocabulary."""
+    claim("bpe", _CODECS.clear)
     key = kind or Codec, hash(spec)
     if key not in _CODECS:
         _CODECS.clear()

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import free_name
-from .words import WORD_TABLE, words
+from .words import WORD_TABLE, claim, words
 
 WINDOW = 10
 MAX_PATTERN_BYTES = 64 << 20
@@ -52,6 +52,7 @@ _AUTOMATA: dict[str, object] = {}
 
 def automaton(key: str, patterns: list[tuple[bytes, list[str]]]):
     """Built once per Python worker; the two newest slices stay."""
+    claim("decontaminate", _AUTOMATA.clear)
     if key not in _AUTOMATA:
         import ahocorasick
 

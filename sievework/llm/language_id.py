@@ -34,7 +34,7 @@ SWITCH_PENALTY = 12.0
 UNKNOWN = "und"
 SLICE = 512
 CHUNK = 128
-CACHED_WORDS = 400_000
+CACHED_WORDS = 200_000
 #: A language keeps a script that holds this share of its training letters.
 SCRIPT_SHARE = 0.01
 

@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import connected_components, materialize
+from .words import claim
 
 SHINGLE = 4
 PERCENT = 85
@@ -41,7 +42,7 @@ SALTS = 32
 SAMPLE_ROWS = 4000
 SAMPLE_HITS = 12
 BITMAP_BITS = 1 << 24
-CACHED_WORDS = 400_000
+CACHED_WORDS = 200_000
 #: Chance that a random set shares a given shingle, and sets to collide with: the cost model's constants.
 SHARED, OTHERS = 0.02, 10_000
 
@@ -193,6 +194,7 @@ def keyed_sets(docs: DataFrame, size: int, percent: int) -> DataFrame:
     """(doc, n, c1, c2, keys): size of the shingle set, its 128-bit hash and its index keys, for each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("ngram_join", _WORDS.clear)
         for b in batches:
             n, c, out = [], [], []
             for t in b.column(1).to_pylist():
@@ -283,6 +285,7 @@ def verify(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFr
     full = full.join(texts.select(F.col("doc").alias("a"), F.col("text").alias("ta")), "a")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("ngram_join", _WORDS.clear)
         last, own = None, None
         for b in batches:
             keep = []
@@ -368,6 +371,7 @@ def vector_table(docs: DataFrame, ids: DataFrame, size: int, percent: int) -> Da
     """(doc, n, own, below): the segment vectors of the given documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("ngram_join", _WORDS.clear)
         for b in batches:
             sets = [shingles(t, size) for t in b.column(1).to_pylist()]
             vecs = [vectors(s, percent) if len(s) else [b"", b""] for s in sets]

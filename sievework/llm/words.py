@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 #: Byte table: A-Z lower-cased; 0x00-0x2F, 0x3A-0x60 (after lower-casing) and 0x7B-0x7F become spaces.
 WORD_TABLE = bytes(
     b + 32 if 0x41 <= b <= 0x5A else 0x20 if b <= 0x2F or 0x3A <= b <= 0x60 or 0x7B <= b <= 0x7F else b
@@ -11,3 +13,13 @@ WORD_TABLE = bytes(
 
 def words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").translate(WORD_TABLE).split()
+
+
+_HELD: dict[str, Callable[[], object]] = {}
+
+
+def claim(owner: str, clear: Callable[[], object]) -> None:
+    """Give the caches of this Python worker to one operator: those of the operators before it are emptied."""
+    for name in [n for n in _HELD if n != owner]:
+        _HELD.pop(name)()
+    _HELD[owner] = clear
