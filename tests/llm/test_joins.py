@@ -139,6 +139,49 @@ def test_embeddings_against_brute_force(spark):
     assert all(r.kept == (r.vec_id == r.component_id) for r in got.values()) and len(got) == len(rows)
 
 
+def crowded(n, dim=64, planted=150):
+    """n vectors of one label, a fifth of them in a dense cone below the threshold, and pairs just above it."""
+    r = np.random.default_rng(12)
+    x = r.normal(size=(n, dim))
+    x[: n // 5] = r.normal(size=dim) * 1.6 + r.normal(size=(n // 5, dim))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    for k in range(planted):
+        side = r.normal(size=dim)
+        side -= (side @ x[k]) * x[k]
+        x[n - 1 - k] = 0.931 * x[k] + np.sqrt(1 - 0.931**2) * side / np.linalg.norm(side)
+    return x
+
+
+@pytest.mark.parametrize("more", [{}, {"exact": 0}, {"exact": 0, "pairs": 0}])
+def test_embeddings_of_a_crowded_label(spark, more):
+    x = crowded(4000)
+    df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    a, b = np.nonzero(np.triu(x @ x.T >= 0.93, 1))
+    got = {r.vec_id: r for r in embedding_dedup.near_duplicates(df, window=8, **more).collect()}
+    comp = union(zip(a.tolist(), b.tolist()), range(len(x)))
+    if "pairs" not in more:
+        assert {i: r.component_id for i, r in got.items()} == comp
+        assert sum(r.n_links for r in got.values()) == 2 * len(a)
+    assert np.mean([got[i].component_id == got[j].component_id for i, j in zip(a, b)]) >= 0.97
+
+
+def test_passes_follow_size_and_density():
+    r = np.random.default_rng(2)
+    x = r.normal(size=(1000, 64))
+    few, many = (embedding_dedup.needed_passes(x, n, 48, 64, 0.93, 0.99) for n in (10_000, 10_000_000))
+    dense = embedding_dedup.needed_passes(x + 1.5 * r.normal(size=64), 10_000, 48, 64, 0.93, 0.99)
+    assert few < dense and 2 * few < many
+
+
+def test_windows_reach_over_partition_edges(spark):
+    angles = [(0, "a", 2, k, k, [float(np.cos(0.1 * k)), float(np.sin(0.1 * k))]) for k in range(60)]
+    rows = spark.createDataFrame(angles, embedding_dedup.KEYED)
+    for parts in (1, 7, 40):
+        ordered = rows.repartitionByRange(parts, "key").sortWithinPartitions("key")
+        links = embedding_dedup.all_window_links(ordered, 3, 0.93).collect()
+        assert len(union([(r.a, r.b) for r in links], range(60))) == 60 and set(union([(r.a, r.b) for r in links], range(60)).values()) == {0}
+
+
 def test_embeddings_empty(spark):
     assert embedding_dedup.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
