@@ -1,6 +1,7 @@
 """Secret scans whose false positives a random forest removes.
 
-Candidates are quoted values of assignments and long mixed tokens. Each is described by its length, its
+Candidates are quoted values of assignments, unquoted values after a credential's name, and long mixed
+tokens wherever they stand, inside quoted values too. Each is described by its length, its
 character classes and the transitions between them, the log probability of its letter pairs, the share of
 it that dictionary words cover, its path and the words beside it; a random forest trained from labelled
 findings gives the probability that it is a secret. Secrets never leave the operator: a finding holds
@@ -33,7 +34,11 @@ from .bpe import byte_names, default_vocabulary
 
 CANDIDATE = re.compile(r"[A-Za-z0-9+/=_\-.]*[0-9+/=_\-][A-Za-z0-9+/=_\-.]*")
 QUOTED = re.compile(r"""[\w.\-]{2,40}["']?\s{0,3}[:=]{1,2}\s{0,3}["']([^"'\n]{6,})["']""")
-LONG = 16
+NAMED = re.compile(
+    r"""(?i:token|secret|passw|pwd|key|auth|credential|private|access|bearer|api)[\w.\-]{0,40}["']?[ \t]{0,20}[:=]{1,2}[ \t]{0,20}"""
+    r"""(?:(?i:bearer|basic|token)[ \t]{1,3})?([^\s"']{6,})"""
+)
+LONG, SHORT = 16, 6
 NEAR = 40
 TREES, DEPTH, SEED = 60, 8, 11
 THRESHOLD = 0.5
@@ -112,19 +117,20 @@ def features(candidate: str, before: str, after: str, path: str, words: frozense
 
 
 def candidates(text: str) -> list[tuple[int, int]]:
-    """(start, end) of the candidates of a whole text, in order, without overlaps."""
-    found = [m.span(1) for m in QUOTED.finditer(text)] if "=" in text or ":" in text else []
-    taken = sorted(found)
-    k = 0
+    """(start, end) of the candidates of a whole text, in order; one may lie inside another."""
+    found = []
+    if "=" in text or ":" in text:
+        found += [m.span(1) for m in QUOTED.finditer(text)]
+        for m in NAMED.finditer(text):
+            a = m.start(1)
+            # the value up to white space, and up to what may end it before
+            for s in (m[1].rstrip(".,;:)]}"), re.split("[&,;]", m[1])[0]):
+                if len(s) >= SHORT:
+                    found.append((a, a + len(s)))
     for m in CANDIDATE.finditer(text):
         s = m[0].rstrip(".")
-        if len(s) < LONG or not any(c.isdigit() for c in s) or not any(c.isalpha() for c in s):
-            continue
-        a, b = m.start(), m.start() + len(s)
-        while k < len(taken) and taken[k][1] <= a:
-            k += 1
-        if not (k < len(taken) and taken[k][0] < b):
-            found.append((a, b))
+        if len(s) >= LONG and any(c.isdigit() for c in s) and any(c.isalpha() for c in s):
+            found.append((m.start(), m.start() + len(s)))
     return sorted(set(found))
 
 

@@ -320,6 +320,22 @@ def test_secret_scan_finds_and_clears(spark):
     assert secret_scan.digest(spark, docs.limit(0)).count() == 0
 
 
+def test_secret_candidates_in_quotes_and_after_names():
+    key, letters = "ghp_" + "aB3dE6gH9" * 4, "QwErTyUiOpAsDfGhJkLzXcVbNmQwErTy"
+    for text, value in [
+        (f'message = "deploy with key {key} then restart"', key),
+        (f'{{"log": "sent {key}"}}', key),
+        ("password: Tr0ub4dor-3", "Tr0ub4dor-3"),
+        ("db_password=hunter2hunter\n", "hunter2hunter"),
+        (f"AWS_SECRET={letters}", letters),
+        ("?password=hunter2hunter&user=x", "hunter2hunter"),
+        (f"Authorization: Bearer {letters}", letters),
+        ('note = "the password: Tr0ub4dor-3, then"', "Tr0ub4dor-3"),
+    ]:
+        assert value in [text[a:b] for a, b in secret_scan.candidates(text)], text
+    assert secret_scan.candidates("password: short and plain words") == []
+
+
 def test_secret_forest_held_out_accuracy(spark):
     from pyspark.ml.functions import vector_to_array
 
