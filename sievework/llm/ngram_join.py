@@ -402,9 +402,12 @@ def join_components(
     # equal sets: linked to the smallest document of their class, which stands for them from here on
     whole = sets.where("n > 0").select("doc", "n", "c1", "c2")
     firsts = whole.groupBy("c1", "c2", "n").agg(F.min("doc").alias("rep"))
-    copies = whole.join(firsts, ["c1", "c2", "n"]).where("doc <> rep").select(F.col("rep").alias("a"), F.col("doc").alias("b"))
+    placed = whole.join(firsts, ["c1", "c2", "n"]).select("doc", "rep")
+    copies = placed.where("doc <> rep").select(F.col("rep").alias("a"), F.col("doc").alias("b"))
     copies = materialize(copies.distinct(), "join-copies")
-    copied = copies.select("b").distinct()
+    # a repeated id stays in the search while one of its texts stands for a class
+    copied = copies.select("b").distinct().join(placed.where("doc = rep"), F.col("b") == F.col("doc"), "left_anti")
+    copied = materialize(copied, "join-copied")
 
     keys = key_table(sets, frequent_keys(sets))
     w = Window.partitionBy("key")

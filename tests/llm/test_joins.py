@@ -68,6 +68,13 @@ def test_ngram_join_against_brute_force(spark, size, percent, block):
     assert {r.doc: r.n for r in table.collect()} == {i: len(s) for i, s in sets.items()}
 
 
+def test_ngram_join_keeps_the_other_texts_of_a_copy(spark):
+    a, b = (" ".join(f"{x}{k}" for k in range(60)) for x in "ab")
+    rows = [(5, a), (5, b), (1, a), (3, b + " more")]
+    got = ngram_join.digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in got} == {1: 1, 3: 1, 5: 1}
+
+
 def test_ngram_join_with_salted_keys(spark, monkeypatch):
     rows = documents()
     df = spark.createDataFrame(rows, "doc_id long, text string")
