@@ -7,8 +7,15 @@ single spaces are cached, and documents are assembled by gathers over the cache.
 
 Merges of a trained vocabulary rank above those that made their parts; the pair check relies on that.
 
-Row rules: null text encodes as the empty text. Ids outside the vocabulary decode to nothing; null ids
-decode to the empty text. Repeated rows are coded one by one; extra columns pass through.
+The tables are built once on the driver, from the vocabulary file, and broadcast as arrays; a worker holds
+no more of a vocabulary than them. Words of more than LONG bytes are cut by longest matches found at all
+their positions at once, and only the surroundings of failing pairs are merged anew, wider each time, until
+every pair of the word passes.
+
+Row rules: null text encodes as the empty text, which has no token. Ids outside the vocabulary decode to
+nothing; null ids decode to the empty text. Texts and words may have any length. Pairs of equal rank merge from
+the left. Repeated rows are coded one by one; empty tables give empty results. Extra columns pass through; one
+that has the name of the output is replaced, as by withColumn.
 """
 
 from __future__ import annotations
@@ -25,19 +32,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import free_name
-from .words import claim
+from .common import free_name, others, small_batches
+from .words import slices, tidy
 
 #: Fixed value: how byte-level vocabularies split text before merging.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: A space at either end or beside other white space: chunks are then put together before splitting.
 _LOOSE_SPACE = re.compile(r" \s|\s |^ | \Z")
-SLICE = 256
-CACHED_CHUNKS = 250_000
-#: Longer chunks are coded each time and not kept.
+#: Cached chunks, and tokens in them, after which those that did not come again go.
+CACHED_CHUNKS = 100_000
+CACHED_TOKENS = 400_000
+#: Longer chunks are not kept when the cache is cut down.
 CACHED_CHARS = 64
-#: Words of more bytes are merged exactly at once.
+#: Words of more bytes are cut and mended one by one instead of side by side.
 LONG = 256
+#: Tokens on each side of a failing pair that are merged anew first.
+REACH = 16
 NEVER = np.iinfo(np.int64).max
 
 
@@ -53,10 +63,11 @@ class Lookup:
 
     def __init__(self, keys: list[int], values: list[int]):
         keys, values = np.array(keys, np.int64), np.array(values, np.int64)
-        bits = max(4, int(4 * len(keys)).bit_length())
+        bits = max(4, int(2 * len(keys)).bit_length())
         self.shift = np.uint64(64 - bits)
         self.mask = (1 << bits) - 1
-        self.keys, self.values = np.full(1 << bits, -1, np.int64), np.full(1 << bits, -1, np.int64)
+        self.keys = np.full(1 << bits, -1, np.int32 if max(keys, default=0) < 1 << 31 else np.int64)
+        self.values = np.full(1 << bits, -1, np.int32)
         at = self._slot(keys)
         left = np.arange(len(keys))
         while len(left):
@@ -75,7 +86,7 @@ class Lookup:
         keys = keys.ravel()
         at = self._slot(keys)
         found = self.keys[at]
-        out = np.where(found == keys, self.values[at], -1)
+        out = np.where(found == keys, self.values[at], -1).astype(np.int64)
         left = np.flatnonzero((found != keys) & (found >= 0))
         while len(left):
             at[left] = (at[left] + 1) & self.mask
@@ -86,19 +97,25 @@ class Lookup:
         return out.reshape(shape)
 
 
+def decoder_tables(spec: str) -> dict:
+    """The bytes of each token of a vocabulary file (JSON text with vocab, merges and added tokens)."""
+    spec = json.loads(spec)
+    names = byte_names()
+    found = {i: bytes(names[c] for c in s) for s, i in spec["model"]["vocab"].items()}
+    found |= {t["id"]: t["content"].encode() for t in spec.get("added_tokens", [])}
+    text = [found.get(i, b"") for i in range(1 + max(found))]
+    return {"len": np.array([len(b) for b in text], np.int16), "bytes": b"".join(text)}
+
+
 class Decoder:
-    """Texts of ids of one vocabulary file; no more than the bytes of each token is held."""
-
-    def __init__(self, spec: str):
-        spec = json.loads(spec)
-        names = byte_names()
-        found = {i: bytes(names[c] for c in s) for s, i in spec["model"]["vocab"].items()}
-        found |= {t["id"]: t["content"].encode() for t in spec.get("added_tokens", [])}
-        self.size = 1 + max(found)
-        text = [found.get(i, b"") for i in range(self.size)]
-        self.token_len = np.array([len(b) for b in text], np.int64)
+    """Texts of ids of one vocabulary file, or of its decoder_tables; no more than the bytes of each token is held."""
+
+    def __init__(self, spec: str | dict):
+        tables = decoder_tables(spec) if isinstance(spec, str) else spec
+        self.token_len = tables["len"].astype(np.int64)
+        self.size = len(self.token_len)
         self.token_at = np.concatenate(([0], np.cumsum(self.token_len)[:-1]))
-        self.token_bytes = np.frombuffer(b"".join(text), np.uint8)
+        self.token_bytes = np.frombuffer(tables["bytes"], np.uint8)
 
     def decode_batch(self, ids: list[np.ndarray]) -> list[str]:
         cut = np.cumsum([len(x) for x in ids])
@@ -112,55 +129,96 @@ class Decoder:
         return [out[a:b].decode("utf-8", "replace") for a, b in zip([0, *stops[:-1]], stops)]
 
 
+def pair_rank(by_pair: Lookup, size: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Rank of the merge of each pair, NEVER where there is none."""
+    r = by_pair.get(a * size + b)
+    return np.where(r < 0, NEVER, r)
+
+
+def pairs_apart(t: dict, size: int, a: np.ndarray, b: np.ndarray, until: np.ndarray | int = NEVER) -> np.ndarray:
+    """True where no merge ranked before ``until`` joins tokens a and b across their boundary; t holds the merges.
+
+    Walks back in time: the piece that was made last, of the one left and the one right of the
+    boundary, falls apart into its parts, and each pair of pieces that once met must not merge
+    before one of them is taken up by its own side (equal ranks go to the left one).
+    """
+    a, b = a.astype(np.int64), b.astype(np.int64)
+    ok = np.ones(len(a), bool)
+    live = np.arange(len(a))
+    left_until = np.broadcast_to(np.asarray(until, np.int64), a.shape).copy()
+    right_until = np.where(left_until == NEVER, NEVER, left_until - 1)
+    while len(live):
+        rank = pair_rank(t["by_pair"], size, a, b)
+        bad = (rank < left_until) & (rank <= right_until) & (rank != NEVER)
+        ok[live[bad]] = False
+        born_a, born_b = t["birth"][a], t["birth"][b]
+        go = ~bad & ((born_a >= 0) | (born_b >= 0))
+        first = born_a > born_b
+        left_until = np.where(first, born_a, left_until)[go]
+        right_until = np.where(first, right_until, born_b)[go]
+        a, b = np.where(first, t["right"][a], a)[go], np.where(first, b, t["left"][b])[go]
+        live = live[go]
+    return ok
+
+
+def encoder_tables(spec: str) -> dict:
+    """decoder_tables, and the merges and the trie of self-encoding tokens of a vocabulary file, as arrays."""
+    out = decoder_tables(spec)
+    size = len(out["len"])
+    spec = json.loads(spec)
+    names = byte_names()
+    model = spec["model"]
+    as_bytes = lambda s: bytes(names[c] for c in s)
+    ids = {as_bytes(s): i for s, i in model["vocab"].items()}
+    out["special"] = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
+    birth, left_of, right_of = np.full(size, -1, np.int64), np.zeros(size, np.int64), np.zeros(size, np.int64)
+    pairs: dict[int, int] = {}
+    made = np.zeros(len(model["merges"]), np.int64)
+    for rank, pair in enumerate(model["merges"]):
+        a, b = (as_bytes(s) for s in (pair if isinstance(pair, list) else pair.split(" ")))
+        left, right, made[rank] = ids[a], ids[b], ids[a + b]
+        pairs.setdefault(left * size + right, rank)
+        if birth[made[rank]] < 0:
+            birth[made[rank]], left_of[made[rank]], right_of[made[rank]] = rank, left, right
+    out |= {"birth": birth, "left": left_of, "right": right_of, "made": made, "by_pair": Lookup(list(pairs), list(pairs.values()))}
+    out["byte_id"] = np.array([ids[bytes([b])] for b in range(256)], np.int64)
+    formed = np.flatnonzero(birth >= 0)
+    apart = pairs_apart(out, size, left_of[formed], right_of[formed], birth[formed])
+    whole = np.ones(size, bool)
+    for t, ok in sorted(zip(formed.tolist(), apart.tolist()), key=lambda x: birth[x[0]]):
+        whole[t] = ok and whole[left_of[t]] and whole[right_of[t]]
+    nodes: dict[int, int] = {}
+    ends: dict[int, int] = {}
+    for word, t in ids.items():
+        if whole[t]:
+            node = 0
+            for b in word:
+                node = nodes.setdefault(node << 8 | b, len(nodes) + 1)
+            ends[node] = t
+    out["trie"] = Lookup(list(nodes), list(nodes.values()))
+    out["trie_token"] = np.full(len(nodes) + 1, -1, np.int32)
+    out["trie_token"][list(ends)] = list(ends.values())
+    return out
+
+
 class Codec(Decoder):
-    """Encoder of one vocabulary file (JSON text with vocab, merges and added tokens)."""
+    """Encoder of one vocabulary file, or of its encoder_tables."""
 
-    def __init__(self, spec: str):
+    def __init__(self, spec: str | dict):
         import regex
 
-        super().__init__(spec)
-        spec = json.loads(spec)
-        names = byte_names()
-        model = spec["model"]
-        as_bytes = lambda s: bytes(names[c] for c in s)
-        self.ids = {as_bytes(s): i for s, i in model["vocab"].items()}
-        self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
+        tables = encoder_tables(spec) if isinstance(spec, str) else spec
+        super().__init__(tables)
+        self.tables, self.special = tables, tables["special"]
         self.split = regex.compile(SPLIT)
         self.special_split = (
             regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")")
             if self.special
             else None
         )
-        size = self.size
-        self.birth = np.full(size, -1, np.int64)
-        self.left, self.right = np.zeros(size, np.int64), np.zeros(size, np.int64)
-        self.pairs: dict[tuple[int, int], int] = {}
-        self.made = np.zeros(len(model["merges"]), np.int64)
-        for rank, pair in enumerate(model["merges"]):
-            a, b = (as_bytes(s) for s in (pair if isinstance(pair, list) else pair.split(" ")))
-            left, right, made = self.ids[a], self.ids[b], self.ids[a + b]
-            self.pairs.setdefault((left, right), rank)
-            self.made[rank] = made
-            if self.birth[made] < 0:
-                self.birth[made], self.left[made], self.right[made] = rank, left, right
-        self.by_pair = Lookup([a * size + b for a, b in self.pairs], list(self.pairs.values()))
-        self.byte_id = np.array([self.ids[bytes([b])] for b in range(256)], np.int64)
-        made = np.flatnonzero(self.birth >= 0)
-        apart = self.apart(self.left[made], self.right[made], self.birth[made])
-        whole = np.ones(size, bool)
-        for t, ok in sorted(zip(made.tolist(), apart.tolist()), key=lambda x: self.birth[x[0]]):
-            whole[t] = ok and whole[self.left[t]] and whole[self.right[t]]
-        self.whole = {b: i for b, i in self.ids.items() if whole[i]}
-        nodes: dict[int, int] = {}
-        ends: dict[int, int] = {}
-        for word, t in self.whole.items():
-            node = 0
-            for b in word:
-                node = nodes.setdefault(node << 8 | b, len(nodes) + 1)
-            ends[node] = t
-        self.trie = Lookup(list(nodes), list(nodes.values()))
-        self.trie_token = np.full(len(nodes) + 1, -1, np.int64)
-        self.trie_token[list(ends)] = list(ends.values())
+        self.made, self.byte_id = tables["made"], tables["byte_id"]
+        self.trie, self.trie_token = tables["trie"], tables["trie_token"]
+        self._pairs: dict[int, int] | None = None
         self.reset()
 
     def reset(self) -> None:
@@ -171,36 +229,21 @@ class Codec(Decoder):
         self.used = self.kept = 0
 
     def rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Rank of the merge of each pair, NEVER where there is none."""
-        r = self.by_pair.get(a * self.size + b)
-        return np.where(r < 0, NEVER, r)
+        return pair_rank(self.tables["by_pair"], self.size, a, b)
+
+    @property
+    def pairs(self) -> dict[int, int]:
+        """Rank of each pair, left * size + right, for merging long words."""
+        if self._pairs is None:
+            held = self.tables["by_pair"]
+            used = held.keys >= 0
+            self._pairs = dict(zip(held.keys[used].tolist(), held.values[used].tolist()))
+        return self._pairs
 
     # -- speculation -----------------------------------------------------------------------------
 
     def apart(self, a: np.ndarray, b: np.ndarray, until: np.ndarray | int = NEVER) -> np.ndarray:
-        """True where no merge ranked before ``until`` joins tokens a and b across their boundary.
-
-        Walks back in time: the piece that was made last, of the one left and the one right of the
-        boundary, falls apart into its parts, and each pair of pieces that once met must not merge
-        before one of them is taken up by its own side (equal ranks go to the left one).
-        """
-        a, b = a.astype(np.int64), b.astype(np.int64)
-        ok = np.ones(len(a), bool)
-        live = np.arange(len(a))
-        left_until = np.broadcast_to(np.asarray(until, np.int64), a.shape).copy()
-        right_until = np.where(left_until == NEVER, NEVER, left_until - 1)
-        while len(live):
-            rank = self.rank(a, b)
-            bad = (rank < left_until) & (rank <= right_until) & (rank != NEVER)
-            ok[live[bad]] = False
-            born_a, born_b = self.birth[a], self.birth[b]
-            go = ~bad & ((born_a >= 0) | (born_b >= 0))
-            first = born_a > born_b
-            left_until = np.where(first, born_a, left_until)[go]
-            right_until = np.where(first, right_until, born_b)[go]
-            a, b = np.where(first, self.right[a], a)[go], np.where(first, b, self.left[b])[go]
-            live = live[go]
-        return ok
+        return pairs_apart(self.tables, self.size, a, b, until)
 
     def greedy(self, raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Longest-match cuts of all words at once: (word, token) in order. raw holds the words' bytes."""
@@ -222,10 +265,48 @@ class Codec(Decoder):
             tokens.append(best)
             rest = upto < stop
             live, at = live[rest], upto[rest]
+        if not words:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
         words, tokens = np.concatenate(words), np.concatenate(tokens)
         order = np.argsort(words, kind="stable")
         return words[order], tokens[order]
 
+    def longest_cuts(self, word: bytes) -> np.ndarray:
+        """Longest-match cut of one long word: matches at all positions at once, then the way from the first."""
+        raw = np.frombuffer(word, np.uint8)
+        best, size = self.byte_id[raw], np.ones(len(raw), np.int32)
+        go, node, depth = np.arange(len(raw)), np.zeros(len(raw), np.int64), 0
+        while len(go):
+            node = self.trie.get((node << 8) | raw[go + depth])
+            go, node, depth = go[node >= 0], node[node >= 0], depth + 1
+            token = self.trie_token[node]
+            hit = token >= 0
+            best[go[hit]], size[go[hit]] = token[hit], depth
+            more = go + depth < len(raw)
+            go, node = go[more], node[more]
+        at, way, size = 0, [], size.tolist()
+        while at < len(size):
+            way.append(at)
+            at += size[at]
+        return best[way]
+
+    def mended(self, word: bytes) -> np.ndarray:
+        """Exact encoding of one long word: its cut, with the surroundings of failing pairs merged until all pass."""
+        tokens, reach = self.longest_cuts(word), REACH
+        while len(bad := np.flatnonzero(~self.apart(tokens[:-1], tokens[1:]))):
+            first, last = np.maximum(bad - reach, 0), np.minimum(bad + 2 + reach, len(tokens))
+            new = np.concatenate(([True], first[1:] > np.maximum.accumulate(last)[:-1]))
+            first, last = first[new], np.maximum.reduceat(last, np.flatnonzero(new))
+            if last[0] - first[0] == len(tokens):
+                return np.array(self.merged(word), np.int64)
+            ends = np.concatenate(([0], np.cumsum(self.token_len[tokens])))
+            parts, at = [], 0
+            for a, b in zip(first.tolist(), last.tolist()):
+                parts += [tokens[at:a], np.array(self.merged(word[ends[a] : ends[b]]), np.int64)]
+                at = b
+            tokens, reach = np.concatenate([*parts, tokens[at:]]), 4 * reach
+        return tokens
+
     def merged_all(self, raw: list[bytes]) -> list[list[int]]:
         """Exact merging of words side by side: in each, the lowest-ranked pair first, the leftmost of equals."""
         out: list = [None] * len(raw)
@@ -268,10 +349,10 @@ class Codec(Decoder):
 
     def merged(self, word: bytes) -> list[int]:
         """Exact merging of one long word, by a heap over a linked list."""
-        part = [int(self.byte_id[b]) for b in word]
+        part = self.byte_id[np.frombuffer(word, np.uint8)].tolist()
         after, before = [*range(1, len(part)), -1], [*range(-1, len(part) - 1)]
-        rank_of = self.pairs.get
-        heap = [(r, i, a, b) for i, (a, b) in enumerate(zip(part, part[1:])) if (r := rank_of((a, b))) is not None]
+        rank_of, size = self.pairs.get, self.size
+        heap = [(r, i, a, b) for i, (a, b) in enumerate(zip(part, part[1:])) if (r := rank_of(a * size + b)) is not None]
         heapq.heapify(heap)
         while heap:
             rank, i, x, y = heapq.heappop(heap)
@@ -282,7 +363,7 @@ class Codec(Decoder):
             if after[j] >= 0:
                 before[after[j]] = i
             for p in (before[i], i):
-                if p >= 0 and (q := after[p]) >= 0 and (r := rank_of((part[p], part[q]))) is not None:
+                if p >= 0 and (q := after[p]) >= 0 and (r := rank_of(part[p] * size + part[q])) is not None:
                     heapq.heappush(heap, (r, p, part[p], part[q]))
         return [t for t in part if t >= 0]
 
@@ -293,7 +374,6 @@ class Codec(Decoder):
         if not len(raw):
             return size, size
         end = np.cumsum(size)
-        # speculation pays for words; a long run of one character goes to the heap at once
         long = size > LONG
         some = np.flatnonzero(~long)
         owner, token = self.greedy(np.frombuffer(b"".join(raw), np.uint8), (end - size)[some], end[some])
@@ -302,7 +382,8 @@ class Codec(Decoder):
         failed = long.copy()
         failed[owner[inner[~self.apart(token[inner], token[inner + 1])]]] = True
         redo = np.flatnonzero(failed)
-        exact = self.merged_all([raw[i] for i in redo.tolist()])
+        short = iter(self.merged_all([raw[i] for i in redo[~long[redo]].tolist()]))
+        exact = [self.mended(raw[i]).tolist() if long[i] else next(short) for i in redo.tolist()]
         good = ~failed[owner]
         owner = np.concatenate((owner[good], np.repeat(redo, [len(x) for x in exact]).astype(np.int64)))
         token = np.concatenate((token[good], np.fromiter(itertools.chain.from_iterable(exact), np.int64)))
@@ -379,7 +460,7 @@ class Codec(Decoder):
 
     def encode_batch(self, texts: list[str], special: bool = True) -> list[np.ndarray]:
         """uint32 ids of each text. special: strings of special tokens in a text become those tokens."""
-        if self.kept > CACHED_CHUNKS or self.used > 16 * CACHED_CHUNKS:
+        if self.kept > CACHED_CHUNKS or self.used > CACHED_TOKENS:
             self._evict()
         rows: list[list[tuple[bool, list[str]]]] = []
         want: dict[tuple[bool, str], None] = {}
@@ -417,17 +498,19 @@ class Codec(Decoder):
         return np.split(flat, ends[cut][:-1]) if cut else []
 
 
-_CODECS: dict[tuple[type, int], Decoder] = {}
+_CODECS: dict[type, Codec | Decoder] = {}
+
+
+def forget() -> None:
+    _CODECS.clear()
 
 
-def codec(spec: str, kind: type[Decoder] | None = None) -> Codec | Decoder:
-    """One codec (or decoder) per Python worker and vocabulary."""
-    claim("bpe", _CODECS.clear)
-    key = kind or Codec, hash(spec)
-    if key not in _CODECS:
-        _CODECS.clear()
-        _CODECS[key] = key[0](spec)
-    return _CODECS[key]
+def codec(tables: dict, kind: type[Decoder] | None = None) -> Codec | Decoder:
+    """The codec (or decoder) that this Python worker holds while a task runs."""
+    kind = kind or Codec
+    if kind not in _CODECS:
+        _CODECS[kind] = kind(tables)
+    return _CODECS[kind]
 
 
 def read_spec(path: str) -> str:
@@ -446,21 +529,19 @@ def encode(
     docs: DataFrame, path: str | None = None, text: str = "text", out: str = "token_ids", keep: list[str] | None = None
 ) -> DataFrame:
     """docs (or its columns ``keep``) plus ``out``: ids as little-endian unsigned 32-bit integers, binary."""
-    keep = docs.columns if keep is None else keep
+    small_batches(docs.sparkSession)
+    keep = others(docs.columns if keep is None else keep, out)
     own = free_name(docs, "__sw_text")
     df = docs.select(*[F.col(f"`{c}`") for c in keep], F.coalesce(F.col(text), F.lit("")).alias(own))
-    spec = docs.sparkSession.sparkContext.broadcast(read_spec(path or default_vocabulary()))
+    tables = docs.sparkSession.sparkContext.broadcast(encoder_tables(read_spec(path or default_vocabulary())))
     schema = T.StructType([*df.schema.fields[:-1], T.StructField(out, T.BinaryType())])
 
+    @tidy(forget)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(spec.value)
-        for batch in batches:
-            for i in range(0, batch.num_rows, SLICE):
-                part = batch.slice(i, SLICE)
-                ids = [x.astype("<u4").tobytes() for x in c.encode_batch(part.column(part.num_columns - 1).to_pylist())]
-                yield pa.RecordBatch.from_arrays(
-                    [*part.columns[:-1], pa.array(ids, pa.binary())], names=[*part.schema.names[:-1], out]
-                )
+        c = codec(tables.value)
+        for part in slices(batches, len(keep)):
+            ids = [x.astype("<u4").tobytes() for x in c.encode_batch(part.column(len(keep)).to_pylist())]
+            yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(ids, pa.binary())], names=[*keep, out])
 
     return df.mapInArrow(run, schema)
 
@@ -469,22 +550,19 @@ def decode(
     encoded: DataFrame, path: str | None = None, ids: str = "token_ids", out: str = "decoded", keep: list[str] | None = None
 ) -> DataFrame:
     """encoded (or its columns ``keep``) plus ``out``, the text of the ids."""
-    keep = encoded.columns if keep is None else keep
+    small_batches(encoded.sparkSession)
+    keep = others(encoded.columns if keep is None else keep, out)
     own = free_name(encoded, "__sw_ids")
     df = encoded.select(*[F.col(f"`{c}`") for c in keep], F.coalesce(F.col(ids), F.lit(b"")).alias(own))
-    spec = encoded.sparkSession.sparkContext.broadcast(read_spec(path or default_vocabulary()))
+    tables = encoded.sparkSession.sparkContext.broadcast(decoder_tables(read_spec(path or default_vocabulary())))
     schema = T.StructType([*df.schema.fields[:-1], T.StructField(out, T.StringType())])
 
+    @tidy(forget)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(spec.value, Decoder)
-        for batch in batches:
-            for i in range(0, batch.num_rows, SLICE):
-                part = batch.slice(i, SLICE)
-                raw = [np.frombuffer(x, "<u4") for x in part.column(part.num_columns - 1).to_pylist()]
-                yield pa.RecordBatch.from_arrays(
-                    [*part.columns[:-1], pa.array(c.decode_batch(raw), pa.string())],
-                    names=[*part.schema.names[:-1], out],
-                )
+        c = codec(tables.value, Decoder)
+        for part in slices(batches, len(keep)):
+            raw = [np.frombuffer(x, "<u4") for x in part.column(len(keep)).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(c.decode_batch(raw), pa.string())], names=[*keep, out])
 
     return df.mapInArrow(run, schema)
 

@@ -2,16 +2,21 @@
 
 A token file is nothing but fixed-width little-endian ids, each document ended by the separator id. Files
 are cut into blocks that are scanned independently: one vectorised comparison finds the separators of a
-block, and a prefix scan over the blocks of a file (a running maximum of separator positions and the last
-header seen) stitches the documents that cross block borders. Files of up to ``whole_bytes`` come in one
-read; longer ones are read in ranges, so memory is bounded whatever a file's size.
+block, and a prefix scan over summaries of the blocks (its last separator and the document after it) stitches
+the documents that cross block borders. The scan has two levels, ranges of RANGE blocks and then the ranges
+of a file, so no task gathers the blocks of a large file, and what the blocks found is never shuffled by file.
+Files of up to ``whole_bytes`` come in one read of Spark's; longer ones are read in ranges through pyarrow's
+file systems, so memory is bounded whatever a file's size; in a store that pyarrow does not know they come in one
+read too, which takes executors that can hold the file.
 
 ``write_token_files`` makes such files from documents, through Spark's own writer and so in any store it
 reaches. Every document starts with HEADER ids that spell its doc_id in base ``separator``, hence no index
 or order is needed to know it again; ``header=0`` counts files that have none.
 
-Row rules: null or empty text has 0 tokens. Rows with a null doc_id are left out. Repeated rows are counted
-one by one. A file that does not end in a separator ends its last document; empty files have none.
+Row rules: null or empty text has 0 tokens. Texts may have any length. Rows with a null doc_id are left out.
+Repeated rows are counted one by one, so there are no ties; an empty table has no counts. A file that does not
+end in a separator ends its last document; empty files have none. A vocabulary whose ids do not fit in
+``width`` bytes is refused. Extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,12 +29,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import bpe
-from .common import scratch_path
+from .common import materialize, scratch_path, small_batches
+from .words import slices, tidy
 
 HEADER = 5
 SEPARATOR = 50_256
 WIDTH = 2
 BLOCK_IDS = 1 << 20
+#: Blocks in a range of the first level of the prefix scan.
+RANGE = 1024
 WHOLE_BYTES = 64 << 20
 #: Documents in a file at most, which bounds what one read brings.
 FILE_DOCUMENTS = 4000
@@ -53,19 +61,20 @@ def write_token_files(
     docs: DataFrame, path: str, vocabulary: str | None = None, separator: int = SEPARATOR, width: int = WIDTH
 ) -> None:
     """Encode doc_id and text into token files under path. Separator text in a document is ordinary text."""
-    spec = docs.sparkSession.sparkContext.broadcast(bpe.read_spec(vocabulary or bpe.default_vocabulary()))
+    small_batches(docs.sparkSession)
+    found = bpe.encoder_tables(bpe.read_spec(vocabulary or bpe.default_vocabulary()))
+    if max(len(found["len"]) - 1, separator) >= 1 << 8 * width:
+        raise ValueError(f"ids of this vocabulary do not fit in {width} bytes")
+    tables = docs.sparkSession.sparkContext.broadcast(found)
     kind = f"<u{width}"
 
+    @tidy(bpe.forget)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = bpe.codec(spec.value)
-        for batch in batches:
-            for i in range(0, batch.num_rows, bpe.SLICE):
-                part = batch.slice(i, bpe.SLICE)
-                ids = c.encode_batch([t or "" for t in part.column(1).to_pylist()], special=False)
-                heads = (np.array(header_of(d, separator), kind).tobytes() for d in part.column(0).to_pylist())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([h + x.astype(kind).tobytes() for h, x in zip(heads, ids)], pa.binary())], names=["record"]
-                )
+        c = bpe.codec(tables.value)
+        for part in slices(batches, 1):
+            ids = c.encode_batch([t or "" for t in part.column(1).to_pylist()], special=False)
+            heads = (np.array(header_of(d, separator), kind).tobytes() for d in part.column(0).to_pylist())
+            yield pa.RecordBatch.from_arrays([pa.array([h + x.astype(kind).tobytes() for h, x in zip(heads, ids)], pa.binary())], names=["record"])
 
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "record binary")
     # the text writer puts a string's bytes and then the line separator, byte by byte as Latin-1
@@ -107,6 +116,18 @@ def scan_block(
     return seps, names, first
 
 
+def known_store(path: str) -> bool:
+    """Whether pyarrow can open files of this store."""
+    from pyarrow import ArrowInvalid, fs
+
+    scheme = path.partition(":")[0] if ":" in path else "file"
+    try:
+        fs.FileSystem.from_uri("file:///" if scheme == "file" else path)
+    except (ArrowInvalid, OSError):
+        return False
+    return True
+
+
 def scan_files(
     spark: SparkSession,
     path: str,
@@ -139,14 +160,16 @@ def scan_files(
             names=["file", "start", "seps", "ids", "first_id"],
         )
 
+    @tidy()
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (x.slice(k, 1) for x in batches for k in range(x.num_rows)):
             for k in range(b.num_rows):
                 data = memoryview(b.column(1)[k].as_buffer())
                 rows = list(blocks(b.column(0)[k].as_py(), len(data) // width, lambda at, n: data[at : at + n]))
                 if rows:
                     yield batch(rows)
 
+    @tidy()
     def ranged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
@@ -159,6 +182,8 @@ def scan_files(
                     ids = np.frombuffer(f.read_at(min(own + header, total - start) * width, start * width), kind)
                 yield batch([(name, start, *scan_block(ids, start, own, total, separator, header))])
 
+    if not known_store(path):
+        whole_bytes = 1 << 62
     small = files.where(F.col("length") <= whole_bytes).select("path", "content").mapInArrow(whole, BLOCKS)
     large = files.where(F.col("length") > whole_bytes).select("path", "length")
     if large.isEmpty():
@@ -168,22 +193,36 @@ def scan_files(
     return small.union(large.mapInArrow(ranged, BLOCKS))
 
 
-def count_tokens(blocks: DataFrame, header: int = HEADER) -> DataFrame:
+def carried(blocks: DataFrame, block_ids: int) -> DataFrame:
+    """(file, start, carry): of each block, the last (start, at, id) before it: a separator and the document after it.
+
+    A prefix scan in two levels over one small row a block.
+    """
+    some = F.size("seps") > 0
+    at = F.when(some, F.element_at("seps", -1)).otherwise(F.lit(-1).cast("long"))
+    name = F.when(some, F.element_at("ids", -1)).otherwise(F.col("first_id"))
+    rows = blocks.select(
+        "file",
+        "start",
+        F.expr(f"start div {block_ids * RANGE}").alias("range"),
+        F.when(some | (F.col("start") == 0), F.struct("start", at.alias("at"), name.alias("id"))).alias("last"),
+    )
+    inside = Window.partitionBy("file", "range").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    across = Window.partitionBy("file").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    tops = rows.groupBy("file", "range").agg(F.max("last").alias("top")).withColumn("before", F.max("top").over(across))
+    near = rows.withColumn("near", F.max("last").over(inside)).select("file", "start", "range", "near")
+    return near.join(tops.select("file", "range", "before"), ["file", "range"]).select("file", "start", F.coalesce("near", "before").alias("carry"))
+
+
+def count_tokens(blocks: DataFrame, header: int = HEADER, block_ids: int = BLOCK_IDS) -> DataFrame:
     """(file, doc_id, begins_at, n_tokens) of every document, from the scanned blocks."""
-    before = Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
-    last = F.element_at("seps", -1)
-    stitched = blocks.select(
+    blocks = materialize(blocks, "token-blocks")
+    stitched = blocks.join(carried(blocks, block_ids), ["file", "start"]).select(
         "file",
         "seps",
         "ids",
-        # try_element_at: a block without a separator hands on what it got
-        F.coalesce(F.max(F.when(F.size("seps") > 0, last)).over(before), F.lit(-1).cast("long")).alias("carry_at"),
-        F.last(
-            F.when(F.size("seps") > 0, F.struct(F.element_at("ids", -1).alias("id"))).otherwise(
-                F.when(F.col("start") == 0, F.struct(F.col("first_id").alias("id")))
-            ),
-            ignorenulls=True,
-        ).over(before).alias("carry"),
+        F.coalesce("carry.at", F.lit(-1).cast("long")).alias("carry_at"),
+        "carry",
         "first_id",
     )
     doc = stitched.where(F.size("seps") > 0).select(
@@ -193,7 +232,7 @@ def count_tokens(blocks: DataFrame, header: int = HEADER) -> DataFrame:
                 F.concat(F.array("carry_at"), F.slice("seps", 1, F.size("seps") - 1)).alias("b"),
                 F.col("seps").alias("e"),
                 F.concat(
-                    F.array(F.coalesce(F.col("carry.id"), F.col("first_id"))), F.slice("ids", 1, F.size("ids") - 1)
+                    F.array(F.when(F.col("carry").isNull(), F.col("first_id")).otherwise(F.col("carry.id"))), F.slice("ids", 1, F.size("ids") - 1)
                 ).alias("i"),
             )
         ).alias("d"),
