@@ -11,19 +11,23 @@ to k empty segments; a set with more writes them all, so nothing is lost.
 Each key's group compares its members with its smallest document first, and links are contracted to
 components. Groups that still span several components compare all pairs across components, in blocks of
 bounded size, by their segment vectors (more than H differing segments cannot link), and only what
-passes is verified on the texts. Keys that a bounded sample shows to be frequent are salted by set, so
-that no group gathers in one task.
-
-Row rules: null or empty text has no shingle, and links with nothing. Rows that share doc_id are one
-document: its links are those of all its texts. Null ids link with nothing and keep a null component.
-Extra columns are ignored.
+passes is verified exactly, on the sets of shingle hashes: each document's set is made once, and a
+representative's set is sent once to a group of its candidates, never once a pair. Keys that a bounded sample
+shows to be frequent are salted by set, and representatives of many candidates by candidate, so that no group
+gathers in one task.
+
+Row rules: null or empty text has no shingle, and links with nothing. Texts may have any length and are taken
+whole. Rows that share doc_id are one document: its links are those of all its texts, and each of its rows
+is returned. Rows with a null id are returned too; they link with nothing and have a null component. Of
+documents that link, the smallest id names the component, so there are no ties. An empty table gives an
+empty result. Extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import functools
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,18 +35,18 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialize
-from .words import claim
+from .common import connected_components, discard, hot_keys, materialize, small_batches
+from .words import slices, tidy
 
 SHINGLE = 4
 PERCENT = 85
 BLOCK = 1024
 SALTS = 32
 #: Rows sampled to find frequent keys, and the count in the sample from which a key is salted.
-SAMPLE_ROWS = 4000
-SAMPLE_HITS = 12
+SAMPLE_ROWS = 40_000
+SAMPLE_HITS = 40
 BITMAP_BITS = 1 << 24
-CACHED_WORDS = 200_000
+CACHED_WORDS = 100_000
 #: Chance that a random set shares a given shingle, and sets to collide with: the cost model's constants.
 SHARED, OTHERS = 0.02, 10_000
 
@@ -52,6 +56,10 @@ _S = np.uint64(32)
 _WORDS: dict[bytes, int] = {}
 
 
+def forget() -> None:
+    _WORDS.clear()
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> _S)) * _M3
     x = (x ^ (x >> np.uint64(29))) * _M1
@@ -193,9 +201,9 @@ def links(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
 def keyed_sets(docs: DataFrame, size: int, percent: int) -> DataFrame:
     """(doc, n, c1, c2, keys): size of the shingle set, its 128-bit hash and its index keys, for each row."""
 
+    @tidy(forget)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        claim("ngram_join", _WORDS.clear)
-        for b in batches:
+        for b in slices(batches, 1):
             n, c, out = [], [], []
             for t in b.column(1).to_pylist():
                 s = shingles(t, size)
@@ -260,42 +268,68 @@ def bitmap_of(ids: DataFrame) -> bytes:
     return out.tobytes()
 
 
-def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(doc, text) of the given (doc); a bitmap of fixed size keeps most other texts out of the shuffle."""
-    spark = docs.sparkSession
-    bits = spark.sparkContext.broadcast(bitmap_of(ids))
+def over_texts(docs: DataFrame, ids: DataFrame, make: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
+    """make() of the (doc, text) of the given (doc); a bitmap of fixed size keeps most other texts from being read."""
+    bits = docs.sparkSession.sparkContext.broadcast(bitmap_of(ids))
 
+    @tidy(forget)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = np.frombuffer(bits.value, np.uint8)
         for b in batches:
             at = b.column(2).to_numpy()
             hit = (known[at >> 3] >> (at & 7).astype(np.uint8)) & 1
-            yield b.select([0, 1]).filter(pa.array(hit == 1))
+            for part in slices([b.select([0, 1]).filter(pa.array(hit == 1))], 1):
+                yield make(part)
 
     some = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(BITMAP_BITS)).alias("bit"))
-    some = some.mapInArrow(run, "doc long, text string")
-    return some.join(ids.select("doc").distinct(), "doc", "left_semi")
+    return some.mapInArrow(run, schema).join(ids, "doc", "left_semi")
+
+
+def hash_sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
+    """(doc, tokens) of each text of the given documents: sorted 64-bit shingle hashes."""
+
+    def make(b: pa.RecordBatch) -> pa.RecordBatch:
+        tokens = [shingles(t, size).tobytes() for t in b.column(1).to_pylist()]
+        return pa.RecordBatch.from_arrays([b.column(0), pa.array(tokens, pa.binary())], names=["doc", "tokens"])
+
+    return materialize(over_texts(docs, ids, make, "doc long, tokens binary"), "join-hashes")
 
 
 def verify(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
-    """The (a, b) of pairs whose texts link."""
-    ids = pairs.select(F.col("a").alias("doc")).union(pairs.select(F.col("b").alias("doc"))).distinct()
-    texts = texts_of(docs, ids)
-    full = pairs.join(texts.select(F.col("doc").alias("b"), F.col("text").alias("tb")), "b")
-    full = full.join(texts.select(F.col("doc").alias("a"), F.col("text").alias("ta")), "a")
+    """The (a, b) of pairs that link, as a table.
 
+    The set of a is sent once to the group of its candidates (once a salt where these are many) and sorts
+    before them.
+    """
+    pairs = materialize(pairs, "join-pairs")
+    ids = pairs.select(F.col("a").alias("doc")).union(pairs.select(F.col("b").alias("doc"))).distinct()
+    ids = materialize(ids, "join-ids")
+    sets = hash_sets(docs, ids, size)
+    many = F.broadcast(hot_keys(pairs, "a").select(F.col("a").alias("many")))
+    salt = F.when(F.col("many").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("b"), F.lit(8 * SALTS))).cast("int")
+    salted = pairs.join(many, pairs.a == F.col("many"), "left").select("a", salt.alias("salt"), "b")
+    heads = salted.select("a", "salt").distinct().join(sets, F.col("a") == F.col("doc")).select("a", "salt", F.lit(None).cast("long").alias("b"), "tokens")
+    tails = salted.join(sets, F.col("b") == F.col("doc")).select("a", "salt", "b", "tokens")
+    rows = heads.unionByName(tails).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
+
+    @tidy()
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        claim("ngram_join", _WORDS.clear)
-        last, own = None, None
-        for b in batches:
+        at, own = None, []
+        for part in slices(batches, 3):
             keep = []
-            for ta, tb in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
-                if ta != last:
-                    last, own = ta, shingles(ta, size)
-                keep.append(links(own, shingles(tb, size), percent))
-            yield b.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+            for a, s, b, raw in zip(*(c.to_pylist() for c in part.columns)):
+                if at != (a, s):
+                    at, own = (a, s), []
+                tokens = np.frombuffer(raw, np.uint64)
+                if b is None:
+                    own.append(tokens)
+                keep.append(b is not None and any(links(x, tokens, percent) for x in own))
+            yield part.select([0, 2]).filter(pa.array(keep, pa.bool_()))
 
-    return full.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long").distinct()
+    found = materialize(rows.select("a", "salt", "b", "tokens").mapInArrow(run, "a long, b long").distinct(), "join-links")
+    for done in (pairs, ids, sets):
+        discard(done)
+    return found
 
 
 def cross_pairs(rows: DataFrame, percent: int) -> DataFrame:
@@ -331,7 +365,7 @@ def cross_pairs(rows: DataFrame, percent: int) -> DataFrame:
                 if not len(q):
                     continue
                 same = mark[q] == mark[p]
-                gap = np.abs(size[q] - size[p])
+                gap = np.abs(size[q] - size[p])  # 16 bits, as the sum's terms stay
                 # different subsets of equal size differ in two tokens at least, unless sizes were cut at 255
                 least = np.where(same, 0, np.where(gap > 0, gap, np.where(size[p] == 255, 1, 2)))
                 near = least.sum(1) <= most_different(n[rows[q]], n[i], percent)
@@ -344,6 +378,7 @@ def cross_pairs(rows: DataFrame, percent: int) -> DataFrame:
                 b_out.append(np.maximum(doc[j], doc[i]))
         return np.concatenate(a_out), np.concatenate(b_out)
 
+    @tidy()
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
 
@@ -370,22 +405,20 @@ def cross_pairs(rows: DataFrame, percent: int) -> DataFrame:
 def vector_table(docs: DataFrame, ids: DataFrame, size: int, percent: int) -> DataFrame:
     """(doc, n, own, below): the segment vectors of the given documents."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        claim("ngram_join", _WORDS.clear)
-        for b in batches:
-            sets = [shingles(t, size) for t in b.column(1).to_pylist()]
-            vecs = [vectors(s, percent) if len(s) else [b"", b""] for s in sets]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    b.column(0),
-                    pa.array([len(s) for s in sets], pa.int64()),
-                    pa.array([v[0] for v in vecs], pa.binary()),
-                    pa.array([v[1] for v in vecs], pa.binary()),
-                ],
-                names=["doc", "n", "own", "below"],
-            )
+    def make(b: pa.RecordBatch) -> pa.RecordBatch:
+        sets = [shingles(t, size) for t in b.column(1).to_pylist()]
+        vecs = [vectors(s, percent) if len(s) else [b"", b""] for s in sets]
+        return pa.RecordBatch.from_arrays(
+            [
+                b.column(0),
+                pa.array([len(s) for s in sets], pa.int64()),
+                pa.array([v[0] for v in vecs], pa.binary()),
+                pa.array([v[1] for v in vecs], pa.binary()),
+            ],
+            names=["doc", "n", "own", "below"],
+        )
 
-    return texts_of(docs, ids).mapInArrow(run, "doc long, n long, own binary, below binary")
+    return over_texts(docs, ids, make, "doc long, n long, own binary, below binary")
 
 
 def join_components(
@@ -397,8 +430,10 @@ def join_components(
     block: int = BLOCK,
 ) -> tuple[DataFrame, DataFrame]:
     """(sets, components): sets (doc, n, ..) of each row, components (id, component) of linked documents."""
-    docs = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    sets = materialize(keyed_sets(docs, size, percent), "join-sets")
+    small_batches(docs.sparkSession)
+    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    every = materialize(keyed_sets(docs, size, percent), "join-sets")
+    docs, sets = docs.where("doc_id is not null"), every.where("doc is not null")
     # equal sets: linked to the smallest document of their class, which stands for them from here on
     whole = sets.where("n > 0").select("doc", "n", "c1", "c2")
     firsts = whole.groupBy("c1", "c2", "n").agg(F.min("doc").alias("rep"))
@@ -420,7 +455,8 @@ def join_components(
     base = salts.groupBy("base").agg(F.min("rep").alias("first"))
     stars = stars.union(salts.join(base, "base").where("rep <> first").select(F.col("first").alias("a"), F.col("rep").alias("b")))
     stars = stars.distinct().join(copied, "b", "left_anti").select("a", "b")
-    found = materialize(verify(docs, materialize(stars, "join-stars"), size, percent), "join-links")
+    stars = materialize(stars, "join-stars")
+    found = verify(docs, stars, size, percent)
     labels = connected_components(None, found)
 
     # groups of several components: pairs across components that the first pass has not compared
@@ -437,7 +473,7 @@ def join_components(
     )
     rest = materialize(members.join(open_keys, "key"), "join-open")
     if not rest.isEmpty():
-        vecs = vector_table(docs, rest.select("doc").distinct(), size, percent)
+        vecs = vector_table(docs, materialize(rest.select("doc").distinct(), "join-open-ids"), size, percent)
         part = F.pmod(F.xxhash64("doc"), F.col("parts")).cast("int")
         placed = rest.withColumn("own_part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         placed = placed.select(
@@ -450,9 +486,8 @@ def join_components(
         )
         blocks = placed.join(vecs, "doc").repartition("key", "pi", "pj").sortWithinPartitions("key", "pi", "pj")
         more = cross_pairs(blocks, percent).join(stars, ["a", "b"], "left_anti")
-        more = verify(docs, materialize(more, "join-more"), size, percent)
-        found = found.union(materialize(more, "join-links2"))
-    return sets, connected_components(None, found.union(copies))
+        found = found.union(verify(docs, more, size, percent))
+    return every, connected_components(None, found.union(copies))
 
 
 def digest(docs: DataFrame) -> DataFrame:
