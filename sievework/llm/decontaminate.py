@@ -1,20 +1,23 @@
 """Benchmark decontamination with one Aho-Corasick automaton over normalised windows.
 
 Every window of ``window`` consecutive words of a benchmark item (the whole item where it is shorter)
-becomes a pattern `` w1 ... wn `` with a space at both ends; a document is normalised to its words with
-single spaces and scanned once. Matches are mapped through word starts to code points of the original
-text. Only the benchmark is broadcast, and its size is checked: above ``max_pattern_bytes`` of patterns
-the items are cut into slices with an automaton each, which run over the documents one after another,
-so memory stays bounded and nothing is skipped.
-
-Row rules: null or empty text has no words, no hits. Items with null or empty text have no window. Rows
-that repeat are treated one by one; items that repeat an id with other texts pool their windows; null
-item ids are left out. Extra columns of documents pass through.
+becomes a pattern of word numbers, each spelt in DIGITS symbols; a document is normalised to its words' numbers,
+those of words that no item has being 0, and scanned once. Matches are mapped through word starts to code points of the
+original text. Only the benchmark is broadcast, and its size is checked: an automaton takes about NODE_BYTES a
+symbol, and where that comes to more than ``max_pattern_bytes`` the windows are cut into slices with an automaton
+each. Slices then run over the documents one after another, each written before the next is read from the
+benchmark, so neither the driver nor a worker ever holds more than one, and nothing is skipped.
+
+Row rules: null or empty text has no words, no hits. Texts may have any length. Items with null or empty text
+have no window. Rows that repeat are treated one by one; items that repeat an id with other texts pool their
+windows; null item ids are left out. Of several items with a window all are named, so there are no ties. Empty
+tables give empty results, or no hits. Extra columns of documents pass through; one that has the name of the
+output is replaced, as by withColumn.
 """
 
 from __future__ import annotations
 
-import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,12 +26,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import free_name
-from .words import WORD_TABLE, claim, words
+from .common import free_name, materialize, others, small_batches
+from .words import WORD_TABLE, slices, tidy, words
 
 WINDOW = 10
-MAX_PATTERN_BYTES = 64 << 20
-SLICE = 256
+#: Of an automaton, measured at 46 bytes a symbol.
+MAX_PATTERN_BYTES, NODE_BYTES = 96 << 20, 48
+#: A word's number is spelt in so many symbols of this base: the automaton looks for a node's child one by one.
+DIGITS, BASE = 3, 64
+NONE = "\0" * DIGITS
 
 HITS = T.StructType(
     [
@@ -40,53 +46,59 @@ HITS = T.StructType(
 )
 
 
-def windows(text: str | None, window: int = WINDOW) -> list[bytes]:
-    w = words(text)
-    if not w:
-        return []
-    return [b" " + b" ".join(w[i : i + window]) + b" " for i in range(max(1, len(w) - window + 1))]
+class Patterns:
+    """Windows as strings of word numbers, each with the places of its items."""
 
+    def __init__(self):
+        self.numbers: dict[bytes, str] = {}
+        self.windows: dict[str, set[int]] = {}
+        self.items: list[str] = []
 
-_AUTOMATA: dict[str, object] = {}
+    def spelt(self, word: bytes) -> str:
+        """The number of a word; first digits are no others' digits, so that no match begins inside a word."""
+        if word not in self.numbers:
+            n = len(self.numbers)
+            self.numbers[word] = "".join(chr(1 + BASE * (k == 0) + n // BASE**k % BASE) for k in range(DIGITS))
+        return self.numbers[word]
 
+    def add(self, item: str, window: list[bytes]) -> None:
+        if not self.items or self.items[-1] != item:
+            self.items.append(item)
+        self.windows.setdefault("".join(map(self.spelt, window)), set()).add(len(self.items) - 1)
 
-def automaton(key: str, patterns: list[tuple[bytes, list[str]]]):
-    """Built once per Python worker; the two newest slices stay."""
-    claim("decontaminate", _AUTOMATA.clear)
-    if key not in _AUTOMATA:
+    def full(self, window: int, max_bytes: int) -> bool:
+        return len(self.windows) * window * DIGITS * NODE_BYTES >= max_bytes or len(self.numbers) + window > BASE**DIGITS
+
+    def automaton(self):
         import ahocorasick
 
         a = ahocorasick.Automaton()
-        for p, items in patterns:
-            a.add_word(p.decode("latin-1"), (len(p), p.count(b" ") - 1, items))
+        for own, items in self.windows.items():
+            a.add_word(own, (len(own) // DIGITS, items))
         a.make_automaton()
-        while len(_AUTOMATA) > 1:
-            _AUTOMATA.pop(next(iter(_AUTOMATA)))
-        _AUTOMATA[key] = a
-    return _AUTOMATA[key]
+        return a
 
 
-def scan(a, text: str | None) -> tuple[int, list, list, list[str]]:
+def scan(a, patterns: Patterns, text: str | None) -> tuple[int, list, list, list[str]]:
     """(n_words, merged hit word runs, their spans in code points, item ids) of one document."""
     raw = (text or "").encode("utf-8", "surrogatepass")
     flat = raw.translate(WORD_TABLE)
     w = flat.split()
-    if not w:
-        return 0, [], [], []
-    norm = b" " + b" ".join(w) + b" "
-    found = list(a.iter(norm.decode("latin-1")))
+    if not w or not len(a):
+        return len(w), [], [], []
+    found = list(a.iter("".join(map(patterns.numbers.get, w, itertools.repeat(NONE)))))
     if not found:
         return len(w), [], [], []
-    gaps = np.flatnonzero(np.frombuffer(norm, np.uint8) == 32)
-    first = np.searchsorted(gaps, [end - n + 1 for end, (n, _, _) in found])
+    size = np.array([n for _, (n, _) in found])
+    stop = (np.array([end for end, _ in found]) + 1) // DIGITS
     change = np.zeros(len(w) + 1, np.int64)
-    np.add.at(change, first, 1)
-    np.add.at(change, first + np.array([k for _, (_, k, _) in found]), -1)
+    np.add.at(change, stop - size, 1)
+    np.add.at(change, stop, -1)
     runs = _runs(np.cumsum(change[:-1]) > 0)
     at, to = _runs(np.frombuffer(flat, np.uint8) != 32).T  # bytes of each word in the original
     chars = np.cumsum((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)  # code points up to each byte
     spans = [(int(chars[at[s]]) - 1, int(chars[to[e - 1] - 1])) for s, e in runs]
-    items = sorted({i for _, (_, _, ids) in found for i in ids})
+    items = sorted({patterns.items[i] for i in set().union(*(ids for _, (_, ids) in found))})
     return len(w), [(int(s), int(e - s)) for s, e in runs], spans, items
 
 
@@ -96,21 +108,18 @@ def _runs(mask: np.ndarray) -> np.ndarray:
     return edge.reshape(-1, 2)
 
 
-def pattern_slices(benchmark: DataFrame, item_id: str, text: str, window: int, max_bytes: int) -> list[list]:
-    """Patterns with the ids of their items, in slices of at most max_bytes (an item stays in one slice)."""
-    slices: list[dict[bytes, set[str]]] = [{}]
-    size = 0
+def pattern_slices(benchmark: DataFrame, item_id: str, text: str, window: int, max_bytes: int) -> Iterator[Patterns]:
+    """Patterns of the items, in slices whose automata take about max_bytes at most; an item may lie in several."""
     rows = benchmark.where(F.col(item_id).isNotNull()).select(F.col(item_id).cast("string"), F.col(text))
+    found = Patterns()
     for i, t in rows.toLocalIterator():
-        own = windows(t, window)
-        n = sum(map(len, own))
-        if size and size + n > max_bytes:
-            slices.append({})
-            size = 0
-        size += n
-        for p in own:
-            slices[-1].setdefault(p, set()).add(i)
-    return [[(p, sorted(ids)) for p, ids in sorted(s.items())] for s in slices]
+        w = words(t)
+        for k in range(max(1, len(w) - window + 1)) if w else []:
+            if found.windows and found.full(window, max_bytes):
+                yield found
+                found = Patterns()
+            found.add(i, w[k : k + window])
+    yield found
 
 
 def find_contamination(
@@ -125,63 +134,58 @@ def find_contamination(
     max_pattern_bytes: int = MAX_PATTERN_BYTES,
 ) -> DataFrame:
     """docs (or its columns ``keep``) plus the struct ``out``: n_words, hit_words, hit_spans, items."""
-    spark = docs.sparkSession
-    keep = docs.columns if keep is None else keep
+    small_batches(docs.sparkSession)
+    keep = others(docs.columns if keep is None else keep, out)
     own = free_name(docs, "__sw_text")
     df = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text).alias(own))
-    slices = pattern_slices(benchmark, item_id, item_text, window, max_pattern_bytes)
-    for k, part in enumerate(slices):
-        last = k == len(slices) - 1
-        step = free_name(df, f"__sw_hits{k}")
-        df = _scan_with(df, spark.sparkContext.broadcast(part), own, step)
-        if k:
-            before = free_name(df, "__sw_pooled")
-            df = df.withColumn(before, _pooled(F.col(seen), F.col(step))).drop(seen, step)
-            step = before
-        seen = step
-        if last:
-            df = df.drop(own).withColumnRenamed(seen, out)
-    return df
-
-
-def _pooled(a, b):
-    """Hits of two slices as one; runs may touch or overlap, as n_hit counts words through a set."""
+    parts = pattern_slices(benchmark, item_id, item_text, window, max_pattern_bytes)
+    first, second = next(parts), next(parts, None)
+    if second is None:
+        return _scan_with(df, first, own, out).drop(own)
+    row, more = free_name(df, "__sw_row"), free_name(df, "__sw_more")
+    df = materialize(df.withColumn(row, F.monotonically_increasing_id()), "leak-docs")
+    late = None
+    for part in itertools.chain([second], parts):
+        found = _scan_with(df.select(row, own), part, own, more).where(F.size(f"{more}.hit_words") > 0).drop(own)
+        found = materialize(found, "leak-hits")
+        late = found if late is None else late.unionByName(found)
+    late = late.groupBy(row).agg(F.collect_list(more).alias(more))
+    df = _scan_with(df, first, own, out).drop(own).join(late, row, "left")
+    return df.withColumn(out, F.when(F.col(more).isNull(), F.col(out)).otherwise(_pooled(F.col(out), F.col(more)))).select(*keep, out)
+
+
+def _pooled(first, more):
+    """Hits of all slices as one; runs may touch or overlap, as n_hit counts words through a set."""
     return F.struct(
-        a["n_words"].alias("n_words"),
-        F.concat(a["hit_words"], b["hit_words"]).alias("hit_words"),
-        F.concat(a["hit_spans"], b["hit_spans"]).alias("hit_spans"),
-        F.array_sort(F.array_union(a["items"], b["items"])).alias("items"),
+        first["n_words"].alias("n_words"),
+        F.concat(first["hit_words"], F.flatten(more["hit_words"])).alias("hit_words"),
+        F.concat(first["hit_spans"], F.flatten(more["hit_spans"])).alias("hit_spans"),
+        F.array_sort(F.array_union(first["items"], F.flatten(more["items"]))).alias("items"),
     )
 
 
-def _scan_with(df: DataFrame, shared, text: str, out: str) -> DataFrame:
+def _scan_with(df: DataFrame, patterns: Patterns, text: str, out: str) -> DataFrame:
+    shared = df.sparkSession.sparkContext.broadcast(patterns)
     schema = T.StructType([*df.schema.fields, T.StructField(out, HITS)])
     at = df.columns.index(text)
-    key = hashlib.sha256(repr(shared.value).encode()).hexdigest()
 
+    @tidy()
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_type
 
         kind = to_arrow_type(HITS)
-        a = automaton(key, shared.value)
-        for batch in batches:
-            for i in range(0, batch.num_rows, SLICE):
-                part = batch.slice(i, SLICE)
-                got = [scan(a, t) for t in part.column(at).to_pylist()] if len(a) else [
-                    (len(words(t)), [], [], []) for t in part.column(at).to_pylist()
-                ]
-                hits = [
-                    {
-                        "n_words": n,
-                        "hit_words": [{"first": s, "count": c} for s, c in runs],
-                        "hit_spans": [{"start": s, "end": e} for s, e in spans],
-                        "items": items,
-                    }
-                    for n, runs, spans, items in got
-                ]
-                yield pa.RecordBatch.from_arrays(
-                    [*part.columns, pa.array(hits, kind)], names=[*batch.schema.names, out]
-                )
+        a = shared.value.automaton()
+        for part in slices(batches, at):
+            hits = [
+                {
+                    "n_words": n,
+                    "hit_words": [{"first": s, "count": c} for s, c in runs],
+                    "hit_spans": [{"start": s, "end": e} for s, e in spans],
+                    "items": items,
+                }
+                for n, runs, spans, items in (scan(a, shared.value, t) for t in part.column(at).to_pylist())
+            ]
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(hits, kind)], names=[*part.schema.names, out])
 
     return df.mapInArrow(run, schema)
 
