@@ -10,14 +10,19 @@ Learning takes a bounded sample of labelled rows (``max_rows``, the documented l
 chosen by id hash; counts are summed on the executors and at most languages x 2**bits counts reach the
 driver. Prediction covers every word of every text.
 
+Words end at white space; runs of scripts that are written without spaces are cut into pieces of PIECE
+characters, and where such a run begins or ends, so that a text of one long run still holds several spans.
+
 Row rules: null text and text without a letter get ``und`` with score 0 and no spans, as does every text
-when nothing was learned. Ties between languages go to the smaller name. Repeated rows are labelled one
-by one; extra columns pass through.
+when nothing was learned. Texts may have any length. Ties between languages go to the smaller name. Repeated
+rows are labelled one by one; empty tables give empty results. Extra columns pass through; those that have
+the names of the outputs are replaced, as by withColumn.
 """
 
 from __future__ import annotations
 
 import functools
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,15 +31,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import free_name
+from .common import free_name, others, small_batches
+from .words import slices, tidy
 
 BITS = 16
 MAX_ROWS = 8000
 SWITCH_PENALTY = 12.0
 UNKNOWN = "und"
-SLICE = 512
 CHUNK = 128
-CACHED_WORDS = 200_000
+CACHED_WORDS = 100_000
 #: A language keeps a script that holds this share of its training letters.
 SCRIPT_SHARE = 0.01
 
@@ -63,15 +68,25 @@ SCRIPT_RANGES = {
     "han": [(0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x323AF)],
 }
 SCRIPTS = [*SCRIPT_RANGES, "other"]
+#: Scripts written without spaces, and the length of the pieces that stand for their words.
+UNSPACED = "".join(f"{chr(a)}-{chr(b)}" for name in ("thai", "khmer", "kana", "han") for a, b in SCRIPT_RANGES[name])
+PIECE = 4
+_UNSPACED = re.compile(f"[{UNSPACED}]")
+_WORD = re.compile(rf"[{UNSPACED}]{{1,{PIECE}}}|[^\s{UNSPACED}]+")
+
+
+def pieces(text: str) -> list[str]:
+    """The words of a text, as spans count them."""
+    return _WORD.findall(text) if _UNSPACED.search(text) else text.split()
 
 
 @functools.cache
 def char_tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """By code point: is it a letter, is it white space, its script."""
-    chars = [chr(i) for i in range(0x110000)]
-    letter = np.fromiter((c.isalpha() for c in chars), bool, len(chars))
-    space = np.fromiter((c.isspace() for c in chars), bool, len(chars))
-    script = np.full(len(chars), len(SCRIPTS) - 1, np.int8)
+    n = 0x110000
+    letter = np.fromiter((chr(i).isalpha() for i in range(n)), bool, n)
+    space = np.fromiter((chr(i).isspace() for i in range(n)), bool, n)
+    script = np.full(n, len(SCRIPTS) - 1, np.int8)
     for k, ranges in enumerate(SCRIPT_RANGES.values()):
         for a, b in ranges:
             script[a : b + 1] = k
@@ -110,11 +125,12 @@ def count_sample(docs: DataFrame, text: str, lang: str, bits: int) -> DataFrame:
         F.col(lang).cast("string").alias("lang"), F.col(text).alias("text")
     )
 
+    @tidy()
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
-        for batch in batches:
+        for batch in slices(batches, 1):
             for l, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                w = t.split()
+                w = pieces(t)
                 if not w:
                     continue
                 _, grams, _, scripts = trigrams(w, bits)
@@ -139,6 +155,7 @@ def fit(
     max_rows: int = MAX_ROWS,
 ) -> tuple[list[str], np.ndarray, np.ndarray]:
     """(languages, log probability [bucket, language], allowed [script, language]) from labelled rows."""
+    small_batches(docs.sparkSession)
     labelled = docs.where(F.col(lang).isNotNull())
     n = labelled.count()
     if n > max_rows:
@@ -186,7 +203,7 @@ class Labeller:
         """(language, score, spans) of each text; a span is (first, end) in words and a language."""
         if len(self.index) > CACHED_WORDS:
             self.reset()
-        split = [t.split() for t in texts]
+        split = [pieces(t) for t in texts]
         new = set().union(*split).difference(self.index)
         if new:
             self.learn(list(new))
@@ -297,7 +314,9 @@ SPANS = T.ArrayType(
 
 
 def word_bounds(text: str) -> np.ndarray:
-    """(start, end) in code points of every white-space separated word."""
+    """(start, end) in code points of every word."""
+    if _UNSPACED.search(text):
+        return np.array([m.span() for m in _WORD.finditer(text)], np.int64).reshape(-1, 2)
     space = char_tables()[1][code_points(text)]
     edge = np.flatnonzero(np.diff(np.concatenate(([True], space, [True])).view(np.int8)))
     return edge.reshape(-1, 2)
@@ -312,40 +331,33 @@ def predict(
     bits: int = BITS,
 ) -> DataFrame:
     """docs (or its columns ``keep``) plus lang_pred, score and spans (code points of the text, language)."""
-    keep = docs.columns if keep is None else keep
+    small_batches(docs.sparkSession)
+    keep = others(docs.columns if keep is None else keep, "lang_pred", "score", "spans")
     own = free_name(docs, "__sw_text")
     df = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text).alias(own))
     shared = docs.sparkSession.sparkContext.broadcast(model)
     added = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("spans", SPANS)]
     schema = T.StructType([*df.schema.fields[:-1], *added])
 
+    @tidy()
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_type
 
         kind = to_arrow_type(SPANS)
         langs, logp, allowed = shared.value
         labeller = Labeller(langs, logp, allowed, penalty, bits) if langs else None
-        for batch in batches:
-            for i in range(0, batch.num_rows, SLICE):
-                part = batch.slice(i, SLICE)
-                texts = [t or "" for t in part.column(part.num_columns - 1).to_pylist()]
-                got = labeller.label(texts) if labeller else [(UNKNOWN, 0.0, [])] * len(texts)
-                spans = []
-                for t, (_, _, found) in zip(texts, got):
-                    at = word_bounds(t) if len(found) > 1 else None
-                    if at is None:
-                        spans.append([{"start": 0, "end": len(t), "lang": found[0][2]}] if found else [])
-                    else:
-                        spans.append([{"start": int(at[a, 0]), "end": int(at[b - 1, 1]), "lang": l} for a, b, l in found])
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        *part.columns[:-1],
-                        pa.array([g[0] for g in got], pa.string()),
-                        pa.array([g[1] for g in got], pa.float64()),
-                        pa.array(spans, kind),
-                    ],
-                    names=[*part.schema.names[:-1], "lang_pred", "score", "spans"],
-                )
+        for part in slices(batches, len(keep)):
+            texts = [t or "" for t in part.column(len(keep)).to_pylist()]
+            got = labeller.label(texts) if labeller else [(UNKNOWN, 0.0, [])] * len(texts)
+            spans = []
+            for t, (_, _, found) in zip(texts, got):
+                at = word_bounds(t) if len(found) > 1 else None
+                if at is None:
+                    spans.append([{"start": 0, "end": len(t), "lang": found[0][2]}] if found else [])
+                else:
+                    spans.append([{"start": int(at[a, 0]), "end": int(at[b - 1, 1]), "lang": l} for a, b, l in found])
+            labels = [pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64()), pa.array(spans, kind)]
+            yield pa.RecordBatch.from_arrays([*part.columns[:-1], *labels], names=[*keep, "lang_pred", "score", "spans"])
 
     return df.mapInArrow(run, schema)
 
