@@ -3,16 +3,19 @@
 Candidates are quoted values of assignments, unquoted values after a credential's name, and long mixed
 tokens wherever they stand, inside quoted values too. Each is described by its length, its
 character classes and the transitions between them, the log probability of its letter pairs, the share of
-it that dictionary words cover, its path and the words beside it; a random forest trained from labelled
-findings gives the probability that it is a secret. Secrets never leave the operator: a finding holds
-their place and a hash.
+it that dictionary words cover, and the words beside it and the parts of its path, hashed into buckets; a
+random forest trained from labelled findings gives the probability that it is a secret, and finds out by itself
+which words and paths speak for or against one. Secrets never leave the operator: a finding holds their place
+and a hash.
 
 Labelled findings (candidate, before, after, path, label) are a table that the caller may bring;
-``sample_findings`` makes one from rules, with secrets of common shapes and the usual false alarms
-(placeholders, checksums, identifiers, words, versions, links). Training is bounded by the table.
+``sample_findings`` makes one from shapes, with secrets of common kinds and the usual false alarms
+(placeholders, checksums, identifiers, words, versions, links, addresses). Training is bounded by the table.
 
-Row rules: null or empty text has no finding. A null path is an empty one. Repeated rows are scanned one
-by one. An empty table gives no findings. Candidates may have any length and are scored whole.
+Row rules: null or empty text has no finding. A null path is an empty one. Texts and candidates may have any
+length and are scored whole. A candidate that two patterns find is reported once; candidates that lie inside
+others are reported too, in order of place. Repeated rows are scanned one by one. An empty table gives no
+findings. Extra columns pass through; those that have the names of the outputs are replaced, as by withColumn.
 """
 
 from __future__ import annotations
@@ -22,8 +25,9 @@ import json
 import math
 import random
 import re
+import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,22 +35,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import byte_names, default_vocabulary
+from .common import others, small_batches
+from .words import slices, tidy
 
-CANDIDATE = re.compile(r"[A-Za-z0-9+/=_\-.]*[0-9+/=_\-][A-Za-z0-9+/=_\-.]*")
+CANDIDATE = re.compile(r"[A-Za-z0-9+/=_\-.]{16,}")
 QUOTED = re.compile(r"""[\w.\-]{2,40}["']?\s{0,3}[:=]{1,2}\s{0,3}["']([^"'\n]{6,})["']""")
 NAMED = re.compile(
     r"""(?i:token|secret|passw|pwd|key|auth|credential|private|access|bearer|api)[\w.\-]{0,40}["']?[ \t]{0,20}[:=]{1,2}[ \t]{0,20}"""
     r"""(?:(?i:bearer|basic|token)[ \t]{1,3})?([^\s"']{6,})"""
 )
+_DIGIT, _LETTER = re.compile("[0-9]"), re.compile("[A-Za-z]")
 LONG, SHORT = 16, 6
 NEAR = 40
 TREES, DEPTH, SEED = 60, 8, 11
 THRESHOLD = 0.5
 
-#: Words that speak for a secret, and against one, beside a candidate.
-FOR = ["token", "secret", "passwd", "password", "pwd", "apikey", "api", "key", "auth", "credential", "private", "access", "bearer"]
-AGAINST = ["example", "sample", "test", "dummy", "placeholder", "commit", "sha", "md5", "checksum", "digest", "hash", "version", "uuid", "id", "color", "url", "http", "file"]
-PATHS = ["test", "example", "doc", "mock", "fixture", "lock", "config", "env", "secret", "prod"]
+#: Buckets of the hashed words before a candidate, around it, and of its path.
+LEFT_BUCKETS, NEAR_BUCKETS, PATH_BUCKETS = 64, 64, 32
 CLASSES = 5  # lower, upper, digit, punctuation, other
 
 
@@ -87,6 +92,14 @@ def coverage(s: str, words: frozenset[str]) -> float:
     return got / max(1, len(s))
 
 
+def buckets(text: str, n: int) -> list[float]:
+    """How often words of the text fall into each of n buckets; a word's singular and plural share one."""
+    out = [0.0] * n
+    for w in re.findall(r"[a-z]+", text.lower()):
+        out[zlib.crc32(w.removesuffix("s").encode()) % n] += 1.0
+    return out
+
+
 def features(candidate: str, before: str, after: str, path: str, words: frozenset[str], pairs: np.ndarray) -> list[float]:
     kinds = [char_class(c) for c in candidate]
     n = max(1, len(kinds))
@@ -94,9 +107,7 @@ def features(candidate: str, before: str, after: str, path: str, words: frozense
     letters = [ord(c) - 97 for c in candidate.lower()]
     steps = [pairs[a, b] for a, b in zip(letters, letters[1:]) if 0 <= a < 26 and 0 <= b < 26]
     counts = Counter(candidate)
-    near = re.findall(r"[a-z]+\d?", f"{before} {after}".lower())
-    left = set(re.findall(r"[a-z]+\d?", before.lower()))
-    path = path.lower()
+    name = re.search(r"([\w.\-]*)[\"']?\s*[:=]{0,2}\s*[\"']?$", before)[1]
     return [
         float(len(candidate)),
         -sum(v / n * math.log2(v / n) for v in counts.values()),
@@ -110,9 +121,11 @@ def features(candidate: str, before: str, after: str, path: str, words: frozense
         float(candidate.count("-") == 4 and len(candidate) == 36),
         float(before.rstrip()[-1:] in {"=", ":", '"', "'"}),
         float("://" in before[-12:] or "/" in candidate and "." in candidate),
-        *(float(any(w in x for x in left)) for w in FOR),
-        *(float(any(w in x for x in near)) for w in AGAINST),
-        *(float(w in path) for w in PATHS),
+        float("@" in candidate),
+        float(candidate.count(" ")),
+        *buckets(name, LEFT_BUCKETS),
+        *buckets(f"{before} {after}", NEAR_BUCKETS),
+        *buckets(path, PATH_BUCKETS),
     ]
 
 
@@ -129,49 +142,64 @@ def candidates(text: str) -> list[tuple[int, int]]:
                     found.append((a, a + len(s)))
     for m in CANDIDATE.finditer(text):
         s = m[0].rstrip(".")
-        if len(s) >= LONG and any(c.isdigit() for c in s) and any(c.isalpha() for c in s):
+        if len(s) >= LONG and _DIGIT.search(s) and _LETTER.search(s):
             found.append((m.start(), m.start() + len(s)))
     return sorted(set(found))
 
 
-def sample_findings(n: int = 3000, seed: int = SEED) -> list[tuple[str, str, str, str, int]]:
-    """Labelled findings (candidate, before, after, path, label) made from rules, half of them secrets."""
-    r = random.Random(seed)
+def shapes(r: random.Random) -> tuple[list, list]:
+    """(makers of secrets, (maker, what stands before) of false alarms); None before stands for any name."""
     lower, digit = "abcdefghijklmnopqrstuvwxyz", "0123456789"
     hexa, word = digit + "abcdef", lower + lower.upper() + digit
-    syllables = ["th", "an", "er", "on", "re", "en", "st", "con", "ment", "ver", "ing", "la", "do", "que", "sch", "ion"]
     pick = lambda chars, k: "".join(r.choice(chars) for _ in range(k))
-    prose = lambda k: " ".join("".join(r.choice(syllables) for _ in range(r.randint(1, 3))) for _ in range(k))
+    part = lambda k=2: "".join(r.choice(SYLLABLES) for _ in range(k))
     secret = [
         lambda: pick(hexa, r.choice([32, 40, 64])),
         lambda: pick(word, r.randint(20, 64)),
         lambda: pick(word + "+/", r.choice([40, 44, 64])) + "=" * r.randint(0, 2),
-        lambda: pick(lower[:3], 2) + "_" + pick(word, r.randint(24, 40)),
+        lambda: pick(lower[:6], 2) + "_" + pick(word, r.randint(24, 40)),
         lambda: pick(word + "-_", r.randint(20, 48)),
-        lambda: "".join(r.choice(syllables) for _ in range(3)).title() + pick(digit, 3) + pick("!@#$%", 2),
+        lambda: part(3).title() + pick(digit, 3) + pick("!@#$%", 2),
+        lambda: part(2) + pick(digit, 2) + part(1),
+        lambda: ".".join(pick(word + "-_", k) for k in (20, 60, 30)),
     ]
     alarm = [
         (lambda: r.choice(["changeme", "your-token-here", "xxxxxxxxxxxxxxxx", "<password>", "example_key_123456", "0123456789abcdef", "test_secret_value_1", "${API_TOKEN_2}"]), None),
-        (lambda: pick(hexa, r.choice([32, 40, 64])), ["commit ", "sha256: ", "checksum = \"", "md5 ", "digest: ", "hash of "]),
-        (lambda: "-".join(pick(hexa, k) for k in (8, 4, 4, 4, 12)), ["uuid: ", "id = \"", "request id "]),
-        (lambda: "_".join("".join(r.choice(syllables) for _ in range(2)) for _ in range(r.randint(2, 5))) + pick(digit, 2), None),
-        (lambda: "v" + ".".join(str(r.randint(0, 40)) for _ in range(3)) + "-" + "".join(r.choice(syllables) for _ in range(3)), ["version = \"", "version "]),
-        (lambda: "/".join("".join(r.choice(syllables) for _ in range(2)) for _ in range(r.randint(2, 5))) + "." + pick(lower, 3), ["https://", "file: \"", "url = \""]),
-        (lambda: prose(r.randint(2, 5)), ["name = \"", "title: \"", "message = \""]),
+        (lambda: pick(hexa, r.choice([32, 40, 64])), ["commit ", "sha256: ", 'checksum = "', "md5 ", "digest: ", "hash of ", 'etag="', "revision "]),
+        (lambda: "-".join(pick(hexa, k) for k in (8, 4, 4, 4, 12)), ["uuid: ", 'id = "', "request id ", "trace=", 'session_id: "']),
+        (lambda: "_".join(part() for _ in range(r.randint(2, 5))) + pick(digit, 2), None),
+        (lambda: "v" + ".".join(str(r.randint(0, 40)) for _ in range(3)) + "-" + part(3), ['version = "', "version ", 'release: "']),
+        (lambda: "/".join(part() for _ in range(r.randint(2, 5))) + "." + pick(lower, 3), ["https://", 'file: "', 'url = "', "path="]),
+        (lambda: " ".join(part(r.randint(1, 3)) for _ in range(r.randint(2, 5))), ['name = "', 'title: "', 'message = "', 'note="']),
+        (lambda: f"{part()}.{pick(digit, 2)}@{part()}{pick(digit, 1)}.example.com", ["mail ", 'contact: "', ""]),
+        (lambda: part() + "=" + pick(digit, r.randint(4, 12)) + "." + part(), ["", "? ", 'query = "']),
+        (lambda: f"{pick(digit, 4)}-{pick(digit, 2)}-{pick(digit, 2)}T{pick(digit, 6)}Z", ["at ", 'date = "', "time: "]),
     ]
-    names = ["token", "api_key", "secret", "password", "auth_token", "access_key", "private_key", "client_secret"]
+    return secret, alarm
+
+
+SYLLABLES = ["th", "an", "er", "on", "re", "en", "st", "con", "ment", "ver", "ing", "la", "do", "que", "sch", "ion"]
+
+
+def sample_findings(n: int = 3000, seed: int = SEED, use: Callable[[int], bool] = lambda k: True) -> list[tuple[str, str, str, str, int]]:
+    """Labelled findings (candidate, before, after, path, label) of the shapes whose number ``use`` takes, half of them secrets."""
+    r = random.Random(seed)
+    prose = lambda k: " ".join("".join(r.choice(SYLLABLES) for _ in range(r.randint(1, 3))) for _ in range(k))
+    secret, alarm = (list(x for k, x in enumerate(made) if use(k)) for made in shapes(r))
+    names = ["token", "api_key", "secret", "password", "auth_token", "access_key", "private_key", "client_secret", "pwd", "credential", "bearer", "signing_key"]
+    plain = ["name", "value", "field", "label", "column", "key", "item", "part"]
+    paths = ["src/app.py", "config/prod.env", "deploy.yaml", "tests/test_app.py", "docs/readme.md", "package-lock.json", "src0", "src7", ""]
     out = []
     for k in range(n):
         ctx = prose(r.randint(1, 6))
         if k % 2:
-            before = f'{ctx} {r.choice(names)}{r.choice([" = ", ": ", "=", " := "])}"'
-            path = r.choice(["src/app.py", "config/prod.env", "deploy.yaml", "src0", "src12", ""])
-            out.append((r.choice(secret)(), before, f'" {prose(3)}', path, 1))
+            quote = r.choice(['"', '"', "'", ""])
+            before = f'{ctx} {r.choice(names)}{r.choice([" = ", ": ", "=", " := "])}{quote}'
+            out.append((r.choice(secret)(), before, f"{quote} {prose(3)}", r.choice(paths), 1))
         else:
             make, lead = r.choice(alarm)
-            before = f"{ctx} " + (r.choice(lead) if lead else f'{r.choice([*names, "name", "value"])} = "')
-            path = r.choice(["tests/test_app.py", "docs/readme.md", "src/app.py", "package-lock.json", "src3", "src7", ""])
-            out.append((make(), before, f'" {prose(3)}', path, 0))
+            before = f"{ctx} " + (r.choice(lead) if lead else f'{r.choice([*names, *plain])} = "')
+            out.append((make(), before, f'" {prose(3)}', r.choice(paths), 0))
     return out
 
 
@@ -182,6 +210,7 @@ def train(findings: DataFrame, vocabulary: str | None = None, trees: int = TREES
 
     words = findings.sparkSession.sparkContext.broadcast(dictionary(vocabulary or default_vocabulary()))
 
+    @tidy()
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs = pair_model(words.value)
         for b in batches:
@@ -196,26 +225,30 @@ def train(findings: DataFrame, vocabulary: str | None = None, trees: int = TREES
     return forest.fit(known)
 
 
-FOUND = "begin long, stop long, candidate_sha256 string, x array<double>"
+OUTPUTS = ["begin", "stop", "candidate_sha256", "score"]
 
 
 def scan(docs: DataFrame, model, text: str = "text", path: str | None = None, keep: list[str] | None = None, vocabulary: str | None = None) -> DataFrame:
     """One row per candidate: the columns ``keep``, begin, stop (code points), candidate_sha256, score."""
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
-    keep = [c for c in docs.columns if c not in (text,)] if keep is None else keep
+    small_batches(docs.sparkSession)
+    keep = others([c for c in docs.columns if c != text] if keep is None else keep, *OUTPUTS)
     words = docs.sparkSession.sparkContext.broadcast(dictionary(vocabulary or default_vocabulary()))
     where = F.col(path).cast("string") if path else F.lit("")
-    df = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text).alias("__sw_text"), F.coalesce(where, F.lit("")).alias("__sw_path"))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields[:-2]), FOUND])
+    # under names that no column of the model has
+    held = [F.col(f"`{c}`").alias(f"kept_{k}") for k, c in enumerate(keep)]
+    df = docs.select(*held, F.coalesce(where, F.lit("")).alias("path"), F.col(text).alias("text"))
+    schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in df.schema.fields[:-2]), "begin long, stop long, candidate_sha256 string, x array<double>"])
 
+    @tidy()
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import hashlib
 
         pairs = pair_model(words.value)
-        for b in batches:
+        for b in slices(batches, len(keep) + 1):
             row, begin, stop, digest, x = [], [], [], [], []
-            for k, (t, p) in enumerate(zip(b.column(b.num_columns - 2).to_pylist(), b.column(b.num_columns - 1).to_pylist())):
+            for k, (p, t) in enumerate(zip(b.column(len(keep)).to_pylist(), b.column(len(keep) + 1).to_pylist())):
                 for i, j in candidates(t or ""):
                     row.append(k)
                     begin.append(i)
@@ -223,20 +256,13 @@ def scan(docs: DataFrame, model, text: str = "text", path: str | None = None, ke
                     digest.append(hashlib.sha256(t[i:j].encode("utf-8", "surrogatepass")).hexdigest())
                     x.append(features(t[i:j], t[max(0, i - NEAR) : i], t[j : j + NEAR], p, words.value, pairs))
             take = pa.array(row, pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [
-                    *(b.column(k).take(take) for k in range(b.num_columns - 2)),
-                    pa.array(begin, pa.int64()),
-                    pa.array(stop, pa.int64()),
-                    pa.array(digest, pa.string()),
-                    pa.array(x, pa.list_(pa.float64())),
-                ],
-                names=[*b.schema.names[:-2], "begin", "stop", "candidate_sha256", "x"],
-            )
-
-    found = df.mapInArrow(run, schema).withColumn("features", array_to_vector("x"))
+            found = [pa.array(begin, pa.int64()), pa.array(stop, pa.int64()), pa.array(digest, pa.string()), pa.array(x, pa.list_(pa.float64()))]
+            yield pa.RecordBatch.from_arrays([*(b.column(k).take(take) for k in range(len(keep))), *found], names=[*b.schema.names[:-2], *OUTPUTS[:3], "x"])
+
+    found = df.mapInArrow(run, schema).withColumn("features", array_to_vector("x")).drop("x")
     scored = model.setFeaturesCol("features").transform(found)
-    return scored.select(*[F.col(f"`{c}`") for c in keep], "begin", "stop", "candidate_sha256", vector_to_array("probability")[1].alias("score"))
+    back = [F.col(f"kept_{k}").alias(c) for k, c in enumerate(keep)]
+    return scored.select(*back, *OUTPUTS[:3], vector_to_array("probability")[1].alias("score"))
 
 
 def digest(spark: SparkSession, docs: DataFrame) -> DataFrame:
