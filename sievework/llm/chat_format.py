@@ -13,7 +13,7 @@ the text back exactly.
 Row rules: null text and null role are empty strings. A parent that is null or absent makes a root. Rows
 that repeat (tree, node) count once, the smallest (role, text) wins. Rows whose tree or node is null are
 left out, as are nodes on a cycle. Turns with equal numbers are ordered by role and text, and repeated
-turns are all kept. Empty tables give empty results. Extra columns are ignored.
+turns are all kept; null turns come first. Texts may have any length. Branches of equal mean score rank by leaf. Empty tables give empty results. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -165,7 +165,7 @@ def loss_text(formatted: str = "formatted", mask: str = "loss_mask") -> Column:
 
 def conversation_nodes(conversations: DataFrame) -> DataFrame:
     """conversations (conv_id, turn, role, text) as trees: each turn answers the one before it."""
-    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    order = Window.partitionBy("conv_id").orderBy("turn", F.coalesce("role", F.lit("")), F.coalesce("text", F.lit("")))
     rows = conversations.where("conv_id is not null").select("conv_id", "turn", "role", "text")
     rows = rows.withColumn("node", F.row_number().over(order).cast("long"))
     return rows.select(
@@ -184,14 +184,14 @@ def format_trees(nodes: DataFrame, learned_role: str = LEARNED_ROLE, keep_rank:
 
 
 def digest(spark: SparkSession, conversations: DataFrame) -> DataFrame:
-    said = r"\### Assistant: </turn> ok"
     extra = spark.sql(
-        "select -7L as tree, n as node, nullif(n - 1, 0L) as parent, "
-        "element_at(array('user', 'assistant'), cast(n as int)) as role, t as text, 0.0D as score "
-        "from (select explode(array(1L, 2L)) as n, :said as t)",
-        args={"said": said},
+        "select -7L as conv_id, cast(turn as bigint) as turn, role, :said as text "
+        "from values (0, 'user'), (1, 'assistant') as t(turn, role)",
+        args={"said": r"\### Assistant: </turn> ok"},
     )
-    out = format_trees(conversation_nodes(conversations).unionByName(extra))
+    # turns are numbered after the union: the table may hold a conversation of this id as well
+    said = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
+    out = format_trees(conversation_nodes(said.unionByName(extra)))
     out = out.select(
         F.col("tree").alias("conv_id"), "formatted", parsed_turns().alias("turns"), loss_text().alias("loss")
     )
@@ -216,9 +216,9 @@ WITH c AS (
       || replace(replace(text, '\', '\\'), '<|', '<\|') || '<|end|>' || chr(10)) AS n_piece FROM c
 )
 SELECT conv_id, count(*)::BIGINT AS n_turns,
-       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
        coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
-       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
        sum(n_piece)::BIGINT AS formatted_chars
 FROM e GROUP BY conv_id
 """
