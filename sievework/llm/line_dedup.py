@@ -6,8 +6,10 @@ split by a document salt first, and only the first document of each (hash, salt)
 pass, so a line that a third of all documents hold is spread over SALTS groups and meets again as at
 most SALTS rows. No text is shuffled until a bitmap is applied.
 
-Row rules: null or empty text is one empty line. Rows that share doc_id are one document. Rows with a
-null doc_id lose nothing and make nothing lose. Extra columns pass through ``apply_keep_runs``.
+Row rules: null or empty text is one empty line. Texts and lines may have any length. Rows that share doc_id
+are one document, and lose nothing to each other; of a line's documents the smallest doc_id keeps it, so there
+are no ties. Rows with a null doc_id lose nothing and make nothing lose. Empty tables give empty results. Extra
+columns, whatever their names, pass through ``apply_keep_runs``.
 """
 
 from __future__ import annotations
@@ -15,8 +17,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ASCII_SPACE, ascii_lower, materialize
+from .common import ASCII_SPACE, ascii_lower, free_name, materialize
 
+#: Groups that a hash is spread over at least; more where the session shuffles into more partitions.
 SALTS = 64
 MIN_CHARS = 10
 
@@ -53,6 +56,7 @@ def line_hashes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min
 
 def dropped_lines(hashes: DataFrame, salts: int = SALTS) -> DataFrame:
     """(doc, version, n_lines, pos) of the lines to drop: those of a hash outside its smallest document."""
+    salts = max(salts, int(hashes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     salted = hashes.withColumn("salt", F.pmod(F.xxhash64("doc"), F.lit(salts)).cast("int"))
     runs = salted.repartitionByRange("h1", "h2", "salt")
     first = F.first("doc").over(Window.partitionBy("h1", "h2", "salt").orderBy("doc", "pos"))
@@ -112,19 +116,19 @@ def kept_text(text: str, runs: Column) -> Column:
 
 def apply_keep_runs(docs: DataFrame, bitmaps: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with text replaced by what is kept; the columns stay as they were."""
-    joined = with_runs(docs, bitmaps, doc_id, text)
-    new = F.when(F.col("__sw_runs").isNull(), F.col(text)).otherwise(kept_text(text, F.col("__sw_runs")))
+    runs = free_name(docs, "__sw_runs")
+    joined = with_runs(docs, bitmaps, doc_id, text, runs)
+    new = F.when(F.col(runs).isNull(), F.col(text)).otherwise(kept_text(text, F.col(runs)))
     return joined.withColumn(text, new).select(*docs.columns)
 
 
-def with_runs(docs: DataFrame, bitmaps: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    found = bitmaps.select(
-        F.col("doc").alias("__sw_doc"), F.col("version").alias("__sw_version"), F.col("keep_runs").alias("__sw_runs")
-    )
-    versioned = docs.withColumn("__sw_v", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
-    return versioned.join(
-        found, (F.col(doc_id) == F.col("__sw_doc")) & (F.col("__sw_v") == F.col("__sw_version")), "left"
-    ).drop("__sw_doc", "__sw_version", "__sw_v")
+def with_runs(docs: DataFrame, bitmaps: DataFrame, doc_id: str = "doc_id", text: str = "text", out: str = "__sw_runs") -> DataFrame:
+    """docs plus the keep_runs of each document, null where it keeps all."""
+    doc, version, own = (free_name(docs, stem) for stem in ("__sw_doc", "__sw_version", "__sw_own"))
+    found = bitmaps.select(F.col("doc").alias(doc), F.col("version").alias(version), F.col("keep_runs").alias(out))
+    versioned = docs.withColumn(own, F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
+    joined = versioned.join(found, (F.col(doc_id) == F.col(doc)) & (F.col(own) == F.col(version)), "left")
+    return joined.drop(doc, version, own)
 
 
 def digest(docs: DataFrame) -> DataFrame:
