@@ -63,13 +63,3 @@ def tidy(clear: Callable[[], object] | None = None) -> Callable:
         return whole
 
     return wrap
-
-
-_HELD: dict[str, Callable[[], object]] = {}
-
-
-def claim(owner: str, clear: Callable[[], object]) -> None:
-    """Give the caches of this Python worker to one operator: those of the operators before it are emptied."""
-    for name in [n for n in _HELD if n != owner]:
-        _HELD.pop(name)()
-    _HELD[owner] = clear
