@@ -3,6 +3,13 @@
 Every stage takes (spark, docs, sf_dir), works on all that its predecessor kept and returns a DataFrame;
 each is written as Parquet in the shared folder and read again before the next. All but the last keep the
 columns of documents.
+
+Row rules of all stages: rows with null or empty text stay, having nothing to be judged by, and so do rows with a
+null doc_id; texts may have any length and are taken whole. Rows that repeat are judged one by one where a
+stage looks at a text alone; in line dedup and in the n-gram join rows that share a doc_id are one document,
+which keeps its lines against itself and goes as a whole. Ties go to the smallest doc_id. Empty tables give
+empty results, and without labels no document is toxic. Columns beside those of documents pass through,
+whatever their names. The last stage returns its own three columns.
 """
 
 from __future__ import annotations
@@ -11,13 +18,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievework.llm import bpe, decontaminate, line_dedup, ngram_join, toxicity
-from sievework.llm.common import materialize, table
+from sievework.llm.common import free_name, materialize, table
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below the threshold; the model learns from the labelled documents of docs."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model, out="__sw_score").where(F.col("__sw_score") < toxicity.THRESHOLD).select(*docs.columns)
+    own = free_name(docs, "__sw_score")
+    return toxicity.score(docs, model, out=own).where(F.col(own) < toxicity.THRESHOLD).select(*docs.columns)
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,8 +46,9 @@ def ngram_join_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no window of a benchmark item."""
-    found = decontaminate.find_contamination(docs, table(spark, sf_dir, "benchmark"), out="__sw_hits")
-    return found.where(F.size("__sw_hits.hit_words") == 0).select(*docs.columns)
+    own = free_name(docs, "__sw_hits")
+    found = decontaminate.find_contamination(docs, table(spark, sf_dir, "benchmark"), out=own)
+    return found.where(F.size(f"{own}.hit_words") == 0).select(*docs.columns)
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
