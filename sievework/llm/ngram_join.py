@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import connected_components, discard, hot_keys, materialize, small_batches
+from .common import connected_components, discard, hot_keys, keyed_join, materialize, small_batches
 from .words import slices, tidy
 
 SHINGLE = 4
@@ -435,9 +435,9 @@ def join_components(
     every = materialize(keyed_sets(docs, size, percent), "join-sets")
     docs, sets = docs.where("doc_id is not null"), every.where("doc is not null")
     # equal sets: linked to the smallest document of their class, which stands for them from here on
-    whole = sets.where("n > 0").select("doc", "n", "c1", "c2")
-    firsts = whole.groupBy("c1", "c2", "n").agg(F.min("doc").alias("rep"))
-    placed = whole.join(firsts, ["c1", "c2", "n"]).select("doc", "rep")
+    whole = sets.where("n > 0").select("doc", F.struct("c1", "c2", "n").alias("same"))
+    firsts = whole.groupBy("same").agg(F.min("doc").alias("rep")).toDF("own", "rep")
+    placed = keyed_join(whole, "same", firsts, "own", hot_keys(whole, "same").toDF("hot")).select("doc", "rep")
     copies = placed.where("doc <> rep").select(F.col("rep").alias("a"), F.col("doc").alias("b"))
     copies = materialize(copies.distinct(), "join-copies")
     # a repeated id stays in the search while one of its texts stands for a class
