@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 from ..functions import domain as D
 from ..operators import mutations as M
 from ..registry import query
-from .standins import projects, read, scans, stored_findings
+from .standins import FP as _FP
+from .standins import NUM, projects, read, scans, stored_findings
+from .standins import UPSERT as _UPSERT
 
 NOW = "1999-01-01 00:00:00"
-NUM = "CAST(regexp_extract(finding_id, 'f-(\\d+)-', 1) AS BIGINT)"
 
 
 def now():
@@ -32,19 +33,6 @@ def _incoming(spark, d):
     return rows.where((num % 3 != 1) & (F.col("project_id") < "p-3")).withColumn("pos", F.col("finding_id"))
 
 
-_FP = "sha256(concat(rule_id, file_path, sha256(snippet)))"
-_UPSERT = f"""WITH rows_ AS (SELECT *, {_FP} AS fingerprint, {NUM} AS num FROM stored_findings),
-  st AS (SELECT * FROM rows_ WHERE num % 3 <> 0 QUALIFY row_number() OVER (PARTITION BY project_id, fingerprint ORDER BY finding_id) = 1),
-  inc AS (SELECT *, min(finding_id) OVER (PARTITION BY project_id, fingerprint) AS first_id FROM rows_ WHERE num % 3 <> 1 AND project_id < 'p-3'
-    QUALIFY row_number() OVER (PARTITION BY project_id, fingerprint ORDER BY finding_id DESC) = 1),
-  sc AS (SELECT DISTINCT project_id, true AS was FROM inc)
-SELECT coalesce(s.finding_id, i.first_id) AS finding_id, coalesce(s.project_id, i.project_id) AS project_id, coalesce(s.fingerprint, i.fingerprint) AS fingerprint,
-  CASE WHEN i.finding_id IS NOT NULL THEN i.line ELSE s.line END AS line, CASE WHEN i.finding_id IS NOT NULL THEN i.severity ELSE s.severity END AS severity,
-  CASE WHEN s.finding_id IS NULL THEN 'Open' WHEN i.finding_id IS NOT NULL AND s.triage_state = 'AutoFixed' THEN 'Open'
-    WHEN i.finding_id IS NULL AND coalesce(was, false) AND s.triage_state NOT IN ('Fixed','AutoFixed','Ignored','AutoIgnored') THEN 'AutoFixed' ELSE s.triage_state END AS triage_state
-FROM st s FULL JOIN inc i ON s.project_id = i.project_id AND s.fingerprint = i.fingerprint LEFT JOIN sc ON sc.project_id = coalesce(s.project_id, i.project_id)"""
-
-
 @query("mut1_upsert_scan", _UPSERT)
 def mut1(spark, d):
     out = M.upsert_scan(_stored(spark, d), _incoming(spark, d), now())
@@ -116,13 +104,14 @@ def mut7(spark, d):
     "mut9_verify_fixes",
     """SELECT a.finding_id AS fix_id, CASE WHEN bool_or(b.rule_id = a.rule_id AND b.line = a.line) THEN 'StillPresent'
     WHEN count(b.finding_id) > 0 THEN 'NewFindings' ELSE 'Resolved' END AS outcome
-    FROM (SELECT * FROM stored_findings WHERE triage_state = 'Fixed' AND severity = 'Critical') a
-    LEFT JOIN (SELECT * FROM stored_findings WHERE triage_state = 'Open' AND severity = 'Critical') b ON a.file_path = b.file_path GROUP BY 1""",
+    FROM (SELECT * FROM stored_findings WHERE triage_state = 'Fixed') a
+    LEFT JOIN (SELECT * FROM stored_findings WHERE triage_state = 'Open' AND line % 3 > 0 AND regexp_extract(file_path, '(\\d+)[.]py', 1) <> '7') b ON a.file_path = b.file_path GROUP BY 1""",
 )
 def mut9(spark, d):
-    rows = stored_findings(spark, d).where("severity = 'Critical'")
+    rows = stored_findings(spark, d)
     fixes = rows.where("triage_state = 'Fixed'").select(F.col("finding_id").alias("fix_id"), "file_path", "rule_id", "line")
-    return M.verify_fixes(fixes, rows.where("triage_state = 'Open'"))
+    after = rows.where((F.col("triage_state") == "Open") & (F.col("line") % 3 > 0) & ~F.col("file_path").endswith("/file7.py"))
+    return M.verify_fixes(fixes, after)
 
 
 @query(
@@ -168,10 +157,10 @@ def mut13(spark, d):
 @query(
     "mut14_publish_release",
     """SELECT event_type AS platform, event_id AS version, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) = 1 AS active
-    FROM events WHERE user_id % 50 = 3""",
+    FROM events""",
 )
 def mut14(spark, d):
-    e = read(spark, d, "events").where("user_id % 50 = 3")
+    e = read(spark, d, "events")
     return M.publish_release(e.select(F.col("event_type").alias("platform"), F.col("event_id").alias("version"), F.col("ts").alias("published_at"))).select("platform", "version", "active")
 
 
@@ -230,12 +219,12 @@ def joi14(spark, d):
 
 @query(
     "snk10_cache_stats",
-    "SELECT count(*) AS entries, CAST(sum(length(text)) AS BIGINT) AS chars, min(doc_id) AS oldest FROM documents WHERE doc_id % 2 = 0 AND source <> 'src0'",
+    "SELECT count(*) AS entries, CAST(sum(length(text)) AS BIGINT) AS chars, min(doc_id) AS oldest FROM documents WHERE source <> 'src0'",
 )
 def snk10(spark, d):
     from ..operators.cache import invalidate, stats
 
-    docs = read(spark, d, "documents").where("doc_id % 2 = 0")
+    docs = read(spark, d, "documents")
     entries = docs.select(F.col("source").alias("language"), F.char_length("text").alias("chars"), F.col("doc_id").alias("cached_at"))
     return stats(invalidate(entries, "src0"))
 

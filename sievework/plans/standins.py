@@ -16,8 +16,14 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Folders of stand-ins that were written before, by (table folder, name): a bench then times operators alone.
+PREPARED: dict[tuple[str, str], str] = {}
+
+
 def stored_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Findings with triage state, one per (order, line number); ties fall to the smallest row."""
+    if (sf_dir, "stored_findings") in PREPARED:
+        return spark.read.parquet(PREPARED[sf_dir, "stored_findings"])
     keys = [
         "l_partkey",
         "l_suppkey",
@@ -134,15 +140,44 @@ def src_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def call_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Call graph edges between functions 0..n-1."""
     n = read(spark, sf_dir, "part").agg(F.count("*").alias("n"))
-    e = read(spark, sf_dir, "lineitem").where("l_linenumber = 1 and l_quantity >= 40")
     return (
-        e.crossJoin(F.broadcast(n))
+        read(spark, sf_dir, "lineitem").crossJoin(F.broadcast(n))
         .select(F.col("l_partkey").alias("src"), (F.col("l_orderkey") % F.col("n")).alias("dst"))
         .where("src <> dst")
         .distinct()
     )
 
 
+#: Lines with and without directives; @ stands for a rule.
+FORMS = [
+    "x = 1  # scan-ignore", "eval(x)", "# scan-ignore-next-line: anything", "// scan-ignore:@", "#scan-ignore: @ ", "eval(r) // not a scan-ignored line",
+    "// scan-ignore legacy reason", "<!-- scan-ignore -->", "/* scan-ignore-next-line */", "<!-- scan-ignore:@ -->", "call(y)  // scan-ignore:@",
+    "scan-ignore", "# scan-ignore-secret", "token = 1  # scan-ignore-secret: known", "s = 'scan-ignore-secret'", "/* scan-ignore:@", "# see scan-ignore:@", "",
+]
+_FORM_ROWS = ", ".join("({}, '{}')".format(k, x.replace("'", "''")) for k, x in enumerate(FORMS))
+#: Python files; @ stands for the file's number.
+CODE = [
+    "import os\n\ndef run@(request):\n    os.system('ls ' + request.path)\n", "def f@(x):\n    return eval(x)\n", "# eval(x)\ntext = 'os.system(y)'\n",
+    "import hashlib\nfor a in b:\n    c(hashlib.md5(a), hashlib.md5(b))\n", "def broken@(:\n    eval(x)\n", "try:\n    open('/a/%s' % name)\nexcept:\n    pass\n",
+    "def safe@(db, k):\n    db.execute('SELECT %s', (k,))\n", "def bad@(db, k):\n    db.execute(f'SELECT {k}')  # scan-ignore\n    db.execute(f'DELETE {k}')\n",
+]
+
+
+def marked_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(file_path, line_no, line) with directives of all forms."""
+    k = F.col("p_partkey")
+    form = F.element_at(F.array(*map(F.lit, FORMS)), (k % len(FORMS) + 1).cast("int"))
+    line = F.replace(form, F.lit("@"), F.concat(F.lit("rule-"), k % 7))
+    return read(spark, sf_dir, "part").select(F.concat(F.lit("src/f"), k % 40, F.lit(".py")).alias("file_path"), F.expr("cast(p_partkey div 40 + 1 as int)").alias("line_no"), line.alias("line"))
+
+
+def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(file_path, text, k) of small Python files."""
+    k = F.col("p_partkey")
+    text = F.replace(F.element_at(F.array(*map(F.lit, CODE)), (k % len(CODE) + 1).cast("int")), F.lit("@"), k.cast("string"))
+    return read(spark, sf_dir, "part").select(F.concat(F.lit("src/svc"), k % 9, F.lit("/f"), k, F.lit(".py")).alias("file_path"), text.alias("text"), k.alias("k"))
+
+
 CTES = {
     "stored_findings": """
   SELECT concat('f-', l_orderkey, '-', l_linenumber) AS finding_id, concat('s-', l_orderkey) AS scan_id,
@@ -178,10 +213,30 @@ CTES = {
   FROM (SELECT doc_id, source, string_split(regexp_replace(text, '\\n$', ''), chr(10)) AS ls FROM documents)""",
     "call_edges": """
   SELECT DISTINCT l_partkey AS src, l_orderkey % (SELECT count(*) FROM part) AS dst FROM lineitem
-  WHERE l_linenumber = 1 AND l_quantity >= 40 AND l_partkey <> l_orderkey % (SELECT count(*) FROM part)""",
+  WHERE l_partkey <> l_orderkey % (SELECT count(*) FROM part)""",
+    "marked_lines": f"""
+  SELECT concat('src/f', p_partkey % 40, '.py') AS file_path, CAST(p_partkey // 40 + 1 AS INT) AS line_no, replace(form, '@', concat('rule-', p_partkey % 7)) AS line
+  FROM part JOIN (VALUES {_FORM_ROWS}) t(k, form) ON k = p_partkey % {len(FORMS)}""",
+    "code_files": f"""
+  SELECT concat('src/svc', p_partkey % 9, '/f', p_partkey, '.py') AS file_path, p_partkey % {len(CODE)} AS form, p_partkey AS k FROM part""",
 }
 
 
+#: SQL of a finding's number and fingerprint, and of the upsert of a scan into stored findings.
+NUM = "CAST(regexp_extract(finding_id, 'f-(\\d+)-', 1) AS BIGINT)"
+FP = "sha256(concat(rule_id, file_path, sha256(snippet)))"
+UPSERT = f"""WITH rows_ AS (SELECT *, {FP} AS fingerprint, {NUM} AS num FROM stored_findings),
+  st AS (SELECT * FROM rows_ WHERE num % 3 <> 0 QUALIFY row_number() OVER (PARTITION BY project_id, fingerprint ORDER BY finding_id) = 1),
+  inc AS (SELECT *, min(finding_id) OVER (PARTITION BY project_id, fingerprint) AS first_id FROM rows_ WHERE num % 3 <> 1 AND project_id < 'p-3'
+    QUALIFY row_number() OVER (PARTITION BY project_id, fingerprint ORDER BY finding_id DESC) = 1),
+  sc AS (SELECT DISTINCT project_id, true AS was FROM inc)
+SELECT coalesce(s.finding_id, i.first_id) AS finding_id, coalesce(s.project_id, i.project_id) AS project_id, coalesce(s.fingerprint, i.fingerprint) AS fingerprint,
+  CASE WHEN i.finding_id IS NOT NULL THEN i.line ELSE s.line END AS line, CASE WHEN i.finding_id IS NOT NULL THEN i.severity ELSE s.severity END AS severity,
+  CASE WHEN s.finding_id IS NULL THEN 'Open' WHEN i.finding_id IS NOT NULL AND s.triage_state = 'AutoFixed' THEN 'Open'
+    WHEN i.finding_id IS NULL AND coalesce(was, false) AND s.triage_state NOT IN ('Fixed','AutoFixed','Ignored','AutoIgnored') THEN 'AutoFixed' ELSE s.triage_state END AS triage_state
+FROM st s FULL JOIN inc i ON s.project_id = i.project_id AND s.fingerprint = i.fingerprint LEFT JOIN sc ON sc.project_id = coalesce(s.project_id, i.project_id)"""
+
+
 def with_ctes(sql: str, recursive: bool = False) -> str:
     """sql with the stand-ins that it names as CTEs before it."""
     used = [name for name in CTES if re.search(rf"\b{name}\b", sql)]

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..scratch import scratch_path
 from ..sources.files import is_excluded, language_of
 
 CHANGES = "file_path string, change string, rule_id string, line int, severity string, seq long"
@@ -47,15 +48,16 @@ def watch_changes(snapshots: DataFrame) -> DataFrame:
 
 
 def debounced(edits: DataFrame, gap: str = "500 milliseconds", late: str = "10 seconds") -> DataFrame:
-    """The last edit of each burst per document: edits closer than the gap make one session; saves pass at once.
+    """What to scan of each document: saves at once, and of each burst of edits the last, unless a save came after it.
 
-    edits: (doc, ts timestamp, saved boolean, version long).
+    edits: (doc, ts timestamp, saved boolean, version long); edits closer than the gap make one burst, which ends
+    when the watermark has passed it. A save takes part in its burst as well, and there stands for the edits before it.
     """
+    now = edits.where("saved").select("doc", "version", "saved", F.col("ts").alias("begins"), F.col("ts").alias("ends"))
     marked = edits.withWatermark("ts", late)
-    sessions = marked.groupBy(F.session_window("ts", gap).alias("w"), "doc")
-    return sessions.agg(F.max("version").alias("version"), F.bool_or("saved").alias("saved")).select(
-        "doc", "version", "saved", F.col("w.start").alias("begins"), F.col("w.end").alias("ends")
-    )
+    bursts = marked.groupBy(F.session_window("ts", gap).alias("w"), "doc").agg(F.max(F.struct("ts", "version", "saved")).alias("last"))
+    rest = bursts.where("not last.saved").select("doc", "last.version", "last.saved", F.col("w.start").alias("begins"), F.col("w.end").alias("ends"))
+    return now.unionByName(rest)
 
 
 def distinct_scans(payloads: DataFrame, late: str = "1 hour") -> DataFrame:
@@ -86,14 +88,41 @@ def upsert_each(payloads: DataFrame, read: Callable[[], DataFrame], write: Calla
     return payloads.writeStream.foreachBatch(merge)
 
 
-def latest_ruleset(updates: DataFrame, apply: Callable[[DataFrame], None]):
-    """A writer that hands on the rules of the newest version in each batch, and none that is older than one seen."""
-    seen = {"version": -1}
+def latest_ruleset(updates: DataFrame, apply: Callable[[DataFrame], None], state: str):
+    """A writer that hands on the rules of the newest version in each batch, and none that is older than one seen.
+
+    The newest version is kept in a table at ``state``, in a store that outlives the driver, so a restart goes on
+    from it. It is written after apply(): a version whose hand-over failed is handed over again.
+    """
 
     def push(batch: DataFrame, _: int) -> None:
+        spark = batch.sparkSession
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(state)
+        there = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder)
+        seen = spark.read.schema("version long").parquet(state).agg(F.max("version")).first()[0] if there else None
         top = batch.agg(F.max("version")).first()[0]
-        if top is not None and top > seen["version"]:
-            seen["version"] = top
+        if top is not None and (seen is None or top > seen):
             apply(batch.where(F.col("version") == top))
+            spark.range(1).select(F.lit(top).cast("long").alias("version")).write.mode("append").parquet(state)
 
     return updates.writeStream.foreachBatch(push)
+
+
+def replay(rows: DataFrame, build: Callable[[DataFrame], DataFrame], mode: str = "append") -> DataFrame:
+    """What a streaming query puts out over a table: the table is written as files, and all of them are processed."""
+    spark = rows.sparkSession
+    source, sink = scratch_path(spark, "replay-in"), scratch_path(spark, "replay-out")
+    rows.write.parquet(source)
+    out = build(spark.readStream.schema(rows.schema).parquet(source))
+    run = out.writeStream.outputMode(mode).foreachBatch(lambda batch, k: batch.write.mode("append").parquet(sink))
+    run.option("checkpointLocation", scratch_path(spark, "replay-state")).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(out.schema).parquet(sink)
+
+
+def replay_into(rows: DataFrame, build: Callable[[DataFrame], object]) -> None:
+    """Run a writer that build() makes, to its end over a table."""
+    spark = rows.sparkSession
+    source = scratch_path(spark, "replay-in")
+    rows.write.parquet(source)
+    writer = build(spark.readStream.schema(rows.schema).parquet(source))
+    writer.option("checkpointLocation", scratch_path(spark, "replay-state")).trigger(availableNow=True).start().awaitTermination()

@@ -90,11 +90,20 @@ def test_rulesets_never_go_back(spark, tmp_path):
     src = tmp_path / "in"
     src.mkdir()
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(src))
-    q = ingest.latest_ruleset(stream, lambda b: seen.append(b.first().version)).option("checkpointLocation", str(tmp_path / "ck")).start()
-    for k, v in enumerate((3, 2, 4)):
-        spark.createDataFrame([(v, "R")], schema).coalesce(1).write.json(str(tmp_path / f"b{k}"))
-        for p in (tmp_path / f"b{k}").glob("part-*"):
-            p.rename(src / f"{k}.json")
-        q.processAllAvailable()
-    q.stop()
-    assert seen == [3, 4]
+    for restart, versions in enumerate([(3, 2, 4), (1, 4, 5)]):  # a restarted writer knows what was seen before
+        q = ingest.latest_ruleset(stream, lambda b: seen.append(b.first().version), str(tmp_path / "version")).option("checkpointLocation", str(tmp_path / "ck")).start()
+        for k, v in enumerate(versions):
+            spark.createDataFrame([(v, "R")], schema).coalesce(1).write.json(str(tmp_path / f"b{restart}{k}"))
+            for p in (tmp_path / f"b{restart}{k}").glob("part-*"):
+                p.rename(src / f"{restart}{k}.json")
+            q.processAllAvailable()
+        q.stop()
+    assert seen == [3, 4, 5]
+
+
+def test_a_save_passes_at_once_and_ends_the_wait(spark, tmp_path):
+    schema = "doc string, ts timestamp, saved boolean, version long"
+    batches = [[("d", t(0.0), False, 1), ("d", t(0.2), True, 2)], [("e", t(1), False, 7)], [("f", t(90), False, 1)], [("f", t(200), False, 2)]]
+    out = run(spark, tmp_path, batches, schema, ingest.debounced)
+    got = [(r.doc, r.version, r.saved) for r in out]
+    assert got[0] == ("d", 2, True) and ("d", 1, False) not in got and ("e", 7, False) in got and got.count(("d", 2, True)) == 1
