@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import bisect
+import functools
+import re
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..scratch import checkpointed
+
+#: Tables of a search that are read side by side before they are written as one.
+COMPACT = 8
+
 #: Names whose use marks a function as a source of untrusted input.
 TAINT_SOURCES = {
     "Python": ["request", "os"],
@@ -15,17 +23,6 @@ TAINT_SOURCES = {
 }
 
 
-def _checkpoint(df: DataFrame) -> DataFrame:
-    """Cut lineage in the folder that all executors share."""
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        import tempfile
-
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="sievework-"))
-    return df.checkpoint()
-
-
 def python_functions(files: DataFrame) -> DataFrame:
     """(file_path, kind, name, line, def_line) of definitions, calls and name uses, by the syntax tree."""
 
@@ -51,6 +48,50 @@ def python_functions(files: DataFrame) -> DataFrame:
     return files.select("file_path", "text").mapInPandas(run, "file_path string, kind string, name string, line int")
 
 
+#: How functions are defined in languages that are read by their words: the name is the group that matched.
+DEFINITIONS = {
+    "JavaScript": r"\bfunction\s*\*?\s*([\w$]+)\s*\(|\b(?:const|let|var)\s+([\w$]+)\s*=\s*(?:async\s*)?(?:function\b|\([^()]*\)\s*=>|[\w$]+\s*=>)|^\s*(?:async\s+|static\s+)*(?!(?:if|for|while|switch|catch|function|return)\b)([\w$]+)\s*\([^()]*\)\s*\{",
+    "Go": r"\bfunc\s*(?:\([^()]*\)\s*)?(\w+)\s*\(",
+    "Rust": r"\bfn\s+(\w+)",
+    "Java": r"^\s*(?:(?:public|protected|private|static|final|synchronized|abstract)\s+)*[\w<>\[\],.?]+\s+(?!(?:if|for|while|switch|catch|new|return)\b)(\w+)\s*\([^()]*\)\s*(?:throws\s+[\w,.\s]+)?\{",
+}
+DEFINITIONS["TypeScript"] = DEFINITIONS["JavaScript"].replace(r"\([^()]*\)\s*=>", r"\([^()]*\)\s*(?::[^={}]+)?=>").replace(r"\([^()]*\)\s*\{", r"\([^()]*\)\s*(?::[^={}]+)?\{")
+_QUIET = [r"//[^\n]*", r"/\*.*?\*/", r'"(?:\\.|[^"\\\n])*"', r"`(?:\\.|[^`\\])*`", r"'(?:\\.|[^'\\\n])*'"]
+_KEYWORDS = {"if", "for", "while", "switch", "catch", "function", "return", "func", "fn", "match", "new", "super", "sizeof", "typeof", "await"}
+
+
+def word_functions(language: str, text: str) -> list[tuple[str, str, int]]:
+    """(kind, name, line) of definitions, calls and name uses, by words, with comments and strings blanked."""
+    # a single quote of Rust may begin a lifetime
+    quiet = [*_QUIET[:-1], r"'(?:\\.|[^'\\])'"] if language == "Rust" else _QUIET
+    plain = re.sub("|".join(quiet), lambda m: re.sub(r"[^\n]", " ", m[0]), text, flags=re.S)
+    starts = [0, *(m.end() for m in re.finditer("\n", plain))]
+    line = lambda at: bisect.bisect_right(starts, at)
+    rows, named = [], set()
+    for m in re.finditer(DEFINITIONS[language], plain, re.M):
+        k = m.lastindex
+        named.add(m.start(k))
+        rows.append(("def", m[k], line(m.start(k))))
+    for m in re.finditer(r"[A-Za-z_$][\w$]*(\s*\()?", plain):
+        name = m[0].rstrip("(").rstrip()
+        if m.start() not in named and name not in _KEYWORDS:
+            rows.append(("call" if m[1] else "use", name, line(m.start())))
+    return rows
+
+
+def source_functions(files: DataFrame) -> DataFrame:
+    """(file_path, kind, name, line) of (file_path, language, text): Python by its tree, the other languages by their words."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [(path, *r) for path, language, text in zip(b["file_path"], b["language"], b["text"]) for r in word_functions(language, text or "")]
+            yield pd.DataFrame(rows, columns=["file_path", "kind", "name", "line"])
+
+    others = files.where(F.col("language").isin(*DEFINITIONS)).select("file_path", "language", "text")
+    words = others.mapInPandas(run, "file_path string, kind string, name string, line int")
+    return python_functions(files.where("language = 'Python'")).unionByName(words)
+
+
 def function_definitions(nodes: DataFrame) -> DataFrame:
     """(file_path, name, def_line): the first definition of each name in a file."""
     return nodes.where("kind = 'def'").groupBy("file_path", "name").agg(F.min("line").alias("def_line"))
@@ -69,43 +110,54 @@ def call_graph(nodes: DataFrame) -> DataFrame:
     return edges.where("not (src_path = dst_path and src = dst)").distinct()
 
 
-def tainted_functions(nodes: DataFrame, language: str = "Python") -> DataFrame:
-    """(file_path, name) of the functions that use a taint source."""
+def tainted_functions(nodes: DataFrame) -> DataFrame:
+    """(file_path, name) of the functions that use a taint source of their file's language."""
+    from ..sources.files import language_of
     from .joins import enclosing_function
 
-    uses = nodes.where((F.col("kind") != "def") & F.col("name").isin(TAINT_SOURCES.get(language, [])))
+    own = F.when(language_of("file_path") == "Python", F.col("name").isin(TAINT_SOURCES["Python"]))
+    own = own.when(language_of("file_path").isin("JavaScript", "TypeScript"), F.col("name").isin(TAINT_SOURCES["JavaScript"]))
+    uses = nodes.where((F.col("kind") != "def") & own)
     uses = uses.select(F.concat_ws(":", "file_path", "line").alias("finding_id"), "file_path", "line").distinct()
     return enclosing_function(uses, function_definitions(nodes)).where("name is not null").select("file_path", "name").distinct()
 
 
-def reachable(edges: DataFrame, seeds: DataFrame, max_rounds: int = 200) -> DataFrame:
-    """(node): all nodes that a path from a seed reaches, the seeds included.
+def _expand(first: DataFrame, step: Callable[[DataFrame, DataFrame, int], DataFrame], max_rounds: int) -> DataFrame:
+    """All rows of a breadth-first search: step(frontier, seen, round) gives the next frontier, (node, ..).
 
-    Breadth-first by frontier: each round joins only the new nodes with the edges.
+    A round writes its frontier only; the tables of earlier rounds are written together now and then.
     """
-    seen = _checkpoint(seeds.select("node").distinct())
-    frontier = seen
-    for _ in range(max_rounds):
-        step = frontier.join(edges, frontier.node == edges.src).select(F.col("dst").alias("node")).distinct()
-        frontier = _checkpoint(step.join(seen, "node", "left_anti"))
+    parts = [checkpointed(first)]
+    for k in range(1, max_rounds + 1):
+        seen = functools.reduce(DataFrame.unionByName, parts)
+        frontier = checkpointed(step(parts[-1], seen, k))
         if frontier.isEmpty():
             return seen
-        seen = _checkpoint(seen.union(frontier))
-    raise RuntimeError("reachability did not settle")
+        if len(parts) >= COMPACT:
+            parts = [checkpointed(seen)]
+        parts.append(frontier)
+    raise RuntimeError("the search did not settle")
+
+
+def reachable(edges: DataFrame, seeds: DataFrame, max_rounds: int = 200) -> DataFrame:
+    """(node): all nodes that a path from a seed reaches, the seeds included. Each round joins only new nodes with the edges."""
+
+    def step(frontier: DataFrame, seen: DataFrame, _: int) -> DataFrame:
+        found = frontier.join(edges, frontier.node == edges.src).select(F.col("dst").alias("node")).distinct()
+        return found.join(seen, "node", "left_anti")
+
+    return _expand(seeds.select("node").distinct(), step, max_rounds)
 
 
 def distances(edges: DataFrame, seeds: DataFrame, max_rounds: int = 200) -> DataFrame:
     """(node, hops, path): the shortest path from any seed; of equally short ones the smallest."""
-    seen = _checkpoint(seeds.select("node", F.lit(0).alias("hops"), F.array("node").alias("path")).distinct())
-    frontier = seen
-    for k in range(1, max_rounds):
-        step = frontier.join(edges, frontier.node == edges.src).select(F.col("dst").alias("node"), F.array_append("path", F.col("dst")).alias("path"))
-        step = step.join(seen.select("node"), "node", "left_anti").groupBy("node").agg(F.min("path").alias("path"))
-        frontier = _checkpoint(step.select("node", F.lit(k).alias("hops"), "path"))
-        if frontier.isEmpty():
-            return seen
-        seen = _checkpoint(seen.union(frontier))
-    raise RuntimeError("paths did not settle")
+
+    def step(frontier: DataFrame, seen: DataFrame, k: int) -> DataFrame:
+        found = frontier.join(edges, frontier.node == edges.src).select(F.col("dst").alias("node"), F.array_append("path", F.col("dst")).alias("path"))
+        found = found.join(seen.select("node"), "node", "left_anti").groupBy("node").agg(F.min("path").alias("path"))
+        return found.select("node", F.lit(k).alias("hops"), "path")
+
+    return _expand(seeds.select("node", F.lit(0).alias("hops"), F.array("node").alias("path")).distinct(), step, max_rounds)
 
 
 def is_reachable(findings: DataFrame, reached: DataFrame) -> DataFrame:
@@ -120,8 +172,3 @@ def dependency_reachable(deps: DataFrame, call_sites: DataFrame, reached: DataFr
     sites = call_sites.join(reached.select("node").distinct().withColumn("__sw_hit", F.lit(True)), "node", "left")
     per = sites.groupBy("dep_id").agg(F.bool_or(F.coalesce("__sw_hit", F.lit(False))).alias("r"))
     return deps.select("dep_id").join(per, "dep_id", "left").select("dep_id", F.coalesce("r", F.lit(False)).alias("reachable"))
-
-
-def hotspots(spark: SparkSession, edges: DataFrame, k: int) -> DataFrame:
-    """The k functions with most callers."""
-    return edges.groupBy("dst").agg(F.count("*").alias("callers")).orderBy(F.desc("callers"), "dst").limit(k)

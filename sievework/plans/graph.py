@@ -49,38 +49,51 @@ def gra6(spark, d):
 @query(
     "gra7_dependency_reachable",
     f"""WITH {REACH} SELECT s_suppkey AS dep_id, coalesce(bool_or(l_partkey IN (SELECT node FROM reached)), false) AS reachable
-    FROM supplier LEFT JOIN (SELECT l_suppkey, l_partkey FROM lineitem WHERE l_linenumber = 7 AND l_quantity > 48) ON l_suppkey = s_suppkey GROUP BY 1""",
+    FROM supplier LEFT JOIN (SELECT l_suppkey, l_partkey FROM lineitem) ON l_suppkey = s_suppkey GROUP BY 1""",
     recursive=True,
 )
 def gra7(spark, d):
-    sites = read(spark, d, "lineitem").where("l_linenumber = 7 and l_quantity > 48").select(F.col("l_suppkey").alias("dep_id"), F.col("l_partkey").alias("node"))
+    sites = read(spark, d, "lineitem").select(F.col("l_suppkey").alias("dep_id"), F.col("l_partkey").alias("node"))
     return G.dependency_reachable(read(spark, d, "supplier").select(F.col("s_suppkey").alias("dep_id")), sites, gra4(spark, d))
 
 
-PY = {
+CODE = {
     "a.py": "import os\ndef main():\n    helper()\n    util(1)\n\ndef helper():\n    return os.getenv('X')\n\ndef lonely():\n    lonely()\n",
     "b.py": "def util(x):\n    return eval(x)\n\ndef view(request):\n    util(request.args)\n",
     "c.py": "def broken(:\n",
+    "d.js": "function load(u) {\n  // save(u)\n  return fetch(u);\n}\nconst show = (x) => {\n  load(x); 'load(y)';\n};\nclass A {\n  draw(z) {\n    show(z);\n  }\n}\n",
+    "e.ts": "export async function read(p: string): Promise<string> {\n  return clean(p);\n}\nconst clean = (p: string): string => {\n  return p;\n};\n",
+    "f.go": "package f\n\nfunc Serve(w int) {\n\tsend(w)\n}\n\nfunc (s *S) send(w int) {\n}\n",
+    "g.rs": "fn run<'a>(x: &'a str) {\n    parse(x);\n}\n\npub fn parse(x: &str) {}\n",
+    "H.java": "class H {\n  public static void start(String[] a) throws E {\n    if (a.length > 0) { stop(); }\n  }\n  private void stop() {\n  }\n}\n",
 }
 
 
 def nodes(spark):
-    return G.python_functions(spark.createDataFrame(list(PY.items()), "file_path string, text string"))
+    from ..sources.files import language_of
 
+    files = spark.createDataFrame(list(CODE.items()), "file_path string, text string")
+    return G.source_functions(files.withColumn("language", language_of("file_path")))
 
-@query("gra1_definitions", "SELECT * FROM (VALUES ('a.py', 'main', 2), ('a.py', 'helper', 6), ('a.py', 'lonely', 9), ('b.py', 'util', 1), ('b.py', 'view', 4)) t(file_path, name, def_line)")
+
+@query(
+    "gra1_definitions",
+    """SELECT * FROM (VALUES ('a.py', 'main', 2), ('a.py', 'helper', 6), ('a.py', 'lonely', 9), ('b.py', 'util', 1), ('b.py', 'view', 4), ('d.js', 'load', 1), ('d.js', 'show', 5), ('d.js', 'draw', 9),
+    ('e.ts', 'read', 1), ('e.ts', 'clean', 4), ('f.go', 'Serve', 3), ('f.go', 'send', 7), ('g.rs', 'run', 1), ('g.rs', 'parse', 5), ('H.java', 'start', 2), ('H.java', 'stop', 5)) t(file_path, name, def_line)""",
+)
 def gra1(spark, d):
     return G.function_definitions(nodes(spark))
 
 
 @query(
     "gra2_call_graph",
-    "SELECT * FROM (VALUES ('a.py', 'main', 'a.py', 'helper'), ('a.py', 'main', 'b.py', 'util'), ('b.py', 'view', 'b.py', 'util')) t(src_path, src, dst_path, dst)",
+    """SELECT * FROM (VALUES ('a.py', 'main', 'a.py', 'helper'), ('a.py', 'main', 'b.py', 'util'), ('b.py', 'view', 'b.py', 'util'), ('d.js', 'show', 'd.js', 'load'), ('d.js', 'draw', 'd.js', 'show'),
+    ('e.ts', 'read', 'e.ts', 'clean'), ('f.go', 'Serve', 'f.go', 'send'), ('g.rs', 'run', 'g.rs', 'parse'), ('H.java', 'start', 'H.java', 'stop')) t(src_path, src, dst_path, dst)""",
 )
 def gra2(spark, d):
     return G.call_graph(nodes(spark))
 
 
-@query("gra3_tainted", "SELECT * FROM (VALUES ('a.py', 'helper'), ('b.py', 'view')) t(file_path, name)")
+@query("gra3_tainted", "SELECT * FROM (VALUES ('a.py', 'helper'), ('b.py', 'view'), ('d.js', 'load')) t(file_path, name)")
 def gra3(spark, d):
     return G.tainted_functions(nodes(spark))

@@ -3,18 +3,23 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.domain import fingerprint, severity_rank
 from ..operators import filters as L
+from ..scratch import checkpointed
 from ..sources import files as S
+from ..sources import trees as T
 
 
 @dataclass
 class ScanOptions:
+    """What a scan takes in and adds: ``enrich`` adds names, reachability, confidence and, with ``exposure`` (service,
+    public), exposed severities; ``advisories`` adds findings of the dependencies that the manifests name."""
+
     min_severity: str = "Low"
     include: Sequence[str] = ()
     exclude: Sequence[str] = ()
@@ -24,7 +29,9 @@ class ScanOptions:
     staged: DataFrame | None = None
     learned: DataFrame | None = None
     suppress: bool = True
-    columns: list[str] = field(default_factory=list)
+    enrich: bool = False
+    exposure: DataFrame | None = None
+    advisories: DataFrame | None = None
 
 
 def match_rules(lines: DataFrame, rules: DataFrame) -> DataFrame:
@@ -55,17 +62,87 @@ def match_rules(lines: DataFrame, rules: DataFrame) -> DataFrame:
     return rows.select(*keep, F.col("m.*"))
 
 
+FOUND = ["file_path", "rule_id", "severity", "owasp_category", "cwe_id", "line", "column_num", "snippet"]
+
+
+def dependency_findings(files: DataFrame, advisories: DataFrame) -> DataFrame:
+    """Findings of the dependencies of (file_path, text) manifests that advisories (advisory_id, ..) match."""
+    from ..sources import advisories as A
+    from ..sources import manifests as M
+
+    hit = A.match(M.dependencies(files.select("file_path", "text")).drop("file_path").distinct(), advisories)
+    return hit.select(
+        F.concat(F.lit("<"), "ecosystem", F.lit("/"), "package_name", F.lit(">")).alias("file_path"),
+        F.concat(F.lit("sca/"), "advisory_id").alias("rule_id"),
+        "severity",
+        F.lit("A06").alias("owasp_category"),
+        F.lit(None).cast("string").alias("cwe_id"),
+        F.lit(1).alias("line"),
+        F.lit(1).alias("column_num"),
+        F.concat_ws(" ", F.concat_ws("@", "package_name", "version"), F.lit("-"), "summary").alias("snippet"),
+    )
+
+
+def enriched(found: DataFrame, files: DataFrame, rules: DataFrame, exposure: DataFrame | None = None) -> DataFrame:
+    """Findings with rule_name, service, reachable, confidence_score and, by exposure, their severity and cloud_exposed.
+
+    A finding is reachable when its function is, from one that uses a taint source, or when it lies in none. The
+    score takes reachability, the taint of the own function, whether the snippet is a call of an imported module,
+    and whether it stands in a test or after what looks like escaping or checking.
+    """
+    from ..functions.domain import service_name
+    from ..operators import graph as G
+    from ..operators import joins as J
+    from ..operators import scoring as C
+
+    # both are read several times, and each reading would parse the files again
+    found, nodes = checkpointed(found), checkpointed(G.source_functions(files))
+    name = lambda path, fn: F.concat_ws(":", path, fn)
+    tainted = G.tainted_functions(nodes).select(name("file_path", "name").alias("node"))
+    edges = G.call_graph(nodes).select(name("src_path", "src").alias("src"), name("dst_path", "dst").alias("dst"))
+    rows = found.withColumn("finding_id", F.sha2(F.concat_ws("|", "rule_id", "file_path", "line", "column_num"), 256))
+    inside = J.enclosing_function(rows, G.function_definitions(nodes)).where("name is not null")
+    inside = inside.select("finding_id", name("file_path", "name").alias("node")).distinct()
+    rows = G.is_reachable(rows.join(inside, "finding_id", "left"), G.reachable(edges, tainted))
+    own = tainted.distinct().withColumn("__sw_own", F.lit(True))
+    rows = rows.join(own, "node", "left").withColumn("user_controlled", F.coalesce("__sw_own", F.lit(False)))
+    score = C.confidence(
+        C.reach_score("reachable", "user_controlled"),
+        C.pattern_score(F.lit(1), F.lit(True), F.col("snippet").rlike(r"\w\.\w+\("), F.lit(False)),
+        C.context_score(F.col("snippet").rlike(r"(?i)escap|saniti[sz]|quote"), F.col("snippet").rlike(r"(?i)valid|check"), F.col("file_path").rlike(r"(^|/)tests?/|_test\."), F.lit(False)),
+    )
+    rows = rows.withColumn("confidence_score", score)
+    path = F.when(~F.startswith("file_path", F.lit("<")), service_name("file_path"))
+    rows = J.with_rule_names(rows.withColumn("service", path), rules.select("rule_id", "name").distinct())
+    if exposure is not None:
+        rows = J.with_exposure(rows, exposure).withColumn("severity", C.exposed_severity("severity", "public")).withColumnRenamed("public", "cloud_exposed")
+    return rows.drop("node", "__sw_own", "finding_id")
+
+
 def scan(files: DataFrame, rules: DataFrame, options: ScanOptions | None = None) -> DataFrame:
-    """Findings of (file_path, text) files: collect, match, suppress, filter, fingerprint. Order with ``ordered``."""
+    """Findings of (file_path, text) files: collect, match line and tree rules, suppress, filter, enrich, fingerprint.
+
+    Tree rules are those of ``rules`` with a ``tree``. Order the result with ``ordered``.
+    """
     o = options or ScanOptions()
     kept = L.by_paths(S.collect(files, o.ignore_globs), o.include, o.exclude)
     body = F.split(F.regexp_replace("text", "\r?\n$", ""), "\r?\n")
     lines = kept.select("file_path", "language", F.posexplode(body).alias("p", "line")).select(
         "file_path", "language", (F.col("p") + 1).alias("line_no"), "line"
     )
-    found = match_rules(lines, S.last_rules(rules)).withColumnRenamed("line_no", "line")
+    rules = S.last_rules(rules)
+    found = None
+    if not rules.where("pattern is not null").isEmpty():
+        found = match_rules(lines, rules.where("pattern is not null")).withColumnRenamed("line_no", "line").select(*FOUND)
+    if "tree" in rules.columns and not rules.where("tree is not null").isEmpty():
+        trees = T.match_trees(kept.where("language = 'Python'"), rules).select(*FOUND)
+        found = trees if found is None else found.unionByName(trees)
+    if found is None:
+        raise ValueError("no rules")
     if o.suppress:
         found = L.suppress_inline(lines, found)
+    if o.advisories is not None:
+        found = found.unionByName(dependency_findings(L.by_paths(files, o.include, o.exclude), o.advisories))
     found = L.without_rules(L.min_severity(found, o.min_severity), list(o.exclude_rules))
     if o.changed is not None:
         found = L.on_changed_lines(found, o.changed)
@@ -73,6 +150,8 @@ def scan(files: DataFrame, rules: DataFrame, options: ScanOptions | None = None)
         found = L.in_files(found, o.staged)
     if o.learned is not None:
         found = L.without_learned(found, o.learned)
+    if o.enrich:
+        found = enriched(found, kept, rules, o.exposure)
     return found.withColumn("fingerprint", fingerprint("rule_id", "file_path", "snippet"))
 
 

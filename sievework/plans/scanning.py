@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import domain as D
+from ..operators import filters as L
 from ..operators import scoring as S
 from ..registry import query
 from ..sources import files as X
+from ..sources import trees as T
 from .scan import match_rules, scan_code
-from .standins import read, src_lines
+from .standins import code_files, read, src_lines
 
 LINE_RULES = [r for r in X.DEFAULT_RULES if r[3] is None]
 RULES_SQL = "(VALUES " + ", ".join(f"('{r[0]}', '{r[2]}', '{r[4]}')" for r in LINE_RULES) + ") r(rule_id, severity, pattern)"
@@ -35,12 +37,44 @@ def rule_cases(spark, d):
 
 @query(
     "fil2_predicates",
-    """SELECT doc_id, line_no, w AS captured FROM (SELECT doc_id, line_no, unnest(regexp_extract_all(line, '[A-Za-z]+')) AS w FROM src_lines)
+    """SELECT doc_id, line_no, w AS text FROM (SELECT doc_id, line_no, unnest(regexp_extract_all(line, '[A-Za-z]+')) AS w FROM src_lines)
     WHERE w = 'Licensed' OR regexp_matches(w, '^(token|Apache)$')""",
 )
 def fil2(spark, d):
-    w = src_lines(spark, d).select("doc_id", "line_no", F.explode(F.regexp_extract_all("line", F.lit("[A-Za-z]+"), 0)).alias("captured"))
-    return w.where((F.col("captured") == "Licensed") | F.col("captured").rlike("^(token|Apache)$"))
+    w = src_lines(spark, d).select("doc_id", "line_no", F.explode(F.regexp_extract_all("line", F.lit("[A-Za-z]+"), 0)).alias("text"))
+    named = w.withColumn("name", F.when(F.col("text") == "Licensed", "first").otherwise("other"))
+    return L.predicate_captures(named, {"first": "Licensed"}, {"other": "^(token|Apache)$"}).select("doc_id", "line_no", "text")
+
+
+_TREE_FOUND = """(VALUES (0, 'PY104', 4, 5, 'os.system(''ls '' + request.path)'), (1, 'PY101', 2, 12, 'eval(x)'), (3, 'PY113', 3, 7, 'hashlib.md5(a)'), (5, 'PY127', 2, 5, 'open(''/a/%s'' % name)'),
+    (5, 'PY145', 3, 1, 'except:' || chr(10) || '    pass'), (7, 'PY122', 2, 5, 'db.execute(f''SELECT {k}'')'), (7, 'PY122', 3, 5, 'db.execute(f''DELETE {k}'')')) t(form, rule_id, line, column_num, snippet)"""
+
+
+@query("fil1_tree_rules", f"SELECT file_path, rule_id, line, column_num, snippet FROM code_files JOIN {_TREE_FOUND} USING (form)")
+def fil1b(spark, d):
+    return T.match_trees(code_files(spark, d), T.default_tree_rules(spark)).select("file_path", "rule_id", "line", "column_num", "snippet")
+
+
+@query(
+    "scan_enriched",
+    f"""SELECT file_path, rule_id, line, CASE WHEN regexp_matches(file_path, 'svc[0-2]/') THEN 'Critical' WHEN regexp_matches(file_path, 'svc[3-5]/') THEN down ELSE severity END AS severity,
+      regexp_extract(file_path, '(svc[0-9])', 1) AS service, form IN (0, 3, 5) AS reachable, name AS rule_name
+    FROM code_files JOIN {_TREE_FOUND} USING (form) JOIN (VALUES ('PY104', 'High', 'Medium', 'Shell command'), ('PY101', 'Critical', 'High', 'eval of a value'), ('PY113', 'Medium', 'Low', 'MD5'),
+      ('PY127', 'Medium', 'Low', 'File path from parts'), ('PY145', 'Low', 'Info', 'Errors swallowed'), ('PY122', 'Critical', 'High', 'SQL from parts')) r(rule_id, severity, down, name) USING (rule_id)
+    WHERE NOT (form = 7 AND line = 3)
+    UNION ALL SELECT '<PyPI/lib>', 'sca/CVE-9', 1, 'High', NULL, true, 'sca/CVE-9'""",
+)
+def scan_enriched(spark, d):
+    """A whole scan: tree rules, inline suppression, dependency findings, reachability, exposure, rule names."""
+    from .scan import ScanOptions, scan
+
+    files = code_files(spark, d).select("file_path", "text")
+    manifests = spark.createDataFrame([("requirements.txt", "lib==1.4.0\nother==2.0.0\n")], "file_path string, text string")
+    advisories = spark.createDataFrame([("CVE-9", "PyPI", "lib", [">= 1, < 2"], "High", "Bad"), ("CVE-8", "PyPI", "other", ["<2"], "High", "Old")], "advisory_id string, ecosystem string, package_name string, vulnerable_versions array<string>, severity string, summary string")
+    i = F.col("id")
+    exposure = spark.range(6).select(F.concat(F.lit("svc"), i).alias("service"), (i < 3).alias("public"))
+    found = scan(files.union(manifests), T.default_tree_rules(spark), ScanOptions(enrich=True, exposure=exposure, advisories=advisories, min_severity="Info"))
+    return found.select("file_path", "rule_id", "line", "severity", "service", "reachable", "rule_name")
 
 
 FILES = [
@@ -138,9 +172,13 @@ def src19(spark, d):
     return X.changed_lines(diff)
 
 
-@query("src20_staged", "SELECT DISTINCT url AS file_path FROM pages WHERE page_id % 9 = 0")
+@query("src20_staged", "SELECT DISTINCT url AS file_path FROM pages WHERE page_id % 4 <> 3 AND page_id % 7 <> 0")
 def src20(spark, d):
-    return read(spark, d, "pages").where("page_id % 9 = 0").select(F.col("url").alias("file_path")).distinct()
+    """From the index of a repository: status letter, tab, path (renames name the old one first)."""
+    k = F.col("page_id")
+    letter = F.element_at(F.array(*map(F.lit, ["M", "A", "R100", "D"])), (k % 4 + 1).cast("int"))
+    text = F.when(k % 7 == 0, F.lit("")).otherwise(F.concat_ws("\t", letter, F.when(k % 4 == 2, F.lit("old/name.py")), F.col("url")))
+    return X.staged_files(read(spark, d, "pages").select(text.alias("text")))
 
 
 @query("src21_contributors", "SELECT count(DISTINCT user_id) AS contributors FROM events WHERE ts >= (SELECT max(ts) - INTERVAL 90 DAY FROM events)")
@@ -178,9 +216,17 @@ def src23b(spark, d):
     return X.estimated_rules(X.technologies(_tree(spark)))
 
 
-@query("src25_skip_synthetic", "SELECT doc_id, line_no FROM src_lines WHERE NOT starts_with(source, 'src1') AND line <> ''")
+@query(
+    "src25_skip_synthetic",
+    r"""SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'kept' WHEN len(ls) >= 2 THEN array_to_string(list_transform(list_slice(ls, 1, 3), lambda x: left(x, 100)), chr(10)) ELSE '' END AS snippet
+    FROM (SELECT doc_id, string_split(regexp_replace(text, '\n$', ''), chr(10)) AS ls FROM documents)""",
+)
 def src25(spark, d):
-    return src_lines(spark, d).where(~F.startswith("source", F.lit("src1")) & (F.col("line") != "")).select("doc_id", "line_no")
+    """Snippets taken anew from the text, but not those of dependencies, whose paths are no files."""
+    docs = read(spark, d, "documents")
+    path = F.when(F.col("doc_id") % 5 == 0, F.lit("<npm/left-pad>")).otherwise(F.concat(F.lit("doc"), "doc_id"))
+    rows = docs.select("doc_id", path.alias("file_path"), "text", F.lit(2).alias("line"), F.lit("kept").alias("snippet"))
+    return X.refreshed_snippets(rows, 1).select("doc_id", "snippet")
 
 
 CODE = "import os\n# scan-ignore-next-line\neval(x)\nexec(y)\n"
@@ -225,13 +271,18 @@ def str2(spark, d):
     return read(spark, d, "documents").select("doc_id", D.annotated_window("text", F.lit(2), 1).alias("snippet"))
 
 
+_PART_PATH = """CASE p_partkey % 10 WHEN 0 THEN concat('services/', p_brand, '/src/a.py') WHEN 1 THEN concat('./apps/Web', p_size, '/x.js') WHEN 2 THEN concat('api', p_size, '/handler.go')
+    WHEN 3 THEN concat('Main', p_size, '.py') WHEN 4 THEN concat('src/packages/UI', p_size, '/a.ts') WHEN 5 THEN 'src/auth/mod.rs' WHEN 6 THEN concat('modules/Pay', p_size, '/x.py')
+    WHEN 7 THEN concat('src/lib/cmd/', p_size, '.test.js') WHEN 8 THEN concat('lib/v1.2/Core', p_size, '/m.py') ELSE 'internal/services' END"""
+
+
 @query(
     "str3_service_name",
-    """SELECT * FROM (VALUES ('services/pay/src/a.py', 'pay'), ('./apps/web/x.js', 'web'), ('api/handler.go', 'api'), ('main.py', NULL), ('src/packages/ui/a.ts', 'ui')) t(file_path, service)""",
+    f"""SELECT p_partkey, CASE p_partkey % 10 WHEN 0 THEN lower(p_brand) WHEN 1 THEN concat('web', p_size) WHEN 2 THEN concat('api', p_size) WHEN 3 THEN concat('main', p_size)
+    WHEN 4 THEN concat('ui', p_size) WHEN 5 THEN 'auth' WHEN 6 THEN concat('pay', p_size) WHEN 7 THEN concat(p_size, '.test') WHEN 8 THEN concat('core', p_size) ELSE 'services' END AS service FROM part""",
 )
 def str3(spark, d):
-    rows = [("services/pay/src/a.py",), ("./apps/web/x.js",), ("api/handler.go",), ("main.py",), ("src/packages/ui/a.ts",)]
-    return spark.createDataFrame(rows, "file_path string").select("file_path", D.service_name("file_path").alias("service"))
+    return read(spark, d, "part").select("p_partkey", D.service_name(F.expr(" ".join(_PART_PATH.split()))).alias("service"))
 
 
 @query(
@@ -315,13 +366,26 @@ def sco7(spark, d):
     return spark.createDataFrame(rows, "name string, kind string, ingress boolean").select("name", S.k8s_public("kind", "ingress").alias("public"))
 
 
+_RULE_IDS = ["py-sql-injection", "go-SQLi", "use-sql-parameter", "js-xss", "cross-site-x", "command-string-inject", "cmd-inject", "path-traversal", "path-join", "ssrf-x", "unsafe-yaml", "pickle-x", "hard-coded-key", "secret-in-source", "open-redirect", "xxe", "weak-md5"]
+_RULE_CLASS = ["sql_injection", "unknown", "unknown", "xss", "xss", "command_injection", "command_injection", "path_traversal", "unknown", "ssrf", "insecure_deserialization", "insecure_deserialization", "hardcoded_credentials", "hardcoded_credentials", "open_redirect", "xxe", "unknown"]
+_CWES = {"CWE-89": "sql_injection", "cwe-79": "xss", "78": "command_injection", "CWE-22 ": "path_traversal", "CWE-918": "ssrf", "CWE-502": "insecure_deserialization", "CWE-798": "hardcoded_credentials", "CWE-601": "open_redirect", "CWE-611": "xxe", "CWE-327": None, "CWE-80": None}
+
+
+def _values(xs):
+    return ", ".join("({}, {})".format(k, "NULL" if x is None else f"'{x}'") for k, x in enumerate(xs))
+
+
 @query(
     "sco9_vulnerability_class",
-    """SELECT * FROM (VALUES ('r-sql-1', NULL, 'sql_injection'), ('x', 'CWE-798', 'hardcoded_secret'), ('js-xss', 'CWE-79', 'xss'), ('path-join', '', 'path_traversal'), ('zzz', 'CWE-1', 'other'), ('use-md5', NULL, 'weak_crypto')) t(rule_id, cwe, class)""",
+    f"""SELECT p_partkey, coalesce(c.class, r.class) AS class FROM part JOIN (VALUES {_values(_RULE_CLASS)}) r(k, class) ON r.k = p_partkey % {len(_RULE_IDS)}
+    LEFT JOIN (VALUES {_values(_CWES.values())}) c(k, class) ON c.k = p_partkey % 29""",
 )
 def sco9(spark, d):
-    rows = [("r-sql-1", None), ("x", "CWE-798"), ("js-xss", "CWE-79"), ("path-join", ""), ("zzz", "CWE-1"), ("use-md5", None)]
-    return spark.createDataFrame(rows, "rule_id string, cwe string").select("rule_id", "cwe", S.vulnerability_class("cwe", "rule_id").alias("class"))
+    """By CWE where it names a class (also in other spellings), else by the rule id."""
+    k = F.col("p_partkey")
+    pick = lambda xs, n: F.try_element_at(F.array(*map(F.lit, xs)), (k % n + 1).cast("int"))
+    rule = F.replace(pick(_RULE_IDS, len(_RULE_IDS)), F.lit("go-SQLi"), F.lit("go-SQL-x"))
+    return read(spark, d, "part").select("p_partkey", S.vulnerability_class(pick(list(_CWES), 29), rule).alias("class"))
 
 
 @query(

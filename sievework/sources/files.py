@@ -23,12 +23,12 @@ EXTENSIONS = {
 SKIPPED_DIRS = ["node_modules", ".git", "target", "dist", "build", "__pycache__", ".venv", "venv", ".sievework"]
 #: Paths that are excluded unless asked for.
 DEFAULT_EXCLUDES = [
-    *(f"**/{d}/**" for d in ("node_modules", "dist", "build", "target", ".git", "__pycache__", ".venv", "venv")),
+    "**/node_modules/**", "**/dist/**", "**/build/**", "**/target/**", "**/.git/**", "**/__pycache__/**", "**/.venv/**", "**/venv/**",
     "**/*.min.js", "**/*.bundle.js", "**/*.map", "**/*.pyc",
-    *(f"**/{d}/**" for d in ("tests", "test", "mocks", "fixtures", "testdata", "test-data")),
-    *(f"**/*_test.{e}" for e in ("rs", "js", "ts", "py")),
-    *(f"**/*.spec.{e}" for e in ("ts", "js")),
-    *(f"**/*.test.{e}" for e in ("ts", "tsx", "js", "jsx")),
+    "**/tests/**", "**/test/**", "**/mocks/**", "**/fixtures/**", "**/testdata/**", "**/test-data/**",
+    "**/*_test.rs", "**/*_test.js", "**/*_test.ts", "**/*_test.py",
+    "**/*.spec.ts", "**/*.spec.js",
+    "**/*.test.ts", "**/*.test.tsx", "**/*.test.js", "**/*.test.jsx",
 ]
 
 
@@ -156,10 +156,14 @@ TECHNOLOGIES = [
 
 
 def technologies(files: DataFrame) -> DataFrame:
-    """(kind, name) found in (file_path, text): by manifests, and languages by extension as well."""
+    """(kind, name) found in (file_path, text): by manifests, and languages by extension as well.
+
+    Only files of a manifest's name are tested against the rules, so other texts are not read.
+    """
+    names = "|".join(f"(?:{file})" for file in dict.fromkeys(t[2] for t in TECHNOLOGIES))
     rules = files.sparkSession.createDataFrame(TECHNOLOGIES, "kind string, name string, file string, holds string")
     hit = F.expr("file_path rlike file and (holds is null or text rlike holds)")
-    by_manifest = files.join(F.broadcast(rules), hit).select("kind", "name")
+    by_manifest = files.where(F.col("file_path").rlike(names)).join(F.broadcast(rules), hit).select("kind", "name")
     by_ext = files.select(F.lit("language").alias("kind"), language_of("file_path").alias("name")).where("name is not null")
     return by_manifest.union(by_ext).distinct()
 
@@ -192,6 +196,23 @@ def changed_lines(diff: DataFrame) -> DataFrame:
     return body.withColumn("line", F.col("first") + at - 1).where(F.col("text").startswith("+")).select("file_path", "line")
 
 
+def staged_files(index: DataFrame) -> DataFrame:
+    """(file_path) of the files to scan in the (text) lines of a repository's index: status, tab, path.
+
+    Deleted files are left out, and a rename or copy counts by its new path, the last one of the line.
+    """
+    parts = F.split("text", "\t")
+    return index.where(F.col("text").rlike(r"^[ACMRT]\d*\t.+")).select(F.element_at(parts, -1).alias("file_path")).distinct()
+
+
+def refreshed_snippets(findings: DataFrame, context: int = 3) -> DataFrame:
+    """Findings (file_path, text, line, snippet, ..) with the snippet taken anew from the text; dependencies keep theirs."""
+    from ..functions.domain import snippet_window
+
+    synthetic = F.startswith("file_path", F.lit("<"))
+    return findings.withColumn("snippet", F.when(synthetic, F.col("snippet")).otherwise(snippet_window("text", "line", context)))
+
+
 def contributors(commits: DataFrame, days: int = 90) -> DataFrame:
     """Distinct authors of the last days before the newest commit (author, ts)."""
     last = commits.agg(F.max("ts").alias("__sw_last"))
