@@ -121,13 +121,22 @@ def display_snippet(snippet: Column | str, max_lines: int, max_chars: int) -> Co
     return F.array_join(F.when(more > 0, F.concat(cut, note)).otherwise(cut), "\n")
 
 
+#: Directories whose children are services, and names that say nothing about a service.
+SERVICE_DIRS = ["services", "apps", "microservices", "packages", "modules"]
+PLAIN_DIRS = ["src", "lib", "pkg", "internal", "cmd", "app"]
+
+
 def service_name(path: Column | str) -> Column:
-    """Service that a path belongs to: the directory after services/apps/packages/cmd, else the first one."""
-    parts = F.filter(F.split(c(path), "/"), lambda x: (x != "") & (x != "."))
-    dirs = F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0)))
-    roots = F.array(*map(F.lit, ["services", "apps", "packages", "cmd"]))
-    at = F.array_position(F.transform(dirs, lambda x: F.array_contains(roots, x)), True)
-    return F.when((at > 0) & (at < F.size(dirs)), F.get(dirs, at.cast("int"))).otherwise(F.get(dirs, 0))
+    """Service that a path belongs to, in lower case.
+
+    What follows the first service directory, else the first part that is no plain directory and has no dot,
+    else the file's stem. An absolute path's root counts as a part.
+    """
+    service = F.regexp_extract(c(path), rf"(?:^|/)(?:{'|'.join(SERVICE_DIRS)})/(?:\.?/)*(?!\.(?:/|$))([^/]+)", 1)
+    first = F.regexp_extract(c(path), rf"(?i)(?:^|/)(?!(?:{'|'.join(PLAIN_DIRS)})(?:/|$))([^/.]+)(?=/|$)", 1)
+    file = F.regexp_extract(c(path), r"([^/]+)(?:/\.?)*$", 1)
+    stem = F.when(file.rlike(r"^\.{0,2}$"), "unknown").otherwise(F.regexp_replace(file, r"(?<=.)\.[^.]*$", ""))
+    return F.lower(F.when(service != "", service).when(F.startswith(c(path), F.lit("/")), "/").when(first != "", first).otherwise(stem))
 
 
 def sanitized_tag(tag: Column | str) -> Column:

@@ -7,47 +7,75 @@ from pyspark.sql import functions as F
 
 from .domain import c
 
+_N = r"(?:0|[1-9]\d{0,8})"
+_ANY = r"^ *[*xX] *$"
+#: operator, major, minor, patch, pre-release; a wildcard ends the numbers.
+_COMPARATOR = rf"^ *(>=|<=|>|<|=|\^|~)? *({_N})(?:\.(?:({_N})(?:\.(?:({_N})(-[0-9A-Za-z.-]+)?(?:\+[0-9A-Za-z.-]+)?|[*xX]))?|[*xX](?:\.[*xX])?))? *$"
+_KIND = "array<struct<op:string,major:int,minor:int,patch:int,pre:boolean>>"
+
 
 def parse_version(v: Column | str) -> Column:
     """struct<major,minor,patch> of x.y.z, after a leading v and before - or +; null for anything else."""
-    core = F.regexp_extract(F.trim(c(v)), r"^v?([^-+]*)", 1)
-    part = lambda i: F.regexp_extract(core, r"^(\d{1,9})\.(\d{1,9})\.(\d{1,9})$", i).cast("int")
-    ok = core.rlike(r"^\d{1,9}\.\d{1,9}\.\d{1,9}$")
+    core = F.regexp_extract(F.trim(c(v)), r"^v*([^-+]*)", 1)
+    part = lambda i: F.regexp_extract(core, rf"^({_N})\.({_N})\.({_N})$", i).cast("int")
+    ok = core.rlike(rf"^{_N}\.{_N}\.{_N}$")
     return F.when(ok, F.struct(part(1).alias("major"), part(2).alias("minor"), part(3).alias("patch")))
 
 
 def parse_ranges(ranges: Column | str) -> Column:
-    """array<array<struct<op,v>>>: ranges are OR-ed, their comma-separated comparators AND-ed."""
+    """array<array<struct<op,major,minor,patch,pre>>>: ranges are OR-ed, their comma-separated comparators AND-ed.
+
+    A comparator is an operator (none: ^, or = before a wildcard) and one to three numbers, of which missing or
+    wildcard ones are null. ``*`` alone is a range without comparators. Ranges of another form are left out.
+    """
 
     def comparator(s: Column) -> Column:
-        s = F.trim(s)
-        op = F.regexp_extract(s, r"^(>=|<=|>|<|=|\^|~)?", 1)
+        part = lambda i: F.regexp_extract(s, _COMPARATOR, i)
+        number = lambda i: F.when(part(i) != "", part(i).cast("int"))
+        bare = F.when(s.rlike("[*xX]"), "=").otherwise("^")
         return F.struct(
-            F.when(op == "", "^").otherwise(op).alias("op"),
-            parse_version(F.regexp_replace(s, r"^(>=|<=|>|<|=|\^|~)\s*", "")).alias("v"),
+            F.when(part(1) == "", bare).otherwise(part(1)).alias("op"),
+            number(2).alias("major"),
+            number(3).alias("minor"),
+            number(4).alias("patch"),
+            (part(5) != "").alias("pre"),
         )
 
-    return F.transform(c(ranges), lambda r: F.transform(F.split(r, ","), comparator))
+    def one(r: Column) -> Column:
+        parts = F.split(r, ",", -1)
+        valid = F.forall(parts, lambda s: s.rlike(_COMPARATOR))
+        return F.when(r.rlike(_ANY), F.array().cast(_KIND)).when(valid, F.transform(parts, comparator))
+
+    return F.filter(F.transform(c(ranges), one), lambda r: r.isNotNull())
 
 
-def satisfies(v: Column, comparator: Column) -> Column:
-    op, w = comparator["op"], comparator["v"]
-    lift = lambda a, b, z: F.struct(a.alias("major"), b.alias("minor"), z.alias("patch"))
-    zero = F.lit(0)
-    caret = (
-        F.when(w["major"] > 0, lift(w["major"] + 1, zero, zero))
-        .when(w["minor"] > 0, lift(w["major"], w["minor"] + 1, zero))
-        .otherwise(lift(w["major"], w["minor"], w["patch"] + 1))
+def satisfies(v: Column, k: Column) -> Column:
+    """Does a parsed version satisfy a comparator? A number that the comparator lacks is not compared."""
+    op, pre = k["op"], k["pre"]
+    # the first number that differs decides; -1, 0 or 1 as far as the comparator goes
+    sign = F.lit(0)
+    for name in ("patch", "minor", "major"):
+        sign = F.when(k[name].isNull() | (v[name] == k[name]), sign).when(v[name] > k[name], 1).otherwise(-1)
+    whole = k["patch"].isNotNull()
+    # a version without a pre-release comes after all pre-releases of the same numbers
+    sign = F.when((sign == 0) & pre, 1).otherwise(sign)
+    minor = k["minor"].isNull() | (v["minor"] == k["minor"])
+    patch = k["patch"].isNull() | (v["patch"] >= k["patch"])
+    same = v["major"] == k["major"]
+    caret = same & (
+        F.when(k["minor"].isNull(), True)
+        .when(k["major"] > 0, sign >= 0)
+        .when((k["minor"] > 0) | ~whole, minor & patch)
+        .otherwise(minor & (v["patch"] == k["patch"]))
     )
-    tilde = lift(w["major"], w["minor"] + 1, zero)
     return F.coalesce(
-        F.when(op == ">=", v >= w)
-        .when(op == "<=", v <= w)
-        .when(op == ">", v > w)
-        .when(op == "<", v < w)
-        .when(op == "=", v == w)
-        .when(op == "^", (v >= w) & (v < caret))
-        .when(op == "~", (v >= w) & (v < tilde)),
+        F.when(op == ">=", sign >= 0)
+        .when(op == "<=", sign <= 0)
+        .when(op == ">", sign > 0)
+        .when(op == "<", sign < 0)
+        .when(op == "=", sign == 0)
+        .when(op == "~", same & minor & patch)
+        .when(op == "^", caret),
         F.lit(False),
     )
 

@@ -122,17 +122,25 @@ ADVISORIES = [
     ("CVE-2", None, "PyPI", "Brand#12", ["<2.5.0", "4.1.0"]),
     (None, "GHSA-3", "npm", "Brand#11", ["^2.1.0"]),
     (None, None, "crates.io", "Brand#13", ["~3.3.0", ">4.9.9"]),
+    ("CVE-5", None, "npm", "Brand#2", [">= 1, < 2", "3.*"]),
+    ("CVE-6", None, "PyPI", "Brand#3", ["^1.2", "~4"]),
+    ("CVE-7", None, "npm", "Brand#4", ["*"]),
+    ("CVE-8", None, "PyPI", "Brand#5", ["one", "<=2", ">3"]),
 ]
 _V = "list_transform(string_split(version, '.'), lambda x: CAST(x AS INT))"
 
 
 @query(
     "joi4_advisory_match",
-    f"""WITH v AS (SELECT *, v[1] * 1000000 + v[2] * 1000 + v[3] AS n FROM (SELECT *, {_V} AS v FROM deps))
+    f"""WITH v AS (SELECT *, v[1] * 1000000 + v[2] * 1000 + v[3] AS n, v[1] AS major, v[2] AS minor FROM (SELECT *, {_V} AS v FROM deps))
     SELECT dep_id, 'CVE-1' AS advisory_id FROM v WHERE ecosystem = 'npm' AND package_name = 'Brand#11' AND n >= 1000000 AND n < 3000000
     UNION ALL SELECT dep_id, 'CVE-2' FROM v WHERE ecosystem = 'PyPI' AND package_name = 'Brand#12' AND (n < 2005000 OR (n >= 4001000 AND n < 5000000))
     UNION ALL SELECT dep_id, 'GHSA-3' FROM v WHERE ecosystem = 'npm' AND package_name = 'Brand#11' AND n >= 2001000 AND n < 3000000
-    UNION ALL SELECT dep_id, 'crates.io:Brand#13:~3.3.0' FROM v WHERE ecosystem = 'crates.io' AND package_name = 'Brand#13' AND ((n >= 3003000 AND n < 3004000) OR n > 4009009)""",
+    UNION ALL SELECT dep_id, 'crates.io:Brand#13:~3.3.0' FROM v WHERE ecosystem = 'crates.io' AND package_name = 'Brand#13' AND ((n >= 3003000 AND n < 3004000) OR n > 4009009)
+    UNION ALL SELECT dep_id, 'CVE-5' FROM v WHERE ecosystem = 'npm' AND package_name = 'Brand#2' AND major IN (1, 3)
+    UNION ALL SELECT dep_id, 'CVE-6' FROM v WHERE ecosystem = 'PyPI' AND package_name = 'Brand#3' AND ((major = 1 AND minor >= 2) OR major = 4)
+    UNION ALL SELECT dep_id, 'CVE-7' FROM v WHERE ecosystem = 'npm' AND package_name = 'Brand#4'
+    UNION ALL SELECT dep_id, 'CVE-8' FROM v WHERE ecosystem = 'PyPI' AND package_name = 'Brand#5' AND (major <= 2 OR major > 3)""",
 )
 def joi4(spark, d):
     adv = spark.createDataFrame(ADVISORIES, "cve_id string, ghsa_id string, ecosystem string, package_name string, vulnerable_versions array<string>")
@@ -145,11 +153,28 @@ def str4(spark, d):
     return deps(spark, d).select("dep_id", v.alias("v")).select("dep_id", "v.*")
 
 
-@query("str5_ranges", "SELECT * FROM (VALUES (1, true), (2, false), (3, true), (4, true), (5, false), (6, true)) t(k, hit)")
+#: Ranges of all forms, and what they mean for a version of major, minor and patch.
+RANGES = {
+    "<2": "major < 2", "<= 2": "major <= 2", ">2": "major > 2", ">=2": "major >= 2", "=2": "major = 2", "2": "major = 2", "^0": "major = 0", "~3": "major = 3",
+    "<2.20": "n < 2020000", "<=2.20": "n < 2021000", ">2.20": "n >= 2021000", ">=2.20": "n >= 2020000", "=2.20": "major = 2 AND minor = 20", "^2.20": "major = 2 AND minor >= 20",
+    "^0.20": "major = 0 AND minor = 20", "^0.0": "major = 0 AND minor = 0", "~2.20": "major = 2 AND minor = 20", "2.20": "major = 2 AND minor >= 20",
+    "<2.22.5": "n < 2022005", "<=2.22.5": "n <= 2022005", ">2.22.5": "n > 2022005", ">=2.22.5": "n >= 2022005", "=2.22.5": "n = 2022005", "^2.22.5": "major = 2 AND n >= 2022005",
+    "^0.20.5": "major = 0 AND minor = 20 AND patch >= 5", "^0.0.3": "n = 3", "~2.22.5": "major = 2 AND minor = 22 AND patch >= 5", "*": "true", " x ": "true", "3.*": "major = 3", "3.x.X": "major = 3",
+    "3.23.*": "major = 3 AND minor = 23", ">= 1, < 2": "major = 1", ">=1.0.0,<3": "major IN (1, 2)", ">1, <=3, >= 2": "major IN (2, 3)", "v1.0": "false", "1 2": "false", "": "false", "1,": "false", "*, 1": "false",
+    "01": "false", ">=4-rc": "false", ">=4.4.4-rc.1": "n >= 4004004", "<=4.4.4-rc.1": "n < 4004004", ">4.44.4-rc.1": "n >= 4044004", "=4.4.4-rc": "false", ">=4.4.4+build": "n >= 4004004",
+}
+
+
+@query(
+    "str5_ranges",
+    f"""SELECT dep_id, k, hit FROM (SELECT dep_id, v[1] AS major, v[2] AS minor, v[3] AS patch, v[1] * 1000000 + v[2] * 1000 + v[3] AS n FROM (SELECT dep_id, {_V} AS v FROM deps)) d,
+    LATERAL (SELECT * FROM (VALUES {", ".join(f"({k}, {sql})" for k, sql in enumerate(RANGES.values()))}) t(k, hit)) x""",
+)
 def str5(spark, d):
-    rows = [(1, "1.2.3", ["^1.0.0"]), (2, "0.3.0", ["^0.2.1"]), (3, "x.y", ["<1.0.0"]), (4, "2.0.0", ["<1.0.0", "2.0.0"]), (5, "1.5.0", [">=1.0.0, <1.5.0"]), (6, "0.0.3", ["0.0.3"])]
-    df = spark.createDataFrame(rows, "k int, v string, r array<string>")
-    return df.select("k", V.in_ranges(V.parse_version("v"), V.parse_ranges("r")).alias("hit"))
+    """Every version against every form of a range."""
+    ranges = spark.createDataFrame([(k, [r]) for k, r in enumerate(RANGES)], "k int, r array<string>").select("k", V.parse_ranges("r").alias("r"))
+    versions = deps(spark, d).select("dep_id", V.parse_version("version").alias("v"))
+    return versions.crossJoin(F.broadcast(ranges)).select("dep_id", "k", V.in_ranges(F.col("v"), F.col("r")).alias("hit"))
 
 
 @query(
