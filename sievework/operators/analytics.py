@@ -189,24 +189,17 @@ def owasp_report(findings: DataFrame) -> DataFrame:
     return counted.union(rest)
 
 
-def findings_of_categories(findings: DataFrame, most: int) -> DataFrame:
-    """(owasp_category, position, finding_id): the first ``most`` findings of each category, severest first.
+def findings_of_categories(findings: DataFrame) -> DataFrame:
+    """(owasp_category, position, finding_id): the findings of each category, severest first.
 
-    Ranked per category and salt first, so that a category of any size never gathers in one task.
+    Positions come from ranges of the order, so that a category of any size never gathers in one task.
     """
-    from pyspark.sql import Window
-
     from ..functions.domain import severity_rank
+    from .ordering import positions
 
-    rows = findings.where("owasp_category is not null").select(
-        "owasp_category", "finding_id", severity_rank(SEV).alias("r"), "file_path", "line"
-    )
+    rows = findings.where("owasp_category is not null").select("owasp_category", "finding_id", severity_rank(SEV).alias("r"), "file_path", "line")
     order = [F.desc("r"), F.col("file_path"), F.col("line"), F.col("finding_id")]
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64("finding_id"), F.lit(64)))
-    some = salted.withColumn("p", F.row_number().over(Window.partitionBy("owasp_category", "salt").orderBy(*order)))
-    some = some.where(F.col("p") <= most)
-    ranked = some.withColumn("position", F.row_number().over(Window.partitionBy("owasp_category").orderBy(*order)))
-    return ranked.where(F.col("position") <= most).select("owasp_category", "position", "finding_id")
+    return positions(rows, ["owasp_category"], order).select("owasp_category", "position", "finding_id")
 
 
 def scan_summary(findings: DataFrame) -> DataFrame:
@@ -303,15 +296,20 @@ def distinct_counts(findings: DataFrame) -> DataFrame:
     )
 
 
-#: Monthly scans per plan; null is unlimited.
-PLAN_LIMITS = {"free": 50, "pro": 500, "team": 2000, "enterprise": None}
+#: Fixed values: (projects, findings) of each plan; null is unlimited.
+PLAN_LIMITS = {"free": (1, 500), "pro": (10, 5000), "team": (None, None), "enterprise": (None, None)}
 
 
-def plan_limit(usage: DataFrame, subscriptions: DataFrame, incoming: int) -> DataFrame:
-    """Per organisation and month: would ``incoming`` more scans go over the plan's limit?"""
-    spark = usage.sparkSession
-    limits = spark.createDataFrame(list(PLAN_LIMITS.items()), "plan string, most int")
-    joined = usage.join(subscriptions, "org_id", "left").withColumn("plan", F.coalesce("plan", F.lit("free")))
-    return joined.join(F.broadcast(limits), "plan", "left").select(
-        "org_id", "month", "plan", "scans", F.coalesce(F.col("scans") + incoming > F.col("most"), F.lit(False)).alias("over_limit")
+def plan_limit(usage: DataFrame, subscriptions: DataFrame) -> DataFrame:
+    """usage plus plan and reason: what an incoming payload would go over, findings before projects, or null.
+
+    usage (org_id, findings_stored, project_count, incoming, new_project); subscriptions (org_id, plan, status), of
+    which none and one past due count as free.
+    """
+    limits = usage.sparkSession.createDataFrame([(p, *n) for p, n in PLAN_LIMITS.items()], "plan string, most_projects int, most_findings int")
+    own = subscriptions.select("org_id", F.when(F.col("status") == "past_due", "free").otherwise(F.col("plan")).alias("plan"))
+    joined = usage.join(own, "org_id", "left").withColumn("plan", F.coalesce("plan", F.lit("free"))).join(F.broadcast(limits), "plan", "left")
+    reason = F.when(F.col("findings_stored") + F.col("incoming") > F.col("most_findings"), "findings").when(
+        F.col("new_project") & (F.col("project_count") >= F.col("most_projects")), "projects"
     )
+    return joined.select(*usage.columns, "plan", reason.alias("reason"))

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.domain import c, severity_rank
+from ..scratch import checkpointed
 
 
 def min_severity(findings: DataFrame, severity: str = "Low") -> DataFrame:
@@ -64,32 +66,65 @@ def in_files(findings: DataFrame, paths: DataFrame, root: str = "") -> DataFrame
     return findings.join(names, own == F.col("__sw_path"), "left_semi")
 
 
+_COMMENT = r"//|#|^\s*(<!--|/\*)"
+#: What a line says after the comment marker that it starts with, else after the first // or the first #.
+_BODY = r"(?s)^\s*(?://\s*(.*?)|#\s*(.*?)|<!--\s*(.*?)\s*(?:-->)?|/\*\s*(.*?)\s*(?:\*/)?|.*?//\s*(.*?)|[^#]*#\s*(.*?))\s*$"
+
+
+def in_comment(line: Column | str) -> Column:
+    """Does a line start as a comment, or hold the marker of a line comment anywhere?"""
+    return c(line).rlike(_COMMENT)
+
+
+def with_directive(lines: DataFrame, directive: str = "scan-ignore") -> DataFrame:
+    """lines plus ``ignores``: what a line tells to ignore on the next one, '*' for all, a rule id, or null.
+
+    ``<directive>:rule`` at the start of a comment names a rule; ``<directive>-next-line`` anywhere in it, or the
+    directive before white space or its end, means all.
+    """
+    word, body = re.escape(directive), F.col("__sw_body")
+    rows = lines.withColumn("__sw_body", F.when(in_comment("line"), F.regexp_replace("line", _BODY, "$1$2$3$4$5$6")))
+    rows = rows.withColumn("__sw_rule", F.regexp_extract(body, rf"(?s)^{word}:\s*(.+)$", 1))
+    every = body.rlike(rf"(?s){word}-next-line|^(?:(?!{word}).)*{word}(?:\s|$)")
+    return rows.withColumn("ignores", F.when(F.col("__sw_rule") != "", F.col("__sw_rule")).when(every, "*")).drop("__sw_body", "__sw_rule")
+
+
 def suppress_inline(lines: DataFrame, findings: DataFrame, directive: str = "scan-ignore") -> DataFrame:
-    """Findings whose preceding line holds no directive for them.
+    """Findings whose preceding line holds no directive for them; lines (file_path, line_no, line).
 
-    lines (file_path, line_no, line); a directive is ``<directive>`` alone, with ``-next-line``, or either
-    with ``: rule, rule``, after // or #. Only the lines that hold a directive reach the join.
+    Only the lines that hold a directive reach the join.
     """
-    body = rf"(?://|#)\s*{directive}(?:-next-line)?\s*(?::\s*([\w\-., ]+))?\s*$"
-    marks = lines.where(F.col("line").contains(directive)).where(F.col("line").rlike(body))
-    rules = F.trim(F.regexp_extract("line", body, 1))
-    marks = marks.select(
-        F.col("file_path").alias("__sw_path"),
-        (F.col("line_no") + 1).alias("__sw_line"),
-        F.when(rules == "", F.lit(None)).otherwise(F.split(rules, r"\s*,\s*")).alias("__sw_rules"),
+    marks = with_directive(lines.where(F.contains("line", F.lit(directive))).select("file_path", "line_no", "line"), directive).select(
+        F.col("file_path").alias("__sw_path"), (F.col("line_no") + 1).alias("__sw_line"), F.col("ignores").alias("__sw_rule")
     )
     hit = (
         (F.col("file_path") == F.col("__sw_path"))
         & (F.col("line") == F.col("__sw_line"))
-        & (F.col("__sw_rules").isNull() | F.array_contains("__sw_rules", F.col("rule_id")))
+        & ((F.col("__sw_rule") == "*") | (F.col("__sw_rule") == F.col("rule_id")))
     )
-    return findings.join(marks, hit, "left_anti")
+    return findings.join(marks.where("__sw_rule is not null"), hit, "left_anti")
+
+
+def suppress_secrets(lines: DataFrame, findings: DataFrame, directive: str = "scan-ignore-secret") -> DataFrame:
+    """Findings whose preceding line does not hold the secret directive in a comment, whatever their rule."""
+    marks = lines.where(F.contains("line", F.lit(directive)) & in_comment("line"))
+    marks = marks.select("file_path", (F.col("line_no") + 1).alias("line")).distinct()
+    return findings.join(marks, ["file_path", "line"], "left_anti")
 
 
 def count_directives(lines: DataFrame, directive: str = "scan-ignore") -> DataFrame:
     """(file_path, directives) of every file."""
-    found = F.col("line").rlike(rf"(?://|#)\s*{directive}")
-    return lines.groupBy("file_path").agg(F.count_if(found).alias("directives"))
+    return with_directive(lines, directive).groupBy("file_path").agg(F.count("ignores").alias("directives"))
+
+
+def predicate_captures(captures: DataFrame, equals: dict[str, str] | None = None, matches: dict[str, str] | None = None) -> DataFrame:
+    """Captures (.., name, text) that pass their predicates: text equal to one, or found by a pattern."""
+    ok = F.lit(True)
+    for name, value in (equals or {}).items():
+        ok = ok & ((F.col("name") != name) | (F.col("text") == value))
+    for name, pattern in (matches or {}).items():
+        ok = ok & ((F.col("name") != name) | F.col("text").rlike(pattern))
+    return captures.where(ok)
 
 
 def without_learned(findings: DataFrame, learned: DataFrame, least: int = 3) -> DataFrame:
@@ -183,17 +218,19 @@ def visible_rows(rows: DataFrame, members: DataFrame, user: str) -> DataFrame:
 
 
 #: Roles from least to most powerful.
-ROLES = ["viewer", "member", "manager", "admin", "owner"]
+ROLES = ["developer", "manager", "admin"]
 
 
 def role_level(role: Column | str) -> Column:
     return F.coalesce(F.array_position(F.array(*map(F.lit, ROLES)), c(role)), F.lit(0))
 
 
-def memberships_since(members: DataFrame, dismissals: DataFrame) -> DataFrame:
-    """Memberships that began after their user last dismissed the notice, or that were never dismissed."""
+def memberships_since(members: DataFrame, dismissals: DataFrame, orgs: DataFrame) -> DataFrame:
+    """Memberships that began after their user last dismissed the notice, or that were never dismissed, with org_name."""
     last = dismissals.groupBy("user_id").agg(F.max("dismissed_at").alias("__sw_last"))
-    return members.join(last, "user_id", "left").where("__sw_last is null or created_at > __sw_last").drop("__sw_last")
+    rows = members.join(last, "user_id", "left").where("__sw_last is null or created_at > __sw_last").drop("__sw_last")
+    named = rows.join(orgs.select("org_id", F.col("name").alias("org_name")), "org_id", "left")
+    return named.withColumn("org_name", F.coalesce("org_name", F.lit("Unknown Organization")))
 
 
 def payload_violations(findings: DataFrame, most: int = 5000) -> DataFrame:
@@ -247,9 +284,9 @@ def neighbours(rows: DataFrame, order: Sequence[Column], key: str = "finding_id"
     """(key, previous, next) in a total order of the filtered rows.
 
     Ranges of the order are sorted in parallel; only each range's ends meet in one place, so no task sees
-    the whole input.
+    the whole input. The ranges are written before both uses, which must see the same ones.
     """
-    ranged = rows.repartitionByRange(*order).withColumn("__sw_part", F.spark_partition_id())
+    ranged = checkpointed(rows.repartitionByRange(*order).withColumn("__sw_part", F.spark_partition_id()))
     ranged = ranged.sortWithinPartitions("__sw_part", *order)
     inner = Window.partitionBy("__sw_part").orderBy(*order)
     own = ranged.withColumn("__sw_prev", F.lag(key).over(inner)).withColumn("__sw_next", F.lead(key).over(inner))

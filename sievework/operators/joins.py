@@ -80,17 +80,23 @@ def scan_listing(scans: DataFrame, findings: DataFrame, projects: DataFrame, org
     )
 
 
-def check_details(checks: DataFrame, findings: DataFrame, most: int = 50) -> DataFrame:
-    """Pull-request checks with the findings of their scan, the ``most`` smallest ids nested in order."""
-    w = Window.partitionBy("scan_id").orderBy("finding_id")
-    top = findings.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= most)
-    nested = top.groupBy("scan_id").agg(
+def check_details(checks: DataFrame, findings: DataFrame) -> DataFrame:
+    """Pull-request checks with all findings of their scan nested in order of id; a scan's number is bounded on ingest."""
+    nested = findings.join(checks.select("scan_id"), "scan_id", "left_semi").groupBy("scan_id").agg(
         F.array_sort(F.collect_list(F.struct("finding_id", "rule_id", "severity"))).alias("findings")
     )
     empty = F.array().cast("array<struct<finding_id:string,rule_id:string,severity:string>>")
     return checks.join(nested, "scan_id", "left").withColumn("findings", F.coalesce("findings", empty))
 
 
+def upsert_sides(incoming: DataFrame, stored: DataFrame, key: list[str]) -> DataFrame:
+    """(key, side): of every key of either table, new, known or absent from what came in."""
+    a = incoming.select(*key).distinct().withColumn("__sw_in", F.lit(True))
+    b = stored.select(*key).distinct().withColumn("__sw_was", F.lit(True))
+    side = F.when(F.col("__sw_was").isNull(), "new").when(F.col("__sw_in").isNull(), "absent").otherwise("known")
+    return a.join(b, key, "full_outer").select(*key, side.alias("side"))
+
+
 def memberships(members: DataFrame, orgs: DataFrame, users: DataFrame) -> DataFrame:
     """Memberships of organisations that exist, with the user's name or else the id."""
     out = members.join(orgs.select("org_id", F.col("name").alias("org_name")), "org_id")

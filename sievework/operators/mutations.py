@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.domain import is_open, severity_rank
@@ -92,12 +92,15 @@ def verify_fixes(fixes: DataFrame, after: DataFrame) -> DataFrame:
     """(fix_id, outcome) of fixes (fix_id, file_path, rule_id, line) against the findings of the new scan.
 
     StillPresent if the same rule is still found there, else NewFindings if the file has others, else Resolved.
+    Both joins are with one row a key, so a file of many findings costs no more than its rows.
     """
-    found = fixes.join(after.select("file_path", F.col("rule_id").alias("r"), F.col("line").alias("l")), "file_path", "left")
-    return found.groupBy("fix_id").agg(
-        F.coalesce(F.bool_or((F.col("r") == F.col("rule_id")) & (F.col("l") == F.col("line"))), F.lit(False)).alias("same"),
-        F.coalesce(F.bool_or(F.col("r").isNotNull()), F.lit(False)).alias("some"),
-    ).select("fix_id", F.when(F.col("same"), "StillPresent").when(F.col("some"), "NewFindings").otherwise("Resolved").alias("outcome"))
+    place = ["file_path", "rule_id", "line"]
+    same = after.select(*place).distinct().withColumn("__sw_same", F.lit(True))
+    some = after.select("file_path").distinct().withColumn("__sw_some", F.lit(True))
+    found = fixes.join(same, place, "left").join(some, "file_path", "left")
+    return found.groupBy("fix_id").agg(F.max("__sw_same").alias("same"), F.max("__sw_some").alias("some")).select(
+        "fix_id", F.when(F.col("same"), "StillPresent").when(F.col("some"), "NewFindings").otherwise("Resolved").alias("outcome")
+    )
 
 
 def upsert_latest(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
@@ -118,9 +121,24 @@ def purge_project(table: DataFrame, projects: DataFrame) -> DataFrame:
 
 
 def publish_release(releases: DataFrame) -> DataFrame:
-    """Releases with ``active``: the latest published one of each platform."""
-    w = Window.partitionBy("platform").orderBy(F.desc("published_at"), F.desc("version"))
-    return releases.withColumn("active", F.row_number().over(w) == 1)
+    """Releases with ``active``: the latest published one of each platform, by a combinable maximum joined back."""
+    best = releases.groupBy("platform").agg(F.max(F.struct("published_at", "version")).alias("__sw_best"))
+    out = releases.join(best, "platform")
+    return out.withColumn("active", F.struct("published_at", "version") == F.col("__sw_best")).drop("__sw_best")
+
+
+def apply_changes(table: DataFrame, changes: DataFrame, key: list[str]) -> DataFrame:
+    """A table of records after changes (key, seq, op, and columns to set): the newest change of each key counts.
+
+    ``upsert`` sets the columns that the change has and that are not null, in the record of the key or in a new
+    one; ``delete`` takes the record away. The table has one record a key; keys are not null.
+    """
+    rest = [x for x in changes.columns if x not in (*key, "seq", "op")]
+    last = changes.groupBy(*key).agg(F.max_by(F.struct("op", *rest), "seq").alias("__sw_new"))
+    both = table.withColumn("__sw_had", F.lit(True)).join(last, key, "full_outer")
+    kept = both.where("(__sw_had or __sw_new.op = 'upsert') and coalesce(__sw_new.op <> 'delete', true)")
+    value = lambda x: F.coalesce(F.col("__sw_new")[x], F.col(x)).alias(x) if x in rest else F.col(x)
+    return kept.select(*[value(x) for x in table.columns])
 
 
 def update_ruleset(existing: DataFrame, update: DataFrame) -> DataFrame:

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.domain import is_open, severity_rank
+from ..scratch import checkpointed
 
 
 def by_severity() -> list[Column]:
@@ -67,6 +68,22 @@ def newest_first(rows: DataFrame, created: str, key: str, n: int | None = None)
     return out if n is None else out.limit(n)
 
 
-def ranked_by(rows: DataFrame, keys: Sequence[Column], n: int) -> DataFrame:
-    """The first n rows of a total order, by a bounded heap per partition."""
-    return rows.orderBy(*keys).limit(n)
+def ranked_by(rows: DataFrame, keys: Sequence[Column], n: int | None = None) -> DataFrame:
+    """The rows in a total order; the first n by a bounded heap per partition."""
+    out = rows.orderBy(*keys)
+    return out if n is None else out.limit(n)
+
+
+def positions(rows: DataFrame, group: list[str], order: Sequence[Column]) -> DataFrame:
+    """rows plus position, from 1, of each row in a total order of its group, of whatever size.
+
+    Rows are numbered in ranges of the order; a range's first number is how many rows of the group come before it.
+    The ranges are written before both uses, which must see the same ones.
+    """
+    ranged = checkpointed(rows.repartitionByRange(*group, *order).withColumn("__sw_part", F.spark_partition_id()))
+    own = ranged.withColumn("__sw_rn", F.row_number().over(Window.partitionBy("__sw_part", *group).orderBy(*order)))
+    before = Window.partitionBy(*group).orderBy("__sw_part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = ranged.groupBy("__sw_part", *group).agg(F.count("*").alias("__sw_n"))
+    sizes = sizes.withColumn("__sw_before", F.coalesce(F.sum("__sw_n").over(before), F.lit(0)))
+    out = own.join(sizes, ["__sw_part", *group])
+    return out.select(*rows.columns, (F.col("__sw_rn") + F.col("__sw_before")).alias("position"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import analytics as A
 from ..registry import query
+from ..sources.trees import TREE_RULES
 from .standins import projects, read, scans, src_lines, stored_findings
 
 OPEN = "triage_state NOT IN ('Fixed','AutoFixed','Ignored','AutoIgnored')"
@@ -171,10 +172,10 @@ RANK = "CASE severity WHEN 'Critical' THEN 5 WHEN 'High' THEN 4 WHEN 'Medium' TH
     "agg15_findings_of_categories",
     f"""SELECT owasp_category, position, finding_id FROM (SELECT owasp_category, finding_id,
     row_number() OVER (PARTITION BY owasp_category ORDER BY {RANK} DESC, file_path, line, finding_id) AS position
-    FROM stored_findings WHERE owasp_category IS NOT NULL) WHERE position <= 20""",
+    FROM stored_findings WHERE owasp_category IS NOT NULL)""",
 )
 def agg15(spark, d):
-    return A.findings_of_categories(stored_findings(spark, d), 20)
+    return A.findings_of_categories(stored_findings(spark, d))
 
 
 @query("agg16_scan_summary", f"SELECT scan_id, count(*) AS total, {sev()} FROM stored_findings GROUP BY 1")
@@ -251,24 +252,27 @@ def agg24(spark, d):
     return A.usage_by_month(scans(spark, d))
 
 
-def _runs(spark, d, parity: int):
-    s = scans(spark, d).where(F.regexp_extract("scan_id", r"(\d+)", 1).cast("long") % 2 == parity)
+def _runs(spark, d, parity: int | None = None):
+    """Runs by project of all scans, or of those on one of two sides that are compared."""
+    s = scans(spark, d)
+    if parity is not None:
+        s = s.where(F.regexp_extract("scan_id", r"(\d+)", 1).cast("long") % 2 == parity)
     return s.groupBy(F.col("project_id").alias("run_id")).agg(
         F.sum("duration_ms").alias("wall_ms"), F.sum("files_scanned").alias("files"), F.count("*").alias("rules")
     )
 
 
-def _runs_sql(parity: int) -> str:
+def _runs_sql(parity: int | None = None) -> str:
     return f"""SELECT project_id AS run_id, CAST(sum(duration_ms) AS BIGINT) AS wall_ms, CAST(sum(files_scanned) AS BIGINT) AS files, count(*) AS rules
-    FROM scans WHERE CAST(substr(scan_id, 3) AS BIGINT) % 2 = {parity} GROUP BY 1"""
+    FROM scans {"" if parity is None else f"WHERE CAST(substr(scan_id, 3) AS BIGINT) % 2 = {parity}"} GROUP BY 1"""
 
 
 @query(
     "agg25_benchmark_metrics",
-    f"SELECT *, files / (wall_ms / 1000) AS files_per_s, files * rules / (wall_ms / 1000) AS rules_per_s FROM ({_runs_sql(0)})",
+    f"SELECT *, files / (wall_ms / 1000) AS files_per_s, files * rules / (wall_ms / 1000) AS rules_per_s FROM ({_runs_sql()})",
 )
 def agg25(spark, d):
-    return A.benchmark_metrics(_runs(spark, d, 0))
+    return A.benchmark_metrics(_runs(spark, d))
 
 
 @query(
@@ -306,12 +310,39 @@ def agg29(spark, d):
     return A.distinct_counts(stored_findings(spark, d))
 
 
+_SUBS = [("o-0", "pro", "active"), ("o-1", "enterprise", "active"), ("o-2", "pro", "past_due")]
+
+
 @query(
     "agg30_plan_limit",
-    """SELECT org_id, month, plan, scans, coalesce(scans + 10 > CASE plan WHEN 'free' THEN 50 WHEN 'pro' THEN 500 WHEN 'team' THEN 2000 END, false) AS over_limit
-    FROM (SELECT org_id, month, scans, coalesce(CASE org_id WHEN 'o-0' THEN 'pro' WHEN 'o-1' THEN 'enterprise' WHEN 'o-2' THEN 'free' END, 'free') AS plan
-      FROM (SELECT org_id, strftime(ts, '%Y-%m') AS month, count(*) AS scans FROM scans GROUP BY ALL))""",
+    f"""SELECT org_id, month, plan, findings_stored, project_count, CASE WHEN findings_stored + 400 > CASE plan WHEN 'free' THEN 500 WHEN 'pro' THEN 5000 END THEN 'findings'
+      WHEN new_project AND project_count >= CASE plan WHEN 'free' THEN 1 WHEN 'pro' THEN 10 END THEN 'projects' END AS reason
+    FROM (SELECT org_id, strftime(created_at, '%Y-%m') AS month, count(*) AS findings_stored, count(DISTINCT project_id) AS project_count, count(*) % 2 = 0 AS new_project FROM stored_findings GROUP BY ALL)
+    JOIN (VALUES ('o-0', 'pro'), ('o-1', 'enterprise'), ('o-2', 'free'), ('o-3', 'free')) s(org_id, plan) USING (org_id)""",
 )
 def agg30(spark, d):
-    plans = spark.createDataFrame([("o-0", "pro"), ("o-1", "enterprise"), ("o-2", "free")], "org_id string, plan string")
-    return A.plan_limit(A.usage_by_month(scans(spark, d)).select("org_id", "month", "scans"), plans, 10)
+    usage = stored_findings(spark, d).groupBy("org_id", F.date_format("created_at", "yyyy-MM").alias("month")).agg(
+        F.count("*").alias("findings_stored"), F.countDistinct("project_id").alias("project_count")
+    )
+    usage = usage.withColumn("incoming", F.lit(400)).withColumn("new_project", F.col("findings_stored") % 2 == 0)
+    return A.plan_limit(usage, spark.createDataFrame(_SUBS, "org_id string, plan string, status string")).drop("incoming", "new_project")
+
+
+def _tree_cases(spark):
+    from ..sources import trees
+
+    return trees.self_tests(trees.default_tree_rules(spark))
+
+
+@query(
+    "agg19_rule_self_tests",
+    f"SELECT rule_id, 3 AS tp, 0 AS fn, 0 AS fp, 3 AS tn, 1.0::DOUBLE AS precision, 1.0::DOUBLE AS recall, 0.0::DOUBLE AS fp_rate, true AS enough_cases FROM (SELECT concat('PY', i) AS rule_id FROM (SELECT unnest(range(101, {101 + len(TREE_RULES)})) AS i))",
+)
+def agg19b(spark, d):
+    """Every tree rule run on its own cases: all must hold."""
+    return A.rule_quality(_tree_cases(spark))
+
+
+@query("agg20_self_tests_together", f"SELECT {len(TREE_RULES)} AS rules, {len(TREE_RULES)} AS clean_rules, {3 * len(TREE_RULES)} AS tp, 0 AS fn, 0 AS fp, {3 * len(TREE_RULES)} AS tn, 1.0::DOUBLE AS precision, 1.0::DOUBLE AS recall, 0.0::DOUBLE AS fp_rate")
+def agg20b(spark, d):
+    return A.rules_quality(A.rule_quality(_tree_cases(spark)))

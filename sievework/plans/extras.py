@@ -14,12 +14,11 @@ from ..sources import sinks as K
 from .standins import deps, projects, read, scans, src_lines, stored_findings
 
 
-@query("fil20_active_releases", "SELECT event_type AS platform, max(event_id) AS version FROM events WHERE user_id % 50 = 3 GROUP BY 1")
+@query("fil20_active_releases", "SELECT event_type AS platform, max(event_id) AS version FROM events GROUP BY 1")
 def fil20(spark, d):
     from ..operators.mutations import publish_release
 
-    e = read(spark, d, "events").where("user_id % 50 = 3")
-    rows = e.select(F.col("event_type").alias("platform"), F.col("event_id").alias("version"), F.col("event_id").alias("published_at"))
+    rows = read(spark, d, "events").select(F.col("event_type").alias("platform"), F.col("event_id").alias("version"), F.col("event_id").alias("published_at"))
     return publish_release(rows).where("active").select("platform", "version")
 
 
@@ -28,10 +27,10 @@ def fil20b(spark, d):
     return read(spark, d, "events").where("event_id = 7").select(F.col("event_type").alias("platform"), F.col("event_id").alias("version"))
 
 
-@query("fil18_autofix_of_org", "SELECT finding_id, created_at FROM stored_findings WHERE org_id = 'o-2' AND triage_state = 'ToFix' ORDER BY created_at DESC, finding_id LIMIT 60")
+@query("fil18_autofix_of_org", "SELECT finding_id, created_at FROM stored_findings WHERE org_id = 'o-2' AND triage_state = 'ToFix' ORDER BY created_at DESC, finding_id")
 def fil18b(spark, d):
     rows = stored_findings(spark, d).where("org_id = 'o-2' and triage_state = 'ToFix'").select("finding_id", "created_at")
-    return rows.orderBy(F.desc("created_at"), "finding_id").limit(60)
+    return rows.orderBy(F.desc("created_at"), "finding_id")
 
 
 @query("fil21_projects_of_org", "SELECT project_id, name FROM projects WHERE org_id = 'o-1'")
@@ -39,10 +38,11 @@ def fil21c(spark, d):
     return projects(spark, d).where("org_id = 'o-1'").select("project_id", "name")
 
 
-@query("fil25_role_levels", "SELECT * FROM (VALUES ('viewer', 1), ('member', 2), ('manager', 3), ('admin', 4), ('owner', 5), ('x', 0)) t(role, level)")
+@query("fil25_role_levels", "SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 3 WHEN 1 THEN 2 WHEN 2 THEN 1 ELSE 0 END AS level FROM customer")
 def fil25b(spark, d):
-    rows = spark.createDataFrame([(x,) for x in ("viewer", "member", "manager", "admin", "owner", "x")], "role string")
-    return rows.select("role", L.role_level("role").cast("int").alias("level"))
+    k = F.col("c_custkey") % 4
+    role = F.when(k == 0, "admin").when(k == 1, "manager").when(k == 2, "developer").otherwise("owner")
+    return read(spark, d, "customer").select("c_custkey", L.role_level(role).cast("int").alias("level"))
 
 
 _LANGS = "('JavaScript', 'JS001'), ('Python', 'PY001'), ('Go', 'GO001')"
@@ -83,11 +83,10 @@ def str9(spark, d):
 
 @query(
     "str12_context_hash",
-    """SELECT doc_id, line_no, sha256(concat('ctx|', lower(regexp_replace(line, '[ \\t]+', '', 'g')))) AS h, trim(regexp_replace(line, '[ \\t]+', ' ', 'g')) AS k FROM src_lines WHERE regexp_matches(line, '^[ -~]*$')""",
+    """SELECT doc_id, line_no, sha256(concat('ctx|', lower(regexp_replace(line, '[ \\t\\n\\v\\f\\r]+', '', 'g')))) AS h, trim(regexp_replace(line, '[ \\t\\n\\v\\f\\r]+', ' ', 'g')) AS k FROM src_lines""",
 )
 def str12(spark, d):
-    rows = src_lines(spark, d).where(F.col("line").rlike("^[ -~]*$"))
-    return rows.select("doc_id", "line_no", D.context_hash(F.lit("ctx"), "line").alias("h"), D.memory_key("line").alias("k"))
+    return src_lines(spark, d).select("doc_id", "line_no", D.context_hash(F.lit("ctx"), "line").alias("h"), D.memory_key("line").alias("k"))
 
 
 @query("dat1_stale_feeds", "SELECT scan_id FROM scans WHERE ts <= TIMESTAMP '1995-06-01 00:00:00' - INTERVAL 24 HOUR")
@@ -167,16 +166,15 @@ def src24(spark, d):
 
 @query(
     "joi13_upsert_sides",
-    """SELECT side, count(*) AS n FROM (SELECT CASE WHEN a.k IS NULL THEN 'new' WHEN b.k IS NULL THEN 'absent' ELSE 'known' END AS side
-    FROM (SELECT DISTINCT rule_id || file_path AS k FROM stored_findings WHERE column_num = 1) a FULL JOIN (SELECT DISTINCT rule_id || file_path AS k FROM stored_findings WHERE column_num = 2) b ON a.k = b.k) GROUP BY 1""",
+    """SELECT rule_id, file_path, CASE WHEN a.was IS NULL THEN 'new' WHEN b.came IS NULL THEN 'absent' ELSE 'known' END AS side
+    FROM (SELECT DISTINCT rule_id, file_path, 1 AS was FROM stored_findings WHERE column_num = 1) a
+    FULL JOIN (SELECT DISTINCT rule_id, file_path, 1 AS came FROM stored_findings WHERE column_num = 2) b USING (rule_id, file_path)""",
 )
 def joi13(spark, d):
-    key = ["rule_id", "file_path"]
+    from ..operators.joins import upsert_sides
+
     rows = stored_findings(spark, d)
-    a = rows.where("column_num = 1").select(*key).distinct().withColumn("a", F.lit(1))
-    b = rows.where("column_num = 2").select(*key).distinct().withColumn("b", F.lit(1))
-    side = F.when(F.col("a").isNull(), "new").when(F.col("b").isNull(), "absent").otherwise("known")
-    return a.join(b, key, "full_outer").groupBy(side.alias("side")).agg(F.count("*").alias("n"))
+    return upsert_sides(rows.where("column_num = 2"), rows.where("column_num = 1"), ["rule_id", "file_path"])
 
 
 @query("src16_ecosystems", "SELECT dep_id, CASE upper(ecosystem) WHEN 'NPM' THEN 'npm' WHEN 'PYPI' THEN 'PyPI' ELSE ecosystem END AS ecosystem FROM deps")
@@ -184,3 +182,23 @@ def src16b(spark, d):
     return deps(spark, d).select("dep_id", A.ghsa_ecosystem(F.upper("ecosystem")).alias("e"), "ecosystem").select(
         "dep_id", F.when(F.col("e") == F.upper("ecosystem"), F.col("ecosystem")).otherwise(F.col("e")).alias("ecosystem")
     )
+
+
+@query(
+    "mut17_record_changes",
+    """WITH c AS (SELECT concat('p-', c_custkey % 60) AS project_id, c_custkey AS seq, CASE WHEN c_custkey % 5 = 0 THEN 'delete' ELSE 'upsert' END AS op,
+      CASE WHEN c_custkey % 3 > 0 THEN c_name END AS name, CASE WHEN c_custkey % 2 = 0 THEN concat('t-', c_nationkey) END AS team_id FROM customer),
+    n AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY project_id ORDER BY seq DESC) = 1)
+    SELECT coalesce(p.project_id, n.project_id) AS project_id, coalesce(n.name, p.name) AS name, coalesce(n.team_id, p.team_id) AS team_id, p.org_id
+    FROM projects p FULL JOIN n ON n.project_id = p.project_id WHERE coalesce(n.op, 'upsert') <> 'delete'""",
+)
+def mut17(spark, d):
+    """Records of any keyed table: created, changed in part, and deleted."""
+    from ..operators.mutations import apply_changes
+
+    k = F.col("c_custkey")
+    changes = read(spark, d, "customer").select(
+        F.concat(F.lit("p-"), k % 60).alias("project_id"), k.alias("seq"), F.when(k % 5 == 0, "delete").otherwise("upsert").alias("op"),
+        F.when(k % 3 > 0, F.col("c_name")).alias("name"), F.when(k % 2 == 0, F.concat(F.lit("t-"), "c_nationkey")).alias("team_id"),
+    )
+    return apply_changes(projects(spark, d).select("project_id", "name", "team_id", "org_id"), changes, ["project_id"])

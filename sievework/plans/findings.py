@@ -9,7 +9,7 @@ from ..operators import filters as L
 from ..operators import joins as J
 from ..operators import ordering as O
 from ..registry import query
-from .standins import call_edges, projects, read, scans, stored_findings  # noqa: F401
+from .standins import marked_lines, projects, read, scans, stored_findings
 
 RANK = "CASE severity WHEN 'Critical' THEN 5 WHEN 'High' THEN 4 WHEN 'Medium' THEN 3 WHEN 'Low' THEN 2 WHEN 'Info' THEN 1 END"
 COLS = ["finding_id", "rule_id", "file_path", "line", "severity", "triage_state"]
@@ -58,50 +58,49 @@ def fil7(spark, d):
     return L.in_files(f(spark, d), staged, root="/repo")
 
 
-SRC = [
-    ("a.py", 1, "x = 1  # scan-ignore"),
-    ("a.py", 2, "eval(x)"),
-    ("a.py", 3, "eval(y)"),
-    ("a.py", 4, "# scan-ignore-next-line: R2, R3"),
-    ("a.py", 5, "exec(z)"),
-    ("b.js", 1, "// scan-ignore: R1"),
-    ("b.js", 2, "eval(q)"),
-    ("b.js", 3, "eval(r) // not a scan-ignore directive"),
-    ("b.js", 4, "eval(s)"),
-]
-FOUND = [("f1", "a.py", 2, "R1"), ("f2", "a.py", 3, "R1"), ("f3", "a.py", 5, "R1"), ("f4", "a.py", 5, "R2"), ("f5", "b.js", 2, "R1"), ("f6", "b.js", 2, "R2"), ("f7", "b.js", 4, "R1")]
-SRC_SQL = "(VALUES " + ", ".join(f"('{p}', {n}, '{t}')" for p, n, t in SRC) + ") s(file_path, line_no, line)"
-FOUND_SQL = "(VALUES " + ", ".join(f"('{i}', '{p}', {n}, '{r}')" for i, p, n, r in FOUND) + ") f(finding_id, file_path, line, rule_id)"
+_FOUND = """(SELECT concat('f', p_partkey, '-', r) AS finding_id, concat('src/f', p_partkey % 40, '.py') AS file_path, CAST(p_partkey // 40 + 1 AS INT) AS line, concat('rule-', r) AS rule_id
+    FROM part, (SELECT unnest(range(7)) AS r))"""
+# the directive's grammar, on the trimmed line t with comment text b
+_PARSED = """(SELECT file_path, line_no, t, CASE WHEN NOT in_comment THEN NULL
+      WHEN starts_with(b, 'scan-ignore:') AND trim(substr(b, 13)) <> '' THEN trim(substr(b, 13)) WHEN contains(b, 'scan-ignore-next-line') THEN '*'
+      WHEN regexp_matches(b, '^(.{0,99}?)scan-ignore($|\\s)') AND NOT regexp_matches(b, '^((.{0,99}?))scan-ignore[^\\s]') THEN '*' END AS target, in_comment
+    FROM (SELECT *, t LIKE '%//%' OR t LIKE '%#%' OR t LIKE '<!--%' OR t LIKE '/*%' AS in_comment, trim(CASE WHEN t LIKE '//%' THEN substr(t, 3) WHEN t LIKE '#%' THEN substr(t, 2)
+      WHEN t LIKE '<!--%' THEN regexp_replace(substr(t, 5), '-->$', '') WHEN t LIKE '/*%' THEN regexp_replace(substr(t, 3), '[*]/$', '')
+      WHEN contains(t, '//') THEN substr(t, instr(t, '//') + 2) ELSE substr(t, instr(t, '#') + 1) END) AS b FROM (SELECT *, trim(line) AS t FROM marked_lines))) m"""
+
+
+def _found(spark, d):
+    """Seven findings on every line."""
+    k, r = F.col("p_partkey"), F.col("r")
+    rows = read(spark, d, "part").withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(6))))
+    return rows.select(
+        F.concat(F.lit("f"), k, F.lit("-"), r).alias("finding_id"), F.concat(F.lit("src/f"), k % 40, F.lit(".py")).alias("file_path"),
+        F.expr("cast(p_partkey div 40 + 1 as int)").alias("line"), F.concat(F.lit("rule-"), r).alias("rule_id"),
+    )
 
 
 @query(
     "fil8_inline_suppression",
-    f"""SELECT finding_id, rule_id FROM {FOUND_SQL} WHERE NOT EXISTS (SELECT 1 FROM
-    (SELECT file_path, line_no, regexp_extract(line, '(?://|#)\\s*scan-ignore(?:-next-line)?\\s*(?::\\s*([\\w\\-., ]+))?\\s*$', 1) AS rules FROM {SRC_SQL}
-      WHERE regexp_matches(line, '(?://|#)\\s*scan-ignore(?:-next-line)?\\s*(?::\\s*([\\w\\-., ]+))?\\s*$')) m
-    WHERE m.file_path = f.file_path AND m.line_no + 1 = f.line AND (trim(rules) = '' OR list_contains(string_split_regex(trim(rules), '\\s*,\\s*'), f.rule_id)))""",
+    f"""SELECT finding_id, rule_id FROM {_FOUND} f WHERE NOT EXISTS (SELECT 1 FROM {_PARSED}
+    WHERE m.file_path = f.file_path AND m.line_no + 1 = f.line AND (target = '*' OR target = f.rule_id))""",
 )
 def fil8(spark, d):
-    lines = spark.createDataFrame(SRC, "file_path string, line_no int, line string")
-    found = spark.createDataFrame(FOUND, "finding_id string, file_path string, line int, rule_id string")
-    return L.suppress_inline(lines, found).select("finding_id", "rule_id")
+    return L.suppress_inline(marked_lines(spark, d), _found(spark, d)).select("finding_id", "rule_id")
 
 
-@query("fil9_secret_suppression", f"""SELECT finding_id FROM {FOUND_SQL} WHERE NOT EXISTS (SELECT 1 FROM {SRC_SQL}
-    WHERE s.file_path = f.file_path AND s.line_no + 1 = f.line AND regexp_matches(s.line, '(?://|#)\\s*scan-ignore(?:-next-line)?\\s*$'))""")
+@query(
+    "fil9_secret_suppression",
+    f"""SELECT finding_id FROM {_FOUND} f WHERE NOT EXISTS (SELECT 1 FROM {_PARSED}
+    WHERE m.file_path = f.file_path AND m.line_no + 1 = f.line AND in_comment AND contains(t, 'scan-ignore-secret'))""",
+)
 def fil9(spark, d):
-    """The older, blanket directive only."""
-    lines = spark.createDataFrame([x for x in SRC if ":" not in x[2]], "file_path string, line_no int, line string")
-    found = spark.createDataFrame(FOUND, "finding_id string, file_path string, line int, rule_id string")
-    return L.suppress_inline(lines, found).select("finding_id")
+    """The directive of the secret scan, which has no rule."""
+    return L.suppress_secrets(marked_lines(spark, d), _found(spark, d)).select("finding_id")
 
 
-@query(
-    "fil10_count_directives",
-    f"SELECT file_path, count(*) FILTER (WHERE regexp_matches(line, '(?://|#)\\s*scan-ignore')) AS directives FROM {SRC_SQL} GROUP BY 1",
-)
+@query("fil10_count_directives", f"SELECT file_path, count(target) AS directives FROM {_PARSED} GROUP BY 1")
 def fil10(spark, d):
-    return L.count_directives(spark.createDataFrame(SRC, "file_path string, line_no int, line string"))
+    return L.count_directives(marked_lines(spark, d))
 
 
 @query(
@@ -177,10 +176,10 @@ def fil17(spark, d):
 
 @query(
     "fil18_checks_of_project",
-    """SELECT scan_id, project_id, ts FROM scans WHERE project_id = 'p-5' ORDER BY ts DESC, scan_id LIMIT 100""",
+    """SELECT scan_id, project_id, ts FROM scans WHERE project_id = 'p-5' ORDER BY ts DESC, scan_id""",
 )
 def fil18(spark, d):
-    return O.newest_first(scans(spark, d).where("project_id = 'p-5'").select("scan_id", "project_id", "ts"), "ts", "scan_id", 100)
+    return O.newest_first(scans(spark, d).where("project_id = 'p-5'").select("scan_id", "project_id", "ts"), "ts", "scan_id")
 
 
 @query(
@@ -225,7 +224,7 @@ def fil23(spark, d):
     return L.payload_violations(stored_findings(spark, d).select(F.col("project_id").alias("scan_id"), "severity"), 1150)
 
 
-MEMBERS = [("u1", "o-0", "admin", ["t-0"], 5), ("u2", "o-0", "member", ["t-0", "t-4"], 9), ("u3", "o-1", "viewer", [], 3), ("u2", "o-1", "member", ["t-1"], 2)]
+MEMBERS = [("u1", "o-0", "admin", ["t-0"], 5), ("u2", "o-0", "developer", ["t-0", "t-4"], 9), ("u3", "o-1", "manager", [], 3), ("u2", "o-1", "developer", ["t-1"], 2)]
 
 
 def members(spark):
@@ -235,14 +234,22 @@ def members(spark):
 MEMBERS_SQL = "(VALUES " + ", ".join(f"('{u}', '{o}', '{r}', {t}::VARCHAR[], {c})" for u, o, r, t, c in MEMBERS) + ") m(user_id, org_id, role, team_ids, created_at)"
 
 
+#: Four thousand memberships and more, from customers: users, organisations (one of them unknown) and days.
+_MEMB = """(SELECT concat('u', c_custkey % 200) AS user_id, concat('o-', c_nationkey % 4) AS org_id, CASE c_custkey % 3 WHEN 0 THEN 'admin' WHEN 1 THEN 'manager' ELSE 'developer' END AS role,
+    c_custkey AS created_at FROM customer) m"""
+
+
 @query(
     "fil24_new_memberships",
-    f"""SELECT user_id, org_id FROM {MEMBERS_SQL} LEFT JOIN (VALUES ('u1', 4), ('u2', 3), ('u2', 6)) x(u, seen) ON u = user_id
-    GROUP BY user_id, org_id, created_at HAVING max(seen) IS NULL OR created_at > max(seen)""",
+    f"""SELECT m.user_id, created_at, role, coalesce(g.name, 'Unknown Organization') AS org_name FROM {_MEMB} LEFT JOIN (VALUES ('o-0', 'Alpha'), ('o-1', 'Beta'), ('o-2', 'Gamma')) g(org_id, name) USING (org_id)
+    LEFT JOIN (SELECT concat('u', user_id % 300) AS user_id, max(user_id) AS seen FROM events WHERE event_type = 'signup' GROUP BY 1) x ON x.user_id = m.user_id WHERE seen IS NULL OR created_at > seen""",
 )
 def fil24(spark, d):
-    seen = spark.createDataFrame([("u1", 4), ("u2", 3), ("u2", 6)], "user_id string, dismissed_at int")
-    return L.memberships_since(members(spark), seen).select("user_id", "org_id")
+    k = F.col("c_custkey")
+    role = F.when(k % 3 == 0, "admin").when(k % 3 == 1, "manager").otherwise("developer")
+    rows = read(spark, d, "customer").select(F.concat(F.lit("u"), k % 200).alias("user_id"), F.concat(F.lit("o-"), F.col("c_nationkey") % 4).alias("org_id"), role.alias("role"), k.alias("created_at"))
+    seen = read(spark, d, "events").where("event_type = 'signup'").select(F.concat(F.lit("u"), F.col("user_id") % 300).alias("user_id"), F.col("user_id").alias("dismissed_at"))
+    return L.memberships_since(rows, seen, spark.createDataFrame(ORGS, "org_id string, name string")).select("user_id", "created_at", "role", "org_name")
 
 
 @query(
@@ -274,9 +281,9 @@ def fil27(spark, d):
 # -- orders -----------------------------------------------------------------------------------------
 
 
-@query("srt1_severity_order", f"SELECT {C} FROM stored_findings ORDER BY {RANK} DESC, file_path, line, rule_id, finding_id LIMIT 200")
+@query("srt1_severity_order", f"SELECT {C} FROM stored_findings ORDER BY {RANK} DESC, file_path, line, rule_id, finding_id")
 def srt1(spark, d):
-    return O.ranked_by(f(spark, d), O.by_severity(), 200)
+    return O.ranked_by(f(spark, d), O.by_severity())
 
 
 @query("srt2_search_order", f"SELECT {C} FROM stored_findings ORDER BY confidence_score ASC, finding_id LIMIT 100")
@@ -357,17 +364,17 @@ def srt10(spark, d):
     return docs.select("doc_id", F.array_join(O.capped_trace(F.split("text", " "), 20, 8), "|").alias("trace"))
 
 
-@query("srt11_memory_newest", "SELECT event_id, user_id FROM events WHERE event_type = (SELECT min(event_type) FROM events) ORDER BY ts DESC, event_id LIMIT 40")
+@query("srt11_memory_newest", "SELECT event_id, user_id FROM events WHERE event_type = (SELECT min(event_type) FROM events) ORDER BY ts DESC, event_id")
 def srt11(spark, d):
     e = read(spark, d, "events")
     kind = e.agg(F.min("event_type").alias("k"))
     rows = e.join(F.broadcast(kind), F.col("event_type") == F.col("k"))
-    return O.newest_first(rows, "ts", "event_id", 40).select("event_id", "user_id")
+    return O.newest_first(rows, "ts", "event_id").select("event_id", "user_id")
 
 
-@query("srt12_projects_newest", "SELECT project_id, name FROM projects ORDER BY created_seq DESC, project_id LIMIT 15")
+@query("srt12_projects_newest", "SELECT project_id, name FROM projects ORDER BY created_seq DESC, project_id")
 def srt12(spark, d):
-    return O.newest_first(projects(spark, d), "created_seq", "project_id", 15).select("project_id", "name")
+    return O.newest_first(projects(spark, d), "created_seq", "project_id").select("project_id", "name")
 
 
 # -- joins ------------------------------------------------------------------------------------------

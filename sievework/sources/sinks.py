@@ -69,11 +69,29 @@ def sarif_log(findings: DataFrame, tool: str = "sievework") -> DataFrame:
     return rules.crossJoin(results).select(F.to_json(log).alias("json"))
 
 
-def diagnostics(findings: DataFrame) -> DataFrame:
-    """(finding_id, text): severity, place and the snippet, which synthetic paths do not have."""
-    head = F.concat(F.upper("severity"), F.lit(" "), "file_path", F.lit(":"), F.col("line").cast("string"), F.lit(" "), "rule_id")
-    body = F.when(F.startswith("file_path", F.lit("<")), F.lit("")).otherwise(F.concat(F.lit("\n    "), F.replace("snippet", F.lit("\n"), F.lit("\n    "))))
-    return findings.select("finding_id", F.concat(head, body).alias("text"))
+#: The manifest that names the dependencies of an ecosystem.
+MANIFESTS = {"npm": "package.json", "crates.io": "Cargo.toml", "cargo": "Cargo.toml", "PyPI": "requirements.txt", "pypi": "requirements.txt", "maven": "pom.xml"}
+
+
+def diagnostics(findings: DataFrame, lines: DataFrame) -> DataFrame:
+    """(finding_id, text): severity, rule, place, and the finding's line between its neighbours, the line marked.
+
+    lines (file_path, line_no, line). Dependencies, whose paths are no files, get package and manifest instead.
+    """
+    at = findings.where(~F.startswith("file_path", F.lit("<"))).select("finding_id", "file_path", "line", F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1))).alias("by"))
+    body = at.select("finding_id", "file_path", "by", (F.col("line") + F.col("by")).alias("line_no")).join(lines.select("file_path", "line_no", F.col("line").alias("code")), ["file_path", "line_no"])
+    shown = F.concat(F.when(F.col("by") == 0, "> ").otherwise("  "), F.lpad(F.col("line_no").cast("string"), 4, " "), F.lit(" | "), "code")
+    body = body.groupBy("finding_id").agg(F.array_sort(F.collect_list(F.struct("line_no", shown.alias("s")))).alias("s"))
+    block = F.concat(F.lit("\n"), F.array_join(F.transform("s", lambda x: x["s"]), "\n"))
+    head = F.concat(F.lit("["), F.upper("severity"), F.lit("] "), "rule_id")
+    inner = F.regexp_replace("file_path", "^<|>$", "")
+    ecosystem, package = F.regexp_extract(inner, "^([^/]*)/", 1), F.regexp_replace(inner, "^[^/]*/", "")
+    known = F.create_map(*[F.lit(x) for pair in MANIFESTS.items() for x in pair])
+    manifest = F.coalesce(F.try_element_at(known, ecosystem), F.lit("manifest"))
+    dependency = F.concat(head, F.lit("\nDependency: "), package, F.lit(" | Ecosystem: "), ecosystem, F.lit(" | Source: "), manifest, F.lit("\n"), "snippet")
+    plain = F.concat(head, F.lit("\n"), "file_path", F.lit(":"), F.col("line").cast("string"), F.coalesce(block, F.lit("")))
+    text = F.when(F.startswith("file_path", F.lit("<")), dependency).otherwise(plain)
+    return findings.join(body, "finding_id", "left").select("finding_id", text.alias("text"))
 
 
 def export_rows(findings: DataFrame) -> DataFrame:

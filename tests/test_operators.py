@@ -143,3 +143,49 @@ def test_entry_imports_without_the_corpus_folder(tmp_path):
     shutil.copy(root / "__spark_entry__.py", tmp_path)
     code = "import __spark_entry__ as e; q = e.queries(); assert q and not any(n.startswith('op') for n in q) and set(e.oracle_sql()) <= set(q)"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True)
+
+
+def test_directives(spark):
+    cases = {
+        "x = 1  # scan-ignore": "*", "// scan-ignore legacy reason": "*", "<!-- scan-ignore -->": "*", "/* scan-ignore-next-line */": "*", "# scan-ignore:R1": "R1", "<!-- scan-ignore: R 2 -->": "R 2",
+        "# scan-ignore-secret": None, "scan-ignore": None, "# see scan-ignore:R1": None, "f()  // scan-ignore:R1": "R1", "# scan-ignore:": None, "  #scan-ignore-next-line: R1": "*",
+    }
+    rows = spark.createDataFrame([(x,) for x in cases], "line string")
+    assert {r.line: r.ignores for r in filters.with_directive(rows).collect()} == cases
+
+
+def test_positions_and_neighbours_of_one_hot_group(spark):
+    from sievework.operators import ordering
+
+    rows = spark.range(5000).selectExpr("id", "'g' as g", "(id * 7919) % 5000 as k").repartition(7)
+    got = {r.id: r.position for r in ordering.positions(rows, ["g"], [F.col("k")]).collect()}
+    assert all(got[i] == (i * 7919) % 5000 + 1 for i in range(5000))
+
+
+def test_changes_of_records(spark):
+    table = spark.createDataFrame([(1, "a", "x"), (2, "b", "y"), (3, "c", "z")], "id int, name string, team string")
+    changes = spark.createDataFrame([(1, 1, "upsert", "A"), (2, 2, "delete", None), (3, 3, "delete", None), (3, 4, "upsert", "C"), (4, 5, "upsert", "D"), (5, 6, "delete", None)], "id int, seq int, op string, name string")
+    assert sorted(tuple(r) for r in mutations.apply_changes(table, changes, ["id"]).collect()) == [(1, "A", "x"), (3, "C", "z"), (4, "D", None)]
+
+
+def test_tree_patterns_report_once_a_line(spark):
+    import json
+
+    from sievework.sources import trees
+
+    find = lambda p, code: [x[1:] for x in trees.Patterns([("R", json.dumps(p))]).find(code)]
+    assert find({"node": "call", "eq": {"callee": "a.b"}}, "a.b(1); a.b(2)\nc.a.b(3)\n\nif x:\n  a.b(\n 4)") == [(1, 1, "a.b(1)"), (5, 3, "a.b(\n 4)")]
+    assert find({"node": "call", "eq": {"callee": "f"}, "kind": {"arg0": ["fstring"]}}, "f(f'{x}')\nf(f'x')\nf('x')") == [(1, 1, "f(f'{x}')")]
+    assert find({"node": "import", "match": {"module": "^os$"}}, "import os, sys\nfrom os import path") == [(1, 1, "import os, sys"), (2, 1, "from os import path")]
+    assert find({"node": "call", "eq": {"callee": "f"}}, "f(") == []
+
+
+def test_patches_of_every_class(spark):
+    lines = {
+        "bound-parameter": ("cur.execute(f'SELECT {k}')", "cur.execute('SELECT %s', (k,))"), "argument-list": ("os.system(cmd)", "subprocess.run(shlex.split(cmd), check=True)"),
+        "no-shell": ("run(a, shell=True)", "run(a, shell=False)"), "base-name": ("open(name, 'r')", "open(os.path.basename(name), 'r')"), "checked-url": ("requests.get(u)", "requests.get(allowed_url(u))"),
+        "json-loads": ("pickle.loads(b)", "json.loads(b)"), "from-environment": ("  token = 'abc'", '  token = os.environ["token"]'), "local-redirect": ("redirect(to)", "redirect(local_path(to))"),
+        "no-entities": ("P(resolve_entities=True)", "P(resolve_entities=False)"), "text-content": ("x.innerHTML = y", "x.textContent = y"),
+    }
+    for name, (before, after) in lines.items():
+        assert one(spark, scoring.patched_line("line", "template"), line=before, template=name) == after
