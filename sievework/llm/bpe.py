@@ -38,10 +38,11 @@ from .words import slices, tidy
 #: Fixed value: how byte-level vocabularies split text before merging.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: A space at either end or beside other white space: chunks are then put together before splitting.
+_MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _LOOSE_SPACE = re.compile(r" \s|\s |^ | \Z")
 #: Cached chunks, and tokens in them, after which those that did not come again go.
-CACHED_CHUNKS = 100_000
-CACHED_TOKENS = 400_000
+CACHED_CHUNKS = 200_000
+CACHED_TOKENS = 1_000_000
 #: Longer chunks are not kept when the cache is cut down.
 CACHED_CHARS = 64
 #: Words of more bytes are cut and mended one by one instead of side by side.
@@ -398,7 +399,9 @@ class Codec(Decoder):
         single: dict[str, None] = {}
         for spaced, p in new:
             full = " " + p if spaced else p
-            words = [full] if p.isalpha() else self.split.findall(full)
+            core = p.rstrip(_MARKS)
+            # a run of letters, with marks behind it or none, splits there and nowhere else
+            words = ([full] if core == p else [full[: len(core) - len(p)], p[len(core) :]]) if core.isalpha() else self.split.findall(full)
             if len(words) == 1 and (spaced or p[0] != " "):
                 single[full] = None
             else:
