@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import analytics as A
 from ..registry import query
-from ..sources.trees import TREE_RULES
+from ..sources.trees import RULE_IDS
 from .standins import projects, read, scans, src_lines, stored_findings
 
 OPEN = "triage_state NOT IN ('Fixed','AutoFixed','Ignored','AutoIgnored')"
@@ -336,13 +336,13 @@ def _tree_cases(spark):
 
 @query(
     "agg19_rule_self_tests",
-    f"SELECT rule_id, 3 AS tp, 0 AS fn, 0 AS fp, 3 AS tn, 1.0::DOUBLE AS precision, 1.0::DOUBLE AS recall, 0.0::DOUBLE AS fp_rate, true AS enough_cases FROM (SELECT concat('PY', i) AS rule_id FROM (SELECT unnest(range(101, {101 + len(TREE_RULES)})) AS i))",
+    f"SELECT rule_id, 3 AS tp, 0 AS fn, 0 AS fp, 3 AS tn, 1.0::DOUBLE AS precision, 1.0::DOUBLE AS recall, 0.0::DOUBLE AS fp_rate, true AS enough_cases FROM (SELECT unnest({RULE_IDS}) AS rule_id)",
 )
 def agg19b(spark, d):
     """Every tree rule run on its own cases: all must hold."""
     return A.rule_quality(_tree_cases(spark))
 
 
-@query("agg20_self_tests_together", f"SELECT {len(TREE_RULES)} AS rules, {len(TREE_RULES)} AS clean_rules, {3 * len(TREE_RULES)} AS tp, 0 AS fn, 0 AS fp, {3 * len(TREE_RULES)} AS tn, 1.0::DOUBLE AS precision, 1.0::DOUBLE AS recall, 0.0::DOUBLE AS fp_rate")
+@query("agg20_self_tests_together", f"SELECT {len(RULE_IDS)} AS rules, {len(RULE_IDS)} AS clean_rules, {3 * len(RULE_IDS)} AS tp, 0 AS fn, 0 AS fp, {3 * len(RULE_IDS)} AS tn, 1.0::DOUBLE AS precision, 1.0::DOUBLE AS recall, 0.0::DOUBLE AS fp_rate")
 def agg20b(spark, d):
     return A.rules_quality(A.rule_quality(_tree_cases(spark)))

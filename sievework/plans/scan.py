@@ -135,7 +135,7 @@ def scan(files: DataFrame, rules: DataFrame, options: ScanOptions | None = None)
     if not rules.where("pattern is not null").isEmpty():
         found = match_rules(lines, rules.where("pattern is not null")).withColumnRenamed("line_no", "line").select(*FOUND)
     if "tree" in rules.columns and not rules.where("tree is not null").isEmpty():
-        trees = T.match_trees(kept.where("language = 'Python'"), rules).select(*FOUND)
+        trees = T.match_trees(kept, rules).select(*FOUND)
         found = trees if found is None else found.unionByName(trees)
     if found is None:
         raise ValueError("no rules")

@@ -11,7 +11,7 @@ from ..registry import query
 from ..sources import files as X
 from ..sources import trees as T
 from .scan import match_rules, scan_code
-from .standins import code_files, read, src_lines
+from .standins import code_files, mixed_files, read, src_lines
 
 LINE_RULES = [r for r in X.DEFAULT_RULES if r[3] is None]
 RULES_SQL = "(VALUES " + ", ".join(f"('{r[0]}', '{r[2]}', '{r[4]}')" for r in LINE_RULES) + ") r(rule_id, severity, pattern)"
@@ -55,6 +55,16 @@ def fil1b(spark, d):
     return T.match_trees(code_files(spark, d), T.default_tree_rules(spark)).select("file_path", "rule_id", "line", "column_num", "snippet")
 
 
+@query(
+    "fil1_bracket_rules",
+    """SELECT file_path, rule_id, line, column_num, snippet FROM mixed_files JOIN (VALUES (0, 'JS105', 3, 3, 'db.query(`SELECT ${req.query.id}`)'), (0, 'JS111', 4, 3, 'res.redirect(req.query.next)'),
+    (1, 'JS116', 2, 5, 'token: string = ''hunter2hunter'''), (1, 'JS106', 3, 1, 'box.innerHTML = body'), (2, 'GO106', 5, 2, '"math/rand"'), (2, 'GO102', 9, 2, 'db.Query(fmt.Sprintf("SELECT %s", name))'),
+    (3, 'JA101', 3, 5, 'Runtime.getRuntime().exec(cmd)'), (4, 'RS101', 2, 5, 'Command::new("sh").arg("-c").arg(cmd)')) t(form, rule_id, line, column_num, snippet) USING (form)""",
+)
+def fil1c(spark, d):
+    return T.match_trees(mixed_files(spark, d), T.default_tree_rules(spark)).select("file_path", "rule_id", "line", "column_num", "snippet")
+
+
 @query(
     "scan_enriched",
     f"""SELECT file_path, rule_id, line, CASE WHEN regexp_matches(file_path, 'svc[0-2]/') THEN 'Critical' WHEN regexp_matches(file_path, 'svc[3-5]/') THEN down ELSE severity END AS severity,

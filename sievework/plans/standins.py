@@ -161,6 +161,16 @@ CODE = [
     "import hashlib\nfor a in b:\n    c(hashlib.md5(a), hashlib.md5(b))\n", "def broken@(:\n    eval(x)\n", "try:\n    open('/a/%s' % name)\nexcept:\n    pass\n",
     "def safe@(db, k):\n    db.execute('SELECT %s', (k,))\n", "def bad@(db, k):\n    db.execute(f'SELECT {k}')  # scan-ignore\n    db.execute(f'DELETE {k}')\n",
 ]
+#: Files of languages of brackets: extension and text; @ stands for the file's number.
+MIXED = [
+    ("js", "const db = require('./db');\nfunction run@(req, res) {\n  db.query(`SELECT ${req.query.id}`);\n  res.redirect(req.query.next);\n}\n"),
+    ("ts", "export const apiKey: string = load@();\nlet token: string = 'hunter2hunter';\nbox.innerHTML = body;\n"),
+    ("go", 'package a\n\nimport (\n\t"fmt"\n\t"math/rand"\n)\n\nfunc Get@(db DB, name string) {\n\tdb.Query(fmt.Sprintf("SELECT %s", name))\n}\n'),
+    ("java", "class A@ {\n  void run(String cmd) {\n    Runtime.getRuntime().exec(cmd);\n    // Runtime.getRuntime().exec(cmd);\n  }\n}\n"),
+    ("rs", 'fn run@(cmd: &str) {\n    Command::new("sh").arg("-c").arg(cmd);\n}\n'),
+    ("rb", "eval(x)\n"),
+    ("js", "const s = 'eval(x)'; // eval(x)\nconst r = /eval(x)/;\nfunction eval(x) {\n  return x@;\n}\n"),
+]
 
 
 def marked_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -178,6 +188,13 @@ def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "part").select(F.concat(F.lit("src/svc"), k % 9, F.lit("/f"), k, F.lit(".py")).alias("file_path"), text.alias("text"), k.alias("k"))
 
 
+def mixed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(file_path, text) of small files of several languages."""
+    k = F.col("p_partkey")
+    form = F.element_at(F.array(*[F.struct(F.lit(e).alias("ext"), F.lit(t).alias("text")) for e, t in MIXED]), (k % len(MIXED) + 1).cast("int"))
+    return read(spark, sf_dir, "part").select(F.concat(F.lit("src/f"), k, F.lit("."), form["ext"]).alias("file_path"), F.replace(form["text"], F.lit("@"), k.cast("string")).alias("text"))
+
+
 CTES = {
     "stored_findings": """
   SELECT concat('f-', l_orderkey, '-', l_linenumber) AS finding_id, concat('s-', l_orderkey) AS scan_id,
@@ -219,6 +236,9 @@ CTES = {
   FROM part JOIN (VALUES {_FORM_ROWS}) t(k, form) ON k = p_partkey % {len(FORMS)}""",
     "code_files": f"""
   SELECT concat('src/svc', p_partkey % 9, '/f', p_partkey, '.py') AS file_path, p_partkey % {len(CODE)} AS form, p_partkey AS k FROM part""",
+    "mixed_files": f"""
+  SELECT concat('src/f', p_partkey, '.', ext) AS file_path, k AS form
+  FROM part JOIN (VALUES {", ".join(f"({k}, '{e}')" for k, (e, _) in enumerate(MIXED))}) t(k, ext) ON k = p_partkey % {len(MIXED)}""",
 }
 
 

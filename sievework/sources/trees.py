@@ -1,5 +1,8 @@
 """Rules over syntax trees: declarative patterns, matched in one parse of each file.
 
+Python is read by its syntax tree, JavaScript, TypeScript, Go, Java and Rust by the expressions of ``brackets``; rules
+of JavaScript hold for TypeScript as well. Files of other languages, and Python that does not parse, have no match.
+
 A pattern names a node and puts predicates on its captures: ``eq`` (text equal to), ``match`` (text found by a
 regular expression), ``kind`` (one of some kinds of value) and ``absent`` (no such capture). A call captures its
 callee (dotted), attr (the callee's last part), arg0, arg1, .. and kw.<name>; an assignment target and value; an
@@ -11,6 +14,7 @@ What is reported is the whole node, once per rule and line.
 from __future__ import annotations
 
 import ast
+import functools
 import json
 import re
 from collections import defaultdict
@@ -20,6 +24,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import brackets
+
+LANGUAGES = ("Python", *brackets.LANGUAGES)
 MATCHES = "file_path string, rule_id string, severity string, owasp_category string, cwe_id string, line int, column_num int, snippet string"
 
 
@@ -95,54 +102,70 @@ class Patterns:
             and not any(k in got for k in p.get("absent", []))
         )
 
-    def find(self, text: str | None) -> list[tuple]:
+    def find(self, text: str | None, language: str = "Python") -> list[tuple]:
         """(rule, line, column, snippet) of a source text, in order of the tree; none if it does not parse."""
-        try:
-            tree = ast.parse(text or "")
-        except (SyntaxError, ValueError, RecursionError, MemoryError):
-            return []
         found, seen = [], set()
-        for node in ast.walk(tree):
-            kind, readings = captures(node)
-            for got in readings:
-                more = self.by_attr.get(got["attr"][1], []) if kind == "call" else []
-                for rule, p in [*self.by_node.get(kind, []), *more]:
-                    if (rule[0], node.lineno) not in seen and self.fits(p, got):
-                        seen.add((rule[0], node.lineno))
-                        found.append((rule, node.lineno, node.col_offset + 1, ast.get_source_segment(text, node) or ""))
+        for kind, got, line, column, snippet in (nodes if language == "Python" else functools.partial(brackets.nodes, language))(text or ""):
+            more = self.by_attr.get(got["attr"][1], []) if kind == "call" else []
+            for rule, p in [*self.by_node.get(kind, []), *more]:
+                if (rule[0], line) not in seen and self.fits(p, got):
+                    seen.add((rule[0], line))
+                    found.append((rule, line, column, snippet()))
         return found
 
 
+def nodes(text: str) -> Iterator[tuple]:
+    """(node, captures, line, column, what gives its text) of a Python text that parses."""
+    try:
+        tree = ast.parse(text)
+    except (SyntaxError, ValueError, RecursionError, MemoryError):
+        return
+    for node in ast.walk(tree):
+        kind, readings = captures(node)
+        for got in readings:
+            yield kind, got, node.lineno, node.col_offset + 1, lambda node=node: ast.get_source_segment(text, node) or ""
+
+
+def applies(language: str, wanted: str | None) -> bool:
+    """Do rules of a language hold for files of another? Without one they are Python's."""
+    return language == (wanted or "Python") or (language == "TypeScript" and wanted == "JavaScript")
+
+
 def match_trees(files: DataFrame, rules: DataFrame) -> DataFrame:
-    """Matches of tree rules in Python files (file_path, text). The rules are few and go with the plan."""
-    known = [(r.rule_id, r.tree, r.severity, r.owasp_category, r.cwe_id) for r in rules.where("tree is not null").orderBy("rule_id").collect()]
+    """Matches of tree rules in files (file_path, text) of LANGUAGES. The rules are few and go with the plan."""
+    from .files import language_of
+
+    fields = ["rule_id", "tree", "severity", "owasp_category", "cwe_id", "language"]
+    known = [tuple(r) for r in rules.where("tree is not null").orderBy("rule_id", "language").select(*fields).collect()]
+    read = files.select("file_path", "text", language_of("file_path").alias("language")).where(F.col("language").isin(*LANGUAGES))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        patterns = Patterns(known)
+        patterns = {x: Patterns([r for r in known if applies(x, r[5])]) for x in LANGUAGES}
         for b in batches:
             rows = [
                 (path, rule[0], rule[2], rule[3], rule[4], line, column, snippet)
-                for path, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist())
-                for rule, line, column, snippet in patterns.find(text)
+                for path, text, language in zip(*(c.to_pylist() for c in b.columns))
+                for rule, line, column, snippet in patterns[language].find(text, language)
             ]
             kinds = [pa.string()] * 5 + [pa.int32()] * 2 + [pa.string()]
             cols = [pa.array(c, k) for c, k in zip(list(zip(*rows)) or [[]] * 8, kinds)]
             yield pa.RecordBatch.from_arrays(cols, names=[c.split()[0] for c in MATCHES.split(", ")])
 
-    return files.select("file_path", "text").mapInArrow(run, MATCHES)
+    return read.mapInArrow(run, MATCHES)
 
 
 def self_tests(rules: DataFrame) -> DataFrame:
     """(rule_id, expected, matched) of every test case of the tree rules, each rule run on its own cases only."""
-    cases = rules.where("tree is not null").select("rule_id", "tree", F.posexplode("test_cases").alias("n", "case"))
+    own = F.coalesce("language", F.lit("Python")).alias("language")
+    cases = rules.where("tree is not null").select("rule_id", "tree", own, F.posexplode("test_cases").alias("n", "case"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, trees, codes, expected = (c.to_pylist() for c in b.columns)
-            matched = [bool(Patterns([(i, t)]).find(code)) for i, t, code in zip(ids, trees, codes)]
+            ids, trees, languages, codes, expected = (c.to_pylist() for c in b.columns)
+            matched = [bool(Patterns([(i, t)]).find(code, x)) for i, t, x, code in zip(ids, trees, languages, codes)]
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(expected, pa.bool_()), pa.array(matched, pa.bool_())], names=["rule_id", "expected", "matched"])
 
-    return cases.select("rule_id", "tree", "case.code", "case.expected").mapInArrow(run, "rule_id string, expected boolean, matched boolean")
+    return cases.select("rule_id", "tree", "language", "case.code", "case.expected").mapInArrow(run, "rule_id string, expected boolean, matched boolean")
 
 
 DYNAMIC = ["fstring", "concat", "percent", "format"]
@@ -208,6 +231,64 @@ TREE_RULES = [
 ]
 
 
+def _is(callee: str, kind: list[str] | None = None, at: str = "arg0", **conditions) -> dict:
+    """A call whose callee fits a regular expression, and whose argument is of some kinds."""
+    return {"node": "call", "match": {"callee": callee, **conditions.pop("match", {})}, **({"kind": {at: kind}} if kind else {}), **conditions}
+
+
+_SECRET = {"node": "assign", "match": {"target": r"(?i)(passw(or)?d|secret|api_?key|token)$", "value": ".{6,}"}, "kind": {"value": ["str"]}}
+
+#: The same for languages of brackets: language, and then as above.
+BRACKET_RULES = [
+    ("JavaScript", "JS101", "eval of a value", "Critical", "CWE-95", "A03", _call("eval", kind={"arg0": OPEN_END}), "eval(input);", "eval('1 + 1');"),
+    ("JavaScript", "JS102", "Function from text", "High", "CWE-95", "A03", {"node": "call", "eq": {"callee": "Function"}, "match": {"new": "."}}, "const f = new Function(body);", "const f = make(body);"),
+    ("JavaScript", "JS103", "Shell command", "Critical", "CWE-78", "A03", _is(r"(^|[.])(exec|execSync)$", DYNAMIC), "child_process.exec(`ls ${dir}`);", "child_process.exec('ls');"),
+    ("JavaScript", "JS104", "Process through a shell", "High", "CWE-78", "A03", _is(r"(^|[.])(spawn|spawnSync|execFile)$", eq={"kw.shell": "true"}), "spawn(cmd, args, { shell: true });", "spawn(cmd, args, { shell: false });"),
+    ("JavaScript", "JS105", "SQL from parts", "Critical", "CWE-89", "A03", _is(r"[.](query|execute|raw)$", DYNAMIC), "db.query('SELECT * FROM t WHERE id = ' + id);", "db.query('SELECT * FROM t WHERE id = ?', [id]);"),
+    ("JavaScript", "JS106", "Markup from a value", "High", "CWE-79", "A03", {"node": "assign", "match": {"target": "[.](innerHTML|outerHTML)$"}, "kind": {"value": OPEN_END}}, "box.innerHTML = text;", "box.innerHTML = '';"),
+    ("JavaScript", "JS107", "Text written to the page", "High", "CWE-79", "A03", _is(r"^document[.](write|writeln)$", OPEN_END), "document.write(text);", "document.write('<hr>');"),
+    ("JavaScript", "JS108", "Certificate not verified", "High", "CWE-295", "A02", _is(".", eq={"kw.rejectUnauthorized": "false"}), "https.request(url, { rejectUnauthorized: false });", "https.request(url, { rejectUnauthorized: true });"),
+    ("JavaScript", "JS109", "Weak hash", "Medium", "CWE-327", "A02", _is(r"(^|[.])createHash$", match={"arg0": "(?i)^(md4|md5|sha1)$"}), "crypto.createHash('md5');", "crypto.createHash('sha256');"),
+    ("JavaScript", "JS110", "Predictable secret", "Medium", "CWE-338", "A02", {"node": "assign", "match": {"target": "(?i)token|secret|passw|nonce", "value": r"Math\.random"}}, "const token = Math.random();", "const token = crypto.randomUUID();"),
+    ("JavaScript", "JS111", "Redirect to a request value", "Medium", "CWE-601", "A01", _is(r"[.]redirect$", match={"arg0": r"\breq(uest)?\."}), "res.redirect(req.query.next);", "res.redirect('/home');"),
+    ("JavaScript", "JS112", "File path from a request", "High", "CWE-22", "A01", _is(r"(^|[.])(readFile|readFileSync|createReadStream|sendFile)$", match={"arg0": r"\breq(uest)?\."}), "fs.readFileSync('/data/' + req.params.name);", "fs.readFileSync('/data/names');"),
+    ("JavaScript", "JS113", "Request to a request value", "High", "CWE-918", "A10", _is(r"^(fetch|got|axios([.](get|post))?)$", match={"arg0": r"\breq(uest)?\."}), "fetch(req.body.url);", "fetch('https://own.example.com');"),
+    ("JavaScript", "JS114", "Token not verified", "High", "CWE-347", "A02", _call("jwt.decode"), "jwt.decode(token);", "jwt.verify(token, key);"),
+    ("JavaScript", "JS115", "Any origin allowed", "Medium", "CWE-942", "A05", _call("cors", eq={"kw.origin": "*"}), "app.use(cors({ origin: '*' }));", "app.use(cors({ origin: own }));"),
+    ("JavaScript", "JS116", "Hard-coded secret", "High", "CWE-798", "A07", _SECRET, "const apiKey = 'hunter2hunter';", "const apiKey = process.env.API_KEY;"),
+    ("Go", "GO101", "Shell command", "Critical", "CWE-78", "A03", _call("exec.Command", eq={"arg1": "-c"}, kind={"arg2": OPEN_END}), 'exec.Command("sh", "-c", cmd)', 'exec.Command("sh", "-c", "date")'),
+    ("Go", "GO102", "SQL from parts", "Critical", "CWE-89", "A03", _is(r"[.](Query|QueryRow|Exec)$", DYNAMIC), 'db.Query(fmt.Sprintf("SELECT %s", name))', 'db.Query("SELECT 1 WHERE id = ?", id)'),
+    ("Go", "GO103", "SQL in a context from parts", "Critical", "CWE-89", "A03", _is(r"[.](Query|QueryRow|Exec)Context$", DYNAMIC, "arg1"), 'db.QueryContext(ctx, "SELECT " + name)', 'db.QueryContext(ctx, "SELECT 1")'),
+    ("Go", "GO104", "Weak hash", "Medium", "CWE-327", "A02", _is(r"^(md5|sha1)[.](New|Sum)$"), "h := md5.New()", "h := sha256.New()"),
+    ("Go", "GO105", "Certificate not verified", "High", "CWE-295", "A02", {"node": "literal", "eq": {"callee": "tls.Config", "kw.InsecureSkipVerify": "true"}}, "c := &tls.Config{InsecureSkipVerify: true}", "c := &tls.Config{InsecureSkipVerify: false}"),
+    ("Go", "GO106", "Predictable random numbers", "Medium", "CWE-338", "A02", {"node": "import", "eq": {"module": "math/rand"}}, 'import "math/rand"', 'import "crypto/rand"'),
+    ("Go", "GO107", "Markup from a value", "High", "CWE-79", "A03", _call("template.HTML", kind={"arg0": OPEN_END}), "x := template.HTML(body)", 'x := template.HTML("<hr>")'),
+    ("Go", "GO108", "File path from a request", "High", "CWE-22", "A01", _is(r"^os[.](Open|ReadFile|Create)$", match={"arg0": r"\br\.|FormValue"}), 'os.Open(r.FormValue("name"))', 'os.Open("names")'),
+    ("Go", "GO109", "Request to a value", "Medium", "CWE-918", "A10", _is(r"^http[.](Get|Post|Head)$", OPEN_END), "http.Get(url)", 'http.Get("https://own.example.com")'),
+    ("Go", "GO110", "Hard-coded secret", "High", "CWE-798", "A07", _SECRET, 'password := "hunter2hunter"', 'password := os.Getenv("PASSWORD")'),
+    ("Java", "JA101", "Process from a value", "Critical", "CWE-78", "A03", _is(r"getRuntime[(][)][.]exec$", OPEN_END), "Runtime.getRuntime().exec(cmd);", 'Runtime.getRuntime().exec("date");'),
+    ("Java", "JA102", "SQL from parts", "Critical", "CWE-89", "A03", _is(r"[.](executeQuery|executeUpdate|prepareStatement|createQuery|createNativeQuery)$", DYNAMIC), 'st.executeQuery("SELECT * FROM t WHERE id = " + id);', 'st.executeQuery("SELECT 1");'),
+    ("Java", "JA103", "Weak hash", "Medium", "CWE-327", "A02", _call("MessageDigest.getInstance", match={"arg0": "(?i)^(md5|sha-?1)$"}), 'MessageDigest.getInstance("MD5");', 'MessageDigest.getInstance("SHA-256");'),
+    ("Java", "JA104", "Weak cipher", "High", "CWE-327", "A02", _call("Cipher.getInstance", match={"arg0": "^(DES|RC4|Blowfish)|/ECB/"}), 'Cipher.getInstance("AES/ECB/PKCS5Padding");', 'Cipher.getInstance("AES/GCM/NoPadding");'),
+    ("Java", "JA105", "Objects from bytes", "High", "CWE-502", "A08", {"node": "call", "eq": {"callee": "ObjectInputStream"}, "match": {"new": "."}}, "var in = new ObjectInputStream(stream);", "var in = new DataInputStream(stream);"),
+    ("Java", "JA106", "Predictable random numbers", "Medium", "CWE-338", "A02", {"node": "assign", "match": {"target": "(?i)token|secret|passw|nonce", "value": r"\bMath\.random|new Random\b"}}, "double token = Math.random();", "byte[] token = secureBytes();"),
+    ("Java", "JA107", "File path from a request", "High", "CWE-22", "A01", {"node": "call", "eq": {"callee": "File"}, "match": {"new": ".", "arg0": "getParameter"}}, 'File f = new File(request.getParameter("f"));', 'File f = new File("names");'),
+    ("Java", "JA108", "Redirect to a request value", "Medium", "CWE-601", "A01", _is(r"[.]sendRedirect$", match={"arg0": "getParameter"}), 'response.sendRedirect(request.getParameter("to"));', 'response.sendRedirect("/home");'),
+    ("Java", "JA109", "XML with entities", "High", "CWE-611", "A05", _is(r"[.]setFeature$", match={"arg0": "external-general-entities"}, eq={"arg1": "true"}), 'f.setFeature("http://xml.org/sax/features/external-general-entities", true);', 'f.setFeature("http://xml.org/sax/features/external-general-entities", false);'),
+    ("Java", "JA110", "Hard-coded secret", "High", "CWE-798", "A07", _SECRET, 'String password = "hunter2hunter";', 'String password = System.getenv("PASSWORD");'),
+    ("Rust", "RS101", "Shell command", "Critical", "CWE-78", "A03", _is(r"Command[.]new[(][)]([.]\w+[(][)])*[.]arg$", OPEN_END), 'Command::new("sh").arg("-c").arg(cmd);', 'Command::new("sh").arg("-c");'),
+    ("Rust", "RS102", "SQL from parts", "Critical", "CWE-89", "A03", _is(r"(^|[.])(sql_query|query|execute|query_as)$", DYNAMIC), 'sqlx::query(&format!("SELECT {}", name));', 'sqlx::query("SELECT 1");'),
+    ("Rust", "RS103", "Bits taken as another type", "Medium", "CWE-843", "A04", _is(r"(^|[.])transmute$"), "let x = std::mem::transmute(y);", "let x = u32::from(y);"),
+    ("Rust", "RS104", "Certificate not verified", "High", "CWE-295", "A02", _is(r"[.]danger_accept_invalid_(certs|hostnames)$", eq={"arg0": "true"}), "client.danger_accept_invalid_certs(true);", "client.danger_accept_invalid_certs(false);"),
+    ("Rust", "RS105", "Weak hash", "Medium", "CWE-327", "A02", _is(r"(^|[.])(Md5|Sha1)[.](new|digest)$|^md5[.]compute$"), "let h = Md5::new();", "let h = Sha256::new();"),
+    ("Rust", "RS106", "Text not checked", "Low", "CWE-20", "A04", _is(r"from_utf8_unchecked$"), "let s = String::from_utf8_unchecked(b);", "let s = String::from_utf8(b);"),
+    ("Rust", "RS107", "File path from parts", "Medium", "CWE-22", "A01", _is(r"^(std[.])?(fs[.])?(File[.]open|fs[.]read_to_string|read_to_string)$", DYNAMIC), 'File::open(format!("/data/{}", name));', 'File::open("/data/names");'),
+    ("Rust", "RS108", "Request to a value", "Medium", "CWE-918", "A10", _is(r"^reqwest[.](blocking[.])?get$", OPEN_END), "reqwest::get(url);", 'reqwest::get("https://own.example.com");'),
+    ("Rust", "RS109", "Hard-coded secret", "High", "CWE-798", "A07", _SECRET, 'let password = "hunter2hunter";', 'let password = env::var("PASSWORD");'),
+]
+RULE_IDS = [r[0] for r in TREE_RULES] + [r[1] for r in BRACKET_RULES]
+
+
 def test_cases(bad: str, good: str) -> list[tuple[str, bool]]:
     """Three cases that a rule must find and three that it must not, from one of each."""
     inside = lambda code: "def f():\n" + "".join(f"    {line}\n" for line in code.split("\n"))
@@ -216,6 +297,17 @@ def test_cases(bad: str, good: str) -> list[tuple[str, bool]]:
     return [(code, True) for code in found] + [(code, False) for code in clean]
 
 
+def bracket_cases(language: str, bad: str, good: str) -> list[tuple[str, bool]]:
+    """The same in a language of brackets."""
+    head = {"Go": "func f() {", "Rust": "fn f() {", "Java": "class A { void f(String x) throws E {"}.get(language, "function f(x) {")
+    inside = lambda code: f"{head}\n    {code}\n{'}' * head.count('{')}\n"
+    if bad.startswith("import "):
+        inside = lambda code: f"package a\n{code}\nfunc f() {{}}\n"
+    found = [bad, inside(bad), f"/* as it was */ {bad}\n"]
+    clean = [good, inside(good), f"x = {json.dumps(bad)}\n// {bad}\n/* {bad}\n{bad} */"]
+    return [(code, True) for code in found] + [(code, False) for code in clean]
+
+
 def default_tree_rules(spark: SparkSession) -> DataFrame:
     """The rules of our own in the form of load_rules, with the pattern as tree."""
     from .files import RULE
@@ -223,5 +315,8 @@ def default_tree_rules(spark: SparkSession) -> DataFrame:
     rows = [
         (i, name, severity, "Python", None, cwe, owasp, test_cases(bad, good), -1, k, json.dumps(pattern))
         for k, (i, name, severity, cwe, owasp, pattern, bad, good) in enumerate(TREE_RULES)
+    ] + [
+        (i, name, severity, x, None, cwe, owasp, bracket_cases(x, bad, good), -1, len(TREE_RULES) + k, json.dumps(pattern))
+        for k, (x, i, name, severity, cwe, owasp, pattern, bad, good) in enumerate(BRACKET_RULES)
     ]
     return spark.createDataFrame(rows, f"{RULE}, tree string")

@@ -180,6 +180,31 @@ def test_tree_patterns_report_once_a_line(spark):
     assert find({"node": "call", "eq": {"callee": "f"}}, "f(") == []
 
 
+def test_expressions_of_bracket_languages():
+    from sievework.sources import brackets
+
+    def read(language, text, node="call"):
+        return [({k: got[k] for k in got}, line, column, snippet()) for kind, got, line, column, snippet in brackets.nodes(language, text) if kind == node]
+
+    ((got, line, column, snippet),) = read("JavaScript", "// f(x)\n  a?.b['k'].c(x + 1, `v${y}`, { 'p': false }) /* g(x) */")
+    assert (line, column, snippet) == (2, 3, "a?.b['k'].c(x + 1, `v${y}`, { 'p': false })")
+    assert got == {
+        "callee": ("name", "a.b[].c"), "attr": ("name", "c"), "arg0": ("concat", "x + 1"), "arg1": ("fstring", "v${y}"),
+        "arg2": ("dict", "{ 'p': false }"), "kw.p": ("constant", "false"),
+    }
+    callees = lambda *a: [x[0]["callee"][1] for x in read(*a)]
+    assert callees("Rust", "fn f<'a>(x: &'a str) { g::h(x)?.k(); vec![q(1)]; }") == ["g.h", "g.h().k", "vec!", "q"]
+    assert callees("Java", "int f(int x) { return g(new H(x)); } void k() throws E { m(); }") == ["g", "H", "m"]
+    assert callees("Go", "func (r T) f(x int) { if g(x) { h() } }") == ["g", "h"]
+    assert callees("TypeScript", "class A { f(x) { g(/h(x)/, 'i(x)') } }") == ["g"]
+    assert [x[0]["target"][1] for x in read("JavaScript", "a.b = c = 1; if (d == e) { f = {g: 'x', h} }", "assign")] == ["a.b", "c", "f", "g"]
+    assert [x[0]["module"][1] for x in read("Java", "import static a.b.C;\nimport d.*;", "import")] == ["a.b.C", "d"]
+    assert [x[0]["kw.K"] for x in read("Go", "x := &t.C{K: true}", "literal")] == [("constant", "true")]
+    for language in brackets.LANGUAGES:
+        for text in ("", "f(", ")", "a.", "'", "x = ", "f(" * 20_000, "a" + ".b()" * 20_000, "import (" * 20_000, "{a: " * 20_000, "a = " * 20_000):
+            list(brackets.nodes(language, text))
+
+
 def test_patches_of_every_class(spark):
     lines = {
         "bound-parameter": ("cur.execute(f'SELECT {k}')", "cur.execute('SELECT %s', (k,))"), "argument-list": ("os.system(cmd)", "subprocess.run(shlex.split(cmd), check=True)"),
