@@ -9,11 +9,14 @@ from . import (
     chat_format,
     decontaminate,
     embedding_dedup,
+    fill_middle,
+    filter_audit,
     language_id,
     line_dedup,
     ngram_join,
     secret_scan,
     token_counts,
+    topk_search,
     toxicity,
 )
 from .common import table
@@ -59,6 +62,19 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_search.digest(table(spark, sf_dir, "embeddings"))
+
+
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.digest(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -72,6 +88,9 @@ QUERIES = {
         op8_token_counts,
         op9_chat_format,
         op10_embedding_dedup,
+        op11_filter_audit,
+        op12_topk_search,
+        op13_fill_middle,
     )
 }
 
@@ -81,4 +100,7 @@ ORACLES = {
     "op7_decontamination": decontaminate.SQL,
     "op9_chat_format": chat_format.SQL,
     "op10_embedding_dedup": embedding_dedup.SQL,
+    "op11_filter_audit": filter_audit.SQL,
+    "op12_topk_search": topk_search.SQL,
+    "op13_fill_middle": fill_middle.SQL,
 }
