@@ -85,16 +85,20 @@ def lines_of(text: Column | str) -> Column:
     return F.when(F.char_length(c(text)) > 0, F.split(body, "\r?\n")).otherwise(F.array().cast("array<string>"))
 
 
-def snippet_window(text: Column | str, line: Column | str, context: int = 3) -> Column:
-    """The lines from line - context to line + context, each cut to 100 characters; '' out of range."""
+def window_of(lines: Column, line: Column, context: int = 3) -> Column:
+    """Of an array of lines those from line - context to line + context, each cut to 100 characters; '' out of range."""
     n = max(0, min(10, context))
-    lines = lines_of(text)
-    first = F.greatest(c(line) - n, F.lit(1))
-    window = F.slice(lines, first, F.least(c(line) + n, F.size(lines)) - first + 1)
-    inside = (c(line) >= 1) & (c(line) <= F.size(lines))
+    first = F.greatest(line - n, F.lit(1))
+    window = F.slice(lines, first, F.least(line + n, F.size(lines)) - first + 1)
+    inside = (line >= 1) & (line <= F.size(lines))
     return F.when(inside, F.array_join(F.transform(window, lambda x: F.substring(x, 1, 100)), "\n")).otherwise("")
 
 
+def snippet_window(text: Column | str, line: Column | str, context: int = 3) -> Column:
+    """The lines of a text around a line, see window_of."""
+    return window_of(lines_of(text), c(line), context)
+
+
 def annotated_window(text: Column | str, line: Column | str, context: int = 3) -> Column:
     """Numbered lines around a line, which is marked."""
     lines = lines_of(text)

@@ -84,3 +84,41 @@ def in_ranges(v: Column, parsed: Column) -> Column:
     """Does a parsed version fall into any of the parsed ranges? A version that does not parse falls into all."""
     hit = F.exists(parsed, lambda r: F.forall(r, lambda k: satisfies(v, k)))
     return F.when(v.isNull(), F.lit(True)).otherwise(hit)
+
+
+_PART = 10**9
+_TOP = "9" * 28
+
+
+def version_key(v: Column) -> Column:
+    """One sortable decimal(28,0) of a parsed version; null stays null."""
+    wide = lambda x: v[x].cast("decimal(28,0)")
+    high = (wide("major") * F.lit(_PART).cast("decimal(10,0)") + wide("minor")).cast("decimal(19,0)")
+    return (high * F.lit(_PART).cast("decimal(10,0)") + wide("patch")).cast("decimal(28,0)")
+
+
+def _interval(k: Column) -> Column:
+    """struct<lo,hi> of the keys of the versions that satisfy a comparator, half open."""
+    zero = lambda x: F.coalesce(x, F.lit(0))
+    key = lambda a, b, c: version_key(F.struct(a.alias("major"), b.alias("minor"), c.alias("patch")))
+    op, major, minor, patch, nothing, top = k["op"], k["major"], k["minor"], k["patch"], F.lit(0), F.lit(_TOP).cast("decimal(28,0)")
+    begin = key(major, zero(minor), zero(patch))
+    after_major, after_minor = key(major + 1, nothing, nothing), key(major, minor + 1, nothing)
+    # the versions that a comparator names when what it lacks may be anything; none if it names a pre-release
+    end = F.when(minor.isNull(), after_major).when(patch.isNull(), after_minor).when(k["pre"], begin).otherwise(begin + 1).cast("decimal(28,0)")
+    caret = F.when(minor.isNull() | (major > 0), after_major).when((minor > 0) | patch.isNull(), after_minor).otherwise((begin + 1).cast("decimal(28,0)"))
+    tilde = F.when(minor.isNull(), after_major).otherwise(after_minor)
+    low = F.when(op.isin("<", "<="), F.lit(0).cast("decimal(28,0)")).when(op == ">", end).otherwise(begin)
+    high = F.when(op == "<", begin).when(op.isin("<=", "="), end).when(op == "~", tilde).when(op == "^", caret).otherwise(top)
+    return F.struct(low.alias("lo"), high.alias("hi"))
+
+
+def range_intervals(parsed: Column) -> Column:
+    """Parsed ranges as array<struct<lo,hi>> of version keys, one for each range, half open; some may be empty."""
+    whole = F.struct(F.lit(0).cast("decimal(28,0)").alias("lo"), F.lit(_TOP).cast("decimal(28,0)").alias("hi"))
+
+    def one(comparators: Column) -> Column:
+        each = F.array_append(F.transform(comparators, _interval), whole)
+        return F.struct(F.array_max(F.transform(each, lambda x: x["lo"])).alias("lo"), F.array_min(F.transform(each, lambda x: x["hi"])).alias("hi"))
+
+    return F.transform(parsed, one)

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..scratch import checkpointed
+from ..scratch import bucketed, checkpointed, discard
 
 #: Tables of a search that are read side by side before they are written as one.
 COMPACT = 8
@@ -122,42 +122,89 @@ def tainted_functions(nodes: DataFrame) -> DataFrame:
     return enclosing_function(uses, function_definitions(nodes)).where("name is not null").select("file_path", "name").distinct()
 
 
-def _expand(first: DataFrame, step: Callable[[DataFrame, DataFrame, int], DataFrame], max_rounds: int) -> DataFrame:
+def _expand(first: DataFrame, step: Callable[[DataFrame, DataFrame, int], DataFrame]) -> DataFrame:
     """All rows of a breadth-first search: step(frontier, seen, round) gives the next frontier, (node, ..).
 
-    A round writes its frontier only; the tables of earlier rounds are written together now and then.
+    It ends when a frontier is empty, however many rounds that takes. A round writes its frontier only; the tables of
+    earlier rounds are written together now and then, and deleted.
     """
-    parts = [checkpointed(first)]
-    for k in range(1, max_rounds + 1):
+    parts, k = [checkpointed(first, "search")], 0
+    while True:
+        k += 1
         seen = functools.reduce(DataFrame.unionByName, parts)
-        frontier = checkpointed(step(parts[-1], seen, k))
+        frontier = checkpointed(step(parts[-1], seen, k), "search")
         if frontier.isEmpty():
+            discard(frontier)
             return seen
-        if len(parts) >= COMPACT:
-            parts = [checkpointed(seen)]
         parts.append(frontier)
-    raise RuntimeError("the search did not settle")
+        if len(parts) > COMPACT:
+            # the frontier stays apart, as the next round begins with it
+            one = checkpointed(functools.reduce(DataFrame.unionByName, parts[:-1]), "search")
+            discard(*parts[:-1])
+            parts = [one, frontier]
 
 
-def reachable(edges: DataFrame, seeds: DataFrame, max_rounds: int = 200) -> DataFrame:
+def _by_source(edges: DataFrame) -> DataFrame:
+    """Edges without repeats or loops, written once and bucketed by src: no round shuffles or makes them anew."""
+    return bucketed(edges.where("src is not null and dst is not null and src <> dst").select("src", "dst").distinct(), ["src"], "edges")
+
+
+def reachable(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """(node): all nodes that a path from a seed reaches, the seeds included. Each round joins only new nodes with the edges."""
+    out = _by_source(edges)
 
     def step(frontier: DataFrame, seen: DataFrame, _: int) -> DataFrame:
-        found = frontier.join(edges, frontier.node == edges.src).select(F.col("dst").alias("node")).distinct()
+        found = frontier.join(out, frontier.node == out.src).select(F.col("dst").alias("node")).distinct()
         return found.join(seen, "node", "left_anti")
 
-    return _expand(seeds.select("node").distinct(), step, max_rounds)
+    found = _expand(seeds.where("node is not null").select("node").distinct(), step)
+    discard(out)
+    return found
 
 
-def distances(edges: DataFrame, seeds: DataFrame, max_rounds: int = 200) -> DataFrame:
-    """(node, hops, path): the shortest path from any seed; of equally short ones the smallest."""
+def shortest_tree(edges: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(node, hops, pred): steps of a shortest path from any seed, and the node before on it, of several the smallest.
+
+    Seeds have 0 and null. A row a node, whatever the lengths of the paths.
+    """
+    out = _by_source(edges)
 
     def step(frontier: DataFrame, seen: DataFrame, k: int) -> DataFrame:
-        found = frontier.join(edges, frontier.node == edges.src).select(F.col("dst").alias("node"), F.array_append("path", F.col("dst")).alias("path"))
-        found = found.join(seen.select("node"), "node", "left_anti").groupBy("node").agg(F.min("path").alias("path"))
-        return found.select("node", F.lit(k).alias("hops"), "path")
+        found = frontier.join(out, frontier.node == out.src).groupBy(F.col("dst").alias("node")).agg(F.min("src").alias("pred"))
+        return found.join(seen.select("node"), "node", "left_anti").select("node", F.lit(k).alias("hops"), "pred")
 
-    return _expand(seeds.select("node", F.lit(0).alias("hops"), F.array("node").alias("path")).distinct(), step, max_rounds)
+    kind = seeds.schema["node"].dataType
+    found = _expand(seeds.where("node is not null").select("node", F.lit(0).alias("hops"), F.lit(None).cast(kind).alias("pred")).distinct(), step)
+    discard(out)
+    return found
+
+
+def tree_steps(tree: DataFrame, targets: DataFrame | None = None) -> DataFrame:
+    """(node, at, step): the path from a seed to each node (of targets, (node)), one row a step; ``at`` counts from 0.
+
+    Pointer doubling: round k knows the ancestor 2^k steps up, so a path of n steps takes log2(n) rounds; rows
+    climb by the binary digits of their distance.
+    """
+    up = checkpointed(tree.where("pred is not null").select("node", F.col("pred").alias("up")), "tree-up")
+    ups = []
+    while not up.isEmpty():
+        ups.append(up)
+        far = up.select(F.col("node").alias("up"), F.col("up").alias("far"))
+        up = checkpointed(up.join(far, "up").select("node", F.col("far").alias("up")), "tree-up")
+    ends = tree if targets is None else tree.join(targets.select("node").distinct(), "node", "left_semi")
+    rows = ends.select("node", "hops", F.col("node").alias("step"))
+    for k in range(len(ups) - 1, -1, -1):
+        climb = rows.join(ups[k].select(F.col("node").alias("step"), "up"), "step").select("node", (F.col("hops") - 2**k).alias("hops"), F.col("up").alias("step"))
+        rows = checkpointed(rows.unionByName(climb), "tree-rows")
+    discard(up, *ups)
+    return rows.select("node", F.col("hops").alias("at"), "step")
+
+
+def shortest_paths(edges: DataFrame, seeds: DataFrame, targets: DataFrame | None = None) -> DataFrame:
+    """(node, hops, path array): the shortest path from any seed, of several the one of the smallest predecessors."""
+    steps = tree_steps(shortest_tree(edges, seeds), targets)
+    whole = steps.groupBy("node").agg(F.max("at").alias("hops"), F.array_sort(F.collect_list(F.struct("at", "step"))).alias("s"))
+    return whole.select("node", "hops", F.col("s.step").alias("path"))
 
 
 def is_reachable(findings: DataFrame, reached: DataFrame) -> DataFrame:

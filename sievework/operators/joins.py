@@ -2,26 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .asof import last_mark
+
 
 def enclosing_function(findings: DataFrame, functions: DataFrame) -> DataFrame:
     """As-of join: the last function of the file that starts on or before the finding's line, or null.
 
-    findings (finding_id, file_path, line), functions (file_path, name, def_line). One shuffle by file; equal
-    lines go to the smallest name.
+    findings (finding_id, file_path, line), functions (file_path, name, def_line). Files are cut by line, so one
+    that holds half of all findings is spread over tasks. Equal lines go to the smallest name.
     """
     defs = functions.groupBy("file_path", "def_line").agg(F.min("name").alias("name"))
-    both = defs.select(
-        "file_path", F.col("def_line").alias("at"), F.lit(0).alias("kind"), "name", F.lit(None).cast("string").alias("finding_id")
-    ).unionByName(
-        findings.select("file_path", F.col("line").alias("at"), F.lit(1).alias("kind"), F.lit(None).cast("string").alias("name"), "finding_id")
-    )
-    w = Window.partitionBy("file_path").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0)
-    seen = F.last(F.when(F.col("kind") == 0, F.struct("name", F.col("at").alias("def_line"))), ignorenulls=True).over(w)
-    found = both.withColumn("f", seen).where("kind = 1")
-    return found.select("finding_id", "file_path", F.col("at").alias("line"), "f.name", "f.def_line")
+    found = last_mark(findings.select("finding_id", "file_path", "line"), defs.select("file_path", "name", "def_line"), ["file_path"], "line", "def_line")
+    return found.select("finding_id", "file_path", "line", "mark.name", "mark.def_line")
 
 
 def resolve_callees(calls: DataFrame, functions: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import graph as G
@@ -36,14 +37,29 @@ def gra5(spark, d):
     return G.is_reachable(rows, gra4(spark, d)).select("finding_id", "reachable")
 
 
+PATHS = f"""hops AS (SELECT node, 0 AS h FROM ({SEEDS}) UNION SELECT e.dst, h + 1 FROM hops JOIN call_edges e ON e.src = hops.node WHERE h < 30),
+    least_ AS (SELECT node, min(h) AS hops FROM hops GROUP BY 1),
+    preds AS (SELECT b.node, min(e.src) AS pred FROM least_ b JOIN call_edges e ON e.dst = b.node JOIN least_ a ON a.node = e.src AND a.hops = b.hops - 1 GROUP BY 1),
+    paths AS (SELECT node, CAST(node AS VARCHAR) AS path FROM ({SEEDS}) UNION ALL SELECT p.node, concat(paths.path, '>', p.node) FROM paths JOIN preds p ON p.pred = paths.node)"""
+
+
+@query("gra6_shortest_paths", f"WITH {PATHS} SELECT node, hops, path FROM least_ JOIN paths USING (node)", recursive=True)
+def gra6(spark, d):
+    return G.shortest_paths(call_edges(spark, d), seeds(spark, d)).select("node", "hops", F.array_join("path", ">").alias("path"))
+
+
 @query(
-    "gra6_shortest_paths",
-    f"""WITH hops AS (SELECT node, 0 AS h FROM ({SEEDS}) UNION SELECT e.dst, h + 1 FROM hops JOIN call_edges e ON e.src = hops.node WHERE h < 30)
-    SELECT node, min(h) AS hops FROM hops GROUP BY 1""",
-    recursive=True,
+    "gra6_long_chains",
+    """SELECT l_orderkey * 10 + l_linenumber AS node, CAST(row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber) - 1 AS INT) AS hops
+    FROM (SELECT DISTINCT l_orderkey, l_linenumber, first_value(l_suppkey) OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_suppkey) AS l_suppkey FROM lineitem) WHERE l_linenumber = 1 AND l_orderkey % 16 = l_suppkey % 16""",
 )
-def gra6(spark, d):
-    return G.distances(call_edges(spark, d), seeds(spark, d)).select("node", "hops")
+def gra6_chains(spark, d):
+    """One chain of calls a supplier, in order of its lines: many steps, which no bound of rounds ends."""
+    lines = read(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_suppkey").alias("chain")).where("l_linenumber = 1 and l_orderkey % 16 = chain % 16")
+    lines = lines.select("chain", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("dst"))
+    w = Window.partitionBy("chain").orderBy("dst")
+    edges = lines.withColumn("src", F.lag("dst").over(w))
+    return G.shortest_tree(edges.where("src is not null"), edges.where("src is null").select(F.col("dst").alias("node"))).select("node", "hops")
 
 
 @query(

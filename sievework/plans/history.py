@@ -8,7 +8,7 @@ from ..functions import domain as D
 from ..operators import mutations as M
 from ..registry import query
 from .standins import FP as _FP
-from .standins import NUM, projects, read, scans, stored_findings
+from .standins import NUM, PAYLOADS, projects, read, scans, stored_findings
 from .standins import UPSERT as _UPSERT
 
 NOW = "1999-01-01 00:00:00"
@@ -19,7 +19,7 @@ def now():
 
 
 def _stored(spark, d):
-    """Known findings: one per project and fingerprint, from the scans with an even number of project 1..20."""
+    """Known findings, one per project and fingerprint: the smallest of those whose number does not divide by three."""
     rows = stored_findings(spark, d).withColumn("fingerprint", D.fingerprint("rule_id", "file_path", "snippet"))
     num = F.regexp_extract("finding_id", r"f-(\d+)-", 1).cast("long")
     one = rows.where(num % 3 != 0).groupBy("project_id", "fingerprint").agg(F.min("finding_id").alias("finding_id"))
@@ -27,10 +27,14 @@ def _stored(spark, d):
     return rows.join(one, cols, "left_semi")
 
 
-def _incoming(spark, d):
+def _payload(spark, d, condition=PAYLOADS[0]):
+    """Findings of a scan, with their order: those of a condition on the findings and their number."""
     rows = stored_findings(spark, d).withColumn("fingerprint", D.fingerprint("rule_id", "file_path", "snippet"))
-    num = F.regexp_extract("finding_id", r"f-(\d+)-", 1).cast("long")
-    return rows.where((num % 3 != 1) & (F.col("project_id") < "p-3")).withColumn("pos", F.col("finding_id"))
+    rows = rows.withColumn("num", F.regexp_extract("finding_id", r"f-(\d+)-", 1).cast("long"))
+    return rows.where(condition).drop("num").withColumn("pos", F.col("finding_id"))
+
+
+_incoming = _payload
 
 
 @query("mut1_upsert_scan", _UPSERT)

@@ -1,4 +1,7 @@
-"""The scan: files x rules to findings, enriched, filtered and ordered, as one lazy plan."""
+"""The scan: files x rules to findings, enriched, filtered and ordered.
+
+Planning a scan runs small jobs: rules go to the driver, and what several steps read is written once.
+"""
 
 from __future__ import annotations
 
@@ -9,7 +12,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.domain import fingerprint, severity_rank
+from ..operators import cache as C
 from ..operators import filters as L
+from ..operators.snapshots import Store
 from ..scratch import checkpointed
 from ..sources import files as S
 from ..sources import trees as T
@@ -18,7 +23,9 @@ from ..sources import trees as T
 @dataclass
 class ScanOptions:
     """What a scan takes in and adds: ``enrich`` adds names, reachability, confidence and, with ``exposure`` (service,
-    public), exposed severities; ``advisories`` adds findings of the dependencies that the manifests name."""
+    public), exposed severities; ``advisories`` adds findings of the dependencies that the manifests name. With a
+    ``cache`` only contents that it does not know are scanned, and ``write_cache`` puts what they gave into it.
+    ``context`` takes the snippets anew, as the lines around the finding."""
 
     min_severity: str = "Low"
     include: Sequence[str] = ()
@@ -32,6 +39,9 @@ class ScanOptions:
     enrich: bool = False
     exposure: DataFrame | None = None
     advisories: DataFrame | None = None
+    cache: Store | None = None
+    write_cache: bool = True
+    context: int | None = None
 
 
 def match_rules(lines: DataFrame, rules: DataFrame) -> DataFrame:
@@ -77,8 +87,8 @@ def dependency_findings(files: DataFrame, advisories: DataFrame) -> DataFrame:
         "severity",
         F.lit("A06").alias("owasp_category"),
         F.lit(None).cast("string").alias("cwe_id"),
-        F.lit(1).alias("line"),
-        F.lit(1).alias("column_num"),
+        F.lit(0).alias("line"),
+        F.lit(0).alias("column_num"),
         F.concat_ws(" ", F.concat_ws("@", "package_name", "version"), F.lit("-"), "summary").alias("snippet"),
     )
 
@@ -93,7 +103,7 @@ def enriched(found: DataFrame, files: DataFrame, rules: DataFrame, exposure: Dat
     from ..functions.domain import service_name
     from ..operators import graph as G
     from ..operators import joins as J
-    from ..operators import scoring as C
+    from ..operators import scoring as W
 
     # both are read several times, and each reading would parse the files again
     found, nodes = checkpointed(found), checkpointed(G.source_functions(files))
@@ -106,44 +116,72 @@ def enriched(found: DataFrame, files: DataFrame, rules: DataFrame, exposure: Dat
     rows = G.is_reachable(rows.join(inside, "finding_id", "left"), G.reachable(edges, tainted))
     own = tainted.distinct().withColumn("__sw_own", F.lit(True))
     rows = rows.join(own, "node", "left").withColumn("user_controlled", F.coalesce("__sw_own", F.lit(False)))
-    score = C.confidence(
-        C.reach_score("reachable", "user_controlled"),
-        C.pattern_score(F.lit(1), F.lit(True), F.col("snippet").rlike(r"\w\.\w+\("), F.lit(False)),
-        C.context_score(F.col("snippet").rlike(r"(?i)escap|saniti[sz]|quote"), F.col("snippet").rlike(r"(?i)valid|check"), F.col("file_path").rlike(r"(^|/)tests?/|_test\."), F.lit(False)),
+    score = W.confidence(
+        W.reach_score("reachable", "user_controlled"),
+        W.pattern_score(F.lit(1), F.lit(True), F.col("snippet").rlike(r"\w\.\w+\("), F.lit(False)),
+        W.context_score(F.col("snippet").rlike(r"(?i)escap|saniti[sz]|quote"), F.col("snippet").rlike(r"(?i)valid|check"), F.col("file_path").rlike(r"(^|/)tests?/|_test\."), F.lit(False)),
     )
     rows = rows.withColumn("confidence_score", score)
     path = F.when(~F.startswith("file_path", F.lit("<")), service_name("file_path"))
     rows = J.with_rule_names(rows.withColumn("service", path), rules.select("rule_id", "name").distinct())
     if exposure is not None:
-        rows = J.with_exposure(rows, exposure).withColumn("severity", C.exposed_severity("severity", "public")).withColumnRenamed("public", "cloud_exposed")
+        rows = J.with_exposure(rows, exposure).withColumn("severity", W.exposed_severity("severity", "public")).withColumnRenamed("public", "cloud_exposed")
     return rows.drop("node", "__sw_own", "finding_id")
 
 
-def scan(files: DataFrame, rules: DataFrame, options: ScanOptions | None = None) -> DataFrame:
-    """Findings of (file_path, text) files: collect, match line and tree rules, suppress, filter, enrich, fingerprint.
-
-    Tree rules are those of ``rules`` with a ``tree``. Order the result with ``ordered``.
-    """
-    o = options or ScanOptions()
-    kept = L.by_paths(S.collect(files, o.ignore_globs), o.include, o.exclude)
-    body = F.split(F.regexp_replace("text", "\r?\n$", ""), "\r?\n")
-    lines = kept.select("file_path", "language", F.posexplode(body).alias("p", "line")).select(
-        "file_path", "language", (F.col("p") + 1).alias("line_no"), "line"
-    )
-    rules = S.last_rules(rules)
+def raw_matches(files: DataFrame, rules: DataFrame) -> DataFrame:
+    """Matches of the line and tree rules in (file_path, language, text) files, before any filter."""
     found = None
     if not rules.where("pattern is not null").isEmpty():
+        body = F.split(F.regexp_replace("text", "\r?\n$", ""), "\r?\n")
+        lines = files.select("file_path", "language", F.posexplode(body).alias("p", "line")).select("file_path", "language", (F.col("p") + 1).alias("line_no"), "line")
         found = match_rules(lines, rules.where("pattern is not null")).withColumnRenamed("line_no", "line").select(*FOUND)
     if "tree" in rules.columns and not rules.where("tree is not null").isEmpty():
-        trees = T.match_trees(kept, rules).select(*FOUND)
+        trees = T.match_trees(files, rules).select(*FOUND)
         found = trees if found is None else found.unionByName(trees)
     if found is None:
         raise ValueError("no rules")
+    return found
+
+
+def cached_matches(files: DataFrame, rules: DataFrame, cache: Store, write: bool = True) -> DataFrame:
+    """raw_matches(files, rules), of which only contents that the cache does not hold are scanned.
+
+    Contents are known by digest and language, under the digest of the rules. Each new one is scanned once,
+    however many files have it, and put into the cache, with an empty list where it has no match.
+    """
+    digest = C.rule_set_hash(rules)
+    keyed = files.withColumn("file_hash", F.sha2("text", 256)).where("text is not null")
+    known = C.results(cache, digest)
+    new = keyed.join(known.select("file_hash", "language"), ["file_hash", "language"], "left_anti")
+    new = checkpointed(new.dropDuplicates(["file_hash", "language"]).select(F.concat_ws(" ", "file_hash", "language").alias("file_path"), "language", "text", "file_hash"), "cache-misses")
+    one = F.struct(*[c for c in FOUND if c != "file_path"])
+    per = raw_matches(new, rules).groupBy("file_path").agg(F.collect_list(one).alias("found"))
+    fresh = new.join(per, "file_path", "left").select(
+        "file_hash", F.lit(digest).alias("rule_set_hash"), "language", F.char_length("text").cast("long").alias("chars"), F.current_timestamp().alias("cached_at"),
+        F.coalesce("found", F.array().cast(C.FOUND)).alias("findings"),
+    )
+    fresh = checkpointed(fresh, "cache-fresh")
+    if write and not fresh.isEmpty():
+        C.store(cache, fresh)
+    every = known.select("file_hash", "language", "findings").unionByName(fresh.select("file_hash", "language", "findings")).where("size(findings) > 0")
+    hits = keyed.select("file_path", "file_hash", "language").join(every, ["file_hash", "language"])
+    return hits.select("file_path", F.explode("findings").alias("f")).select("file_path", "f.*").select(*FOUND)
+
+
+def scan(files: DataFrame, rules: DataFrame, options: ScanOptions | None = None) -> DataFrame:
+    """Findings of (file_path, text) files: collect, match, suppress, enrich, add dependencies, filter by severity, take snippets.
+
+    Tree rules are those of ``rules`` with a ``tree``. The severity filter comes after exposure has changed severities; a
+    dependency's severity stays as its advisory has it. Order the result with ``ordered``.
+    """
+    o = options or ScanOptions()
+    kept = L.by_paths(S.collect(files, o.ignore_globs), o.include, o.exclude)
+    rules = S.last_rules(rules)
+    found = raw_matches(kept, rules) if o.cache is None else cached_matches(kept, rules, o.cache, o.write_cache)
     if o.suppress:
-        found = L.suppress_inline(lines, found)
-    if o.advisories is not None:
-        found = found.unionByName(dependency_findings(L.by_paths(files, o.include, o.exclude), o.advisories))
-    found = L.without_rules(L.min_severity(found, o.min_severity), list(o.exclude_rules))
+        found = L.suppress_inline(lines_with(kept, "scan-ignore"), found)
+    found = L.without_rules(found, list(o.exclude_rules))
     if o.changed is not None:
         found = L.on_changed_lines(found, o.changed)
     if o.staged is not None:
@@ -152,7 +190,25 @@ def scan(files: DataFrame, rules: DataFrame, options: ScanOptions | None = None)
         found = L.without_learned(found, o.learned)
     if o.enrich:
         found = enriched(found, kept, rules, o.exposure)
-    return found.withColumn("fingerprint", fingerprint("rule_id", "file_path", "snippet"))
+    if o.advisories is not None:
+        named = L.without_rules(dependency_findings(L.by_paths(files, o.include, o.exclude), o.advisories), list(o.exclude_rules))
+        if o.changed is not None:
+            named = L.on_changed_lines(named, o.changed)
+        if o.staged is not None:
+            named = L.in_files(named, o.staged)
+        if o.enrich:
+            named = named.withColumns({"rule_name": F.col("rule_id"), "reachable": F.lit(True)})
+        found = found.unionByName(named, allowMissingColumns=True)
+    found = L.min_severity(found, o.min_severity)
+    found = found.withColumn("fingerprint", fingerprint("rule_id", "file_path", "snippet"))
+    return found if o.context is None else S.with_windows(found, kept, o.context)
+
+
+def lines_with(files: DataFrame, word: str) -> DataFrame:
+    """(file_path, line_no, line) of the lines that hold a word; other files are not split."""
+    body = F.split(F.regexp_replace("text", "\r?\n$", ""), "\r?\n")
+    lines = files.where(F.contains("text", F.lit(word))).select("file_path", F.posexplode(body).alias("p", "line"))
+    return lines.where(F.contains("line", F.lit(word))).select("file_path", (F.col("p") + 1).alias("line_no"), "line")
 
 
 def ordered(findings: DataFrame) -> DataFrame:

@@ -72,7 +72,7 @@ def fil1c(spark, d):
     FROM code_files JOIN {_TREE_FOUND} USING (form) JOIN (VALUES ('PY104', 'High', 'Medium', 'Shell command'), ('PY101', 'Critical', 'High', 'eval of a value'), ('PY113', 'Medium', 'Low', 'MD5'),
       ('PY127', 'Medium', 'Low', 'File path from parts'), ('PY145', 'Low', 'Info', 'Errors swallowed'), ('PY122', 'Critical', 'High', 'SQL from parts')) r(rule_id, severity, down, name) USING (rule_id)
     WHERE NOT (form = 7 AND line = 3)
-    UNION ALL SELECT '<PyPI/lib>', 'sca/CVE-9', 1, 'High', NULL, true, 'sca/CVE-9'""",
+    UNION ALL SELECT '<PyPI/lib>', 'sca/CVE-9', 0, 'High', NULL, true, 'sca/CVE-9'""",
 )
 def scan_enriched(spark, d):
     """A whole scan: tree rules, inline suppression, dependency findings, reachability, exposure, rule names."""

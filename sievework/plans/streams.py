@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 from ..registry import query
 from ..scratch import scratch_path
 from ..streaming import ingest as I
-from .standins import UPSERT as _UPSERT
-from .standins import read, stored_findings
+from .standins import PAYLOADS, read, stored_findings, upserts
 
 
 @query(
@@ -48,11 +47,13 @@ def stm2(spark, d):
     SELECT doc, version, saved FROM (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY doc, burst ORDER BY ts DESC, version DESC, saved DESC) = 1) WHERE NOT saved""",
 )
 def stm3(spark, d):
-    """Bursts of half an hour, as the events are far apart; over a finished table, so that every burst has ended."""
+    """Bursts of half an hour, as the events are far apart, as a stream; a last edit of another document, far behind, ends them all."""
     edits = read(spark, d, "events").select(
         F.concat(F.lit("d"), F.col("user_id") % 20).alias("doc"), F.col("ts").cast("timestamp").alias("ts"), (F.col("event_type") == "click").alias("saved"), F.col("event_id").alias("version")
     )
-    return I.debounced(edits, "30 minutes").select("doc", "version", "saved")
+    close = edits.agg(F.lit("close").alias("doc"), (F.max("ts") + F.expr("interval 30 days")).alias("ts"), F.lit(False).alias("saved"), F.lit(0).cast("long").alias("version"))
+    out = I.replay(edits.unionByName(close), lambda s: I.debounced(s, "30 minutes", "1 hour"))
+    return out.where("doc <> 'close'").select("doc", "version", "saved")
 
 
 @query("stm4_distinct_scans", "SELECT DISTINCT concat('s-', user_id) AS scan_id FROM events")
@@ -68,15 +69,15 @@ def stm4b(spark, d):
     return out.select(F.unix_seconds("begins").alias("begins"), "event_type", "n")
 
 
-@query("stm5_upsert_per_scan", _UPSERT)
+@query("stm5_upsert_per_scan", f"WITH {upserts(*PAYLOADS)} SELECT * FROM st3")
 def stm5(spark, d):
-    """The upsert of a scan, payload by payload, as a stream."""
+    """Three payloads as one stream, each merged into what the one before left."""
     from . import history as H
+    from .state import COLUMNS, new_store
 
-    target = scratch_path(spark, "findings")
-    stored = H._stored(spark, d)
-    I.replay_into(H._incoming(spark, d), lambda s: I.upsert_each(s, lambda: stored, lambda out, k: out.write.mode("overwrite").parquet(target), H.now()))
-    return spark.read.parquet(target).select(*H.mut1(spark, d).columns)
+    store = new_store(spark, d)
+    I.replay_batches([H._payload(spark, d, p) for p in PAYLOADS], lambda s: I.upsert_each(s, store, H.now()))
+    return store.read("findings").select(*COLUMNS)
 
 
 @query("stm6_latest_ruleset", "SELECT event_id AS rule_id, user_id AS version FROM events WHERE user_id = (SELECT max(user_id) FROM events)")

@@ -24,15 +24,50 @@ def shared_dir(spark: SparkSession) -> str:
     return context._jsc.sc().getCheckpointDir().get()
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df with its lineage cut in the shared folder; its rows are computed once."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder; what is written there is deleted when the application ends."""
+    context = spark.sparkContext
+    own = f"{shared_dir(spark).rstrip('/')}/sievework/{context.applicationId}"
+    _files(spark, own).deleteOnExit(_path(spark, own))
+    return f"{own}/{name}-{uuid.uuid4().hex}"
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder, deleted when the application ends."""
-    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(folder)
-    return path
+def checkpointed(df: DataFrame, name: str = "table") -> DataFrame:
+    """df as a table in the shared folder, read back: its rows are computed once and outlive executors."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._sw_path = path
+    return out
+
+
+def bucketed(df: DataFrame, by: list[str], name: str = "bucketed", buckets: int | None = None) -> DataFrame:
+    """df as a table in the shared folder whose files are split and sorted by columns, so that joins on them need no shuffle of it.
+
+    ``discard`` deletes it, table and files.
+    """
+    spark = df.sparkSession
+    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path, table = scratch_path(spark, name), f"sievework_{uuid.uuid4().hex}"
+    df.repartition(n, *by).write.bucketBy(n, *by).sortBy(*by).option("path", path).format("parquet").saveAsTable(table)
+    out = spark.table(table)
+    out._sw_path, out._sw_table = path, table
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of checkpointed() and bucketed() that nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        if hasattr(df, "_sw_table"):
+            spark.sql(f"DROP TABLE IF EXISTS {df._sw_table}")
+        _files(spark, df._sw_path).delete(_path(spark, df._sw_path), True)
+
+
+def _path(spark: SparkSession, path: str):
+    return spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+
+
+def _files(spark: SparkSession, path: str):
+    """The file system of a path."""
+    return _path(spark, path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())

@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.domain import c
-from ..functions.versions import in_ranges, parse_ranges, parse_version
+from ..functions.versions import parse_ranges, parse_version, range_intervals, version_key
+from ..operators.asof import disjoint, interval_join
+from ..scratch import checkpointed
 
 OSV = (
     "id string, aliases array<string>, modified string, summary string, severity array<struct<type:string,score:string>>, "
@@ -118,14 +120,22 @@ def advisory_key(rows: DataFrame) -> DataFrame:
     return rows.withColumn("advisory_id", key)
 
 
-def match(deps: DataFrame, advisories: DataFrame) -> DataFrame:
+def match(deps: DataFrame, advisories: DataFrame, bin_rows: int = 4096) -> DataFrame:
     """Dependencies with the advisories that their version falls under (all of the package if it does not parse).
 
-    An equi-join on ecosystem and package; ranges are parsed once, on the advisory side.
+    Every distinct list of ranges becomes disjoint intervals of one version key, and every distinct version a
+    position on it, so a package with many advisories is cut by version; rows then meet theirs again by equal keys.
     """
-    a = advisories.withColumn("__sw_ranges", parse_ranges("vulnerable_versions"))
-    d = deps.withColumn("__sw_v", parse_version("version"))
-    return d.join(a, ["ecosystem", "package_name"]).where(in_ranges(F.col("__sw_v"), F.col("__sw_ranges"))).drop("__sw_v", "__sw_ranges")
+    place = ["ecosystem", "package_name"]
+    deps, name = deps.withColumn("__sw_v", parse_version("version")), [x for x in advisories.columns if x not in ("ecosystem", "package_name")]
+    versions = checkpointed(deps.select(*deps.columns[:-1], version_key(F.col("__sw_v")).alias("__sw_key")), "advisory-versions")
+    lists = advisories.select("vulnerable_versions").distinct()
+    parsed = lists.select("vulnerable_versions", disjoint(range_intervals(parse_ranges("vulnerable_versions"))).alias("__sw_cover"))
+    rows = checkpointed(advisories.join(parsed, "vulnerable_versions").select(*advisories.columns, "__sw_cover"), "advisory-ranges")
+    spans = rows.select(*advisories.columns, F.explode("__sw_cover").alias("i")).select(*advisories.columns, "i.lo", "i.hi")
+    hits = interval_join(versions.where("__sw_key is not null"), spans, place, "__sw_key", bin_rows)
+    loose = versions.where("__sw_key is null").join(advisories, place)
+    return hits.select(*versions.columns, *name).unionByName(loose.select(*versions.columns, *name)).drop("__sw_key")
 
 
 def stale(sources: DataFrame, now: Column, hours: int = 24) -> DataFrame:

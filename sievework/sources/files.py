@@ -213,6 +213,20 @@ def refreshed_snippets(findings: DataFrame, context: int = 3) -> DataFrame:
     return findings.withColumn("snippet", F.when(synthetic, F.col("snippet")).otherwise(snippet_window("text", "line", context)))
 
 
+def with_windows(findings: DataFrame, files: DataFrame, context: int = 3) -> DataFrame:
+    """Findings (file_path, line, snippet, ..) whose snippet is the lines around them in files (file_path, text).
+
+    Each file that has findings meets its list of lines once and is split once. Paths that are no files keep their snippets.
+    """
+    from ..functions.domain import lines_of, window_of
+
+    places = findings.where(~F.startswith("file_path", F.lit("<"))).groupBy("file_path").agg(F.collect_set("line").alias("__sw_lines"))
+    split = files.select("file_path", "text").join(places, "file_path").select("file_path", "__sw_lines", lines_of("text").alias("__sw_text"))
+    windows = split.select("file_path", F.explode(F.transform("__sw_lines", lambda n: F.struct(n.alias("line"), window_of(F.col("__sw_text"), n, context).alias("__sw_window")))).alias("w"))
+    windows = windows.select("file_path", "w.*")
+    return findings.join(windows, ["file_path", "line"], "left").withColumn("snippet", F.coalesce("__sw_window", "snippet")).select(*findings.columns)
+
+
 def contributors(commits: DataFrame, days: int = 90) -> DataFrame:
     """Distinct authors of the last days before the newest commit (author, ts)."""
     last = commits.agg(F.max("ts").alias("__sw_last"))

@@ -102,7 +102,7 @@ def test_graph_cycle_and_paths(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (1, 3), (5, 6)], "src long, dst long")
     seeds = spark.createDataFrame([(1,)], "node long")
     assert sorted(r.node for r in graph.reachable(edges, seeds).collect()) == [1, 2, 3]
-    assert {r.node: r.path for r in graph.distances(edges, seeds).collect()} == {1: [1], 2: [1, 2], 3: [1, 3]}
+    assert {r.node: r.path for r in graph.shortest_paths(edges, seeds).collect()} == {1: [1], 2: [1, 2], 3: [1, 3]}
 
 
 def test_goldens(spark):
