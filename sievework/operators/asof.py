@@ -72,7 +72,7 @@ def interval_join(points: DataFrame, intervals: DataFrame, by: Sequence[str], at
     Positions and both ends of the intervals of a key are numbered in one order, and every ``bin_rows`` of them are
     a bin. An interval goes to the bins that it touches, where it meets their points: those that reach across
     a whole bin pair with each of its points, and there are at most bin_rows others. A bin whose points repeat one
-    position many times is salted by their number. Columns of the two sides other than ``by`` have different names.
+    position many times is salted by their number. Equal rows of intervals count once. Columns of the two sides other than ``by`` have different names.
     Intervals of a key should be disjoint for each thing they stand for (see ``disjoint``), as every hit is one row.
     """
     by = list(by)
@@ -89,11 +89,16 @@ def interval_join(points: DataFrame, intervals: DataFrame, by: Sequence[str], at
         *by, "begins", F.row_number().over(Window.partitionBy(*by).orderBy("part")).alias("bin"), F.ceil((F.col("n") + 1) / (4 * bin_rows)).cast("int").alias("salts")
     )
     bins = checkpointed(bins, "interval-bins")
-    of_bin = bins.select(*by, "begins", "bin")
-    a = last_mark(points, bins, by, at, "begins")
-    a = a.select(*points.columns, F.col("mark.bin").alias("bin"), F.pmod(F.xxhash64(*points.columns), F.col("mark.salts")).cast("int").alias("salt"))
-    b = last_mark(intervals, of_bin, by, "lo", "begins").withColumn("first_bin", F.col("mark.bin")).drop("mark")
-    b = last_mark(b, of_bin, by, "hi", "begins").withColumn("last_bin", F.col("mark.bin")).drop("mark")
-    b = b.where("first_bin is not null").withColumn("bin", F.explode(F.sequence("first_bin", "last_bin"))).drop("first_bin", "last_bin")
-    b = b.join(bins.select(*by, "bin", "salts"), [*by, "bin"]).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
-    return a.join(b, [*by, "bin", "salt"]).where((F.col("lo") <= F.col(at)) & (F.col(at) < F.col("hi"))).drop("bin", "salt", "lo", "hi")
+    # points and both ends of the intervals find their bins together
+    point, span = F.struct(*points.columns), F.struct(*intervals.columns)
+    no_point, no_span = (F.lit(None).cast(df.select(x).schema[0].dataType) for df, x in ((points, point), (intervals, span)))
+    rows = points.select(*by, F.col(at).alias(_AT), point.alias("p"), no_span.alias("s"))
+    for end in ("lo", "hi"):
+        rows = rows.unionByName(intervals.where("lo < hi").select(*by, F.col(end).alias(_AT), no_point.alias("p"), span.alias("s")))
+    placed = last_mark(rows.withColumnRenamed(_AT, "at"), bins, by, "at", "begins").where("mark is not null")
+    a = placed.where("p is not null").select(*by, "p", F.col("mark.bin").alias("bin"), F.pmod(F.xxhash64("p"), F.col("mark.salts")).cast("int").alias("salt"))
+    b = placed.where("s is not null").groupBy(*by, "s").agg(F.min("mark.bin").alias("first"), F.max("mark.bin").alias("last"))
+    b = b.select(*by, "s", F.explode(F.sequence("first", "last")).alias("bin")).join(bins.select(*by, "bin", "salts"), [*by, "bin"])
+    b = b.select(*by, "s", "bin", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    hits = a.join(b, [*by, "bin", "salt"]).where((F.col("s.lo") <= F.col(f"p.{at}")) & (F.col(f"p.{at}") < F.col("s.hi")))
+    return hits.select("p.*", *[f"s.{c}" for c in intervals.columns if c not in (*by, "lo", "hi")])

@@ -12,7 +12,7 @@ from ..registry import query
 from ..sources import advisories as A
 from ..sources import cloud as K
 from ..sources import manifests as M
-from .standins import deps
+from .standins import deps, read
 
 
 def files(spark, *rows):
@@ -147,6 +147,45 @@ def joi4(spark, d):
     return A.match(deps(spark, d), A.advisory_key(adv)).select("dep_id", "advisory_id")
 
 
+def _many_ranges(spark, d):
+    """Advisories made of parts, all of a few packages, of which one has half; and the versions that lines of orders use."""
+    k = F.col("p_partkey")
+    low = F.concat(k % 50, F.lit("."), k * 7 % 40, F.lit("."), k * 11 % 30)
+    high = F.concat(k % 50 + k % 3, F.lit("."), k * 7 % 40 + 1, F.lit("."), k * 13 % 30)
+    form = F.when(k % 4 == 0, F.array(F.concat(F.lit(">="), low, F.lit(", <"), high))).when(k % 4 == 1, F.array(F.concat(F.lit("="), low), F.concat(F.lit("~"), high)))
+    form = form.when(k % 4 == 2, F.array(F.concat(F.lit("^"), low), F.concat(F.lit(">"), low, F.lit(", <="), high))).otherwise(F.array(F.concat(F.lit("<"), k % 3, F.lit(".5"))))
+    package = F.when(k % 2 == 0, "hot").otherwise(F.concat(F.lit("pkg"), k % 9))
+    advisories = read(spark, d, "part").select(F.concat(F.lit("ADV-"), k).alias("advisory_id"), F.lit("npm").alias("ecosystem"), package.alias("package_name"), form.alias("vulnerable_versions"))
+    o, n = F.col("l_orderkey"), F.col("l_suppkey")
+    used = F.when(o % 3 == 0, "hot").otherwise(F.concat(F.lit("pkg"), n % 9))
+    # a version that many use, and some that do not parse
+    version = F.when(o % 5 == 0, "3.7.11").when(o % 101 == 0, "latest").otherwise(F.concat(o % 53, F.lit("."), n % 41, F.lit("."), F.col("l_linenumber")))
+    deps = read(spark, d, "lineitem").select(F.lit("npm").alias("ecosystem"), used.alias("package_name"), version.alias("version")).distinct()
+    return deps, advisories
+
+
+@query(
+    "joi4_many_ranges",
+    """WITH a AS (SELECT concat('ADV-', k) AS advisory_id, CASE WHEN k % 2 = 0 THEN 'hot' ELSE concat('pkg', k % 9) END AS package_name, k % 4 AS form,
+      (k % 50) * 1000000 + (k * 7 % 40) * 1000 + k * 11 % 30 AS low, k % 50 AS low_major, k * 7 % 40 AS low_minor, (k % 50 + k % 3) * 1000000 + (k * 7 % 40 + 1) * 1000 + k * 13 % 30 AS high,
+      (k % 50 + k % 3) * 1000000 + (k * 7 % 40 + 2) * 1000 AS high_tilde, k % 3 * 1000000 + 5000 AS less FROM (SELECT p_partkey AS k FROM part)),
+    v AS (SELECT DISTINCT CASE WHEN l_orderkey % 3 = 0 THEN 'hot' ELSE concat('pkg', l_suppkey % 9) END AS package_name,
+      CASE WHEN l_orderkey % 5 = 0 THEN '3.7.11' WHEN l_orderkey % 101 = 0 THEN 'latest' ELSE concat(l_orderkey % 53, '.', l_suppkey % 41, '.', l_linenumber) END AS version,
+      CASE WHEN l_orderkey % 5 = 0 THEN 3007011 WHEN l_orderkey % 101 = 0 THEN NULL ELSE (l_orderkey % 53) * 1000000 + (l_suppkey % 41) * 1000 + l_linenumber END AS n FROM lineitem),
+    spans AS (SELECT advisory_id, package_name, low AS lo, high AS hi FROM a WHERE form IN (0) UNION ALL SELECT advisory_id, package_name, low, low + 1 FROM a WHERE form = 1
+      UNION ALL SELECT advisory_id, package_name, high, high_tilde FROM a WHERE form = 1
+      UNION ALL SELECT advisory_id, package_name, low, CASE WHEN low_major > 0 THEN (low_major + 1) * 1000000 WHEN low_minor > 0 THEN (low_minor + 1) * 1000 ELSE low + 1 END FROM a WHERE form = 2
+      UNION ALL SELECT advisory_id, package_name, low + 1, high + 1 FROM a WHERE form = 2 UNION ALL SELECT advisory_id, package_name, 0, less FROM a WHERE form = 3)
+    SELECT package_name, version, count(DISTINCT advisory_id) AS hits, min(advisory_id) AS first_id, max(advisory_id) AS last_id
+    FROM (SELECT v.package_name, version, advisory_id FROM v JOIN spans s ON s.package_name = v.package_name AND n BETWEEN lo AND hi - 1
+      UNION ALL SELECT v.package_name, version, advisory_id FROM v JOIN a ON a.package_name = v.package_name WHERE n IS NULL) GROUP BY 1, 2""",
+)
+def joi4_many(spark, d):
+    deps, advisories = _many_ranges(spark, d)
+    found = A.match(deps, advisories)
+    return found.groupBy("package_name", "version").agg(F.count("*").alias("hits"), F.min("advisory_id").alias("first_id"), F.max("advisory_id").alias("last_id"))
+
+
 @query("str4_parse_version", f"SELECT dep_id, v[1] AS major, v[2] AS minor, v[3] AS patch FROM (SELECT dep_id, {_V} AS v FROM deps)")
 def str4(spark, d):
     v = V.parse_version(F.concat(F.lit("v"), "version", F.lit("-rc.1")))

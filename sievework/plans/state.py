@@ -168,8 +168,15 @@ def _payloads(spark, d):
     return rows.select("batch", "seq", "scan_id", "project_id", "org_id", "repository_url", "commit_sha", "submitted_at", "findings")
 
 
+#: Stores that were filled before, by application and folder: three queries look at one replay.
+_FILLED: dict[tuple[str, str], S.Store] = {}
+
+
 def _ingested(spark, d):
     """A store after three batches of payloads, the second of which was handed over twice."""
+    known = (spark.sparkContext.applicationId, d)
+    if known in _FILLED:
+        return _FILLED[known]
     rows = checkpointed(_payloads(spark, d), "payloads")
     store = S.Store(spark, scratch_path(spark, "ingest"), I.LAYOUTS)
     limits = projects(spark, d).select("org_id").distinct().withColumn("most_findings", F.lit(LIMIT))
@@ -181,6 +188,7 @@ def _ingested(spark, d):
             take(batch, k)
 
     I.replay_batches([rows.where(F.col("batch") == k).drop("batch") for k in range(3)], lambda s: s.writeStream.foreachBatch(twice))
+    _FILLED[known] = store
     return store
 
 
