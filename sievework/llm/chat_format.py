@@ -7,8 +7,8 @@ leaves then climb by the binary digits of the distance, and the rows made are ju
 into one conversation with a loss mask.
 
 Template: a turn is ``<|role|>`` newline, text, ``<|end|>`` newline. Inside roles and texts ``\`` is
-written ``\\`` and ``<|`` is written ``<\|``, so no text can hold a control string, and ``unescape`` gives
-the text back exactly.
+written ``\\`` and ``<|`` is written ``<\|``, and inside roles ``|>`` is written ``|\>``, so neither can hold the
+control string that would end it, and ``unescape`` gives both back exactly.
 
 Row rules: null text and null role are empty strings. A parent that is null or absent makes a root. Rows
 that repeat (tree, node) count once, the smallest (role, text) wins. Rows whose tree or node is null are
@@ -31,6 +31,10 @@ def escape(c: Column) -> Column:
     return F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit("<|"), F.lit("<\\|"))
 
 
+def escape_role(c: Column) -> Column:
+    return F.replace(escape(c), F.lit("|>"), F.lit("|\\>"))
+
+
 def unescape(c: Column) -> Column:
     return F.regexp_replace(c, r"(?s)\\(.)", "$1")
 
@@ -102,7 +106,7 @@ def format_paths(ranked: DataFrame, learned_role: str = LEARNED_ROLE, keep_rank:
     """
     if keep_rank is not None:
         ranked = ranked.where(F.col("rank") <= keep_rank)
-    head = F.concat(F.lit(OPEN), escape(F.col("role")), F.lit("|>\n"))
+    head = F.concat(F.lit(OPEN), escape_role(F.col("role")), F.lit("|>\n"))
     turns = ranked.select(
         "tree",
         "leaf",
@@ -212,7 +216,7 @@ WITH c AS (
   UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
   UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
 ), e AS (
-  SELECT *, length('<|' || replace(replace(role, '\', '\\'), '<|', '<\|') || '|>' || chr(10)
+  SELECT *, length('<|' || replace(replace(replace(role, '\', '\\'), '<|', '<\|'), '|>', '|\>') || '|>' || chr(10)
       || replace(replace(text, '\', '\\'), '<|', '<\|') || '<|end|>' || chr(10)) AS n_piece FROM c
 )
 SELECT conv_id, count(*)::BIGINT AS n_turns,

@@ -1,15 +1,15 @@
-"""Near-duplicate embeddings: all pairs of a label, or sorted projection passes where those cost less.
-
-Equal vectors of a label collapse to their smallest id first. Labels of up to EXACT vectors are compared
-whole, tile by tile. In larger ones a sample tells how many passes bring a pair at the threshold together
-with probability RECALL among the densest tenth of the vectors; where that many passes cost more than all
-pairs (PAIRS vectors a pass), the label is compared whole too. In a pass the vectors of a label are ordered
-lexicographically by BITS concatenated signs of random projections, and each is compared with its WINDOW
-neighbours in that order, across the edges of partitions as well; verified pairs of all passes are united
-into components. A stream gives a spanning forest of its links, never all of them, so a dense group of n
-vectors makes fewer than n rows a pass. Links are then counted exactly inside each component, tile by tile
-of bounded size, so the window caps nobody's partners; only in labels that take passes can a link be
-missed, when no pass brought its ends together directly or through others.
+"""Near-duplicate embeddings by sorted projection passes.
+
+Equal vectors of a label collapse to their smallest id first. A sample of each label tells how many passes
+bring a pair at the threshold together with probability RECALL among the densest tenth of its vectors. In a
+pass the vectors of a label are ordered lexicographically by BITS concatenated signs of random projections,
+and each is compared with its WINDOW neighbours in that order, across the edges of partitions as well;
+verified pairs of all passes are united into components. A label of no more vectors than a window needs one
+pass, which then sees all its pairs. A stream gives a spanning forest of its links, never all of them, so a dense
+group of n vectors makes fewer than n rows a pass. Links are then counted exactly inside each component, tile
+by tile of bounded size, so the window caps nobody's partners; a link can be missed only when no pass brought
+its ends together directly or through others. On request (``exact``, ``pairs``) labels are compared whole instead,
+tile by tile: those of up to so many vectors, or those whose passes would cost more than that.
 
 Row rules: vectors that are null, empty, zero, hold a null or a non-finite number, or have no label link
 with nothing. Vectors of different lengths never link. Repeated rows count once; rows that share an id
@@ -35,8 +35,6 @@ PASSES = 8
 BITS = 48
 WINDOW = 64
 TILE = 512
-EXACT = 40_000
-PAIRS = 5_000
 RECALL = 0.99
 CELL = 8192
 SAMPLE = 2048
@@ -104,17 +102,21 @@ def needed_passes(x: np.ndarray, n: int, bits: int, window: int, cosine: float,
 
 
 def plan(reps: DataFrame, passes: int, bits: int, window: int, cosine: float, exact: int, pairs: int, recall: float) -> DataFrame:
-    """(label, dim, n, passes): 0 passes where a label is compared whole. Labels of up to exact vectors are left out."""
-    sizes = reps.groupBy("label", "dim").agg(F.count("*").alias("n")).where(F.col("n") > exact)
+    """(label, dim, passes) of each label; 0 passes where it is compared whole."""
+    sizes = materialize(reps.groupBy("label", "dim").agg(F.count("*").alias("n")), "emb-sizes")
+    # whatever the order, one window holds all of them
+    sure = F.when(F.col("n") <= exact, 0).when(F.col("n") <= window + 1, 1)
+    large = sizes.where((F.col("n") > window + 1) & (F.col("n") > exact))
     few = F.pmod(F.xxhash64(F.lit(SEED), "rep"), F.col("n")) < SAMPLE
 
     def run(pdf):
         n = int(pdf["n"].iloc[0])
         k = max(passes, needed_passes(np.stack(pdf["e"].to_list()), n, bits, window, cosine, recall))
-        return pdf[["label", "dim", "n"]].head(1).assign(passes=0 if n <= pairs * k else k)
+        return pdf[["label", "dim"]].head(1).assign(needed=0 if n <= pairs * k else k)
 
-    # a sample that happens to be empty leaves the label out, and thus compared whole
-    return reps.join(sizes, ["label", "dim"]).where(few).select("label", "dim", "n", "e").groupBy("label", "dim").applyInPandas(run, "label string, dim int, n long, passes int")
+    rows = reps.join(large, ["label", "dim"]).where(few).select("label", "dim", "n", "e")
+    needed = rows.groupBy("label", "dim").applyInPandas(run, "label string, dim int, needed int")
+    return sizes.join(needed, ["label", "dim"], "left").select("label", "dim", F.coalesce(sure, "needed", F.lit(passes)).cast("int").alias("passes"))
 
 
 def whole_links(rows: DataFrame, cosine: float, cell: int) -> DataFrame:
@@ -354,11 +356,15 @@ def near_duplicates(
     bits: int = BITS,
     window: int = WINDOW,
     tile: int = TILE,
-    exact: int = EXACT,
-    pairs: int = PAIRS,
+    exact: int = 0,
+    pairs: int = 0,
     recall: float = RECALL,
 ) -> DataFrame:
-    """(vec_id, n_links, component_id, kept): one row per row of vectors. passes is the least number of them."""
+    """(vec_id, n_links, component_id, kept): one row per row of vectors.
+
+    passes is the least number of them in labels that need several. exact and pairs ask for whole comparison, of labels
+    of up to exact vectors and of those where it costs less than passes of ``pairs`` vectors each.
+    """
     small_batches(vectors.sparkSession)
     good = materialize(clean(vectors, vec_id, embedding, label), "emb-clean")
     key = ["label", "dim", "c1", "c2"]
@@ -367,15 +373,13 @@ def near_duplicates(
         .groupBy(*key).agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("e").alias("e"))
     )
     reps = materialize(reps, "emb-reps")
-    large = materialize(plan(reps, passes, bits, window, cosine, exact, pairs, recall).where("passes > 0"), "emb-plan")
-    if large.isEmpty():
-        links = whole_links(reps.select("label", "dim", "rep", "e"), cosine, CELL)
-    else:
-        large = F.broadcast(large.drop("n"))
-        links = whole_links(reps.join(large, ["label", "dim"], "left_anti").select("label", "dim", "rep", "e"), cosine, CELL)
-        order = ["pass", "label", "dim", "key", "rep"]
-        ordered = keyed(reps.join(large, ["label", "dim"]), bits).repartitionByRange(*order).sortWithinPartitions(*order)
-        links = links.union(all_window_links(ordered, window, cosine))
+    planned = materialize(plan(reps, passes, bits, window, cosine, exact, pairs, recall), "emb-plan")
+    rows = materialize(reps.join(planned, ["label", "dim"]).select("label", "dim", "rep", "e", "passes"), "emb-planned")
+    order = ["pass", "label", "dim", "key", "rep"]
+    ordered = keyed(rows.where("passes > 0"), bits).repartitionByRange(*order).sortWithinPartitions(*order)
+    links = all_window_links(ordered, window, cosine)
+    if exact or pairs:
+        links = links.union(whole_links(rows.where("passes = 0").drop("passes"), cosine, CELL))
     links = materialize(links.distinct(), "emb-links")
     labels = connected_components(None, links)
 

@@ -230,12 +230,14 @@ def test_long_thread(spark):
 def test_template_is_reversible(spark):
     r = random.Random(1)
     odd = ["\\", "<|", "|>", "<", "|", "<|end|>\n", "<\\|", "\n", "a", "🙂", "### Assistant:", "$1"]
-    rows = [(k, 0, "assistant", "".join(r.choices(odd, k=r.randint(0, 9)))) for k in range(150)]
+    some = lambda: "".join(r.choices(odd, k=r.randint(0, 9)))
+    rows = [(k, 0, "assistant", some()) for k in range(150)] + [(200, 0, "user|>\nx", "hello")] + [(1000 + k, 0, some(), some()) for k in range(150)]
+    rows.append((3000, 0, "assistant", "<|end|>\n" * 100_000 + "x" * 1_000_000))
     df = spark.createDataFrame([*rows, (500, 0, None, None), (500, 0, None, None), (None, 0, "user", "x")], "conv_id long, turn long, role string, text string")
     out = chat_format.format_trees(chat_format.conversation_nodes(df))
     got = {x.tree: x for x in out.select("tree", chat_format.parsed_turns().alias("t"), chat_format.loss_text().alias("loss")).collect()}
-    assert all([(x.role, x.text) for x in got[k].t] == [(role, text)] and got[k].loss == text for k, _, role, text in rows)
-    assert len(got[500].t) == 2 and len(got) == 151
+    assert all([(x.role, x.text) for x in got[k].t] == [(role, text)] and got[k].loss == (text if role == "assistant" else "") for k, _, role, text in rows)
+    assert len(got[500].t) == 2 and len(got) == len(rows) + 1
 
 
 def test_chat_digest_has_the_extra_conversation(spark):
