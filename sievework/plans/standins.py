@@ -248,7 +248,7 @@ FP = "sha256(concat(rule_id, file_path, sha256(snippet)))"
 def upserts(*payloads: str) -> str:
     """CTEs st0, st1, ..: stored findings, and after each payload (a condition on rows_) came in, one after another."""
     out = f"""rows_ AS (SELECT *, {FP} AS fingerprint, {NUM} AS num FROM stored_findings),
-  st0 AS (SELECT finding_id, project_id, fingerprint, line, severity, triage_state FROM rows_ WHERE num % 3 <> 0 QUALIFY row_number() OVER (PARTITION BY project_id, fingerprint ORDER BY finding_id) = 1)"""
+  st0 AS (SELECT finding_id, project_id, fingerprint, line, severity, triage_state, rule_id, file_path, created_at, updated_at FROM rows_ WHERE num % 3 <> 0 QUALIFY row_number() OVER (PARTITION BY project_id, fingerprint ORDER BY finding_id) = 1)"""
     for k, payload in enumerate(payloads):
         out += f""",
   inc{k} AS (SELECT *, min(finding_id) OVER (PARTITION BY project_id, fingerprint) AS first_id FROM rows_ WHERE {payload}
@@ -257,12 +257,15 @@ def upserts(*payloads: str) -> str:
   st{k + 1} AS (SELECT coalesce(s.finding_id, i.first_id) AS finding_id, coalesce(s.project_id, i.project_id) AS project_id, coalesce(s.fingerprint, i.fingerprint) AS fingerprint,
     CASE WHEN i.finding_id IS NOT NULL THEN i.line ELSE s.line END AS line, CASE WHEN i.finding_id IS NOT NULL THEN i.severity ELSE s.severity END AS severity,
     CASE WHEN s.finding_id IS NULL THEN 'Open' WHEN i.finding_id IS NOT NULL AND s.triage_state = 'AutoFixed' THEN 'Open'
-      WHEN i.finding_id IS NULL AND coalesce(was, false) AND s.triage_state NOT IN ('Fixed','AutoFixed','Ignored','AutoIgnored') THEN 'AutoFixed' ELSE s.triage_state END AS triage_state
+      WHEN i.finding_id IS NULL AND coalesce(was, false) AND s.triage_state NOT IN ('Fixed','AutoFixed','Ignored','AutoIgnored') THEN 'AutoFixed' ELSE s.triage_state END AS triage_state,
+    coalesce(s.rule_id, i.rule_id) AS rule_id, coalesce(s.file_path, i.file_path) AS file_path, CASE WHEN s.finding_id IS NULL THEN TIMESTAMP '1999-01-01' ELSE s.created_at END AS created_at,
+    CASE WHEN i.finding_id IS NOT NULL OR (coalesce(was, false) AND s.triage_state NOT IN ('Fixed','AutoFixed','Ignored','AutoIgnored')) THEN TIMESTAMP '1999-01-01' ELSE s.updated_at END AS updated_at
     FROM st{k} s FULL JOIN inc{k} i ON s.project_id = i.project_id AND s.fingerprint = i.fingerprint LEFT JOIN sc{k} ON sc{k}.project_id = coalesce(s.project_id, i.project_id))"""
     return out
 
 
-UPSERT = f"""WITH {upserts("num % 3 <> 1 AND project_id < 'p-3'")} SELECT * FROM st1"""
+STATE = "finding_id, project_id, fingerprint, line, severity, triage_state"
+UPSERT = f"""WITH {upserts("num % 3 <> 1 AND project_id < 'p-3'")} SELECT {STATE} FROM st1"""
 #: Three payloads, one after another.
 PAYLOADS = ["num % 3 <> 1 AND project_id < 'p-3'", "num % 5 <> 2 AND project_id < 'p-2'", "num % 7 < 4 AND project_id >= 'p-15'"]
 

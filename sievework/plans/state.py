@@ -14,6 +14,7 @@ from ..streaming import ingest as I
 from . import history as H
 from .scanning import RULES_SQL
 from .standins import PAYLOADS, projects, read, stored_findings, upserts
+from .standins import STATE as _STATE
 
 COLUMNS = ["finding_id", "project_id", "fingerprint", "line", "severity", "triage_state"]
 STATE = ["finding_id", "project_id", "fingerprint", "rule_id", "file_path", "scan_id", "line", "column_num", "snippet", "severity", "triage_state", "created_at", "updated_at"]
@@ -28,7 +29,7 @@ def new_store(spark, d) -> S.Store:
 
 @query(
     "mut1_snapshot_versions",
-    f"WITH {upserts(*PAYLOADS[:2])} " + " UNION ALL ".join(f"SELECT {k + 1} AS version, * FROM st{k}" for k in range(3)),
+    f"WITH {upserts(*PAYLOADS[:2])} " + " UNION ALL ".join(f"SELECT {k + 1} AS version, {_STATE} FROM st{k}" for k in range(3)),
 )
 def mut1_versions(spark, d):
     """Two upserts into a store; all three versions are read in the end."""
@@ -222,3 +223,34 @@ def stm5_usage(spark, d):
 )
 def stm5_findings(spark, d):
     return _ingested(spark, d).read("findings").select("finding_id", "project_id", "fingerprint", "line", "severity", "triage_state")
+
+
+def _metrics(spark, d):
+    """A store and its metrics after three payloads, the metrics brought up to date after each."""
+    from ..operators import metrics as R
+
+    store, metrics = new_store(spark, d), S.Store(spark, scratch_path(spark, "metrics"), R.LAYOUTS)
+    R.refresh(store, metrics)
+    for payload in PAYLOADS:
+        store.commit({"findings": S.upsert_findings(store, H._payload(spark, d, payload), H.now())})
+        R.refresh(store, metrics)
+    return metrics
+
+
+@query(
+    "agg1_incremental",
+    f"""WITH {upserts(*PAYLOADS)} SELECT project_id, severity, count(*) AS findings, count(*) FILTER (WHERE triage_state NOT IN ('Fixed','AutoFixed','Ignored','AutoIgnored')) AS open,
+    count(*) FILTER (WHERE triage_state IN ('Fixed','AutoFixed')) AS resolved, CAST(coalesce(sum(CASE WHEN triage_state IN ('Fixed','AutoFixed') THEN trunc(epoch(updated_at - created_at) / 3600) END), 0) AS BIGINT) AS hours FROM st3 GROUP BY 1, 2""",
+)
+def agg1_incremental(spark, d):
+    from ..operators import metrics as R
+
+    return R.overview(_metrics(spark, d))
+
+
+@query("agg29_incremental_distinct", f"WITH {upserts(*PAYLOADS)} SELECT project_id, count(DISTINCT rule_id) AS rules FROM st3 GROUP BY 1")
+def agg29_incremental(spark, d):
+    """Distinct rules by merged sketches, which are exact for as few values as there are rules."""
+    from ..operators import metrics as R
+
+    return R.distinct_counts(_metrics(spark, d)).select("project_id", "rules")

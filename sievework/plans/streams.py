@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..registry import query
 from ..scratch import scratch_path
 from ..streaming import ingest as I
-from .standins import PAYLOADS, read, stored_findings, upserts
+from .standins import PAYLOADS, STATE, read, stored_findings, upserts
 
 
 @query(
@@ -69,7 +69,7 @@ def stm4b(spark, d):
     return out.select(F.unix_seconds("begins").alias("begins"), "event_type", "n")
 
 
-@query("stm5_upsert_per_scan", f"WITH {upserts(*PAYLOADS)} SELECT * FROM st3")
+@query("stm5_upsert_per_scan", f"WITH {upserts(*PAYLOADS)} SELECT {STATE} FROM st3")
 def stm5(spark, d):
     """Three payloads as one stream, each merged into what the one before left."""
     from . import history as H

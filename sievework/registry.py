@@ -23,5 +23,5 @@ def query(name: str, sql: str | None = None, recursive: bool = False):
     return add
 
 
-for _module in ("findings", "analytics", "history", "scanning", "dependencies", "graph", "exchange", "extras", "streams", "state"):
+for _module in ("findings", "analytics", "history", "scanning", "dependencies", "graph", "exchange", "extras", "streams", "state", "changes", "sql"):
     importlib.import_module(f"sievework.plans.{_module}")
