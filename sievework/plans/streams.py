@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..registry import query
 from ..scratch import scratch_path
 from ..streaming import ingest as I
+from ..streaming import watch as W
 from .standins import PAYLOADS, STATE, read, stored_findings, upserts
 
 
@@ -31,6 +32,36 @@ def stm1(spark, d):
     return I.replay(snapshots, I.watch_changes).select("file_path", "change", "rule_id", "line", "seq")
 
 
+_SCANS = """b AS (SELECT file_path, rule_id, line, min(severity) AS severity FROM stored_findings WHERE column_num % 2 = 0 GROUP BY ALL), a AS (SELECT file_path, rule_id, line, min(severity) AS severity FROM stored_findings WHERE column_num % 3 = 0 GROUP BY ALL),
+    ch AS (SELECT file_path, 'new' AS change, rule_id, line, severity, 1 AS seq FROM b UNION ALL SELECT file_path, 'new', rule_id, line, severity, 3 FROM a WHERE (file_path, rule_id, line) NOT IN (SELECT file_path, rule_id, line FROM b)
+      UNION ALL SELECT file_path, 'resolved', rule_id, line, severity, 3 FROM b WHERE (file_path, rule_id, line) NOT IN (SELECT file_path, rule_id, line FROM a))"""
+
+
+def _rescans(spark, d):
+    """Three re-scans of every file: the second comes 40 ms before the third and is never looked at. A last file closes all bursts."""
+    rows = stored_findings(spark, d).groupBy("file_path", "rule_id", "line").agg(
+        F.min(F.when(F.col("column_num") % 2 == 0, F.col("severity"))).alias("one"), F.min(F.when(F.col("column_num") % 3 == 0, F.col("severity"))).alias("two")
+    )
+    of = lambda s: F.collect_list(F.when(F.col(s).isNotNull(), F.struct("rule_id", "line", F.col(s).alias("severity"))))
+    files = rows.groupBy("file_path").agg(of("one").alias("one"), of("two").alias("two"))
+    none = F.array().cast(W.FOUND)
+    at = lambda ms: F.timestamp_millis(F.lit(1_700_000_000_000 + ms))
+    scan = lambda ms, seq, gone, found: F.struct(at(ms).alias("ts"), F.lit(seq).cast("long").alias("seq"), gone.alias("deleted"), found.alias("findings"))
+    scans = F.array(scan(0, 1, F.lit(False), F.col("one")), scan(60_000, 2, F.lit(False), none), scan(60_040, 3, F.size("two") == 0, F.col("two")))
+    out = files.select("file_path", F.explode(scans).alias("s")).select("file_path", "s.*")
+    return out.unionByName(spark.range(1).select(F.lit("close").alias("file_path"), at(3_600_000).alias("ts"), F.lit(9).cast("long").alias("seq"), F.lit(False).alias("deleted"), none.alias("findings")))
+
+
+@query("stm1_watch_debounced", f"WITH {_SCANS} SELECT file_path, change, rule_id, line, seq FROM ch")
+def stm1_debounced(spark, d):
+    return I.replay(_rescans(spark, d), W.watch).select("file_path", "change", "rule_id", "line", "seq")
+
+
+@query("stm1_watch_totals", f"WITH {_SCANS} SELECT severity, CAST(sum(CASE WHEN change = 'new' THEN 1 ELSE -1 END) AS BIGINT) AS held FROM ch GROUP BY 1")
+def stm1_totals(spark, d):
+    return W.running_totals(I.replay(_rescans(spark, d), W.watch))
+
+
 @query("stm2_watch_filter", "SELECT page_id, concat('src/p', page_id, CASE page_id % 3 WHEN 0 THEN '.py' WHEN 1 THEN '.md' ELSE '.test.js' END) AS file_path FROM pages WHERE page_id % 3 = 0")
 def stm2(spark, d):
     k = F.col("page_id")
