@@ -5,6 +5,7 @@ Planning a scan runs small jobs: rules go to the driver, and what several steps
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -12,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.domain import fingerprint, severity_rank
+from ..functions.patterns import any_of, required_literals
 from ..operators import cache as C
 from ..operators import filters as L
 from ..operators.snapshots import Store
@@ -44,32 +46,44 @@ class ScanOptions:
     context: int | None = None
 
 
+_FACTS = "array<struct<rule_id:string,severity:string,owasp_category:string,cwe_id:string,language:string,pattern:string>>"
+
+
 def match_rules(lines: DataFrame, rules: DataFrame) -> DataFrame:
     """Every match of line rules: (.., rule_id, severity, line, column_num, snippet), one per rule and line.
 
-    The rules are few and go to the driver when the plan is made, so that each pattern is a constant that the
-    JVM compiles once, and one pass over the lines tests all rules of a language. ``lines`` has language (null:
-    rules of every language), line_no and line.
+    The rules are few and go to the driver when the plan is made. Those whose pattern needs a literal are named by one
+    pattern that looks for all of the literals at once, and only those named are then run on the line, so a line that holds
+    none costs the same whatever the number of rules. The others are constants that every line is tested with. ``lines``
+    has language (null: rules of every language), line_no and line.
     """
-    found = []
-    for r in rules.orderBy("rule_id").collect():
-        whole = F.regexp_extract("line", f"({r.pattern})", 1)
-        fits = F.lit(True) if r.language is None else F.col("language") == r.language
-        hit = F.struct(
-            F.lit(r.rule_id).alias("rule_id"),
-            F.lit(r.severity).alias("severity"),
-            F.lit(r.owasp_category).alias("owasp_category"),
-            F.lit(r.cwe_id).alias("cwe_id"),
-            F.instr(F.col("line"), whole).cast("int").alias("column_num"),
-            whole.alias("snippet"),
-        )
-        found.append(F.when(fits & F.col("line").rlike(r.pattern), hit))
-    if not found:
+    every = sorted(rules.collect(), key=lambda r: r.rule_id)
+    if not every:
         raise ValueError("no rules")
+    needs = [required_literals(r.pattern) for r in every]
+    fields = ("rule_id", "severity", "owasp_category", "cwe_id", "language", "pattern")
+    facts = F.from_json(F.lit(json.dumps([{x: r[x] for x in fields} for r in every])), _FACTS)
+    tests = [F.when(F.col("line").rlike(r.pattern), F.lit(k)) for k, (r, n) in enumerate(zip(every, needs)) if n is None]
+    named = F.array_compact(F.array(*tests)) if tests else F.array().cast("array<int>")
+    by_literal: dict[str, set[int]] = {}
+    for k, n in enumerate(needs):
+        for x in n or ():
+            by_literal.setdefault(x, set()).add(k)
+    if by_literal:
+        # the longest literal of a place is found, and stands for those that it begins with
+        table = {x: sorted(set().union(*(ks for y, ks in by_literal.items() if x.startswith(y)))) for x in by_literal}
+        of_literal = F.from_json(F.lit(json.dumps(table)), "map<string,array<int>>")
+        found = F.array_distinct(F.regexp_extract_all("line", F.lit(f"(?=({any_of(list(table))}))"), F.lit(1)))
+        named = F.concat(named, F.flatten(F.transform(found, lambda x: F.element_at(of_literal, x))))
     keep = [c for c in lines.columns if c not in ("line", "language")]
-    hits = F.array_compact(F.array(*found))
-    rows = lines.select(*keep, "line", F.explode(hits).alias("m"))
-    return rows.select(*keep, F.col("m.*"))
+    rows = lines.select(*keep, "line", "language", F.explode(F.transform(F.array_distinct(named), lambda k: F.get(facts, k))).alias("r"))
+    fits = F.col("r.language").isNull() | (F.col("r.language") == F.col("language"))
+    rows = rows.where(fits & F.regexp("line", F.col("r.pattern")))
+    whole = F.regexp_extract_all("line", F.concat(F.lit("("), F.col("r.pattern"), F.lit(")")), F.lit(1))[0]
+    rows = rows.withColumn("__sw_whole", whole)
+    return rows.select(
+        *keep, *[F.col(f"r.{x}").alias(x) for x in fields[:4]], F.instr(F.col("line"), F.col("__sw_whole")).cast("int").alias("column_num"), F.col("__sw_whole").alias("snippet")
+    )
 
 
 FOUND = ["file_path", "rule_id", "severity", "owasp_category", "cwe_id", "line", "column_num", "snippet"]
