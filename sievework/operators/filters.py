@@ -217,6 +217,36 @@ def visible_rows(rows: DataFrame, members: DataFrame, user: str) -> DataFrame:
     return rows.join(own, seen, "left_semi")
 
 
+def visible_to_each(rows: DataFrame, members: DataFrame) -> DataFrame:
+    """(user_id, and the columns of rows): what each member sees, by the rule of visible_rows; one join for all users.
+
+    Admins meet the rows of their organisation, others those of each of their teams, so both joins are by equal keys.
+    """
+    admins = members.where("role = 'admin'").select("user_id", "org_id").distinct()
+    teams = members.where("role <> 'admin'").select("user_id", "org_id", F.explode("team_ids").alias("team_id")).distinct()
+    return rows.join(admins, "org_id").select("user_id", *rows.columns).unionByName(rows.join(teams, ["org_id", "team_id"]).select("user_id", *rows.columns))
+
+
+def group_captures(lines: DataFrame, pattern: str, names: Sequence[str]) -> DataFrame:
+    """(the columns of lines but line, match, name, text): what each group of a pattern captured, for each of its matches in a line.
+
+    ``names`` are those of the groups, from the first; match counts the matches of a line.
+    """
+    wholes = [F.regexp_extract_all("line", F.lit(pattern), F.lit(k)).alias(f"g{k}") for k in range(1, len(names) + 1)]
+    keep = [x for x in lines.columns if x != "line"]
+    hit = lines.where(F.col("line").rlike(pattern)).select(*keep, F.arrays_zip(*wholes).alias("z"))
+    each = hit.select(*keep, F.posexplode("z").alias("match", "m"))
+    pairs = F.array(*[F.struct(F.lit(n).alias("name"), F.col(f"m.g{k}").alias("text")) for k, n in enumerate(names, 1)])
+    return each.select(*keep, "match", F.explode(pairs).alias("c")).select(*keep, "match", "c.*")
+
+
+def matches_passing(captures: DataFrame, keys: Sequence[str], equals: dict[str, str] | None = None, matches: dict[str, str] | None = None) -> DataFrame:
+    """The captures of those matches (keys and match) of which every capture passes its predicate."""
+    ok = predicate_captures(captures, equals, matches).groupBy(*keys, "match").agg(F.count("*").alias("__sw_n"))
+    every = captures.groupBy(*keys, "match").agg(F.count("*").alias("__sw_n"))
+    return captures.join(ok.join(every, [*keys, "match", "__sw_n"]).drop("__sw_n"), [*keys, "match"], "left_semi")
+
+
 #: Roles from least to most powerful.
 ROLES = ["developer", "manager", "admin"]
 

@@ -144,14 +144,23 @@ def mut8(spark, d):
     return new.join(old, key, "left_anti").withColumn("change", F.lit("new")).union(old.join(new, key, "left_anti").withColumn("change", F.lit("resolved")))
 
 
-@query("snk6_owasp_json", "SELECT owasp_category, count(*) AS total FROM stored_findings WHERE owasp_category IS NOT NULL GROUP BY 1")
+_OWASP_NAMES = ", ".join(f"('{k}', '{v}')" for k, v in D.OWASP.items())
+
+
+@query(
+    "snk6_owasp_json",
+    f"""SELECT c.code AS owasp_category, c.name AS category_name, count(f.finding_id) AS total, count(*) FILTER (WHERE severity = 'Critical') AS critical, count(*) FILTER (WHERE severity = 'High') AS high,
+    count(*) FILTER (WHERE severity = 'Medium') AS medium, count(*) FILTER (WHERE severity = 'Low') AS low, count(*) FILTER (WHERE severity = 'Info') AS info
+    FROM (VALUES {_OWASP_NAMES}, (NULL, NULL)) c(code, name) LEFT JOIN stored_findings f ON f.owasp_category IS NOT DISTINCT FROM c.code GROUP BY 1, 2""",
+)
 def snk6(spark, d):
-    """The report as JSON lines, read back."""
+    """The whole report written as JSON files, and read back."""
     from ..operators.analytics import owasp_report
+    from ..scratch import scratch_path
 
-    lines = owasp_report(stored_findings(spark, d)).where("owasp_category is not null and total > 0").select(F.to_json(F.struct("*")).alias("j"))
-    back = F.from_json("j", "owasp_category string, total long").alias("r")
-    return lines.select(back).select("r.*")
+    report, path = owasp_report(stored_findings(spark, d)), scratch_path(spark, "owasp-report")
+    report.write.json(path)
+    return spark.read.schema(report.schema).json(path)
 
 
 @query("snk11_published_severity", "SELECT finding_id, CASE WHEN severity = 'Info' THEN 'Low' ELSE severity END AS severity FROM stored_findings")
@@ -161,7 +170,76 @@ def snk11b(spark, d):
 
 @query("src24_indexed_read", "SELECT finding_id, rule_id FROM stored_findings WHERE org_id = 'o-3' AND severity = 'High'")
 def src24(spark, d):
-    return stored_findings(spark, d).where("org_id = 'o-3' and severity = 'High'").select("finding_id", "rule_id")
+    """From a table by organisation, whose other organisations' files are not read."""
+    from ..sources.layout import write_findings
+
+    table = write_findings(stored_findings(spark, d))
+    return table.where("org_id = 'o-3' and severity = 'High'").select("finding_id", "rule_id")
+
+
+@query(
+    "src24_by_ids",
+    """SELECT finding_id, org_id, rule_id, file_path FROM stored_findings WHERE finding_id IN (SELECT max(finding_id) FROM stored_findings WHERE severity = 'High' UNION ALL SELECT min(finding_id) FROM stored_findings WHERE severity = 'Low')""",
+)
+def src24_ids(spark, d):
+    """Findings by their ids from a table in buckets of ids: one bucket each is read."""
+    from ..sources.layout import by_ids, write_findings
+
+    table = write_findings(stored_findings(spark, d))
+    ends = table.agg(F.max(F.when(F.col("severity") == "High", F.col("finding_id"))).alias("a"), F.min(F.when(F.col("severity") == "Low", F.col("finding_id"))).alias("b")).first()
+    return by_ids(table, [x for x in ends if x is not None]).select("finding_id", "org_id", "rule_id", "file_path")
+
+
+@query(
+    "snk9_saved_baselines",
+    """WITH f AS (SELECT finding_id, sha256(concat(rule_id, file_path, sha256(snippet))) AS fingerprint, column_num, severity FROM stored_findings)
+    SELECT 'v1' AS wanted, finding_id, severity FROM f WHERE column_num = 1 UNION ALL SELECT '20240202', finding_id, severity FROM f WHERE column_num = 3 UNION ALL SELECT 'v/2', finding_id, severity FROM f WHERE column_num = 2""",
+)
+def snk9_saved(spark, d):
+    """Three baselines that are written, found by tag or by the beginning of their time, and read."""
+    from ..operators.snapshots import Store
+    from ..scratch import scratch_path
+
+    rows = stored_findings(spark, d).select("finding_id", D.fingerprint("rule_id", "file_path", "snippet").alias("fingerprint"), "column_num", "severity")
+    store = Store(spark, scratch_path(spark, "baselines"), {"baselines": K.BASELINES})
+    for n, at, tag in ((1, "2024-01-01 00:00:00", "v1"), (2, "2024-02-02 10:00:00", "v/2"), (3, "2024-02-02 11:00:00", None)):
+        K.save_baseline(store, rows.where(F.col("column_num") == n), at, tag)
+    parts = [K.load_baseline(store, w).select(F.lit(w).alias("wanted"), "finding_id", "severity") for w in ("v1", "20240202", "v/2")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query(
+    "src16_mapped",
+    """SELECT dep_id AS ghsa_id, CASE ecosystem WHEN 'npm' THEN 'npm' WHEN 'PyPI' THEN 'PyPI' ELSE 'crates.io' END AS ecosystem,
+    CASE dep_id % 5 WHEN 0 THEN 'Critical' WHEN 1 THEN 'High' WHEN 3 THEN 'Low' ELSE 'Medium' END AS severity, CASE WHEN dep_id % 7 = 0 THEN '' ELSE concat('>= 0.1, < ', version) END AS ranges FROM deps""",
+)
+def src16_mapped(spark, d):
+    """Records of one feed's form made of dependencies: ecosystems, severities and ranges as they come."""
+    k = F.col("dep_id")
+    ecosystem = F.when(F.col("ecosystem") == "npm", "NPM").when(F.col("ecosystem") == "PyPI", "pypi").when(k % 2 == 0, "RUST").otherwise("crates_io")
+    severity = F.when(k % 5 == 0, "CRITICAL").when(k % 5 == 1, "HIGH").when(k % 5 == 2, "MODERATE").when(k % 5 == 3, "LOW")
+    span = F.when(k % 7 == 0, "  ").otherwise(F.concat(F.lit(" >= 0.1, < "), "version", F.lit(" ")))
+    nodes = deps(spark, d).select(k.alias("ghsa_id"), severity.alias("severity"), ecosystem.alias("ecosystem"), "package_name", span.alias("range"))
+    return A.import_ghsa(nodes).select("ghsa_id", "ecosystem", "severity", F.array_join("vulnerable_versions", "|").alias("ranges"))
+
+
+_MEMBERS = """m AS (SELECT concat('u', c_custkey % 50) AS user_id, concat('o-', c_custkey % 50 % 4) AS org_id, CASE WHEN c_custkey % 50 % 7 = 0 THEN 'admin' WHEN c_custkey % 3 = 0 THEN 'manager' ELSE 'developer' END AS role,
+    concat('t-', c_nationkey % 6) AS team_id FROM customer)"""
+
+
+@query(
+    "fil25_visible_to_each",
+    f"""WITH {_MEMBERS} SELECT DISTINCT user_id, f.finding_id FROM m JOIN (SELECT f.*, p.team_id AS team FROM stored_findings f JOIN projects p USING (project_id)) f
+    ON f.org_id = m.org_id AND (m.role = 'admin' OR m.team_id = f.team) WHERE f.column_num = 1 AND f.severity = 'Critical'""",
+)
+def fil25_each(spark, d):
+    """The critical findings that each user sees: admins all of their organisation, others those of their teams' projects."""
+    k = F.col("c_custkey") % 50
+    role = F.when(k % 7 == 0, "admin").when(F.col("c_custkey") % 3 == 0, "manager").otherwise("developer")
+    rows = read(spark, d, "customer").select(F.concat(F.lit("u"), k).alias("user_id"), F.concat(F.lit("o-"), k % 4).alias("org_id"), role.alias("role"), F.concat(F.lit("t-"), F.col("c_nationkey") % 6).alias("team_id"))
+    members = rows.groupBy("user_id", "org_id").agg(F.max_by("role", L.role_level("role")).alias("role"), F.collect_set("team_id").alias("team_ids"))
+    found = stored_findings(spark, d).where("column_num = 1 and severity = 'Critical'").join(projects(spark, d).select("project_id", "team_id"), "project_id")
+    return L.visible_to_each(found, members).select("user_id", "finding_id")
 
 
 @query(

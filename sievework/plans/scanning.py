@@ -46,6 +46,48 @@ def fil2(spark, d):
     return L.predicate_captures(named, {"first": "Licensed"}, {"other": "^(token|Apache)$"}).select("doc_id", "line_no", "text")
 
 
+_MAIL = r"([A-Za-z0-9.]+)@([a-z0-9]+)[.]example[.]com"
+
+
+@query(
+    "fil2_group_captures",
+    rf"""WITH m AS (SELECT doc_id, line_no, unnest(regexp_extract_all(line, '{_MAIL}', 1)) AS a, unnest(regexp_extract_all(line, '{_MAIL}', 2)) AS b, generate_subscripts(regexp_extract_all(line, '{_MAIL}', 1), 1) - 1 AS match
+      FROM src_lines WHERE regexp_matches(line, '{_MAIL}'))
+    SELECT doc_id, line_no, CAST(match AS INT) AS match, name, text FROM (SELECT doc_id, line_no, match, unnest(['user', 'host']) AS name, unnest([a, b]) AS text FROM m WHERE regexp_matches(a, '[0-9]') AND regexp_matches(b, '^[a-m]'))""",
+)
+def fil2_groups(spark, d):
+    """Predicates on what a line rule's groups captured: addresses with a digit in the user and a host of the first letters."""
+    found = L.group_captures(src_lines(spark, d).select("doc_id", "line_no", "line"), _MAIL, ["user", "host"])
+    return L.matches_passing(found, ["doc_id", "line_no"], matches={"user": "[0-9]", "host": "^[a-m]"}).select("doc_id", "line_no", "match", "name", "text")
+
+
+#: What is planted into a line, and what only looks like it: rule, text that it must find, text that it must not.
+PLANTED = [
+    ("SEC001", 'token = "0123456789abcdef0123456789abcdef01234567"', 'token = "0123456789abcdef"'), ("PII001", "mail to a.b@site.example.com", "mail to a.b at site.example.org"),
+    ("PII002", "host 10.20.30.40", "version 10.20.30"), ("PII003", "card 1234567812345678", "card 1234 5678 1234 5678"), ("LIC001", "Licensed under X", "Licenced by X"),
+]
+
+
+@query(
+    "agg19_planted_cases",
+    f"""WITH c AS (SELECT r.rule_id, p.k = 0 AS expected, regexp_matches(concat(line, ' ', CASE p.k WHEN 0 THEN yes ELSE no END), pattern) AS matched
+      FROM (SELECT line FROM src_lines WHERE NOT regexp_matches(line, '[0-9@]|icensed under|eleased under')), (VALUES (0), (1)) p(k),
+      (VALUES {", ".join("('{}', '{}', '{}')".format(*x) for x in PLANTED)}) t(rule_id, yes, no) JOIN {RULES_SQL} ON r.rule_id = t.rule_id)
+    SELECT *, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 1.0 END AS precision, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 1.0 END AS recall, CASE WHEN fp + tn > 0 THEN fp / (fp + tn) ELSE 0.0 END AS fp_rate,
+      tp + fn >= 3 AND fp + tn >= 3 AS enough_cases FROM (SELECT rule_id, count(*) FILTER (WHERE expected AND matched) AS tp, count(*) FILTER (WHERE expected AND NOT matched) AS fn,
+      count(*) FILTER (WHERE NOT expected AND matched) AS fp, count(*) FILTER (WHERE NOT expected AND NOT matched) AS tn FROM c GROUP BY 1)""",
+)
+def agg19_planted(spark, d):
+    """Quality of the line rules on the clean lines of the documents, each with what a rule must find and what it must not."""
+    from ..operators.analytics import rule_quality
+
+    clean = src_lines(spark, d).where("not regexp(line, '[0-9@]|icensed under|eleased under')").select("line")
+    plant = F.array(*[F.struct(F.lit(r).alias("case_of"), F.lit(kind == 0).alias("expected"), F.lit(t).alias("t")) for r, *texts in PLANTED for kind, t in enumerate(texts)])
+    cases = clean.select("line", F.explode(plant).alias("p")).select("p.*", F.concat_ws(" ", "line", "p.t").alias("line"))
+    hits = F.array_compact(F.array(*[F.when((F.col("case_of") == r[0]) & F.col("line").rlike(r[4]), F.lit(r[0])) for r in LINE_RULES]))
+    return rule_quality(cases.select(F.col("case_of").alias("rule_id"), "expected", (F.size(hits) > 0).alias("matched")))
+
+
 _TREE_FOUND = """(VALUES (0, 'PY104', 4, 5, 'os.system(''ls '' + request.path)'), (1, 'PY101', 2, 12, 'eval(x)'), (3, 'PY113', 3, 7, 'hashlib.md5(a)'), (5, 'PY127', 2, 5, 'open(''/a/%s'' % name)'),
     (5, 'PY145', 3, 1, 'except:' || chr(10) || '    pass'), (7, 'PY122', 2, 5, 'db.execute(f''SELECT {k}'')'), (7, 'PY122', 3, 5, 'db.execute(f''DELETE {k}'')')) t(form, rule_id, line, column_num, snippet)"""
 

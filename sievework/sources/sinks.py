@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.domain import c, sanitized_tag, severity_rank
+from ..operators.ordering import snapshot_of
+from ..operators.snapshots import Change, Layout, Store
 
 #: SARIF levels of severities.
 SARIF_LEVELS = {"Critical": "error", "High": "error", "Medium": "warning", "Low": "note", "Info": "note"}
@@ -42,7 +44,7 @@ def sarif_rules(findings: DataFrame) -> DataFrame:
 
 def sarif_results(findings: DataFrame) -> DataFrame:
     """One SARIF result object per finding; ``sarif_log`` puts a bounded number of them into one document."""
-    joined = findings.join(F.broadcast(sarif_rules(findings)), "rule_id")
+    joined = findings.join(sarif_rules(findings), "rule_id")
     region = F.struct(F.col("line").alias("startLine"), F.col("column_num").alias("startColumn"))
     place = F.struct(
         F.struct(F.struct(F.col("file_path").alias("uri")).alias("artifactLocation"), region.alias("region")).alias("physicalLocation")
@@ -116,6 +118,31 @@ def baseline_name(at: Column | str, tag: Column | str | None = None) -> Column:
     return stamp if tag is None else F.concat(stamp, F.coalesce(F.concat(F.lit("_"), sanitized_tag(tag)), F.lit("")))
 
 
+#: Baselines by name: a name's rows lie in a few buckets, which reading one baseline is limited to.
+BASELINES = Layout(("name", "fingerprint"), groups=16, parts=4)
+
+
+def save_baseline(store: Store, findings: DataFrame, at: str, tag: str | None = None) -> str:
+    """Write findings (with fingerprint) as a baseline of a time, yyyy-MM-dd HH:mm:ss, and a tag; its name."""
+    stamp = F.lit(at).cast("timestamp_ntz")
+    (name,) = findings.sparkSession.range(1).select(baseline_name(stamp, None if tag is None else F.lit(tag))).first()
+    store.commit({"baselines": Change(findings.withColumns({"name": F.lit(name), "saved_at": stamp, "tag": F.lit(tag).cast("string")}))})
+    return name
+
+
+def find_baseline(store: Store, wanted: str) -> str | None:
+    """The name that a tag (the oldest of it) or the beginning of a time (the newest) means."""
+    names = store.read("baselines").select(F.substring("name", 1, 16).alias("snapshot_at"), "tag", F.col("name").alias("snapshot_id")).distinct()
+    return snapshot_of(names, wanted).first().snapshot_id
+
+
+def load_baseline(store: Store, wanted: str) -> DataFrame:
+    """The findings of the baseline that a tag or the beginning of a time means; none if there is none."""
+    name = find_baseline(store, wanted)
+    named = store.spark.createDataFrame([(name or "",)], "name string")
+    return store.read("baselines", buckets=store.layouts["baselines"].all_of(named)).where(F.col("name") == name).drop("name", "saved_at", "tag")
+
+
 def telemetry_payload(findings: DataFrame) -> DataFrame:
     """What is published: Medium and above, no synthetic paths, short snippets."""
     rows = findings.where((severity_rank("severity") >= 3) & ~F.startswith("file_path", F.lit("<")))
