@@ -129,6 +129,53 @@ def scan_enriched(spark, d):
     return found.select("file_path", "rule_id", "line", "severity", "service", "reachable", "rule_name")
 
 
+_DOC_PATH = "concat('services/svc', doc_id % 9, '/src/d', doc_id, '.py')"
+#: Severities that exposure makes: public ones are critical, internal ones one step lower.
+_SHIFT = "CASE WHEN doc_id % 9 < 3 THEN 'Critical' WHEN doc_id % 9 < 6 THEN CASE severity WHEN 'Critical' THEN 'High' WHEN 'High' THEN 'Medium' WHEN 'Medium' THEN 'Low' ELSE 'Info' END ELSE severity END"
+
+
+def _exposed_sql(ranks: str) -> str:
+    """The scan's order in SQL: match, exposure, dependencies with their own severity, filter, windows of one line."""
+    return f"""WITH f AS (SELECT doc_id, line_no, rule_id, {_SHIFT} AS severity FROM src_lines, {RULES_SQL} WHERE regexp_matches(line, pattern)),
+    w AS (SELECT doc_id, line_no, line, lag(line) OVER o AS before, lead(line) OVER o AS after FROM src_lines WINDOW o AS (PARTITION BY doc_id ORDER BY line_no)),
+    r AS (SELECT {_DOC_PATH.replace("doc_id", "f.doc_id")} AS file_path, rule_id, f.line_no AS line, severity, concat('svc', f.doc_id % 9) AS service,
+      array_to_string(list_transform(list_filter([w.before, w.line, w.after], lambda x: x IS NOT NULL), lambda x: left(x, 100)), chr(10)) AS snippet
+      FROM f JOIN w ON w.doc_id = f.doc_id AND w.line_no = f.line_no
+      UNION ALL SELECT DISTINCT concat('<PyPI/', replace(p_brand, '#', ''), '>'), 'sca/ADV', 0, 'Low', NULL, concat(replace(p_brand, '#', ''), '@', p_size % 3, '.', p_size, '.0 - Old') FROM part WHERE p_size % 3 < 2)
+    SELECT * FROM r WHERE severity IN ({ranks})"""
+
+
+def _exposed(spark, d, least):
+    from .scan import ScanOptions, scan
+
+    k = F.col("doc_id")
+    docs = read(spark, d, "documents").select(F.concat(F.lit("services/svc"), k % 9, F.lit("/src/d"), k, F.lit(".py")).alias("file_path"), "text")
+    part = read(spark, d, "part").withColumn("p_brand", F.replace("p_brand", F.lit("#"), F.lit("")))
+    used = part.select("p_brand", F.concat(F.col("p_size") % 3, F.lit("."), "p_size", F.lit(".0")).alias("v"), (F.col("p_partkey") % 16).alias("folder"))
+    lines = used.distinct().groupBy("folder").agg(F.array_join(F.array_sort(F.collect_set(F.concat("p_brand", F.lit("=="), "v"))), "\n").alias("text"))
+    manifests = lines.select(F.concat(F.lit("m"), "folder", F.lit("/requirements.txt")).alias("file_path"), "text")
+    advisories = part.select("p_brand").distinct().select(
+        F.lit("ADV").alias("advisory_id"), F.lit("PyPI").alias("ecosystem"), F.col("p_brand").alias("package_name"), F.array(F.lit("<2")).alias("vulnerable_versions"), F.lit("Low").alias("severity"), F.lit("Old").alias("summary")
+    )
+    i = F.col("id")
+    exposure = spark.range(6).select(F.concat(F.lit("svc"), i).alias("service"), (i < 3).alias("public"))
+    options = ScanOptions(min_severity=least, enrich=True, exposure=exposure, advisories=advisories, context=1)
+    found = scan(docs.unionByName(manifests), X.default_rules(spark).where("language is null"), options)
+    return found.select("file_path", "rule_id", "line", "severity", "service", "snippet")
+
+
+@query("scan_exposed_low", _exposed_sql("'Low', 'Medium', 'High', 'Critical'"))
+def scan_exposed_low(spark, d):
+    """A whole scan of documents and manifests: what exposure lowers below Low goes, and what it raises to Low stays."""
+    return _exposed(spark, d, "Low")
+
+
+@query("scan_exposed_high", _exposed_sql("'High', 'Critical'"))
+def scan_exposed_high(spark, d):
+    """The same from High on: a Medium finding of a public service is one."""
+    return _exposed(spark, d, "High")
+
+
 FILES = [
     "src/app.js", "src/app.min.js", "src/lib/util.ts", "lib/node_modules/x/index.js", "tests/test_a.py", "app/main.py", "app/main_test.py", "README.md",
     "cmd/server/main.go", "build/out.java", "src/Main.java", "a/b/c.rs", "x.rake", "docs/generated/api.py", "service.spec.ts", "noext", "web/index.php", "k.pyw",
