@@ -10,11 +10,12 @@ and a hash.
 
 Labelled findings (candidate, before, after, path, label) are a table that the caller may bring;
 ``sample_findings`` makes one from shapes, with secrets of common kinds and the usual false alarms
-(placeholders, checksums, identifiers, words, versions, links, addresses). Training is bounded by the table.
+(placeholders, checksums, identifiers, words, versions, links, addresses), forty of each and more. Training is
+bounded by the table.
 
-Row rules: null or empty text has no finding. A null path is an empty one. Texts and candidates may have any
+Row rules: null or empty text has no finding. A null path is an empty one; a null doc_id passes through. Texts and candidates may have any
 length and are scored whole. A candidate that two patterns find is reported once; candidates that lie inside
-others are reported too, in order of place. Repeated rows are scanned one by one. An empty table gives no
+others are reported too, in order of place, so there are no ties. Repeated rows are scanned one by one. An empty table gives no
 findings. Extra columns pass through; those that have the names of the outputs are replaced, as by withColumn.
 """
 
@@ -47,7 +48,7 @@ NAMED = re.compile(
 _DIGIT, _LETTER = re.compile("[0-9]"), re.compile("[A-Za-z]")
 LONG, SHORT = 16, 6
 NEAR = 40
-TREES, DEPTH, SEED = 60, 8, 11
+TREES, DEPTH, SEED = 80, 14, 11
 THRESHOLD = 0.5
 
 #: Buckets of the hashed words before a candidate, around it, and of its path.
@@ -148,41 +149,120 @@ def candidates(text: str) -> list[tuple[int, int]]:
 
 
 def shapes(r: random.Random) -> tuple[list, list]:
-    """(makers of secrets, (maker, what stands before) of false alarms); None before stands for any name."""
+    """(makers of secrets, (maker, what stands before) of false alarms), by public formats of credentials and of what looks
+    like them; None before stands for any name."""
     lower, digit = "abcdefghijklmnopqrstuvwxyz", "0123456789"
-    hexa, word = digit + "abcdef", lower + lower.upper() + digit
+    upper, hexa = lower.upper(), digit + "abcdef"
+    word = lower + upper + digit
+    base64, url = word + "+/", word + "-_"
     pick = lambda chars, k: "".join(r.choice(chars) for _ in range(k))
     part = lambda k=2: "".join(r.choice(SYLLABLES) for _ in range(k))
+    some = lambda *x: r.choice(x)
     secret = [
-        lambda: pick(hexa, r.choice([32, 40, 64])),
+        # random strings by alphabet
+        lambda: pick(hexa, some(32, 40, 64)),
+        lambda: pick(hexa.upper(), some(32, 40, 64)),
         lambda: pick(word, r.randint(20, 64)),
-        lambda: pick(word + "+/", r.choice([40, 44, 64])) + "=" * r.randint(0, 2),
-        lambda: pick(lower[:6], 2) + "_" + pick(word, r.randint(24, 40)),
-        lambda: pick(word + "-_", r.randint(20, 48)),
+        lambda: pick(lower + digit, r.randint(20, 50)),
+        lambda: pick(upper + digit, r.randint(20, 40)),
+        lambda: pick(base64, some(40, 44, 64)) + "=" * r.randint(0, 2),
+        lambda: pick(base64, 86) + "==",
+        lambda: pick(url, r.randint(20, 48)),
+        lambda: pick(word + "!@#%^*", r.randint(12, 30)),
+        # keys of services: a prefix and random characters
+        lambda: some("AKIA", "ASIA") + pick(upper + "234567", 16),
+        lambda: some("ghp_", "gho_", "ghs_") + pick(word, 36),
+        lambda: "github_pat_" + pick(word, 22) + "_" + pick(word, 59),
+        lambda: "glpat-" + pick(url, 20),
+        lambda: some("xoxb-", "xoxp-") + pick(digit, 12) + "-" + pick(digit, 12) + "-" + pick(word, 24),
+        lambda: some("sk_live_", "rk_live_", "sk_test_") + pick(word, 24),
+        lambda: "AIza" + pick(url, 35),
+        lambda: "SK" + pick(hexa, 32),
+        lambda: "SG." + pick(url, 22) + "." + pick(url, 43),
+        lambda: "npm_" + pick(word, 36),
+        lambda: "pypi-" + pick(url, 70),
+        lambda: "dop_v1_" + pick(hexa, 64),
+        lambda: some("shpat_", "shpss_") + pick(hexa, 32),
+        lambda: "key-" + pick(hexa, 32),
+        lambda: "dapi" + pick(hexa, 32),
+        lambda: "hf_" + pick(word, 34),
+        lambda: "sq0csp-" + pick(url, 43),
+        lambda: pick(digit, 10) + ":" + pick(url, 35),
+        lambda: pick(word, 24) + "." + pick(word, 6) + "." + pick(url, 27),
+        lambda: "eyJ" + pick(word, 17) + ".eyJ" + pick(url, 57) + "." + pick(url, 43),
+        lambda: "EAA" + pick(word, 60),
+        lambda: "ya29." + pick(url, 60),
+        lambda: "-".join(pick(hexa, k) for k in (8, 4, 4, 4, 12)),
+        lambda: some("v1.", "s.", "hvs.") + pick(word, r.randint(24, 40)),
+        # what people choose
         lambda: part(3).title() + pick(digit, 3) + pick("!@#$%", 2),
         lambda: part(2) + pick(digit, 2) + part(1),
-        lambda: ".".join(pick(word + "-_", k) for k in (20, 60, 30)),
+        lambda: part(2).title() + pick(digit, 4),
+        lambda: part(1).title() + some("!", "_", "#") + part(2) + pick(digit, 2),
+        lambda: "-".join(part(2) for _ in range(4)) + pick(digit, 2),
+        lambda: pick(lower, r.randint(8, 14)) + pick(digit, 2),
+        # inside addresses and headers
+        lambda: f"{part()}:{pick(word, 16)}",
+        lambda: some("postgres", "mysql", "redis") + f"://{part()}:{pick(word, 14)}@{part()}.example.com:{pick(digit, 4)}",
+        lambda: "Basic " + pick(base64, 28) + "=",
     ]
     alarm = [
-        (lambda: r.choice(["changeme", "your-token-here", "xxxxxxxxxxxxxxxx", "<password>", "example_key_123456", "0123456789abcdef", "test_secret_value_1", "${API_TOKEN_2}"]), None),
-        (lambda: pick(hexa, r.choice([32, 40, 64])), ["commit ", "sha256: ", 'checksum = "', "md5 ", "digest: ", "hash of ", 'etag="', "revision "]),
-        (lambda: "-".join(pick(hexa, k) for k in (8, 4, 4, 4, 12)), ["uuid: ", 'id = "', "request id ", "trace=", 'session_id: "']),
+        # placeholders and references stand where a secret would
+        (lambda: some("changeme", "your-token-here", "xxxxxxxxxxxxxxxx", "<password>", "example_key_123456", "0123456789abcdef", "test_secret_value_1"), None),
+        (lambda: some("${", "{{ ") + "_".join(part().upper() for _ in range(2)) + some("}", " }}"), None),
+        (lambda: some("os.environ", "process.env", "env") + "." + "_".join(part().upper() for _ in range(r.randint(2, 3))), None),
+        (lambda: some("x", "*", "0", "-") * r.randint(8, 32), None),
         (lambda: "_".join(part() for _ in range(r.randint(2, 5))) + pick(digit, 2), None),
+        (lambda: part(1) + "".join(part().title() for _ in range(r.randint(2, 4))) + pick(digit, 1), None),
+        (lambda: ".".join(part() for _ in range(r.randint(2, 4))) + "()", None),
+        # digests and identifiers, named as such
+        (lambda: pick(hexa, some(32, 40, 64)), ["commit ", "revision ", 'commit: "', "merge of ", "head at "]),
+        (lambda: pick(hexa, some(32, 40, 64)), ["sha256: ", 'checksum = "', "md5 ", "digest: ", "sha1="]),
+        (lambda: pick(hexa, some(32, 40, 64)), ["hash of ", 'etag="', 'hash: "', "fingerprint ", 'fingerprint: "']),
+        (lambda: "sha512-" + pick(base64, 86) + "==", ['integrity: "', "integrity ", '"integrity": "']),
+        (lambda: "sha256:" + pick(hexa, 64), ["image: ", 'digest = "', "pulled "]),
+        (lambda: "-".join(pick(hexa, k) for k in (8, 4, 4, 4, 12)), ["uuid: ", 'id = "', "request id ", "trace=", 'session_id: "', 'guid: "']),
+        (lambda: pick(hexa, 24), ['_id: "', "object id ", 'id: "', "node "]),
+        (lambda: pick(hexa, 16) + some("", "-" + pick(hexa, 16)), ["trace ", 'span_id = "', "trace_id=", 'request: "']),
+        (lambda: pick(upper + digit, 8) + "-" + pick(digit, 6), ['order: "', "invoice ", 'ticket = "', "number "]),
+        (lambda: "-".join(pick(upper + digit, 5) for _ in range(4)), ['serial: "', "product ", 'model = "', "serial number "]),
+        (lambda: pick(digit, some(16, 18, 20)) + pick(lower, 1), ["account ", 'number = "', "row ", 'line: "']),
+        (lambda: ":".join(pick(hexa, 2) for _ in range(some(6, 16, 20))), ["mac ", 'fingerprint: "', "address "]),
+        # versions, places, times
         (lambda: "v" + ".".join(str(r.randint(0, 40)) for _ in range(3)) + "-" + part(3), ['version = "', "version ", 'release: "']),
+        (lambda: part() + "-" + ".".join(str(r.randint(0, 40)) for _ in range(3)) + "-py3-none-any.whl", ["wheel ", 'file = "', "download "]),
         (lambda: "/".join(part() for _ in range(r.randint(2, 5))) + "." + pick(lower, 3), ["https://", 'file: "', 'url = "', "path="]),
+        (lambda: "https://" + part() + ".example.com/" + part() + "/" + pick(digit, 6), ['url = "', "see ", 'link: "', 'href="']),
+        (lambda: "s3://" + part() + "-" + part() + "/" + part() + "/" + pick(digit, 8), ['bucket: "', "copied ", 'path = "']),
+        (lambda: "arn:aws:iam::" + pick(digit, 12) + ":role/" + part(), ['role = "', "arn ", 'resource: "']),
+        (lambda: f"{pick(digit, 4)}-{pick(digit, 2)}-{pick(digit, 2)}T{pick(digit, 6)}Z", ["at ", 'date = "', "time: "]),
+        (lambda: f"{pick(digit, 4)}-{pick(digit, 2)}-{pick(digit, 2)}-{part()}-{part()}", ["branch ", 'file: "', 'title = "']),
+        (lambda: ".".join(str(r.randint(1, 254)) for _ in range(4)) + ":" + pick(digit, 4), ["host ", 'address: "', 'server = "']),
+        # words and text
         (lambda: " ".join(part(r.randint(1, 3)) for _ in range(r.randint(2, 5))), ['name = "', 'title: "', 'message = "', 'note="']),
+        (lambda: " ".join(part(r.randint(1, 3)) for _ in range(r.randint(3, 7))) + ".", ['text: "', 'description = "', 'label: "', 'error = "']),
         (lambda: f"{part()}.{pick(digit, 2)}@{part()}{pick(digit, 1)}.example.com", ["mail ", 'contact: "', ""]),
         (lambda: part() + "=" + pick(digit, r.randint(4, 12)) + "." + part(), ["", "? ", 'query = "']),
-        (lambda: f"{pick(digit, 4)}-{pick(digit, 2)}-{pick(digit, 2)}T{pick(digit, 6)}Z", ["at ", 'date = "', "time: "]),
+        (lambda: part() + "-" + part() + "-" + part() + "-" + pick(digit, 2), ['class="', 'class: "', "style "]),
+        (lambda: "data:image/png;base64,iVBORw0KGgo" + pick(base64, 60), ['src="', 'icon: "', 'image = "']),
+        (lambda: "SELECT " + part() + " FROM " + part() + " WHERE id=" + pick(digit, 4), ['query = "', 'sql: "', "run "]),
+        (lambda: part().title() + "-" + part().title() + "/" + ".".join(pick(digit, 1) for _ in range(3)), ['agent: "', 'user_agent = "', "client "]),
+        (lambda: part() + "_" + part() + "_" + pick(digit, 8) + ".log", ["wrote ", 'log: "', 'output = "']),
+        (lambda: "+" + pick(digit, 2) + " " + pick(digit, 3) + " " + pick(digit, 7), ['phone: "', "call ", 'fax = "']),
+        (lambda: "ISBN" + pick(digit, 13) + pick("X", 1), ['isbn = "', "book ", 'code: "']),
+        (lambda: "#" + ",#".join(pick(hexa, 6) for _ in range(3)), ['color: "', 'palette = "', "colors "]),
     ]
     return secret, alarm
 
 
-SYLLABLES = ["th", "an", "er", "on", "re", "en", "st", "con", "ment", "ver", "ing", "la", "do", "que", "sch", "ion"]
+SYLLABLES = ["th", "an", "er", "on", "re", "en", "st", "con", "ment", "ver", "ing", "la", "do", "que", "sch", "ion", "ta", "pro", "light", "cket", "ser", "data", "ho", "us", "mar", "net"]
+
 
+def sample_findings(n: int = 6000, seed: int = SEED, use: Callable[[int], bool] = lambda k: True) -> list[tuple[str, str, str, str, int]]:
+    """Labelled findings (candidate, before, after, path, label) of the shapes whose number ``use`` takes, half of them secrets.
 
-def sample_findings(n: int = 3000, seed: int = SEED, use: Callable[[int], bool] = lambda k: True) -> list[tuple[str, str, str, str, int]]:
-    """Labelled findings (candidate, before, after, path, label) of the shapes whose number ``use`` takes, half of them secrets."""
+    Shapes of both kinds are numbered from 0.
+    """
     r = random.Random(seed)
     prose = lambda k: " ".join("".join(r.choice(SYLLABLES) for _ in range(r.randint(1, 3))) for _ in range(k))
     secret, alarm = (list(x for k, x in enumerate(made) if use(k)) for made in shapes(r))
