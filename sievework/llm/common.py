@@ -69,9 +69,12 @@ def others(columns: list[str], *outs: str) -> list[str]:
 
 
 def hot_keys(df: DataFrame, key: str) -> DataFrame:
-    """(key) values that hold more than one in HOT rows each, hence fewer than HOT of them: safe to broadcast."""
-    n = df.count()
-    return df.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") * HOT > n).select(key)
+    """(key) values that hold more rows than one in HOT, or than a task's mean where there are more tasks than HOT.
+
+    There are fewer of them than tasks or HOT, so they are safe to broadcast.
+    """
+    n, parts = df.count(), max(HOT, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return df.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") * parts > n).select(key)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

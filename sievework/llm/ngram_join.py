@@ -41,6 +41,7 @@ from .words import slices, tidy
 SHINGLE = 4
 PERCENT = 85
 BLOCK = 1024
+#: Groups that a frequent key is spread over at least; more where the session shuffles into more partitions.
 SALTS = 32
 #: Rows sampled to find frequent keys, and the count in the sample from which a key is salted.
 SAMPLE_ROWS = 40_000
@@ -238,6 +239,10 @@ def frequent_keys(sets: DataFrame) -> list[int]:
     return sorted(r.key for r in got.collect())
 
 
+def spread(df: DataFrame) -> int:
+    return max(SALTS, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def key_table(sets: DataFrame, hot: list[int]) -> DataFrame:
     """(key, doc, base): index keys; a frequent one is salted by its set and names what it was as base.
 
@@ -247,7 +252,7 @@ def key_table(sets: DataFrame, hot: list[int]) -> DataFrame:
     if not hot:
         return rows.select("key", "doc", F.lit(None).cast("long").alias("base"))
     names = sets.sparkSession.createDataFrame([(k,) for k in hot], "base long")
-    salted = F.xxhash64("base", F.pmod("c1", F.lit(SALTS))).bitwiseOR(F.lit(1))
+    salted = F.xxhash64("base", F.pmod("c1", F.lit(spread(sets)))).bitwiseOR(F.lit(1))
     return rows.join(F.broadcast(names), rows.key == names.base, "left").select(
         F.when(F.col("base").isNull(), F.col("key")).otherwise(salted).alias("key"), "doc", "base"
     )
@@ -306,7 +311,7 @@ def verify(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFr
     ids = materialize(ids, "join-ids")
     sets = hash_sets(docs, ids, size)
     many = F.broadcast(hot_keys(pairs, "a").select(F.col("a").alias("many")))
-    salt = F.when(F.col("many").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("b"), F.lit(8 * SALTS))).cast("int")
+    salt = F.when(F.col("many").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("b"), F.lit(8 * spread(pairs)))).cast("int")
     salted = pairs.join(many, pairs.a == F.col("many"), "left").select("a", salt.alias("salt"), "b")
     heads = salted.select("a", "salt").distinct().join(sets, F.col("a") == F.col("doc")).select("a", "salt", F.lit(None).cast("long").alias("b"), "tokens")
     tails = salted.join(sets, F.col("b") == F.col("doc")).select("a", "salt", "b", "tokens")

@@ -5,9 +5,8 @@ between.
 Per-coordinate learning rates suit rare features, and the L1 term leaves most weights at exactly zero, so
 the model is a short list of (hash, weight) that is broadcast; its size is bounded by 2**bits.
 
-Learning takes a bounded sample of labelled rows (``max_rows``, the documented limit of this classifier):
-the ids with the smallest hashes, of each one row, and of that at most MAX_FEATURES features, those with the
-smallest hashes. Features are hashed where the texts are, one task learns from them, and the driver receives
+Learning takes a bounded sample of labelled rows, the documented limit of this classifier: the ids with the
+smallest hashes, of each one row, ``max_rows`` of them or as many as have MAX_BYTES of features together. Features are hashed where the texts are, one task learns from them, and the driver receives
 the weights. A feature of fewer than MIN_DOCUMENTS sampled documents takes no part. Scoring takes whole texts
 and all their features.
 
@@ -26,17 +25,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import free_name, others, small_batches
+from .common import free_name, materialize, others, small_batches
 from .words import slices, tidy, words
 
 BITS = 20
 MAX_ROWS = 12_000
-#: Features of a document that is learned from, at most: with MAX_ROWS, the bound on what the learning task holds.
-MAX_FEATURES = 8192
+#: Bytes of features (four each) that the learning task holds at most; a document's features are never cut.
+MAX_BYTES = 384 << 20
 MIN_DOCUMENTS = 3
 EPOCHS = 4
 THRESHOLD = 0.7
@@ -138,8 +137,8 @@ def train(
     return kept.astype(np.uint32), every[kept], float(every[bias])
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str, bits: int, max_rows: int) -> DataFrame:
-    """(id, y, x): labels and feature hashes of the max_rows labelled documents with the smallest id hashes."""
+def training_rows(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str, bits: int, max_rows: int, max_bytes: int = MAX_BYTES) -> DataFrame:
+    """(id, y, x): labels and feature hashes of the max_rows labelled documents with the smallest id hashes, or as many of them as max_bytes hold."""
     known = (
         labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull())
         .groupBy(F.col(doc_id).alias("__sw_id"))
@@ -152,12 +151,17 @@ def training_rows(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, la
     @tidy(forget)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 1):
-            x = [features(t, bits)[:MAX_FEATURES].tobytes() for t in b.column(1).to_pylist()]
+            x = [features(t, bits).tobytes() for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(x, pa.binary())], names=["id", "y", "x"])
 
     kind = known.schema["__sw_id"].dataType.simpleString()
     rows = df.select("__sw_id", "__sw_text", "__sw_y").mapInArrow(run, f"id {kind}, y int, x binary")
-    return rows.groupBy("id").agg(F.min(F.struct("x", "y")).alias("one")).select("id", "one.y", "one.x")
+    rows = rows.groupBy("id").agg(F.min(F.struct("x", "y")).alias("one")).select("id", "one.y", "one.x")
+    rows = materialize(rows, "toxicity-rows")
+    # one row a document of a bounded number, without its features
+    upto = Window.orderBy(F.xxhash64("id"), "id").rowsBetween(Window.unboundedPreceding, 0)
+    held = rows.select("id", F.octet_length("x").cast("long").alias("size")).withColumn("held", F.sum("size").over(upto))
+    return rows.join(F.broadcast(held.where(F.col("held") <= max_bytes).select("id")), "id", "left_semi")
 
 
 def train_rows(rows: DataFrame, bits: int, options: dict) -> tuple[np.ndarray, np.ndarray, float]:
