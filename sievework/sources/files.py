@@ -130,7 +130,7 @@ def default_rules(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, RULE)
 
 
-#: Technologies: (kind, name, file name pattern, text it must hold or null).
+#: Technologies as (kind, name, file name pattern, text it must hold or null).
 TECHNOLOGIES = [
     ("language", "JavaScript", r"(^|/)package\.json$", None),
     ("language", "TypeScript", r"(^|/)package\.json$", '"(typescript|ts-node)"'),
