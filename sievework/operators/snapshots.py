@@ -34,7 +34,10 @@ class Change:
 
 @dataclass(frozen=True)
 class Layout:
-    """Where the rows of a table lie: ``groups`` buckets by the first key times ``parts`` by the others."""
+    """Where the rows of a table lie: ``groups`` buckets by the first key times ``parts`` by the others.
+
+    A task writes a bucket, so their number follows the size of the table, and parts that of the largest first key.
+    """
 
     keys: tuple[str, ...]
     groups: int = 8
