@@ -34,7 +34,7 @@ def python_functions(files: DataFrame) -> DataFrame:
             for path, text in zip(b["file_path"], b["text"]):
                 try:
                     tree = ast.parse(text or "")
-                except (SyntaxError, ValueError, RecursionError):
+                except (SyntaxError, ValueError, RecursionError, MemoryError):  # the last: nested too deeply for the parser
                     continue
                 for node in ast.walk(tree):
                     if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef)):
