@@ -35,7 +35,7 @@ from .words import slices, tidy, words
 BITS = 20
 MAX_ROWS = 12_000
 #: Bytes of features (four each) that the learning task holds at most; a document's features are never cut.
-MAX_BYTES = 384 << 20
+MAX_BYTES = 256 << 20
 MIN_DOCUMENTS = 3
 EPOCHS = 4
 THRESHOLD = 0.7
