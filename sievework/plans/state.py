@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import domain as D
 from ..operators import cache as C
 from ..operators import snapshots as S
 from ..registry import query
@@ -13,7 +12,7 @@ from ..sources import files as X
 from ..streaming import ingest as I
 from . import history as H
 from .scanning import RULES_SQL
-from .standins import PAYLOADS, projects, read, stored_findings, upserts
+from .standins import FP, NUM, PAYLOADS, projects, read, stored_findings, upserts
 from .standins import STATE as _STATE
 
 COLUMNS = ["finding_id", "project_id", "fingerprint", "line", "severity", "triage_state"]
@@ -143,7 +142,7 @@ def snk10_life(spark, d):
 
 
 LIMIT = 12
-_PAYLOAD_SQL = f"""f AS (SELECT *, {H.NUM} AS num FROM stored_findings),
+_PAYLOAD_SQL = f"""f AS (SELECT *, {NUM} AS num FROM stored_findings),
   per AS (SELECT scan_id, project_id, org_id, num, min(created_at) AS made, count(*) AS n, bool_or(severity = 'Info') AS bad FROM f GROUP BY ALL),
   p AS (SELECT *, num AS seq, CASE WHEN num % 13 = 0 THEN NULL ELSE 'c' END AS sha, num % 3 AS batch FROM per
     UNION ALL SELECT *, num + 1000000000, 'c', 2 FROM per WHERE num % 10 = 0),
@@ -213,7 +212,7 @@ def stm5_usage(spark, d):
 
 @query(
     "stm5_ingest_findings",
-    f"""WITH {_PAYLOAD_SQL}, rows_ AS (SELECT f.*, {H._FP} AS fingerprint, batch, seq FROM stored_findings f JOIN taken USING (scan_id)),
+    f"""WITH {_PAYLOAD_SQL}, rows_ AS (SELECT f.*, {FP} AS fingerprint, batch, seq FROM stored_findings f JOIN taken USING (scan_id)),
     best AS (SELECT * FROM rows_ QUALIFY row_number() OVER (PARTITION BY project_id, fingerprint ORDER BY batch DESC, seq DESC, finding_id DESC) = 1),
     firsts_ AS (SELECT project_id, fingerprint, arg_min(finding_id, (batch, seq, finding_id)) AS first_id FROM rows_ GROUP BY ALL),
     seen AS (SELECT project_id, max(batch) AS last_batch FROM rows_ GROUP BY 1)
