@@ -177,6 +177,8 @@ def train_rows(rows: DataFrame, bits: int, options: dict) -> tuple[np.ndarray, n
         yield pa.RecordBatch.from_pydict({"h": [hashes.tobytes()], "w": [weights.tobytes()], "b": [bias]})
 
     (row,) = rows.repartition(1).mapInArrow(run, "h binary, w binary, b double").collect() or [None]
+    if row is None:  # no rows, and so no task
+        return train([], bits, **options)
     return np.frombuffer(row.h, np.uint32), np.frombuffer(row.w), row.b
 
 
