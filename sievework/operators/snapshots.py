@@ -21,6 +21,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..scratch import checkpointed, free_shuffles
+
 BUCKET = "__sw_bucket"
 
 
@@ -118,7 +120,8 @@ class Store:
         for name, change in changes.items():
             layout, folder = self.layouts[name], f"data/{name}/{commit}"
             placed = change.rows.withColumn(BUCKET, layout.bucket())
-            placed.repartition(BUCKET).write.partitionBy(BUCKET).parquet(f"{self.path}/{folder}")
+            # fingerprints are half as long in zstd
+            placed.repartition(BUCKET).write.partitionBy(BUCKET).option("compression", "zstd").parquet(f"{self.path}/{folder}")
             new = [[int(n.split("=")[1]), f"{folder}/{n}"] for n in self._names(folder) if n.startswith(f"{BUCKET}=")]
             gone = set(change.replace or ())
             if change.replace is not None and (stray := sorted({b for b, _ in new} - gone)):
@@ -127,6 +130,7 @@ class Store:
             tables[name] = {"schema": change.rows.schema.jsonValue(), "folders": sorted([x for x in held if x[0] not in gone] + new)}
         version = before["version"] + 1
         self._publish(version, {"version": version, "marks": {**before["marks"], **(marks or {})}, "tables": tables})
+        free_shuffles(self.spark)
         return version
 
     def _publish(self, version: int, manifest: dict) -> None:
@@ -169,11 +173,12 @@ def upsert_findings(store: Store, incoming: DataFrame, now: Column, table: str =
     """The change that a scan's findings make: buckets of the scanned projects are written anew, others keep their files."""
     from .mutations import upsert_scan
 
-    touched = store.layouts[table].all_of(incoming)
+    scanned = checkpointed(incoming.select("project_id").distinct(), "scanned")
+    touched = store.layouts[table].all_of(scanned)
     stored = store.read(table, buckets=touched) if store.has(table) else None
     if stored is None:
         raise ValueError("create the table with a commit of all rows first")
-    return Change(upsert_scan(stored, incoming, now).select(*stored.columns), touched)
+    return Change(upsert_scan(stored, incoming, now, scanned).select(*stored.columns), touched)
 
 
 def triage_findings(store: Store, updates: DataFrame, now: Column, table: str = "findings") -> Change:

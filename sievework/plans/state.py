@@ -48,6 +48,7 @@ def mut4_store(spark, d):
     store = new_store(spark, d)
     updates = store.read("findings").where("line = 3").select("project_id", "fingerprint", F.lit("Ignored").alias("new_state"))
     store.commit({"findings": S.triage_findings(store, updates, H.now())})
+    store.vacuum(1)
     gone = projects(spark, d).where("project_id in ('p-1', 'p-2')")
     store.commit({"findings": S.purge_projects(store, gone)})
     store.vacuum(1)
@@ -236,6 +237,9 @@ def _metrics(spark, d):
     for payload in PAYLOADS:
         store.commit({"findings": S.upsert_findings(store, H._payload(spark, d, payload), H.now())})
         R.refresh(store, metrics)
+        # the metrics have taken the difference, and nothing reads older versions
+        store.vacuum(1)
+        metrics.vacuum(1)
     _FILLED[known] = metrics
     return metrics
 

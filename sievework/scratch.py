@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
@@ -64,6 +65,12 @@ def discard(*tables: DataFrame) -> None:
         _files(spark, df._sw_path).delete(_path(spark, df._sw_path), True)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Let go of the shuffle files of jobs that are done, which Spark deletes only when the driver collects its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def _path(spark: SparkSession, path: str):
     return spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
 
