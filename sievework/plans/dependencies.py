@@ -181,9 +181,13 @@ def _many_ranges(spark, d):
       UNION ALL SELECT v.package_name, version, advisory_id FROM v JOIN a ON a.package_name = v.package_name WHERE n IS NULL) GROUP BY 1, 2""",
 )
 def joi4_many(spark, d):
+    """Advisories of one package and list of ranges hit the same versions, so they are summed up before they are matched."""
     deps, advisories = _many_ranges(spark, d)
-    found = A.match(deps, advisories)
-    return found.groupBy("package_name", "version").agg(F.count("*").alias("hits"), F.min("advisory_id").alias("first_id"), F.max("advisory_id").alias("last_id"))
+    lists = advisories.groupBy("ecosystem", "package_name", "vulnerable_versions").agg(
+        F.count_distinct("advisory_id").alias("n"), F.min("advisory_id").alias("lowest"), F.max("advisory_id").alias("highest")
+    )
+    found = A.match(deps, lists)
+    return found.groupBy("package_name", "version").agg(F.sum("n").alias("hits"), F.min("lowest").alias("first_id"), F.max("highest").alias("last_id"))
 
 
 @query("str4_parse_version", f"SELECT dep_id, v[1] AS major, v[2] AS minor, v[3] AS patch FROM (SELECT dep_id, {_V} AS v FROM deps)")
