@@ -26,8 +26,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
-from .common import connected_components, materialize, small_batches
+from .common import connected_components, free_shuffles, materialize, small_batches
 from .words import tidy
 
 COSINE = 0.93
@@ -36,6 +37,7 @@ BITS = 48
 WINDOW = 64
 TILE = 512
 RECALL = 0.99
+BLOCK, BLOCK_ROWS = 16, 4_000_000
 CELL = 8192
 SAMPLE = 2048
 SEED = 20_240_501
@@ -50,7 +52,8 @@ def clean(vectors: DataFrame, vec_id: str, embedding: str, label: str) -> DataFr
     rows = vectors.select(
         F.col(vec_id).cast("long").alias("vec_id"),
         F.col(label).cast("string").alias("label"),
-        F.col(embedding).cast("array<double>").alias("e"),
+        # floats stay floats, half as long, until they are compared
+        F.col(embedding).cast("array<float>" if vectors.schema[embedding].dataType == ArrayType(FloatType()) else "array<double>").alias("e"),
     ).where("vec_id is not null and label is not null and e is not null and size(e) > 0")
     broken = F.exists("e", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     rows = rows.where(~broken & F.exists("e", lambda x: x != 0))
@@ -65,7 +68,7 @@ def clean(vectors: DataFrame, vec_id: str, embedding: str, label: str) -> DataFr
 
 
 def matrix(column: pa.Array, dim: int) -> np.ndarray:
-    return np.asarray(column.flatten()).reshape(-1, dim)
+    return np.asarray(column.flatten(), np.float64).reshape(-1, dim)
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -111,7 +114,7 @@ def plan(reps: DataFrame, passes: int, bits: int, window: int, cosine: float, ex
 
     def run(pdf):
         n = int(pdf["n"].iloc[0])
-        k = max(passes, needed_passes(np.stack(pdf["e"].to_list()), n, bits, window, cosine, recall))
+        k = max(passes, needed_passes(np.stack(pdf["e"].to_list()).astype(np.float64), n, bits, window, cosine, recall))
         return pdf[["label", "dim"]].head(1).assign(needed=0 if n <= pairs * k else k)
 
     rows = reps.join(large, ["label", "dim"]).where(few).select("label", "dim", "n", "e")
@@ -183,8 +186,13 @@ def whole_links(rows: DataFrame, cosine: float, cell: int) -> DataFrame:
 KEYED = "pass int, label string, dim int, key long, rep long, e array<double>"
 
 
-def keyed(reps: DataFrame, bits: int) -> DataFrame:
-    """(pass, label, dim, key, rep, e): each vector once per pass of its label with its sort key."""
+def keyed_type(rows: DataFrame) -> str:
+    """KEYED with the vectors of rows."""
+    return KEYED.replace("array<double>", rows.schema["e"].dataType.simpleString())
+
+
+def keyed(reps: DataFrame, bits: int, first: int = 0, last: int | None = None) -> DataFrame:
+    """(pass, label, dim, key, rep, e): each vector once per pass of its label, of those from first to before last, with its sort key."""
 
     @tidy()
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,7 +201,7 @@ def keyed(reps: DataFrame, bits: int) -> DataFrame:
             for d, most in sorted({*zip(dims.tolist(), passes.tolist())}):
                 part = b.filter(pa.array((dims == d) & (passes == most)))
                 x = matrix(part.column(3), d)
-                for p in range(most):
+                for p in range(first, most if last is None else min(most, last)):
                     sign = x @ projections(int(d), p, bits) > 0
                     key = sign @ (1 << np.arange(bits - 1, -1, -1, dtype=np.int64))
                     yield pa.RecordBatch.from_arrays(
@@ -201,7 +209,7 @@ def keyed(reps: DataFrame, bits: int) -> DataFrame:
                         names=["pass", "label", "dim", "key", "rep", "e"],
                     )
 
-    return reps.select("label", "dim", "rep", "e", "passes").mapInArrow(run, KEYED)
+    return reps.select("label", "dim", "rep", "e", "passes").mapInArrow(run, keyed_type(reps))
 
 
 class Forest:
@@ -225,8 +233,9 @@ class Forest:
 def window_links(sorted_rows: DataFrame, window: int, cosine: float) -> DataFrame:
     """(a, b, and KEYED): a spanning forest of the links that each partition's windows verify, with null
     columns of KEYED; and each partition's first and last rows, up to window, with null a and b."""
-    schema = f"a long, b long, {KEYED}"
-    types = [pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.float64())]
+    schema = f"a long, b long, {keyed_type(sorted_rows)}"
+    number = pa.float32() if "float" in sorted_rows.schema["e"].dataType.simpleString() else pa.float64()
+    types = [pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.list_(number)]
     names_ = ["a", "b", *(c.split()[0] for c in KEYED.split(", "))]
 
     def edge(b: pa.RecordBatch) -> pa.RecordBatch:
@@ -376,8 +385,15 @@ def near_duplicates(
     planned = materialize(plan(reps, passes, bits, window, cosine, exact, pairs, recall), "emb-plan")
     rows = materialize(reps.join(planned, ["label", "dim"]).select("label", "dim", "rep", "e", "passes"), "emb-planned")
     order = ["pass", "label", "dim", "key", "rep"]
-    ordered = keyed(rows.where("passes > 0"), bits).repartitionByRange(*order).sortWithinPartitions(*order)
-    links = all_window_links(ordered, window, cosine)
+    # passes go block by block, so that what lies on disks at once follows the vectors and not their passes
+    block, most, links = max(BLOCK, BLOCK_ROWS // max(1, reps.count())), planned.agg(F.max("passes")).first()[0] or 0, None
+    for lo in range(0, max(1, most), block):
+        some = rows.where(F.col("passes") > lo)
+        ordered = keyed(some, bits, lo, lo + block).repartitionByRange(*order).sortWithinPartitions(*order)
+        found = materialize(all_window_links(ordered, window, cosine).distinct(), "emb-block")
+        links = found if links is None else links.union(found)
+        del ordered
+        free_shuffles(rows.sparkSession)
     if exact or pairs:
         links = links.union(whole_links(rows.where("passes = 0").drop("passes"), cosine, CELL))
     links = materialize(links.distinct(), "emb-links")
