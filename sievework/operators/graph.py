@@ -81,13 +81,15 @@ def word_functions(language: str, text: str) -> list[tuple[str, str, int]]:
 
 def source_functions(files: DataFrame) -> DataFrame:
     """(file_path, kind, name, line) of (file_path, language, text): Python by its tree, the other languages by their words."""
+    from ..sources.files import spread
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = [(path, *r) for path, language, text in zip(b["file_path"], b["language"], b["text"]) for r in word_functions(language, text or "")]
             yield pd.DataFrame(rows, columns=["file_path", "kind", "name", "line"])
 
-    others = files.where(F.col("language").isin(*DEFINITIONS)).select("file_path", "language", "text")
+    files = spread(files.select("file_path", "language", "text"))
+    others = files.where(F.col("language").isin(*DEFINITIONS))
     words = others.mapInPandas(run, "file_path string, kind string, name string, line int")
     return python_functions(files.where("language = 'Python'")).unionByName(words)
 

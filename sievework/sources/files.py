@@ -48,6 +48,11 @@ def language_of(path: Column | str) -> Column:
     return F.try_element_at(known, ext)
 
 
+def spread(files: DataFrame) -> DataFrame:
+    """files over as many tasks as the session shuffles into: parsing follows their number, which bytes of packed tables do not tell."""
+    return files.repartition(int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")), "file_path", "text")
+
+
 def in_skipped_dir(path: Column | str) -> Column:
     names = "|".join(d.replace(".", "\\.") for d in SKIPPED_DIRS)
     return c(path).rlike(f"(^|/)({names})/")

@@ -1,11 +1,12 @@
-"""What steps move and keep: shuffles, versions of stores, sizes of sketches, broadcasts of diffs, passes over vectors."""
+"""What steps move and keep: shuffles, versions of stores, sizes of sketches, broadcasts of diffs, passes over vectors, tasks of parsing."""
 
 import numpy as np
 from pyspark.sql import functions as F
 
 from sievework.llm import embedding_dedup
-from sievework.operators import diff, metrics, mutations, snapshots
+from sievework.operators import diff, graph, metrics, mutations, snapshots
 from sievework.plans import dependencies, history, standins
+from sievework.sources import files, trees
 from sievework.streaming import ingest
 
 SMALL = "/root/testdata/sf0.001"
@@ -90,3 +91,23 @@ def test_passes_go_in_blocks_and_floats_stay_floats(spark, monkeypatch):
     got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.near_duplicates(df, window=8, passes=7, cosine=0.999).collect()}
     assert len(seen) > 2 and seen[0] == ((0, 3), "array<float>") and seen[1][0] == (3, 6)
     assert all(got[i] == (1, i) and got[100 + i] == (1, i) for i in range(50)) and all(got[i] == (0, i) for i in range(50, 100))
+
+
+def test_files_of_one_partition_are_parsed_by_many_tasks(spark):
+    mixed = standins.mixed_files(spark, SMALL).coalesce(1)
+    tasks = lambda df: df.select(F.spark_partition_id()).distinct().count()
+    assert tasks(trees.match_trees(mixed, trees.default_tree_rules(spark))) > 1
+    assert tasks(graph.source_functions(mixed.withColumn("language", files.language_of("file_path")))) > 1
+
+
+def test_rules_are_asked_once_for_a_name(monkeypatch):
+    import json
+
+    seen, fits = [], trees.Patterns.fits
+    monkeypatch.setattr(trees.Patterns, "fits", staticmethod(lambda p, got: seen.append(p) or fits(p, got)))
+    rules = [(x, json.dumps({"node": "call", "match": {"callee": x + "$"}, "kind": {"arg0": ["name"]}})) for x in "abcdefgh"]
+    long = "x" * 1000 + "a"
+    found = trees.Patterns(rules).find("a(1);\n" + "a(y);\n" * 50 + "z(y);\n" * 50 + f"{long}(y);\n{long}(1);\n", "Go")
+    assert [(rule[0], line) for rule, line, _, _ in found] == [("a", k) for k in range(2, 52)] + [("a", 102)]
+    # 8 rules for two short names and twice for the long one, then what they ask of the arguments of 53 calls
+    assert len(seen) <= 8 * 4 + 53
