@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from sievework.llm import embedding_dedup
 from sievework.operators import diff, graph, metrics, mutations, snapshots
-from sievework.plans import dependencies, history, standins
+from sievework.plans import dependencies, history, standins, state
 from sievework.sources import files, trees
 from sievework.streaming import ingest
 
@@ -111,3 +111,51 @@ def test_rules_are_asked_once_for_a_name(monkeypatch):
     assert [(rule[0], line) for rule, line, _, _ in found] == [("a", k) for k in range(2, 52)] + [("a", 102)]
     # 8 rules for two short names and twice for the long one, then what they ask of the arguments of 53 calls
     assert len(seen) <= 8 * 4 + 53
+
+
+def rows_of(df):
+    return sorted(map(tuple, df.collect()))
+
+
+def test_versions_are_written_in_parts(spark, monkeypatch):
+    want = rows_of(state.mut1_versions(spark, SMALL))
+    seen, write = [], snapshots.Store.commit
+    monkeypatch.setattr(snapshots, "PART_BYTES", 0)
+    monkeypatch.setattr(state, "LAYOUT", snapshots.Layout(state.LAYOUT.keys, groups=5, parts=2))
+    monkeypatch.setattr(snapshots.Store, "commit", lambda store, changes, *more: seen.append([len(c.parts) for c in changes.values()]) or write(store, changes, *more))
+    assert rows_of(state.mut1_versions(spark, SMALL)) == want
+    # the facts, then a part for every group of projects
+    assert seen == [[1], [5], [5], [5]]
+
+
+def test_a_scan_given_as_rows_is_upserted_in_parts(spark, monkeypatch):
+    new = history._payload(spark, SMALL)
+    want = mutations.upsert_scan(history._stored(spark, SMALL).select(*state.STATE), new, history.now()).select(*state.STATE)
+    monkeypatch.setattr(state, "LAYOUT", snapshots.Layout(state.LAYOUT.keys, groups=5, parts=2))
+    store = state.new_store(spark, SMALL)
+    monkeypatch.setattr(snapshots, "PART_BYTES", 0)
+    change = snapshots.upsert_findings(store, new, history.now())
+    assert len(change.parts) == 5
+    store.commit({"findings": change})
+    assert rows_of(store.read("findings").select(*state.STATE)) == rows_of(want)
+    none = snapshots.upsert_findings(store, new.where("false"), history.now())
+    assert [p.count() for p in none.parts] == [0] and none.replace == []
+    store.commit({"findings": none})
+    assert store.read("findings").count() == want.count()
+
+
+def test_a_scan_of_one_project_rewrites_few_others(spark):
+    store = state.new_store(spark, SMALL)
+    touched = store.layouts["findings"].all_of(spark.createDataFrame([("p-3",)], "project_id string"))
+    assert store.read("findings", buckets=touched).select("project_id").distinct().count() <= 3
+    assert store.read("findings", buckets=touched).where("project_id = 'p-3'").count() == store.read("findings").where("project_id = 'p-3'").count() > 0
+
+
+def test_facts_laid_out_in_parts_are_all_findings(spark, monkeypatch):
+    monkeypatch.setattr(state, "LINES_BYTES", 30_000)
+    found = state.Findings(spark, SMALL)
+    folders = found.store.manifest()["tables"]["facts"]["folders"]
+    assert len({f.split("/")[2] for _, f in folders}) > 1
+    assert rows_of(found.read()) == rows_of(standins.stored_findings(spark, SMALL))
+    one = found.read([b for b, _ in folders][:1])
+    assert 0 < one.select("project_id").distinct().count() <= 4
