@@ -159,3 +159,25 @@ def test_facts_laid_out_in_parts_are_all_findings(spark, monkeypatch):
     assert rows_of(found.read()) == rows_of(standins.stored_findings(spark, SMALL))
     one = found.read([b for b, _ in folders][:1])
     assert 0 < one.select("project_id").distinct().count() <= 4
+
+
+def test_sketches_are_made_in_parts(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(state, "LAYOUT", snapshots.Layout(state.LAYOUT.keys, groups=5, parts=2))
+    given = state.Findings(spark, SMALL)
+    store = state.new_store(spark, SMALL, given)
+    counts = lambda df: {r[0]: r[1:] for r in df.groupBy("project_id").agg(F.countDistinct("rule_id"), F.countDistinct("file_path")).collect()}
+    monkeypatch.setattr(snapshots, "PART_BYTES", 0)
+    seen, sketch = [], metrics.daily_sketches
+    monkeypatch.setattr(metrics, "daily_sketches", lambda rows: seen.append({r[0] for r in rows.select("project_id").distinct().collect()}) or sketch(rows))
+    own = snapshots.Store(spark, str(tmp_path / "m"), metrics.LAYOUTS)
+    for step in range(2):
+        if step:
+            store.commit({"findings": snapshots.upsert_findings(store, given.payload("num % 5 <> 2 AND project_id < 'p-2'"), history.now())})
+            assert metrics.refresh(store, own) == 2 and len(seen) > 1
+        else:
+            assert metrics.refresh(store, own) == 1 and len(seen) == 5
+        assert sum(map(len, seen)) == len(set().union(*seen)), "a project is in one part"
+        seen.clear()
+        want = counts(store.read("findings"))
+        got = {r[0]: r[1:] for r in metrics.distinct_counts(own).collect()}
+        assert got.keys() == want.keys() and all(got[p][0] == want[p][0] and abs(got[p][1] - want[p][1]) <= max(2, want[p][1] * 0.05) for p in want)
